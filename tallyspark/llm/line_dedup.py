@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import BLANKS
+from .common import BLANKS, cut
 
 #: A line on this many sites is boilerplate; a line needs this many words to be judged.
 MIN_SITES, MIN_WORDS = 5, 3
@@ -12,28 +12,37 @@ MIN_SITES, MIN_WORDS = 5, 3
 LG_K, BAND = 10, 0.25
 
 
+def plain(line: Column) -> Column:
+    """A line with each run of blanks as one space and none at the ends; most lines need no pattern for that."""
+    odd = F.contains(line, F.lit("  "))
+    for blank in "\t\x0b\x0c\r":
+        odd = odd | F.contains(line, F.lit(blank))
+    return F.trim(F.when(odd, F.regexp_replace(line, f"[{BLANKS}]+", " ")).otherwise(line))
+
+
 def lines_of(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """Rows (doc_id, line_no, line, site) of the lines that have min_words words; a null source is a site."""
+    """Rows (doc_id, line_no, line_hash, site) of the lines that have min_words words; a null source is a site."""
     site = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("-"))
-    rows = docs.where("text is not null").select("doc_id", site.alias("site"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    line = F.regexp_replace(F.regexp_replace("line", f"[{BLANKS}]+", " "), "^ | $", "")
-    rows = rows.select("doc_id", "site", "line_no", line.alias("line"))
-    return rows.where(F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) >= min_words - 1).where("line != ''")
+    lines = F.transform(F.split("text", "\n", -1), plain)
+    rows = docs.where("text is not null").select("doc_id", site.alias("site"), F.posexplode(lines).alias("line_no", "line"))
+    spaces = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit("")))
+    return rows.where((F.col("line") != "") & (spaces >= min_words - 1)).select("doc_id", "line_no", F.unhex(F.md5("line")).alias("line_hash"), "site")
 
 
-def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, min_words: int = MIN_WORDS, band: float = BAND) -> DataFrame:
+def boilerplate(rows: DataFrame, min_sites: int = MIN_SITES, band: float = BAND) -> DataFrame:
     """Rows (line_hash, first) of lines on min_sites sites or more; first is the (doc_id, line_no) of one occurrence.
 
-    One HyperLogLog sketch for each line digest, built on the map side and merged by aggregation, estimates the
-    number of sites. An estimate within `band` of the threshold is replaced by an exact distinct count; the
-    sketch's error at 2**LG_K registers is a small part of the band. Frequent lines need one sketch a task.
+    rows are lines_of() documents. One HyperLogLog sketch for each line digest, built on the map side and merged by
+    aggregation, estimates the number of sites. An estimate within `band` of the threshold is replaced by an exact
+    distinct count; the sketch's error at 2**LG_K registers is a small part of the band. Frequent lines need one
+    sketch a task.
     """
-    rows = lines_of(docs, min_words).select(F.unhex(F.md5("line")).alias("line_hash"), "site", F.struct("doc_id", "line_no").alias("at"))
-    spread = rows.groupBy("line_hash").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", LG_K)).alias("sites"), F.min("at").alias("first"), F.count("*").alias("n"))
-    spread = spread.where(F.col("n") >= min_sites)
-    near = spread.where(F.col("sites").between(min_sites * (1 - band), min_sites * (1 + band))).select("line_hash", "first")
+    spread = rows.groupBy("line_hash").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", LG_K)).alias("sites"), F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n"))
+    spread = cut(spread.where((F.col("n") >= min_sites) & (F.col("sites") >= min_sites * (1 - band))))
+    sure = F.col("sites") > min_sites * (1 + band)
+    near = spread.where(~sure).select("line_hash", "first")
     exact = rows.select("line_hash", "site").join(near.select("line_hash"), "line_hash", "left_semi").distinct().groupBy("line_hash").count().where(F.col("count") >= min_sites)
-    return spread.where(F.col("sites") > min_sites * (1 + band)).select("line_hash", "first").unionByName(near.join(exact, "line_hash", "left_semi"))
+    return spread.where(sure).select("line_hash", "first").unionByName(near.join(exact, "line_hash", "left_semi"))
 
 
 def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES, min_words: int = MIN_WORDS) -> DataFrame:
@@ -44,8 +53,8 @@ def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES, min_words: int = MIN
     have copied stays whole once. Adds n_lines and n_removed; n_chars, where it exists, is counted anew. Null texts
     stay null with 0 lines; an empty text has one line. Repeated rows are edited alike. Empty tables stay empty.
     """
-    known = boilerplate(docs, min_sites, min_words)
-    rows = lines_of(docs, min_words).select("doc_id", "line_no", F.unhex(F.md5("line")).alias("line_hash"))
+    rows = cut(lines_of(docs, min_words))
+    known = boilerplate(rows, min_sites)
     at = F.struct("doc_id", "line_no")
     gone = rows.join(known, "line_hash").where(~at.eqNullSafe(F.col("first"))).groupBy("doc_id").agg(F.collect_set("line_no").alias("gone_nos"))
     rest = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
