@@ -74,3 +74,18 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, seed: int = 7, bucket
     fits = (F.col("start") + F.col("inside") + F.col("size") / 2 <= F.col("rest")) & (F.col("size") > 0)
     copies = F.col("epochs") + F.when(fits, 1).otherwise(0)
     return placed.select("doc_id", "source", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"))
+
+
+def apply(docs: DataFrame, quality: DataFrame | None = None, **options) -> DataFrame:
+    """The rows of docs, all columns, each as often as mix() takes a document of its doc_id, source and size.
+
+    Repeated rows that agree in doc_id, source and size stand as often as mix() takes them all together.
+    """
+    plan = mix(docs, quality, **options).where("copies > 0").groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("copies"))
+    plan = plan.select(F.col("doc_id").alias("p_id"), F.col("source").alias("p_source"), F.col("size").alias("p_size"), F.col("copies").alias("p_copies"))
+    rows = docs.select("doc_id", "source", words_of(F.col("text")).alias("size"), F.struct("*").alias("row"))
+    number = F.row_number().over(W.partitionBy("doc_id", "source", "size").orderBy(F.xxhash64("row")))
+    total = F.count("*").over(W.partitionBy("doc_id", "source", "size"))
+    joined = rows.withColumn("no", number).withColumn("of", total).join(plan, F.col("doc_id").eqNullSafe(F.col("p_id")) & F.col("source").eqNullSafe(F.col("p_source")) & (F.col("size") == F.col("p_size")))
+    share = F.floor(F.col("p_copies") / F.col("of")) + F.when(F.col("no") <= F.col("p_copies") % F.col("of"), 1).otherwise(0)
+    return joined.withColumn("share", share.cast("int")).where("share > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("share")))).select("row.*")
