@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-MODULES: list = []
+from . import reconcile
+
+MODULES: list = [reconcile]
 
 
 def queries() -> dict[str, Callable]:
