@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import reconcile
+from . import reconcile, routing, text
 
-MODULES: list = [reconcile]
+MODULES: list = [reconcile, routing, text]
 
 
 def queries() -> dict[str, Callable]:
