@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import reconcile, routing, text
+from . import ledger, reconcile, routing, text
 
-MODULES: list = [reconcile, routing, text]
+MODULES: list = [reconcile, routing, text, ledger]
 
 
 def queries() -> dict[str, Callable]:
