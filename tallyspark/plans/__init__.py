@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import ledger, reconcile, routing, text
+from . import audit, ledger, reconcile, routing, stream, text
 
-MODULES: list = [reconcile, routing, text, ledger]
+MODULES: list = [reconcile, routing, text, ledger, audit, stream]
 
 
 def queries() -> dict[str, Callable]:
