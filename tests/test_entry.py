@@ -1,0 +1,20 @@
+import __spark_entry__ as entry
+
+
+def test_entry_runs(spark):
+    rows = entry.entry(spark)
+    assert rows.count() > 0
+    assert "status" in rows.columns
+
+
+def test_oracles_have_queries():
+    assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_core_is_independent_of_the_extensions():
+    from pathlib import Path
+
+    root = Path(entry.__file__).parent / "tallyspark"
+    for path in root.rglob("*.py"):
+        if "llm" not in path.parts:
+            assert "llm" not in path.read_text(), path
