@@ -30,8 +30,7 @@ def match_alias(df: DataFrame, text: str, key: list[str], aliases: DataFrame, he
     keeps one hit on the map side.
     """
     hits = df.select(*key, F.lower(F.col(text)).alias("_t")).join(aliases, F.contains(F.col("_t"), F.col("alias")))
-    at = F.locate_at("_t", "alias") if hasattr(F, "locate_at") else F.expr("locate(alias, _t)")
-    hits = hits.withColumn("at", at).withColumn("_before", F.when(F.col("at") > 1, F.substr("_t", F.col("at") - 1, F.lit(1))))
+    hits = hits.withColumn("at", F.expr("locate(alias, _t)")).withColumn("_before", F.when(F.col("at") > 1, F.substr("_t", F.col("at") - 1, F.lit(1))))
     good = hits.where((F.col("at") <= head) | F.col("_before").rlike(edges))
     best = good.groupBy(*key).agg(F.min(F.struct("at", (-F.length("alias")).alias("n"), "alias", "officials")).alias("_b"))
     return best.select(*key, "_b.alias", F.array_join("_b.officials", "、").alias("officials"), "_b.at", (F.size("_b.officials") > 1).alias("ambiguous"))

@@ -54,10 +54,10 @@ def route(df: DataFrame, subject: str, body: str, extra: str, groups: dict[str,
     near_text = F.concat_ws(" ", s, b)
     whole = F.concat_ws(" ", s, b, x)
     hit = lambda text, *names: reduce(lambda p, q: p | q, [any_hit(text, groups[n]) for n in names])
-    asked = F.col("_action") | F.col("_request")
+    asked = F.col("_asked")
     work = df.withColumns({
         "_subject_asks": hit(s, "action", "request"), "_strict": hit(s, "strict"), "_change": hit(s, "change"), "_soft": hit(s, "soft"), "_body_change": hit(F.substring(b, 1, 5000), "change"),
-        "_action": hit(near_text, "action", "request") | hit(x, "form"), "_request": F.lit(False), "_explicit": hit(near_text, "explicit") | hit(x, "form"),
+        "_asked": hit(near_text, "action", "request") | hit(x, "form"), "_explicit": hit(near_text, "explicit") | hit(x, "form"),
         "_scope": hit(whole, "scope") & ~hit(whole, "other_scope"), "_notice": hit(near_text, "notice"), "_completed": hit(near_text, "completed"),
         "_business": hit(whole, "business"), "_irrelevant": hit(whole, "irrelevant"),
     })
