@@ -1,0 +1,19 @@
+import pytest
+
+#: Documents with what operators must survive: nulls, empty and blank texts, repeated rows, ties, clashing columns.
+KIND = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, rank int, row string, h long"
+
+
+@pytest.fixture(scope="session")
+def odd(spark):
+    long = "word " * 30_000
+    texts = [
+        (1, "a b c d e f g h"), (2, None), (3, ""), (4, " \t\n"), (5, "a b c d e f g h"), (5, "a b c d e f g h"), (6, "a  b\tc d e f g h"),
+        (7, long), (8, "line one two\nline one two\nx"), (None, "no id here at all"), (None, None), (9, "émoji 😀 text <|endoftext|> end"),
+    ]
+    return spark.createDataFrame([(i, t, "en", None if i == 3 else f"s{(i or 0) % 3}", None, True, 1, "r", 2) for i, t in texts], KIND)
+
+
+@pytest.fixture(scope="session")
+def nothing(odd):
+    return odd.limit(0)
