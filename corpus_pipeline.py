@@ -10,13 +10,12 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from tallyspark.llm import bpe, jaccard_join, line_dedup, mixing, toxicity
-from tallyspark.llm.common import cut, read
+from tallyspark.llm.common import read
 from tallyspark.llm.queries import tokenizer
-
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+from tallyspark.sources.shared import shared_folder
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,8 +56,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each result is written to the shared checkpoint folder as Parquet and read again."""
-    cut(spark.range(0))  # settles the folder of a session that names none
-    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = read(spark, sf_dir, "documents")
     for number, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{number}-{name}"

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tallyspark.sources.shared import shared_folder
+
 #: Fixed value: what separates words, as a Java and RE2 class body.
 BLANKS = r"\x20\x09-\x0D"
 #: The same characters, for str.split-like work in Python.
@@ -17,15 +19,21 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and go on from there.
+    """Write df to the shared checkpoint folder and go on from there."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
 
-    The folder is spark.checkpoint.dir; only a session without it (tests, notebooks) gets a temporary one.
+def stored(df: DataFrame) -> DataFrame:
+    """As cut(), but as a compressed table of the same folder: for wide intermediate results.
+
+    The shuffle files of the finished plan are free once the driver has collected its garbage; it is asked to.
     """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def state(edges: DataFrame) -> tuple[int, int]:

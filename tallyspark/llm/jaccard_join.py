@@ -10,7 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import components, cut
+from .common import components, cut, stored
 
 #: Words of a shingle, the least similarity of a link.
 WIDTH, THRESHOLD = 5, 0.8
@@ -73,31 +73,35 @@ def prefix_length(threshold: float, trees: int = TREES, depth: int = DEPTH, reca
     return 1
 
 
-def described(docs: DataFrame, width: int, trees: int, depth: int) -> DataFrame:
-    """doc_id, sid (digest of the shingle set; null if empty), size of the set, signature of trees x depth hashes."""
+def paths(found: np.ndarray, a: np.ndarray, b: np.ndarray, trees: int, length: int) -> list[int]:
+    """A digest of the first `length` steps of the text's path in each trie; the tree is part of it."""
+    steps = signature(found, a, b).reshape(trees, -1)[:, :length]
+    return [xxhash.xxh3_64_intdigest(row.tobytes(), seed=t) - 2**63 for t, row in enumerate(steps)]
+
+
+def described(docs: DataFrame, width: int, trees: int, depth: int, length: int) -> DataFrame:
+    """doc_id, sid (digest of the shingle set; null if empty) and paths, the trie node of depth `length` in each tree."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, (a, b) = Digests(), seeds(trees * depth)
         for batch in batches:
-            sids, sizes, sigs = [], [], []
+            sids, nodes = [], []
             for text in batch["text"]:
                 found = shingles(text.as_py() or "", known, width)
                 sids.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
-                sizes.append(len(found))
-                sigs.append(signature(found, a, b).tobytes() if len(found) else None)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(sids, pa.binary()), pa.array(sizes, pa.int32()), pa.array(sigs, pa.binary())], ["doc_id", "sid", "size", "sig"])
+                nodes.append(paths(found, a, b, trees, length) if len(found) else None)
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(sids, pa.binary()), pa.array(nodes, pa.list_(pa.int64()))], ["doc_id", "sid", "paths"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, sid binary, size int, sig binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, sid binary, paths array<long>")
 
 
-def forest_edges(texts: DataFrame, length: int, trees: int, depth: int) -> DataFrame:
-    """Edges (u, v) that tie the texts below each trie node of depth `length` to the least of them.
+def forest_edges(texts: DataFrame) -> DataFrame:
+    """Edges (u, v) that tie the texts below each trie node to the least of them.
 
-    A node is a tree and a path; equal paths meet by aggregation, which finds a node's least member on the map
-    side, and a join on the node turns its members into a star, so a node with many members makes no pairs.
+    Equal paths meet by aggregation, which finds a node's least member on the map side, and a join on the node turns
+    its members into a star, so a node with many members makes no pairs.
     """
-    path = lambda t: F.xxhash64(F.lit(t), F.substring("sig", 4 * depth * t + 1, 4 * length))
-    rows = texts.select("sid", F.explode(F.array(*[path(t) for t in range(trees)])).alias("node"))
+    rows = texts.select("sid", F.explode("paths").alias("node"))
     nodes = rows.groupBy("node").agg(F.min("sid").alias("v"), F.max("sid").alias("w")).where("v != w").select("node", "v")
     return rows.join(nodes, "node").where("sid != v").select(F.col("sid").alias("u"), "v").distinct()
 
@@ -214,10 +218,10 @@ def join(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, tree
     meet with probability `recall`; nodes tie texts into candidate clusters, and every pair of a cluster is
     decided exactly, so a pair is lost only if no chain of nodes leads from one text to the other.
     """
-    base = cut(described(docs, width, trees, depth))
-    texts = base.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"))
     length = prefix_length(threshold, trees, depth, recall)
-    clusters = cut(components(forest_edges(texts.select("sid", "sig"), length, trees, depth)))
+    base = stored(described(docs, width, trees, depth, length))
+    texts = base.where("sid is not null").groupBy("sid").agg(F.first("paths").alias("paths"))
+    clusters = cut(components(forest_edges(texts)))
     sizes = clusters.groupBy("root").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     reps = base.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("rep"))
     members = clusters.join(sizes, "root").join(reps, clusters["node"] == reps["sid"]).select(F.col("rep").alias("doc_id"), "sid", "root", "blocks")
@@ -236,6 +240,7 @@ def join(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, tree
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs whose doc_id is their class's; of rows that agree in doc_id and text one stays."""
     kept = join(docs, **options).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    row = docs.select("doc_id", "text", F.struct("*").alias("row"))
-    rows = row.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").dropDuplicates(["doc_id", "text"])
+    rows = docs.select("doc_id", F.struct("*").alias("row")).join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    if not docs.groupBy("doc_id").count().where("count > 1").isEmpty():
+        rows = rows.withColumn("text", F.col("row.text")).dropDuplicates(["doc_id", "text"])
     return rows.select("row.*")
