@@ -97,8 +97,8 @@ def _search(left: pd.DataFrame, right: pd.DataFrame, k: int) -> pd.DataFrame:
     """One shard's tree against the queries that were sent to it, block after block."""
     out: dict[str, list] = {"query_id": [], "vec_id": [], "score": []}
     if len(left) and len(right):
-        wide = max(left["ints"].map(len).max(), right["ints"].map(len).max())
-        rows, queries = _exact(_matrix(left["ints"], wide), _matrix(right["ints"], wide))
+        wide = max(left["vector"].map(len).max(), right["query"].map(len).max())
+        rows, queries = _exact(_matrix(left["vector"], wide), _matrix(right["query"], wide))
         tree = KdTree(left["vec_id"].to_numpy(), rows)
         floors = right["floor"].astype(float).fillna(-np.inf).to_numpy() if "floor" in right else np.full(len(right), -np.inf)
         for start in range(0, len(right), BLOCK):
@@ -130,8 +130,9 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, scale: int = 256, sha
     rows = vectors.where("vec_id is not null").select("vec_id", quantised(F.col("embedding"), scale).alias("ints")).where("ints is not null").groupBy("vec_id").agg(F.min("ints").alias("ints"))
     rows = cut(rows)
     shards = max(1, -(-rows.count() // shard))
-    home = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
-    asked = home.where(queries).select(F.col("vec_id").alias("query_id"), "ints", "shard")
+    shard_no = F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")
+    home = rows.select("vec_id", F.col("ints").alias("vector"), shard_no.alias("shard"))
+    asked = rows.where(queries).select(F.col("vec_id").alias("query_id"), F.col("ints").alias("query"), shard_no.alias("shard"))
     kind = "query_id long, vec_id long, score long"
     near = cut(home.groupBy("shard").cogroup(asked.groupBy("shard")).applyInPandas(lambda a, b: _search(a, b, k), kind))
     floors = near.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("least")).where(F.col("n") >= k)
@@ -139,8 +140,8 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, scale: int = 256, sha
     if shards > 1:
         blocks = max(1, -(-asked.count() // sent))
         going = asked.join(floors.select("query_id", F.col("least").alias("floor")), "query_id", "left").withColumn("block", F.pmod(F.hash("query_id"), F.lit(blocks)))
-        going = going.select("query_id", "ints", "floor", "block", F.explode(F.filter(F.sequence(F.lit(0), F.lit(shards - 1)), lambda s: s != F.col("shard"))).alias("shard"))
-        there = home.select("vec_id", "ints", "shard", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+        going = going.select("query_id", "query", "floor", "block", F.explode(F.filter(F.sequence(F.lit(0), F.lit(shards - 1)), lambda s: s != F.col("shard"))).alias("shard"))
+        there = home.select("vec_id", "vector", "shard", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
         found = near.union(there.groupBy("shard", "block").cogroup(going.groupBy("shard", "block")).applyInPandas(lambda a, b: _search(a, b, k), kind))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
