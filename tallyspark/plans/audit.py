@@ -208,6 +208,11 @@ def f7(spark, sf_dir):
 QUERIES["f8_header_blocks"] = lambda spark, sf_dir: S.header_blocks(doc_lines(spark, sf_dir), ["doc_id"], "line_no", F.length("line") < 40)
 
 
+ORACLES["f8_header_blocks"] = f"""WITH {LINES}, h AS (SELECT *, len(line) < 40 AS h, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS no FROM n), g AS (SELECT *, no - row_number() OVER (PARTITION BY doc_id, h ORDER BY line_no) AS island FROM h),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, h, island ORDER BY line_no) AS place, count(*) OVER (PARTITION BY doc_id, h, island) AS size, min(no) OVER (PARTITION BY doc_id, h, island) AS start FROM g)
+SELECT a.doc_id, a.start AS block, a.place, a.line AS label, b.line AS value FROM r a JOIN r b ON a.doc_id = b.doc_id AND a.place = b.place AND b.start = a.start + a.size WHERE a.h AND NOT b.h AND a.size >= 2 AND b.size >= a.size"""
+
+
 @plans.add("f9_zip_by_position", "SELECT item_id, list_transform(range(1, greatest(len(a), len(b)) + 1), lambda i: {'brand': a[i], 'category': b[i]}) AS v FROM (SELECT item_id, string_split(text, ' ')[:item_id % 4 + 1] AS a, string_split(text, ' ')[3:5] AS b FROM benchmark)")
 def f9(spark, sf_dir):
     words = F.split("text", " ")

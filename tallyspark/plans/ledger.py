@@ -119,6 +119,9 @@ def d9(spark, sf_dir):
 QUERIES["d10_model_projects"] = lambda spark, sf_dir: R.match_model_projects(names(spark, sf_dir), table(spark, sf_dir, "part").select(F.substring_index("p_name", " ", -1).alias("word")).distinct(), "p_name", "word")
 
 
+ORACLES["d10_model_projects"] = "SELECT DISTINCT replace(lower(p_name), ' ', '') AS p_name, lower(split_part(p_name, ' ', 2)) AS word, 100 AS score FROM part"
+
+
 @plans.add("b21_country_of", "WITH c AS (SELECT n_name AS name, lower(n_name) AS alias FROM nation), h AS (SELECT o_orderkey, name, alias, lower('NATION_' || o_custkey || ' order') AS t FROM orders JOIN c ON contains(lower('NATION_' || o_custkey || ' order'), alias)), r AS (SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY len(alias) DESC, name) AS no FROM h) SELECT o_orderkey, name FROM r WHERE no = 1")
 def b21(spark, sf_dir):
     countries = table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), F.col("n_name").alias("alias"), F.lit("own").alias("lang"))
