@@ -10,12 +10,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import cut
+from .common import stored
 
 #: Bytes of a repeat; bytes of an anchor's own string.
-LENGTH, GRAM = 200, 16
-#: Contexts of one anchor that one task merges; more take the exact way by whole windows.
-BUCKET = 20_000
+LENGTH, GRAM = 200, 64
+#: Contexts of one anchor that one task merges, in about 200 MB; more take the exact way by whole windows.
+BUCKET = 60_000
 #: Contexts of a shard, contexts merged at a time, bytes of a text that are hashed at a time.
 SHARD, BATCH, CHUNK = 1024, 4096, 1 << 20
 #: Anchors that leave a worker at a time.
@@ -39,41 +39,45 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return x
 
 
-def _doubled(data: np.ndarray, upto: int) -> dict[int, np.ndarray]:
-    """Digests of the strings of 1, 2, 4, ... upto bytes that start at each byte."""
-    level = {1: (data.astype(np.uint64) + np.uint64(1)) * ODD}
-    size = 1
-    while size < upto:
-        one = level[size]
-        level[2 * size] = _mix(one[:-size], one[size:]) if len(one) > size else one[:0]
-        size *= 2
-    return level
+def _packed(data: np.ndarray, width: int) -> np.ndarray:
+    """The `width` (1, 2, 4 or 8) bytes from each place on, as one number."""
+    x = data
+    for size, kind in ((1, np.uint16), (2, np.uint32), (4, np.uint64)):
+        if size >= width:
+            break
+        wide = x.astype(kind)
+        x = wide[:-size] | (wide[size:] << kind(8 * size))
+    return x.astype(np.uint64)
 
 
 def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Position, digest and context digest of every anchor of a text.
 
-    An anchor is a string of `gram` bytes whose digest is the least in some window of `length` bytes. What is an
-    anchor in a window depends on the window's bytes alone, so equal windows have equal anchors at equal places,
-    and every window has one. The context is all that windows with the anchor can reach: length - gram bytes
-    before it to length bytes from its start, cut at the text's ends.
+    An anchor is a string of `gram` bytes (a power of two) whose digest is the least in some window of `length` bytes.
+    What is an anchor in a window depends on the window's bytes alone, so equal windows have equal anchors at equal
+    places, and every window has one. The context is all that windows with the anchor can reach: length - gram bytes
+    before it to length bytes from its start, cut at the text's ends. Its digest takes it in units of up to 8 bytes,
+    each with a multiplier of its own.
     """
-    n, reach = len(data), length - gram
+    n, reach, unit = len(data), length - gram, min(gram, 8)
     if n < length:
         none = np.zeros(0, np.int64)
         return none, none, none
-    half = 1 << (length - 1).bit_length() - 1
-    level = _doubled(data, half)
-    h = level[gram] if gram in level else _doubled(data, gram)[gram]
-    low = _sliding_min(h[: n - gram + 1], reach + 1)
-    edge = np.concatenate([np.zeros(reach, np.uint64), low, np.zeros(reach, np.uint64)])
-    high = ~_sliding_min(~edge, reach + 1)
-    at = np.flatnonzero(h[: n - gram + 1] == high)
+    units = _mix(_packed(data, unit), np.uint64(length))
+    h, size = units, unit
+    while size < gram:
+        h = _mix(h[:-size], h[size:])
+        size *= 2
+    order = (h >> np.uint64(32)).astype(np.uint32)
+    low = _sliding_min(order, reach + 1)
+    edge = np.zeros(reach, np.uint32)
+    high = ~_sliding_min(~np.concatenate([edge, low, edge]), reach + 1)
+    at = np.flatnonzero(order == high)
     start, end = np.maximum(at - reach, 0), np.minimum(at + length, n)
-    context = _mix(level[half][start], level[half][end - half])
-    for k in range(1, -(-(2 * length) // half)):
-        context = _mix(context, level[half][np.minimum(start + k * half, end - half)])
-    context = _mix(context, ((at - start) * 4096 + (end - at)).astype(np.uint64))
+    steps = np.arange(0, reach + length, unit)
+    places = np.minimum(start[:, None] + steps, (end - unit)[:, None])
+    each = units[places] * (_mix(steps.astype(np.uint64), ODD) | np.uint64(1))
+    context = _mix((each ^ (each >> np.uint64(32))).sum(axis=1, dtype=np.uint64), ((at - start) * 4096 + (end - at)).astype(np.uint64))
     return at, h[at].view(np.int64), context.view(np.int64)
 
 
@@ -171,15 +175,15 @@ def _bytes(text: pa.Scalar) -> np.ndarray:
 
 
 def _marks(keyed: DataFrame, length: int, gram: int, bucket: int, found: DataFrame) -> DataFrame:
-    """(h, c, low, high) of repeated windows for the anchors in `found` (doc_id, tid, pos, h, c, reach)."""
-    contexts = cut(found.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "tid", "pos", "low", "high")).alias("at")))
+    """(h, c, low, high) of repeated windows for the anchors in `found` (doc_id, tid, pos, h, c), each h with more
+    than one context."""
+    reach = length - gram
+    contexts = found.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "tid", "pos")).alias("at"))
     kinds = contexts.groupBy("h").agg(F.count("*").alias("kinds"))
-    contexts = contexts.join(kinds, "h")
-    single = contexts.where("kinds = 1").select("h", "c", F.col("at.low").alias("low"), F.col("at.high").alias("high")).where("low < high")
-    many = contexts.where("kinds > 1").select("at.doc_id", "at.tid", F.struct("at.pos", "h", "c", "n", (F.col("kinds") > bucket).alias("big")).alias("a"))
+    contexts = stored(contexts.join(kinds, "h"))
+    many = contexts.select("at.doc_id", "at.tid", F.struct("at.pos", "h", "c", "n", (F.col("kinds") > bucket).alias("big")).alias("a"))
     wanted = many.groupBy("doc_id", "tid").agg(F.collect_list("a").alias("a")).withColumnsRenamed({"doc_id": "w_doc", "tid": "w_tid"})
     there = keyed.join(wanted, F.col("doc_id").eqNullSafe(F.col("w_doc")) & (F.col("tid") == F.col("w_tid"))).select("text", "a")
-    reach = length - gram
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def emit(out: list[tuple]) -> pa.RecordBatch:
@@ -222,12 +226,14 @@ def _marks(keyed: DataFrame, length: int, gram: int, bucket: int, found: DataFra
                 yield pa.RecordBatch.from_arrays([pa.array([h] * k, pa.int64()), pa.array([c] * k, pa.int64()), pa.array([n] * k, pa.int64()), pa.array([s - left for s in starts], pa.int32()), pa.array(whole, pa.binary())], ["h", "c", "n", "low", "w"])
 
     pieces = there.mapInArrow(cut_out, "h long, c long, n long, big boolean, left int, context binary")
-    pieces = cut(pieces)
+    if contexts.where(F.col("kinds") > bucket).isEmpty():
+        return pieces.drop("big").repartition("h").sortWithinPartitions("h").mapInArrow(merge, "h long, c long, low int, high int")
+    pieces = stored(pieces)
     plain = pieces.where("not big").drop("big").repartition("h").sortWithinPartitions("h").mapInArrow(merge, "h long, c long, low int, high int")
-    each = pieces.where("big").drop("big").dropDuplicates(["h", "c"]).mapInArrow(windows, "h long, c long, n long, low int, w binary")
+    each = stored(pieces.where("big").drop("big").dropDuplicates(["h", "c"]).mapInArrow(windows, "h long, c long, n long, low int, w binary"))
     twice = each.groupBy("h", "low", "w").agg(F.sum("n").alias("total")).where("total > 1").select("h", "low", "w")
     rest = each.join(twice, ["h", "low", "w"], "left_semi").select("h", "c", "low", (F.col("low") + 1).alias("high"))
-    return single.unionByName(plain).unionByName(rest)
+    return plain.unionByName(rest)
 
 
 def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bucket: int = BUCKET, texts: bool = False) -> DataFrame:
@@ -240,8 +246,9 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bucket
     Other columns are left out; an empty table gives an empty result.
 
     Anchors cut the suffixes into buckets: equal windows share an anchor, so a bucket of equal anchor strings
-    holds all windows that can be equal to one of its own. An anchor string that occurs once ends there. In a
-    bucket, equal contexts are one row with a count. The different ones are split into shards, each has its
+    holds all windows that can be equal to one of its own. An anchor string that occurs once ends there; one whose
+    occurrences all have the same context is one repeated interval. In the other buckets, equal contexts are one row
+    with a count. The different ones are split into shards, each has its
     Burrows-Wheeler transform over contexts aligned at the anchor, and the shards' transforms are merged by
     interleave refinement. Buckets of more than `bucket` contexts are too much for a task and are settled, as
     exactly, by grouping whole windows.
@@ -250,28 +257,30 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bucket
     keyed = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text", F.lit(1)).alias("tid"), "text")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+        kinds = (pa.int64(), pa.int64(), pa.int64())
         for batch in batches:
             parts: list[tuple] = []
             held = 0
             for i, text in enumerate(batch["text"]):
                 data = _bytes(text)
                 at, h, c = anchors_whole(data, length, gram)
-                low = -np.minimum(at, reach)
-                high = np.minimum(at + length, len(data)) - at - length + 1
-                parts.append((np.full(len(at), i), at, h, c, low, high))
+                parts.append((np.full(len(at), i), at, h, c))
                 held += len(at)
                 if held >= ROWS or i + 1 == batch.num_rows:
                     columns = [np.concatenate(x) for x in zip(*parts)]
                     of = pa.array(columns[0])
-                    yield pa.RecordBatch.from_arrays([batch["doc_id"].take(of), batch["tid"].take(of), *(pa.array(x, t) for x, t in zip(columns[1:], kinds))], ["doc_id", "tid", "pos", "h", "c", "low", "high"])
+                    yield pa.RecordBatch.from_arrays([batch["doc_id"].take(of), batch["tid"].take(of), *(pa.array(x, t) for x, t in zip(columns[1:], kinds))], ["doc_id", "tid", "pos", "h", "c"])
                     parts, held = [], 0
 
-    every = keyed.mapInArrow(find, "doc_id long, tid long, pos long, h long, c long, low int, high int")
-    hot = every.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    found = cut(every.join(hot, "h"))
-    marks = _marks(keyed, length, gram, bucket, found)
-    spans = found.select("doc_id", "tid", "pos", "h", "c").join(marks, ["h", "c"]).select("doc_id", "tid", F.struct((F.col("pos") + F.col("low")).alias("s"), (F.col("pos") + F.col("high") - 1 + length).alias("e")).alias("span"))
+    every = keyed.mapInArrow(find, "doc_id long, tid long, pos long, h long, c long")
+    hot = every.groupBy("h").agg(F.count("*").alias("n"), F.min("c").alias("a"), F.max("c").alias("b")).where("n > 1")
+    alone = F.col("a") == F.col("b")
+    found = stored(every.join(hot, "h").select("doc_id", "tid", "pos", F.when(~alone, F.col("h")).alias("h"), F.when(~alone, F.col("c")).alias("c")))
+    shared = found.where("h is not null")
+    marks = _marks(keyed, length, gram, bucket, shared)
+    span = lambda low, end: F.struct(low.alias("s"), end.alias("e")).alias("span")
+    whole = found.where("h is null").select("doc_id", "tid", span(F.col("pos") - reach, F.col("pos") + length))
+    spans = shared.join(marks, ["h", "c"]).select("doc_id", "tid", span(F.col("pos") + F.col("low"), F.col("pos") + F.col("high") - 1 + length)).unionByName(whole)
     gone = spans.groupBy("doc_id", "tid").agg(F.collect_set("span").alias("spans")).withColumnsRenamed({"doc_id": "w_doc", "tid": "w_tid"})
     both = keyed.join(gone, F.col("doc_id").eqNullSafe(F.col("w_doc")) & (F.col("tid") == F.col("w_tid")), "left").select("doc_id", "text", "spans")
 
@@ -281,7 +290,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bucket
             for text, spans in zip(batch["text"], batch["spans"]):
                 data = _bytes(text).tobytes()
                 keep, at, runs, gone = [], 0, 0, 0
-                for s, e in sorted((x["s"], x["e"]) for x in spans.as_py() or []):
+                for s, e in sorted((max(x["s"], 0), min(x["e"], len(data))) for x in spans.as_py() or []):
                     if runs == 0 or s > at:
                         keep.append(data[at:s])
                         runs += 1
