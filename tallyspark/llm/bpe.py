@@ -12,7 +12,7 @@ import regex
 from pyspark.sql import DataFrame, functions as F
 
 #: Fixed value: how the byte-level pre-tokenizer cuts a text.
-PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+".replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 #: A worker keeps the encodings of this many pieces, and none of a longer piece.
 KEEP, SHORT = 1_000_000, 64
 #: The key of a pair that can't be merged.

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 #: The chain: each category's name and the label column and value that mean it. Later models see earlier ones.
 CATEGORIES = (("low_quality", "quality", 0), ("toxic", "toxic", 1))
 #: Bounds of the fit: labelled rows, words with a weight, and the least documents and z-score of such a word.
-MAX_ROWS, MAX_WORDS, MIN_DOCS, MIN_Z = 8_000, 2_000, 5, 4.0
+MAX_ROWS, MAX_WORDS, MIN_DOCS, MIN_Z = 8_000, 2_000, 3, 4.0
 FOLDS, STEM = 4, 4
 WORD = re.compile(r"[^\W\d_]+")
 

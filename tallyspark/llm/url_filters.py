@@ -9,18 +9,19 @@ from .common import components
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def behind_scheme(url: Column) -> Column:
+    """What follows the first ://; null without one."""
+    return F.when(F.contains(url, F.lit("://")), F.substr(url, F.length(F.substring_index(url, "://", 1)) + 4))
+
+
 def host_of(url: Column) -> Column:
     """What stands between the first :// and the next /, ? or #, A-Z lower-cased; empty for null or no ://."""
-    rest = F.substring_index(url, "://", 1)
-    rest = F.when(F.contains(url, F.lit("://")), F.substr(url, F.length(rest) + 4))
-    return F.coalesce(F.translate(F.regexp_extract(rest, r"^[^/?#]*", 0), UPPER, LOWER), F.lit(""))
+    return F.coalesce(F.translate(F.regexp_extract(behind_scheme(url), r"^[^/?#]*", 0), UPPER, LOWER), F.lit(""))
 
 
 def path_of(url: Column) -> Column:
     """What follows the host up to ?, # or the end; empty for null or no ://."""
-    rest = F.substring_index(url, "://", 1)
-    rest = F.when(F.contains(url, F.lit("://")), F.substr(url, F.length(rest) + 4))
-    return F.coalesce(F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1), F.lit(""))
+    return F.coalesce(F.regexp_extract(behind_scheme(url), r"^[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
 def alias_key(url: Column) -> Column:
