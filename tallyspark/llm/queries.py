@@ -66,6 +66,63 @@ QUERIES = {
     for f in (op1_url_filters, op2_kd_search, op3_jaccard_join, op4_suffix_dedup, op5_bpe, op6_exact_dedup, op7_toxicity, op8_mixing, op9_pii, op10_line_dedup)
 }
 
+#: Host, path and the key of one page's spellings, of a column that holds an address.
+PARTS_SQL = r"""CASE WHEN contains({u}, '://') THEN substr({u}, instr({u}, '://') + 3) END"""
+HOST_SQL = f"coalesce(translate(regexp_extract({PARTS_SQL}, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '')"
+PATH_SQL = f"coalesce(regexp_extract({PARTS_SQL}, '^[^/?#]*([^?#]*)', 1), '')"
+KEPT_SQL = r"""list_sort(list_filter(string_split(regexp_extract({u}, '^[^?#]*\?([^#]*)', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(?:utm_[a-z]+|ref|fbclid|gclid)=')))"""
+KEY_SQL = rf"""CASE WHEN {HOST_SQL} <> '' THEN regexp_replace({HOST_SQL}, '^(?:www|m)\.', '') || regexp_replace({PATH_SQL}, '/+$', '') || CASE WHEN len({KEPT_SQL}) > 0 THEN '?' || array_to_string({KEPT_SQL}, '&') ELSE '' END END"""
+SQL_RULES = "VALUES " + ", ".join(f"('{h}', '{p}', '{a}')" for h, p, a in RULES)
+
+OP1_SQL = rf"""
+WITH RECURSIVE rules(r_host, r_path, action) AS ({SQL_RULES}),
+l AS (SELECT url, unnest([
+  regexp_extract(regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>'), '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1),
+  regexp_extract(regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>'), '(?is)\burl\s*=\s*["'']?([^"''\s>]+)', 1)]) AS link
+  FROM pages WHERE url IS NOT NULL AND html IS NOT NULL),
+t AS (SELECT url, CASE WHEN link = '' THEN NULL WHEN regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN link
+  WHEN starts_with(link, '//') THEN split_part(url, '://', 1) || ':' || link
+  WHEN starts_with(link, '/') THEN split_part(url, '://', 1) || '://' || {HOST_SQL.format(u="url")} || link
+  ELSE split_part(url, '://', 1) || '://' || {HOST_SQL.format(u="url")} || coalesce(nullif(regexp_replace({PATH_SQL.format(u="url")}, '[^/]*$', ''), ''), '/') || link END AS target FROM l),
+e AS (SELECT {KEY_SQL.format(u="url")} AS u, {KEY_SQL.format(u="target")} AS v, target FROM t WHERE target IS NOT NULL),
+g AS (SELECT u, v FROM e WHERE u IS NOT NULL AND v IS NOT NULL UNION SELECT v, u FROM e WHERE u IS NOT NULL AND v IS NOT NULL),
+reach(node, other) AS (SELECT u, u FROM g UNION SELECT reach.node, g.v FROM reach JOIN g ON g.u = reach.other),
+roots AS (SELECT node, min(other) AS root FROM reach GROUP BY node),
+n AS (SELECT DISTINCT url FROM (SELECT url FROM pages UNION ALL SELECT target FROM e WHERE v IS NOT NULL) WHERE url IS NOT NULL),
+p AS (SELECT url, {HOST_SQL.format(u="url")} AS host, {PATH_SQL.format(u="url")} AS path FROM n),
+f AS (SELECT url, r_host || r_path AS rule, action, row_number() OVER (PARTITION BY url ORDER BY len(r_host || r_path) DESC, action) AS place
+  FROM p JOIN rules ON (host = r_host OR ends_with(host, '.' || r_host)) AND starts_with(path, r_path) WHERE host <> ''),
+b AS (SELECT url, rule, action FROM f WHERE place = 1),
+s AS (SELECT coalesce(root, k) AS root, bool_or(action = 'block') AND NOT bool_or(action = 'allow') AS blocked
+  FROM (SELECT {KEY_SQL.format(u="url")} AS k, action FROM b) LEFT JOIN roots ON node = k WHERE k IS NOT NULL GROUP BY 1),
+x AS (SELECT page_id, url, {KEY_SQL.format(u="url")} AS k FROM pages)
+SELECT page_id, {HOST_SQL.format(u="x.url")} AS host, {PATH_SQL.format(u="x.url")} AS path, rule,
+  coalesce(action, CASE WHEN s.root IS NOT NULL THEN 'block' END, 'allow') AS verdict, s.root AS blocked_with
+FROM x LEFT JOIN b ON b.url = x.url LEFT JOIN roots ON node = k LEFT JOIN s ON s.blocked AND s.root = coalesce(roots.root, k)
+"""
+
+OP2_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+OP3_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(text, '[^\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) > 0 THEN list_sort(list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' ')))) END AS s FROM w),
+t AS (SELECT s, min(doc_id) AS rep FROM s WHERE s IS NOT NULL GROUP BY s),
+x AS (SELECT rep, len(s) AS n, unnest(s) AS g FROM t),
+c AS (SELECT a.rep AS u, b.rep AS v, count(*) AS k, any_value(a.n) AS n, any_value(b.n) AS m FROM x a JOIN x b ON a.g = b.g AND a.rep <> b.rep GROUP BY a.rep, b.rep),
+l AS (SELECT u, v FROM c WHERE k >= 0.8 * (n + m - k)),
+reach(node, other) AS (SELECT rep, rep FROM t UNION SELECT node, v FROM reach JOIN l ON u = other),
+r AS (SELECT node, min(other) AS class_id FROM reach GROUP BY node),
+d AS (SELECT u, count(*) AS n_links FROM l GROUP BY u)
+SELECT s.doc_id, coalesce(rep, s.doc_id) AS text_class, coalesce(class_id, s.doc_id) AS class_id, coalesce(n_links, 0) AS n_links
+FROM s LEFT JOIN t ON t.s = s.s LEFT JOIN r ON node = rep LEFT JOIN d ON d.u = rep
+"""
+
 OP6_SQL = r"""
 WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents),
 g AS (SELECT norm, min(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY norm)
@@ -111,4 +168,4 @@ SELECT doc_id, source, size, source_size, target,
 FROM (SELECT k.*, documents.source FROM k JOIN documents USING (doc_id))
 """
 
-ORACLES = {"op6_exact_dedup": OP6_SQL, "op10_line_dedup": OP10_SQL, "op8_mixing": OP8_SQL}
+ORACLES = {"op1_url_filters": OP1_SQL, "op2_kd_search": OP2_SQL, "op3_jaccard_join": OP3_SQL, "op6_exact_dedup": OP6_SQL, "op10_line_dedup": OP10_SQL, "op8_mixing": OP8_SQL}
