@@ -273,9 +273,9 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bucket
                     parts, held = [], 0
 
     every = keyed.mapInArrow(find, "doc_id long, tid long, pos long, h long, c long")
-    hot = every.groupBy("h").agg(F.count("*").alias("n"), F.min("c").alias("a"), F.max("c").alias("b")).where("n > 1")
-    alone = F.col("a") == F.col("b")
-    found = stored(every.join(hot, "h").select("doc_id", "tid", "pos", F.when(~alone, F.col("h")).alias("h"), F.when(~alone, F.col("c")).alias("c")))
+    counted = every.groupBy("h").agg(F.count("*").alias("n"), F.min("c").alias("a"), F.max("c").alias("b"))
+    hot = stored(counted.where("n > 1").select("h", (F.col("a") == F.col("b")).alias("alone")))
+    found = stored(every.join(hot, "h").select("doc_id", "tid", "pos", F.when(~F.col("alone"), F.col("h")).alias("h"), F.when(~F.col("alone"), F.col("c")).alias("c")))
     shared = found.where("h is not null")
     marks = _marks(keyed, length, gram, bucket, shared)
     span = lambda low, end: F.struct(low.alias("s"), end.alias("e")).alias("span")
