@@ -208,16 +208,14 @@ def i1_key(spark, sf_dir):
     return L.keyed(events(spark, sf_dir).withColumn("base", F.concat_ws("|", "user_id", "event_type")), "base", "event_id", "mail").select("event_id", "record_key", "detail_number")
 
 
-NOW = F.lit("2024-03-01 00:00:00").cast("timestamp")
-
-
 @plans.add("i1_upsert", "SELECT event_id, CASE WHEN day(ts) > 20 OR day(ts) < 10 THEN value ELSE 0 END AS value, CASE WHEN day(ts) > 20 THEN 'inserted' WHEN day(ts) < 10 THEN 'updated' ELSE 'kept' END AS change, day(ts) <= 20 AS old FROM events")
 def i1(spark, sf_dir):
     rows = events(spark, sf_dir).select("event_id", "day", "value")
     old = rows.where(F.dayofmonth("day") <= 20).withColumn("value", F.lit(0.0)).withColumn("first_seen", F.lit("2024-02-01").cast("timestamp")).withColumn("updated_at", F.col("first_seen"))
     batch = rows.where((F.dayofmonth("day") > 20) | (F.dayofmonth("day") < 10))
-    out = L.upsert(old, batch, "event_id", NOW)
-    return out.select("event_id", "value", "change", (F.col("first_seen") < NOW).alias("old"))
+    now = F.lit("2024-03-01 00:00:00").cast("timestamp")
+    out = L.upsert(old, batch, "event_id", now)
+    return out.select("event_id", "value", "change", (F.col("first_seen") < now).alias("old"))
 
 
 @plans.add("i2_replace_range", "SELECT event_id, CASE WHEN day(ts) BETWEEN 5 AND 9 THEN 'new' ELSE 'old' END AS origin FROM events WHERE NOT (day(ts) BETWEEN 5 AND 9 AND event_id % 3 <> 0)")
