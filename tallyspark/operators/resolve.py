@@ -29,9 +29,12 @@ def match_alias(df: DataFrame, text: str, key: list[str], aliases: DataFrame, he
     aliases has (alias, officials) in lower case. The containment join is bounded by the dictionary; each text
     keeps one hit on the map side.
     """
-    hits = df.select(*key, F.lower(F.col(text)).alias("_t")).join(aliases, F.contains(F.col("_t"), F.col("alias")))
-    hits = hits.withColumn("at", F.expr("locate(alias, _t)")).withColumn("_before", F.when(F.col("at") > 1, F.substr("_t", F.col("at") - 1, F.lit(1))))
-    good = hits.where((F.col("at") <= head) | F.col("_before").rlike(edges))
+    edge = lambda c: F.regexp_replace(c, edges, "\u0001")
+    texts = df.select(*key, F.lower(F.col(text)).alias("_t")).withColumn("_marked", F.concat(F.lit("\u0001"), edge(F.col("_t"))))
+    names = aliases.withColumn("_name", edge(F.col("alias")))
+    hits = texts.join(names, F.contains(F.col("_marked"), F.col("_name")))
+    first, edged = F.expr("locate(alias, _t)"), F.expr("locate(concat('\u0001', _name), _marked)")
+    good = hits.withColumn("at", F.least(F.when(first.between(1, head), first), F.when(edged > 0, edged))).where("at is not null")
     best = good.groupBy(*key).agg(F.min(F.struct("at", (-F.length("alias")).alias("n"), "alias", "officials")).alias("_b"))
     return best.select(*key, "_b.alias", F.array_join("_b.officials", "、").alias("officials"), "_b.at", (F.size("_b.officials") > 1).alias("ambiguous"))
 

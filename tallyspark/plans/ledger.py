@@ -49,8 +49,10 @@ def aliases(spark, sf_dir):
     return rows.groupBy("alias").agg(F.array_sort(F.collect_set("o")).alias("officials"))
 
 
-@plans.add("d2_alias_match", rf"""WITH {ALIASES}, h AS (SELECT doc_id, alias, officials, position(alias IN lower(text)) AS pos, lower(text) AS t FROM documents JOIN i ON contains(lower(text), alias)),
-g AS (SELECT * FROM h WHERE pos <= 8 OR regexp_matches(t[pos - 1:pos - 1], '[\s,，;；:：/|()（）_-]')), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos, len(alias) DESC, encode(alias)) AS no FROM g)
+@plans.add("d2_alias_match", rf"""WITH {ALIASES}, t AS (SELECT doc_id, lower(text) AS t, chr(1) || regexp_replace(lower(text), '[\s,，;；:：/|()（）_-]', chr(1), 'g') AS m FROM documents),
+n AS (SELECT *, chr(1) || regexp_replace(alias, '[\s,，;；:：/|()（）_-]', chr(1), 'g') AS name FROM i),
+h AS (SELECT doc_id, alias, officials, least(CASE WHEN position(alias IN t) BETWEEN 1 AND 8 THEN position(alias IN t) END, nullif(position(name IN m), 0)) AS pos FROM t JOIN n ON contains(t, alias)),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos, len(alias) DESC, encode(alias)) AS no FROM h WHERE pos IS NOT NULL)
 SELECT doc_id, alias, array_to_string(officials, '、') AS officials, pos AS "at", len(officials) > 1 AS ambiguous FROM r WHERE no = 1""")
 def d2(spark, sf_dir):
     return R.match_alias(table(spark, sf_dir, "documents"), "text", ["doc_id"], aliases(spark, sf_dir))
@@ -145,7 +147,7 @@ ORACLES["d17_move_brands"] = f"""WITH {SIBLINGS}, h AS (SELECT mail, suggested,
 SELECT mail, l_linenumber, l_partkey, v, list_filter(l, lambda x, i: list_position(l, x) = i) AS brands FROM e"""
 
 
-@plans.add("d18_donor_fill", "WITH d AS (SELECT p_brand, p_type, max(p_name) AS n FROM part WHERE p_size > 40 GROUP BY ALL) SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN p_name ELSE n END AS p_name FROM part LEFT JOIN d USING (p_brand, p_type)")
+@plans.add("d18_donor_fill", "WITH d AS (SELECT p_brand, p_type, max(p_name) AS n FROM part WHERE p_size > 40 GROUP BY ALL), a AS (SELECT p_brand, max(p_name) AS s FROM part WHERE p_size > 40 GROUP BY 1 HAVING count(*) = 1) SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN p_name ELSE coalesce(n, s) END AS p_name FROM part LEFT JOIN d USING (p_brand, p_type) LEFT JOIN a USING (p_brand)")
 def d18(spark, sf_dir):
     part = table(spark, sf_dir, "part")
     blank = part.select("p_partkey", "p_brand", "p_type", F.when(F.col("p_size") % 2 == 0, F.col("p_name")).otherwise(" ").alias("p_name"))
