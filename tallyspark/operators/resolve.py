@@ -26,15 +26,18 @@ def match_alias(df: DataFrame, text: str, key: list[str], aliases: DataFrame, he
     """The alias a text holds at a separator edge, or within its first `head` letters: (key, alias, officials,
     at, ambiguous). The earliest place wins, then the longest alias; several officials are joined and flagged.
 
-    aliases has (alias, officials) in lower case. The containment join is bounded by the dictionary; each text
-    keeps one hit on the map side.
+    aliases has (alias, officials) in lower case; aliases of up to 190 letters are looked for at the head. The
+    containment join is bounded by the dictionary; each text keeps one hit on the map side.
     """
-    edge = lambda c: F.regexp_replace(c, edges, "\u0001")
-    texts = df.select(*key, F.lower(F.col(text)).alias("_t")).withColumn("_marked", F.concat(F.lit("\u0001"), edge(F.col("_t"))))
-    names = aliases.withColumn("_name", edge(F.col("alias")))
-    hits = texts.join(names, F.contains(F.col("_marked"), F.col("_name")))
-    first, edged = F.expr("locate(alias, _t)"), F.expr("locate(concat('\u0001', _name), _marked)")
-    good = hits.withColumn("at", F.least(F.when(first.between(1, head), first), F.when(edged > 0, edged))).where("at is not null")
+    edge = lambda c: F.concat(F.lit("\u0001"), F.regexp_replace(c, edges, "\u0001"))
+    longest = F.length("alias")
+    texts = df.select(*key, F.lower(F.col(text)).alias("_t")).select(*key, F.substring("_t", 1, 200).alias("_head"), edge(F.col("_t")).alias("_marked"))
+    names = aliases.select("*", edge(F.col("alias")).alias("_name"))
+    start = F.substr("_head", F.lit(1), longest + head - 1)
+    hits = texts.join(names, F.contains(F.col("_marked"), F.col("_name")) | F.contains(start, F.col("alias")))
+    first = F.call_function("locate", F.col("alias"), start)
+    edged = F.call_function("locate", F.col("_name"), F.col("_marked"))
+    good = hits.withColumn("at", F.least(F.nullif(first, F.lit(0)), F.nullif(edged, F.lit(0))))
     best = good.groupBy(*key).agg(F.min(F.struct("at", (-F.length("alias")).alias("n"), "alias", "officials")).alias("_b"))
     return best.select(*key, "_b.alias", F.array_join("_b.officials", "、").alias("officials"), "_b.at", (F.size("_b.officials") > 1).alias("ambiguous"))
 
