@@ -14,7 +14,7 @@ PATTERNS = (
     ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"),
 )
 KINDS = (*(kind for kind, _ in PATTERNS), "context")
-PART = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
+PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
 #: Two words, then a string of 5 to 64 letters, digits and signs with a digit in it.
 CONTEXT = r"(?<!\S)(\S{1,40}[ \t]{1,4}\S{1,40})[ \t]{1,4}[\"'(<\[]?((?=[A-Za-z@._%+/-]*+[0-9])[A-Za-z0-9][A-Za-z0-9@._%+/-]{3,62}[A-Za-z0-9])(?![A-Za-z0-9@_%+/-])"
 #: Rounds of scoring; confidence and known instances that a pattern needs.
