@@ -15,9 +15,13 @@ PATTERNS = (
 )
 KINDS = (*(kind for kind, _ in PATTERNS), "context")
 PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
-#: Two words, then a string of 5 to 64 letters, digits and signs with a digit in it.
-CONTEXT = r"(?<!\S)(\S{1,40}[ \t]{1,4}\S{1,40})[ \t]{1,4}[\"'(<\[]?((?=[A-Za-z@._%+/-]*+[0-9])[A-Za-z0-9][A-Za-z0-9@._%+/-]{3,62}[A-Za-z0-9])(?![A-Za-z0-9@_%+/-])"
-#: Rounds of scoring; confidence and known instances that a pattern needs.
+#: A string of letters, digits and signs with a digit or @ in it, behind opening signs; it ends with a letter or digit.
+VALUE = r"[\"'(<\[{]*+\+?(?=[A-Za-z._%+/-]*+[0-9@])[A-Za-z0-9](?:[A-Za-z0-9@._%+/-]*[A-Za-z0-9])?"
+#: What stands before a value on its line: two words; one word from the line's start; nothing. Only one letter is
+#: consumed, so that contexts overlap.
+LINE = r"(?<![^\n\r\x0B\f])[ \t]*+"
+CONTEXTS = (rf"(?<!\S)(?=(\S++[ \t]++\S++[ \t]++{VALUE}))\S", rf"{LINE}(?=(\S++[ \t]++{VALUE}))\S", rf"{LINE}(?=({VALUE}))\S")
+#: Rounds of scoring between two promotions; confidence and known instances that a pattern needs.
 ROUNDS, CONFIDENCE, SUPPORT = 2, 0.7, 3
 
 
@@ -40,6 +44,29 @@ def found(text: Column, pattern: str) -> Column:
     return F.aggregate(both, none, step, lambda acc: acc["out"])
 
 
+def near(text: Column) -> Column:
+    """Every candidate value with its pattern, as (start, end, value, pattern), end exclusive.
+
+    The pattern is the two words before the value on its line, in small letters and with 0 for each digit; a line
+    break stands for each word that the line lacks.
+    """
+
+    def candidate(lacks: int, at: Column, group: Column) -> Column:
+        words = F.split(group, r"[ \t]+")
+        value = F.regexp_replace(F.element_at(words, -1), r"^[\"'(<\[{]+", "")
+        end = at + F.length(group)
+        before = F.array_join(F.concat(F.array_repeat(F.lit("\n"), lacks), F.slice(words, 1, 2 - lacks)), " ")
+        pattern = F.regexp_replace(F.lower(before), "[0-9]", "0")
+        return F.struct((end - F.length(value)).alias("start"), end.alias("end"), value.alias("value"), F.when(F.length(pattern) > 200, F.md5(pattern)).otherwise(pattern).alias("pattern"))
+
+    def candidates(lacks: int) -> Column:
+        both = F.arrays_zip(found(text, CONTEXTS[lacks]).alias("places"), F.regexp_extract_all(text, F.lit(CONTEXTS[lacks]), F.lit(1)).alias("groups"))
+        return F.transform(both, lambda x: candidate(lacks, x["places"]["end"] - 1, x["groups"]))
+
+    none = F.expr("cast(array() as array<struct<start:int,end:int,value:string,pattern:string>>)")
+    return F.when(text.rlike("[0-9@]"), F.concat(*map(candidates, range(len(CONTEXTS))))).otherwise(none)
+
+
 def digits(value: Column) -> Column:
     return F.regexp_replace(value, "[^0-9]", "")
 
@@ -77,45 +104,65 @@ def described(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["rank"] + 1), s["start"], s["end"])), ",")
 
 
+def scored(graph: DataFrame, facts: DataFrame, rounds: int) -> DataFrame:
+    """Rows (pattern, support, confidence) after some rounds; facts has (value, known)."""
+    facts = facts.withColumn("score", F.col("known").cast("double"))
+    for last in range(rounds):
+        rows = graph.select("pattern", "value").join(facts, "value")
+        found = rows.groupBy("pattern").agg(F.avg("score").alias("mean"), F.sum("known").alias("support"))
+        found = cut(found.select("pattern", "support", (F.col("mean") * F.col("support") / (F.col("support") + 1)).alias("confidence")).where("support > 0"))
+        if last + 1 < rounds:
+            doubt = graph.join(found, "pattern").groupBy("value").agg(F.sum(F.log(1 - F.least("confidence", F.lit(0.999)))).alias("doubt"))
+            facts = facts.select("value", "known").join(doubt, "value", "left")
+            facts = facts.select("value", "known", F.when(F.col("known") == 1, 1.0).otherwise(1 - F.exp(F.coalesce("doubt", F.lit(0.0)))).alias("score"))
+    return found
+
+
 def patterns(edges: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDENCE, support: int = SUPPORT) -> DataFrame:
     """High-confidence patterns (pattern, confidence, support) of a graph of rows (pattern, value, known).
 
     In each round a pattern's confidence is the mean score of its distinct instances, lowered by k / (k + 1) where
     k known instances support it; an unseen instance's score is the chance that at least one of its patterns is
-    right. Known instances score 1. Both sides are sums by key, so a frequent word pair needs no group of its own.
+    right. Known instances score 1. After `rounds` rounds the instances of the good patterns become known, and
+    this repeats until none is new; scores only grow, so no pattern is lost on the way. Both sides are sums by
+    key, so a frequent word pair needs no group of its own.
     """
     graph = cut(edges.groupBy("pattern", "value").agg(F.max(F.col("known").cast("int")).alias("known")))
-    facts = graph.groupBy("value").agg(F.max("known").alias("known")).withColumn("score", F.col("known").cast("double"))
-    for last in range(rounds):
-        scored = graph.select("pattern", "value").join(facts, "value")
-        found = scored.groupBy("pattern").agg(F.avg("score").alias("mean"), F.sum("known").alias("support"))
-        found = cut(found.select("pattern", "support", (F.col("mean") * F.col("support") / (F.col("support") + 1)).alias("confidence")).where("support > 0"))
-        if last + 1 < rounds:
-            doubt = graph.join(found, "pattern").groupBy("value").agg(F.sum(F.log(1 - F.least("confidence", F.lit(0.999)))).alias("doubt"))
-            facts = facts.select("value", "known").join(doubt, "value", "left")
-            facts = facts.select("value", "known", F.when(F.col("known") == 1, 1.0).otherwise(1 - F.exp(F.coalesce("doubt", F.lit(0.0)))).alias("score"))
-    return found.where((F.col("confidence") >= confidence) & (F.col("support") >= support))
+    facts = cut(graph.groupBy("value").agg(F.max("known").alias("known")))
+    while True:
+        good = cut(scored(graph, facts, rounds).where((F.col("confidence") >= confidence) & (F.col("support") >= support)))
+        behind = graph.join(good.select("pattern"), "pattern", "left_semi").select("value").distinct()
+        fresh = cut(facts.where("known = 0").join(behind, "value", "left_semi").select(F.col("value").alias("fresh")))
+        if fresh.isEmpty():
+            return good
+        facts = facts.join(fresh, F.col("value") == F.col("fresh"), "left")
+        facts = cut(facts.select("value", F.when(F.col("fresh").isNotNull(), 1).otherwise(F.col("known")).alias("known")))
 
 
 def detect(docs: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDENCE, support: int = SUPPORT) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans (base and added, kind:start:end).
 
     Base spans are the patterns' matches that pass their checks. Around every string of letters and digits the two
-    words before it are its lexical pattern; strings that overlap a base span are known. Patterns that mostly
-    precede known strings are kept (see patterns()), and the other strings behind them are added with the kind
-    `context`. Null counts as empty: no spans, the digest of nothing. Texts are read whole. Repeated rows get
-    equal rows; other columns are left out; an empty table gives an empty result. Only built-in functions.
+    words before it on its line, or the line's start, are its lexical pattern (see near()); strings that overlap a
+    base span are known, and a base span is one instance, blanks included. Patterns that mostly precede known
+    strings are kept, what stands behind them is known to the next patterns (see patterns()), and all strings
+    behind them are added with the kind `context`. Null counts as empty: no spans, the digest of nothing. Texts
+    are read whole. Repeated rows get equal rows; other columns are left out; an empty table gives an empty
+    result. Only built-in functions.
     """
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", F.xxhash64("text", F.lit(1)).alias("tid"), text.alias("text"))
-    near = F.when(F.col("text").rlike("[0-9]"), found(F.col("text"), CONTEXT)).otherwise(F.expr("cast(array() as array<struct<start:int,end:int,value:string>>)"))
-    slim = cut(rows.select("doc_id", "tid", base_spans(F.col("text")).alias("base"), near.alias("near")))
-    each = slim.where(F.size("near") > 0).select("doc_id", "tid", "base", F.explode("near").alias("x"))
-    value = F.regexp_extract("x.value", CONTEXT, 2)
-    pattern = F.regexp_replace(F.lower(F.regexp_extract("x.value", CONTEXT, 1)), "[0-9]", "0")
-    each = each.select("doc_id", "tid", "base", (F.col("x.end") - F.length(value)).alias("start"), F.col("x.end").alias("end"), value.alias("value"), F.regexp_replace(pattern, r"\s+", " ").alias("pattern"))
-    known = F.exists("base", lambda s: (s["start"] < F.col("end")) & (s["end"] > F.col("start")))
-    each = cut(each.select("doc_id", "tid", "start", "end", "value", "pattern", known.alias("known")))
+    slim = rows.select("doc_id", "tid", "text", base_spans(F.col("text")).alias("base"), near(F.col("text")).alias("near"))
+    inside = lambda x: F.exists("base", lambda s: (s["start"] < x["start"]) & (s["end"] > x["start"]))
+    over = lambda x: F.filter("base", lambda s: (s["start"] < x["end"]) & (s["end"] > x["start"]))
+
+    def instance(x: Column) -> Column:
+        last = F.array_max(F.transform(over(x), lambda s: s["end"]))
+        value = F.when(last > x["end"], F.substr(F.col("text"), x["start"] + 1, last - x["start"])).otherwise(x["value"])
+        return F.struct(x["start"].alias("start"), x["end"].alias("end"), value.alias("value"), x["pattern"].alias("pattern"), last.isNotNull().alias("known"))
+
+    slim = cut(slim.select("doc_id", "tid", "base", F.transform(F.filter("near", lambda x: ~inside(x)), instance).alias("near")))
+    each = slim.where(F.size("near") > 0).select("doc_id", "tid", F.explode("near").alias("x")).select("doc_id", "tid", "x.*")
     good = patterns(each, rounds, confidence, support)
     fresh = each.where("not known").join(good.select("pattern"), "pattern", "left_semi").select("doc_id", "tid", F.struct("start", F.lit(len(PATTERNS)).alias("rank"), "end").alias("s"))
     fresh = fresh.groupBy(F.col("doc_id").alias("a_doc"), F.col("tid").alias("a_tid")).agg(F.collect_set("s").alias("added"))

@@ -303,3 +303,28 @@ def test_pii_bootstraps_contexts(spark):
     assert f"context:{at}:{at + 10}" in out[20].split(",")
     assert out[21] == "" and out[22] == ""
     assert all(s.startswith("email:") and "," not in s for i, s in out.items() if i < 8)
+
+
+def test_pii_contexts_at_line_starts_and_overlaps(spark):
+    texts = ["id acct-99182\nplease write to user1@mail.org or acct-7\n\tx9 (y8) call me +1 (988) 555-2485 now", "w" * 60 + " at  " + "v1" * 50 + ". Anna anna@mail.org", "7", "", "none here"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = df.select("doc_id", F.explode(pii.near(F.col("text"))).alias("x")).select("doc_id", "x.*").collect()
+    assert all(texts[r["doc_id"]][r["start"] : r["end"]] == r["value"] for r in rows)
+    want = [(0, "\n id", "acct-99182"), (0, "write to", "user1@mail.org"), (0, "user0@mail.org or", "acct-7"), (0, "\n \n", "x9"), (0, "\n x0", "y8"), (0, "call me", "+1"), (0, "me +0", "988"), (0, "+0 (000)", "555-2485")]
+    want += [(1, "w" * 60 + " at", "v1" * 50), (1, f"{'v0' * 50}. anna", "anna@mail.org"), (2, "\n \n", "7")]
+    assert sorted((r["doc_id"], r["pattern"], r["value"]) for r in rows) == sorted(want)
+
+
+def test_pii_bootstraps_over_several_hops(spark):
+    texts = [f"please write to user{i}@mail.org today" for i in range(30)]
+    texts += [f"please write to acct-{i} today" for i in range(900, 905)]
+    texts += [f"account no acct-{i} is open" for i in range(900, 905)] + ["account no key-77 is open"]
+    texts += [f"holder\nref acct-{i} is open" for i in range(900, 905)] + ["holder\nref zed-1 is open"]
+    texts += ["ring me +1 (988) 555-2485"] + ["he paid 12345 for it"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r["doc_id"]: r["spans"] for r in pii.detect(df).collect()}
+    for i, text in enumerate(texts):
+        values = re.findall(r"(?:acct|key|zed)-[0-9]+", text)
+        got = [text[int(a) : int(b)] for kind, a, b in (s.split(":") for s in out[i].split(",") if s) if kind == "context"]
+        assert got == values, text
+    assert out[len(texts) - 1] == ""
