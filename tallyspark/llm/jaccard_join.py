@@ -1,4 +1,4 @@
-"""N-gram Jaccard join: a MinHash LSH forest finds candidates, exact set comparison decides."""
+"""N-gram Jaccard join: MinHash bands of one fixed length find candidates, exact set comparison decides."""
 
 from __future__ import annotations
 
@@ -14,7 +14,7 @@ from .common import components, cut, stored
 
 #: Words of a shingle, the least similarity of a link.
 WIDTH, THRESHOLD = 5, 0.8
-#: Tries of the forest, the length of a full path in each, and the share of threshold pairs that must meet.
+#: Bands, the most values of a band, and the share of threshold pairs that must meet.
 TREES, DEPTH, RECALL = 24, 8, 0.9995
 #: Texts of a block: a task compares two blocks of a candidate cluster at a time.
 BLOCK = 1024
@@ -214,9 +214,10 @@ def join(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, tree
     is its own class without links. Texts of fewer words than width are one shingle. Long texts are compared
     whole. Repeated rows get equal rows; other columns are left out; an empty table gives an empty result.
 
-    Equal sets are one text from the start. The forest's prefixes are shortened until pairs at the threshold
-    meet with probability `recall`; nodes tie texts into candidate clusters, and every pair of a cluster is
-    decided exactly, so a pair is lost only if no chain of nodes leads from one text to the other.
+    Equal sets are one text from the start. All bands have the one length at which pairs at the threshold
+    meet with probability `recall`; nodes tie texts into candidate clusters, and the pairs of a cluster are
+    decided exactly, but for those that sizes or signatures (by five standard errors) rule out. So a pair is lost if
+    no chain of nodes leads from one text to the other, or if its signatures are that far off.
     """
     length = prefix_length(threshold, trees, depth, recall)
     base = stored(described(docs, width, trees, depth, length))
