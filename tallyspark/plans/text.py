@@ -88,6 +88,10 @@ def b5(spark, sf_dir):
     return rows.select("doc_id", F.when(found, T.first_address(F.col("text"))).otherwise(T.first_address(F.substring("text", 1, 20))).alias("v"))
 
 
+#: As b5, over all rows and whole texts, <...> and texts without an address included; the tests compare it with Python.
+QUERIES["b5_first_address_whole"] = lambda spark, sf_dir: table(spark, sf_dir, "documents").select("doc_id", T.first_address(F.col("text")).alias("v"))
+
+
 @plans.add("b6_all_addresses", r"""SELECT doc_id, list_sort(list_distinct(regexp_extract_all(lower(text), '[A-Za-z0-9_.+-]+@[A-Za-z0-9_.-]+\.[A-Za-z]{2,}'))) AS v FROM documents WHERE text LIKE '%@%'""")
 def b6(spark, sf_dir):
     return docs(spark, sf_dir).where("text like '%@%'").select("doc_id", T.all_addresses(F.col("text")).alias("v"))

@@ -82,3 +82,19 @@ def test_sql_functions(spark):
     Q.register(spark)
     row = spark.sql("SELECT norm_text('（A b）'), identity_key('A-b'), similarity('kitten', 'sitting'), month_low(DATE'2026-03-31', 1), domain_of('a@B.c')").head()
     assert list(row) == ["(ab)", "ab", 61, datetime.date(2026, 2, 28), "b.c"]
+
+
+def test_first_address_over_whole_texts(spark, tmp_path):
+    import re
+
+    from tallyspark import plans
+
+    texts = ["Anna <Anna@Mail.org> x@y.org", "to a.b@C.org, d@e.fr", "  No Address, but MORE than twenty letters of it here \n", "a < b and c@d.org", "<> x@y.org", "<\n> x@y.org", "", " ", None, "x" * 3000 + " <In Brackets>"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["v"] for r in plans.queries()["b5_first_address_whole"](spark, str(tmp_path)).collect()}
+    for i, text in enumerate(texts):
+        if text is None:
+            assert got[i] is None
+            continue
+        inner, address = re.search(r"<([^<>]+)>", text), re.search(r"[A-Za-z0-9_.+-]+@[A-Za-z0-9_.-]+\.[A-Za-z]{2,}", text)
+        assert got[i] == (inner[1] if inner else address[0] if address else text).strip().lower()
