@@ -1,18 +1,28 @@
-"""The folder that driver and executors share."""
+"""The folder that driver and executors share, and results that are kept there."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder of this application.
+    """The checkpoint folder of this application, in spark.checkpoint.dir.
 
-    It lies in spark.checkpoint.dir; only a session without that setting (tests, notebooks) gets a temporary one.
+    A session on one machine (tests, notebooks) may leave that unset and gets a temporary folder; on a cluster an
+    executor's folder is no place that others can read, so there the setting is needed.
     """
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
     return context._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write df to the shared checkpoint folder and go on from there."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
