@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tallyspark.sources.shared import shared_folder
+from tallyspark.sources.shared import cut, shared_folder
 
 #: Fixed value: what separates words, as a Java and RE2 class body.
 BLANKS = r"\x20\x09-\x0D"
@@ -18,12 +18,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and go on from there."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def stored(df: DataFrame) -> DataFrame:
     """As cut(), but as a compressed table of the same folder: for wide intermediate results.
 
@@ -36,6 +30,11 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def text_id(text: Column) -> Column:
+    """A text's digest for keys of rows whose doc_id repeats; null is not the empty text."""
+    return F.coalesce(F.unhex(F.md5(text)), F.lit(b""))
+
+
 def state(edges: DataFrame) -> tuple[int, int]:
     row = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head()
     return row[0], row[1]

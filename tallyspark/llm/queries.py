@@ -131,17 +131,17 @@ FROM t JOIN g USING (norm)
 """
 
 OP10_SQL = r"""
-WITH d AS (SELECT doc_id, text, coalesce('=' || source, '-') AS site, string_split(text, chr(10)) AS lines FROM documents),
-l AS (SELECT doc_id, site, generate_subscripts(lines, 1) - 1 AS line_no, unnest(lines) AS raw FROM d WHERE text IS NOT NULL),
-c AS (SELECT doc_id, site, line_no, raw, regexp_replace(regexp_replace(raw, '[\x20\x09-\x0D]+', ' ', 'g'), '^ | $', '', 'g') AS line FROM l),
-e AS (SELECT * FROM c WHERE line <> '' AND length(line) - length(replace(line, ' ', '')) >= 2),
-b AS (SELECT line, min((doc_id, line_no)) AS first FROM e GROUP BY line HAVING count(DISTINCT site) >= 5),
-m AS (SELECT c.doc_id, c.line_no, c.raw, b.line IS NOT NULL AND (c.doc_id, c.line_no) <> b.first AS gone
+WITH d AS (SELECT doc_id, text, md5(text) AS tid, coalesce('=' || source, '-') AS site, string_split(text, chr(10)) AS lines FROM documents),
+l AS (SELECT doc_id, tid, site, generate_subscripts(lines, 1) - 1 AS line_no, unnest(lines) AS raw FROM d WHERE text IS NOT NULL),
+c AS (SELECT doc_id, tid, site, line_no, raw, regexp_replace(regexp_replace(raw, '[\x20\x09-\x0D]+', ' ', 'g'), '^ | $', '', 'g') AS line FROM l),
+b AS (SELECT line, min((doc_id, tid, line_no)) AS first FROM c WHERE line <> '' GROUP BY line
+      HAVING count(DISTINCT site) >= CASE WHEN length(line) < 20 THEN 10 ELSE 5 END),
+m AS (SELECT DISTINCT c.doc_id, c.tid, c.line_no, c.raw, b.line IS NOT NULL AND (c.doc_id, c.tid, c.line_no) <> b.first AS gone
       FROM c LEFT JOIN b ON c.line = b.line),
-k AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed,
-             coalesce(string_agg(raw, chr(10) ORDER BY line_no) FILTER (NOT gone), '') AS kept FROM m GROUP BY doc_id)
+k AS (SELECT doc_id, tid, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed,
+             coalesce(string_agg(raw, chr(10) ORDER BY line_no) FILTER (NOT gone), '') AS kept FROM m GROUP BY doc_id, tid)
 SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
-FROM d LEFT JOIN k ON d.doc_id = k.doc_id
+FROM d LEFT JOIN k ON d.doc_id = k.doc_id AND d.tid = k.tid
 """
 
 OP8_SQL = r"""

@@ -39,6 +39,37 @@ def test_exact_keeps_colliding_digests_apart(odd):
     check_exact(odd.collect(), E.exact_dedup(odd, digest=lambda t: F.substring(F.sha2(t, 256), 1, 1)))
 
 
+def brute_lines(docs, min_sites=5):
+    """Rows (doc_id, n_lines, n_removed, text) in the order of docs."""
+    plain = lambda line: norm(line).strip(" ")
+    tid = lambda text: hashlib.md5(text.encode()).hexdigest()
+    sites, first = collections.defaultdict(set), {}
+    for d in docs:
+        for no, line in enumerate(d["text"].split("\n") if d["text"] is not None else []):
+            if plain(line):
+                place = (d["doc_id"] is not None, d["doc_id"] or 0, tid(d["text"]), no)
+                sites[plain(line)].add(d["source"])
+                first[plain(line)] = min(first.get(plain(line), place), place)
+    out = []
+    for d in docs:
+        if d["text"] is None:
+            out.append((d["doc_id"], 0, 0, None))
+            continue
+        lines, kept = d["text"].split("\n"), []
+        for no, line in enumerate(lines):
+            enough = min_sites * (2 if len(plain(line)) < 20 else 1)
+            gone = plain(line) and len(sites[plain(line)]) >= enough and first[plain(line)] != (d["doc_id"] is not None, d["doc_id"] or 0, tid(d["text"]), no)
+            if not gone:
+                kept.append(line)
+        out.append((d["doc_id"], len(lines), len(lines) - len(kept), "\n".join(kept)))
+    return out
+
+
+def check_lines(docs):
+    got = collections.Counter((r["doc_id"], r["n_lines"], r["n_removed"], r["text"]) for r in L.line_dedup(docs).collect())
+    assert got == collections.Counter(brute_lines(docs.collect()))
+
+
 def test_line_dedup(spark, odd, nothing):
     shared = "this is shared everywhere"
     data = [(i, f"{shared}\nown words of {i}\nshort\n {shared} \t", f"s{i}") for i in range(6)] + [(10, "rare but twice here\nx", "a"), (11, "rare but twice here", "b"), (12, None, "c"), (13, "", None)]
@@ -46,17 +77,29 @@ def test_line_dedup(spark, odd, nothing):
     out = {r["doc_id"]: r for r in L.line_dedup(docs, min_sites=5).collect()}
     assert out[0]["text"] == f"{shared}\nown words of 0\nshort"
     assert out[3]["text"] == "own words of 3\nshort" and out[3]["n_removed"] == 2 and out[3]["n_chars"] == len(out[3]["text"])
-    assert out[10]["text"] == data[6][1] and out[12]["text"] is None and out[13]["text"] == "" and out[13]["n_lines"] == 1
-    assert L.line_dedup(odd).count() == odd.count()
+    check_lines(docs)
+    check_lines(odd)
     assert L.line_dedup(nothing).count() == 0
 
 
+def test_lines_of_rows_that_share_a_doc_id(spark):
+    rng = random.Random(21)
+    pool = ["boilerplate that stands on many sites", "Privacy Policy", "", "  ", "中文样板句子没有空格也要判断的一整行文字内容", "a line of its own"]
+    data = []
+    for i in range(300):
+        lines = [rng.choice([*pool, f"precious line {rng.randrange(400)} of some text"]) for _ in range(rng.randint(1, 5))]
+        data.append((rng.choice([None, rng.randrange(40), i]), rng.choice(["\n".join(lines), "\n".join(lines), None]), rng.choice([None, *[f"s{k}" for k in range(12)]])))
+    docs = spark.createDataFrame(data + data[:20], "doc_id long, text string, source string").repartition(6)
+    check_lines(docs)
+    assert any(n and i is None for i, _, n, _ in brute_lines(docs.collect()))
+
+
 def test_line_threshold_is_exact(spark):
-    sites = {"four sites only here": 4, "five sites carry this": 5, "very many carry this": 60}
+    sites = {"four sites only carry this": 4, "five sites do carry this": 5, "very many sites carry this": 60, "Read more": 9, "Terms": 10}
     data = [(n * 100 + i, line, f"site{i}") for n, (line, k) in enumerate(sites.items()) for i in range(k)]
     docs = spark.createDataFrame(data, "doc_id long, text string, source string")
     removed = {r["line"]: r["n"] for r in L.line_dedup(docs, min_sites=5).groupBy((F.col("doc_id") / 100).cast("int").alias("line")).agg(F.sum("n_removed").alias("n")).collect()}
-    assert removed == {0: 0, 1: 4, 2: 59}
+    assert removed == {0: 0, 1: 4, 2: 59, 3: 0, 4: 9}
 
 
 def jaccard(docs, threshold=0.8):
