@@ -79,36 +79,76 @@ def test_url_sql_agrees_on_links(spark):
     assert out.where("blocked_with is not null and verdict = 'block' and rule is null").count() > 0
 
 
-def brute_top(vectors, k):
-    out = {}
-    for q, v in vectors.items():
-        if q % 50 == 0:
-            width = max(len(v), max(map(len, vectors.values())))
-            pad = lambda x: [*x, *[0] * (width - len(x))]
-            scores = sorted((-sum(a * b for a, b in zip(pad(v), pad(w))), i) for i, w in vectors.items() if i != q)[:k]
-            out[q] = [(i, -s) for s, i in scores]
-    return out
-
-
-@pytest.mark.parametrize("shard", [8192, 60])
+def brute_top(vectors, k, asks=lambda i: i % 50 == 0):
+    """Sorted rows (query_id, ((vec_id, score), ...)) for a list of (vec_id, whole numbers)."""
+    width = max(len(v) for _, v in vectors)
+    table = [[*v, *[0] * (width - len(v))] for _, v in vectors]
+    out = []
+    for q, (query, _) in enumerate(vectors):
+        if asks(query):
+            scores = sorted((-sum(a * b for a, b in zip(table[q], table[i])), vec) for i, (vec, _) in enumerate(vectors) if i != q)[:k]
+            out.append((query, tuple((vec, -s) for s, vec in scores)))
+    return sorted(out)
+
+
+def answers(rows, k):
+    """The rows of a result as brute_top() gives them; repeated queries can't be told apart, so they must agree."""
+    found = collections.defaultdict(lambda: collections.defaultdict(list))
+    for r in rows:
+        found[r["query_id"]][r["rank"]].append((r["vec_id"], r["score"]))
+    return {q: {rank: sorted(v) for rank, v in ranks.items()} for q, ranks in found.items()}
+
+
+def expected(brute):
+    found = collections.defaultdict(lambda: collections.defaultdict(list))
+    for q, best in brute:
+        for rank, pair in enumerate(best, 1):
+            found[q][rank].append(pair)
+    return {q: {rank: sorted(v) for rank, v in ranks.items()} for q, ranks in found.items()}
+
+
+@pytest.mark.parametrize("shard", [8192, 60, 7])
 def test_top_k(spark, shard):
     rng = np.random.default_rng(4)
     data = [(int(i), [float(x) for x in rng.normal(size=6)]) for i in range(300)] + [(300, [0.5] * 6), (301, [0.5] * 6), (302, [0.5] * 6)]
+    data += [(i, [1.5] * 6) for i in range(400, 430)] + [(450, []), (451, [2.0])] + [(7, [5.0, 5.0]), (50, [0.25] * 6), (50, data[50][1]), data[0]]
     bad = [(1000, None), (1050, [float("nan")] * 6), (1100, [None, 1.0]), (1150, [float("inf")] * 6), (None, [1.0] * 6)]
-    df = spark.createDataFrame([(*d, 1, 2) for d in data + bad + [data[0]]], "vec_id long, embedding array<float>, shard int, query int")
-    whole = {i: [int(np.floor(256 * float(np.float32(x)))) for x in v] for i, v in data}
-    got = collections.defaultdict(list)
-    for r in kd_search.top_k(df, F.col("vec_id") % 50 == 0, shard=shard, sent=3).orderBy("query_id", "rank").collect():
-        got[r["query_id"]].append((r["vec_id"], r["score"]))
-    assert got == brute_top(whole, 5)
+    df = spark.createDataFrame([(*d, 1, 2) for d in data + bad], "vec_id long, embedding array<float>, shard int, query int").repartition(5)
+    whole = [(i, [int(np.floor(256 * float(np.float32(x)))) for x in v]) for i, v in data]
+    got = kd_search.top_k(df, F.col("vec_id") % 50 == 0, shard=shard, sent=3).collect()
+    assert answers(got, 5) == expected(brute_top(whole, 5))
     assert kd_search.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_top_k_visits_only_cells_in_reach(spark):
+    rng = np.random.default_rng(5)
+    centre = rng.normal(size=(16, 4)) * 20
+    data = [(i, [float(x) for x in centre[i % 16] + rng.normal(size=4)]) for i in range(800)]
+    low, high, numbers = [], [], []
+    table = np.floor(256 * np.array([v for _, v in data]))
+    nodes = kd_search.top_splits(table, 16)
+    cell = kd_search.cells_of(table, nodes)
+    assert len(set(cell)) == 16 and max(collections.Counter(cell.tolist()).values()) <= 60
+    for c in sorted(set(cell)):
+        numbers.append(c)
+        low.append(table[cell == c].min(axis=0))
+        high.append(table[cell == c].max(axis=0))
+    scores = table @ table.T
+    floors = np.sort(np.where(cell[:, None] == cell[None, :], scores, -np.inf), axis=1)[:, -6]
+    seen = kd_search.reach(table, np.array(low), np.array(high)) >= floors[:, None]
+    assert seen.mean() < 0.7
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    got = kd_search.top_k(df, F.col("vec_id") % 50 == 0, shard=50, sent=4).collect()
+    assert answers(got, 5) == expected(brute_top([(i, [int(x) for x in row]) for i, row in enumerate(table)], 5))
+
+
 def test_top_k_large_numbers(spark):
     df = spark.createDataFrame([(0, [3e7, 1.0]), (1, [3e7, 2.0]), (2, [3e7, 3.0]), (3, [])], "vec_id long, embedding array<double>")
     got = [(r["vec_id"], r["score"]) for r in kd_search.top_k(df, F.col("vec_id") == 0, k=3).orderBy("rank").collect()]
     big = (256 * 30_000_000) ** 2
-    assert got == [(2, min(big + 3 * 256 * 256, 2**63 - 1)), (1, min(big + 2 * 256 * 256, 2**63 - 1)), (3, 0)] or [i for i, _ in got] == [1, 2, 3]
+    exact = [(2, big + 3 * 256 * 256), (1, big + 2 * 256 * 256), (3, 0)]
+    most = 2**63 - 1
+    assert got == sorted(((i, min(s, most)) for i, s in exact), key=lambda x: (-x[1], x[0]))
 
 
 @pytest.fixture(scope="module")
