@@ -155,25 +155,58 @@ def similar(spark):
     return spark.createDataFrame(data, "doc_id long, text string")
 
 
-@pytest.mark.parametrize("block", [1024, 7])
-def test_jaccard(similar, block):
+@pytest.mark.parametrize("block, size", [(1024, 1 << 24), (7, 1 << 24), (1024, 20_000)])
+def test_jaccard(similar, block, size):
     want = brute_join(similar.collect())
-    got = {r["doc_id"]: (r["text_class"], r["class_id"], r["n_links"]) for r in J.join(similar, block=block).collect()}
+    got = {r["doc_id"]: (r["text_class"], r["class_id"], r["n_links"]) for r in J.join(similar, block=block, size=size).collect()}
     assert got == {i: v for (i, _), v in want.items()}
 
 
+def test_jaccard_recall_at_the_threshold(spark, capsys):
+    """Pairs of texts whose similarity is 0.80 to 0.83 and that resemble no other text."""
+    rng = random.Random(17)
+    data = []
+    for i in range(600):
+        words = [f"w{i}_{rng.randrange(10**6)}" for _ in range(104)]
+        other = list(words)
+        for at in rng.sample([20, 60], 2):
+            other[at] = "changed"
+        data += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(8)
+    assert all(0.8 <= len(a & b) / len(a | b) < 0.83 for a, b in zip(*[iter(jaccard(docs.orderBy("doc_id").collect()).values())] * 2))
+    found = J.join(docs).where("n_links = 1 and class_id = doc_id - doc_id % 2").count() / len(data)
+    with capsys.disabled():
+        print(f"recall of links at the threshold: {found:.4f}")
+    assert found >= 0.995
+
+
+def test_jaccard_of_a_chain_of_boilerplate(spark):
+    """Texts that share half of their words with the next one hang together by candidates, but hold no link."""
+    parts = [" ".join(f"p{i}w{k}" for k in range(40)) for i in range(301)]
+    docs = spark.createDataFrame([(i, f"{parts[i]} {parts[i + 1]}") for i in range(300)] + [(900, f"{parts[0]} {parts[1]} end")], "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in J.join(docs, block=16).collect()}
+    assert rows[900]["class_id"] == 0 and rows[0]["n_links"] == 1
+    assert all(r["class_id"] == i and r["n_links"] == 0 for i, r in rows.items() if i not in (0, 900))
+
+
 def test_jaccard_matrix_path(similar):
     known = J.Digests()
     texts = [r["text"] for r in similar.where("doc_id < 240").collect()]
     sets = [J.shingles(t, known) for t in texts]
-    a, b = J.seeds(192)
-    sigs = np.array([J.signature(s, a, b).astype("<u4") for s in sets])
     everyone = np.arange(len(sets))
-    whole = J._links(sets, sigs, everyone, everyone, 0.8)
+    whole = J._links(sets, np.ones((len(sets), len(sets)), bool), everyone, everyone, 0.8)
     exact = np.array([[i != j and len(np.intersect1d(x, y)) >= 0.8 * len(np.union1d(x, y)) for j, y in enumerate(sets)] for i, x in enumerate(sets)])
     assert (whole == exact).all() and whole.sum() > 2000
 
 
+def test_a_pair_meets_once():
+    rng = np.random.default_rng(3)
+    a, b = rng.integers(0, 3, (9, 5)), rng.integers(0, 3, (7, 5))
+    each = sum(J._shared(a, b, t).astype(int) for t in range(5))
+    assert (each == J._shared(a, b, -1)).all()
+    assert (J._shared(a, b, -1) == (a[:, None] == b[None]).any(axis=2)).all()
+
+
 def test_jaccard_odd(odd, nothing):
     assert J.join(odd).count() == odd.count()
     assert J.join(nothing).count() == 0
@@ -183,10 +216,34 @@ def test_jaccard_odd(odd, nothing):
     assert J.keep_one(nothing).count() == 0
 
 
-def test_prefixes_shorten():
-    lengths = [J.prefix_length(0.8, recall=r) for r in (0.5, 0.99, 0.9995, 0.99999)]
-    assert lengths == sorted(lengths, reverse=True)
-    assert 1 - (1 - 0.8 ** lengths[2]) ** J.TREES >= 0.9995
+def test_keep_one_when_doc_ids_repeat(spark):
+    one, other = "a b c d e f g h i j", "k l m n o p q r s t"
+    data = [(1, one, "x"), (5, one, "x"), (5, other, "x"), (5, other, "y"), (5, other.replace(" ", "  "), "x"), (None, other, "z"), (None, "quite another text of more words", "z"), (3, None, "x"), (3, None, "x"), (3, "", "x"), (3, " \u3000 ", "x")]
+    docs = spark.createDataFrame(data, "doc_id long, text string, row string")
+    rows = J.keep_one(docs).collect()
+    kept = collections.Counter(" ".join(sorted((r["text"] or "").split())) for r in rows)
+    assert kept == {one: 1, other: 1, " ".join(sorted("quite another text of more words".split())): 1, "": 4}
+    assert {(r["doc_id"], r["text"]) for r in rows if r["text"] in (one, other)} == {(1, one), (None, other)}
+
+
+def test_prefixes_shorten(spark):
+    depths = [J.shallowest(0.8, recall=r) for r in (0.5, 0.99, 0.9995, 0.99999)]
+    assert depths == sorted(depths, reverse=True)
+    assert J.met(0.8, depths[2]) >= 0.9995
+
+    def depth_of(changes):
+        rng = random.Random(changes)
+        data = []
+        for i in range(200):
+            words = [f"w{i}_{rng.randrange(10**6)}" for _ in range(104)]
+            data.append((2 * i, " ".join(words)))
+            for at in ([50], [20, 60])[changes - 1]:
+                words[at] = "changed"
+            data.append((2 * i + 1, " ".join(words)))
+        docs = spark.createDataFrame(data, "doc_id long, text string")
+        return J.candidates(J.described(docs, 5, J.TREES, J.DEPTH), J.TREES, J.DEPTH, 0.8, 0.9999)[2]
+
+    assert J.shallowest(0.8, recall=0.9999) <= depth_of(2) < depth_of(1)
 
 
 def brute_repeats(texts, length):
