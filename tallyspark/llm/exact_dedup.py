@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import BLANKS
+from .common import BLANKS, cut
+
+#: The most repeated texts' digests that are sent to every task instead of shuffling all texts by them.
+SENT = 500_000
 
 
 def normalised(text: Column) -> Column:
@@ -36,6 +39,18 @@ def mark(norm: Column) -> Column:
     return F.struct(F.xxhash64(norm).alias("x"), F.crc32(norm).alias("c"), F.length(norm).alias("n"))
 
 
+def repeated(docs: DataFrame, slim: DataFrame, sent: int = SENT) -> DataFrame:
+    """The rows of docs whose normalised text's digest occurs twice or more, in slim, which has (doc_id, tid, digest).
+
+    They are found by tid, the digest of the raw text, which needs no normalising; a row more, of equal tid, does no
+    harm. Up to `sent` tids of 8 bytes are broadcast, so that other texts stay where they are; more are joined.
+    """
+    twice = slim.groupBy("digest").count().where("count > 1").select("digest")
+    tids = cut(slim.join(twice, "digest", "left_semi").select("tid").distinct())
+    few = tids.limit(sent + 1).count() <= sent
+    return docs.withColumn("tid", F.xxhash64("text")).join(F.broadcast(tids) if few else tids, "tid", "left_semi")
+
+
 def exact_dedup(docs: DataFrame, salts: int = 16, digest=lambda text: F.sha2(text, 256)) -> DataFrame:
     """Which row of each group of equal texts stays: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -43,8 +58,13 @@ def exact_dedup(docs: DataFrame, salts: int = 16, digest=lambda text: F.sha2(tex
     The smallest doc_id stays (null before all others only if the group has no other). Every row of docs has its
     row, repeated rows too: of two rows with the doc_id that stays, both say kept. Long texts are compared whole.
     Other columns are left out. An empty table gives an empty result. Only built-in functions are used.
+
+    Digests are counted first: a text whose digest occurs once equals no other, so only the rest go through the three
+    steps of exact_groups(), which compare whole contents.
     """
-    texts = docs.select("doc_id", normalised(F.col("text")).alias("norm"))
-    rows = texts.select("doc_id", digest(F.col("norm")).alias("digest"), mark(F.col("norm")).alias("mark"), F.sha2("norm", 256).alias("text_sha256"))
-    out = rows.join(exact_groups(docs, salts, digest), ["digest", "mark"])
-    return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    texts = docs.select("doc_id", F.xxhash64("text").alias("tid"), normalised(F.col("text")).alias("norm"))
+    slim = cut(texts.select("doc_id", "tid", digest(F.col("norm")).alias("digest"), mark(F.col("norm")).alias("mark"), F.sha2("norm", 256).alias("text_sha256")))
+    groups = exact_groups(repeated(docs.select("doc_id", "text"), slim), salts, digest)
+    out = slim.join(groups, ["digest", "mark"], "left")
+    keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
+    return out.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256")
