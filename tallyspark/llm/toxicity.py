@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -13,8 +12,8 @@ from pyspark.sql import DataFrame, functions as F
 
 #: The chain: each category's name and the label column and value that mean it. Later models see earlier ones.
 CATEGORIES = (("low_quality", "quality", 0), ("toxic", "toxic", 1))
-#: Bounds of the fit: labelled rows, words with a weight, and the least documents and z-score of such a word.
-MAX_ROWS, MAX_WORDS, MIN_DOCS, MIN_Z = 8_000, 2_000, 3, 4.0
+#: Defaults of fit(): the most labelled rows, and the least documents and z-score of a word with a weight.
+MAX_ROWS, MIN_DOCS, MIN_Z = 8_000, 3, 4.0
 FOLDS, STEM = 4, 4
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -62,28 +61,52 @@ def _logistic(at: np.ndarray, of: np.ndarray, n: int, width: int, extra: np.ndar
     return theta
 
 
-def _telling(sets: list[list[str]], labels: np.ndarray) -> list[str]:
-    """Words whose share of a category's documents differs from their share of all by MIN_Z standard errors."""
-    n, seen = len(sets), Counter(w for s in sets for w in s)
-    best: dict[str, float] = {}
-    for c in range(labels.shape[1]):
-        inside = Counter(w for s, y in zip(sets, labels[:, c]) if y for w in s)
-        share = labels[:, c].mean()
-        for word, k in seen.items():
-            if k >= MIN_DOCS and 0 < share < 1:
-                z = abs(inside[word] - k * share) / np.sqrt(k * share * (1 - share) * max(1 - k / n, 1e-9))
-                if z >= MIN_Z:
-                    best[word] = max(best.get(word, 0), z)
-    return sorted(sorted(best, key=lambda w: (-best[w], w))[:MAX_WORDS])
+def _telling(at: np.ndarray, of: np.ndarray, n: int, width: int, y: np.ndarray, min_docs: int, min_z: float) -> np.ndarray:
+    """Which words' share of the category's rows differs from their share of all by min_z standard errors."""
+    seen, inside = np.bincount(at, minlength=width), np.bincount(at, y[of], minlength=width)
+    share = y.mean() if n else 0.0
+    if not 0 < share < 1:
+        return np.zeros(width, bool)
+    z = np.abs(inside - seen * share) / np.sqrt(np.maximum(seen * share * (1 - share) * (1 - seen / n), 1e-9))
+    return (seen >= min_docs) & (z >= min_z)
 
 
-def fit(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, max_rows: int = MAX_ROWS) -> Chain:
+def _model(at: np.ndarray, of: np.ndarray, n: int, width: int, extra: np.ndarray, y: np.ndarray, min_docs: int, min_z: float) -> np.ndarray:
+    """One link of the chain: the words are chosen from these rows alone; the others' weights are 0."""
+    good = np.flatnonzero(_telling(at, of, n, width, y, min_docs, min_z))
+    place = np.full(width, -1)
+    place[good] = np.arange(len(good))
+    kept = place[at] >= 0
+    theta = _logistic(place[at[kept]], of[kept], n, len(good), extra, y)
+    out = np.zeros(width + extra.shape[1] + 1)
+    out[good], out[width:] = theta[: len(good)], theta[len(good) :]
+    return out
+
+
+def _logits(theta: np.ndarray, at: np.ndarray, of: np.ndarray, n: int, width: int, extra: np.ndarray) -> np.ndarray:
+    return np.bincount(of, theta[at], minlength=n) + extra @ theta[width:-1] + theta[-1]
+
+
+def _out_of_fold(at: np.ndarray, of: np.ndarray, n: int, width: int, extra: np.ndarray, y: np.ndarray, min_docs: int, min_z: float, folds: int) -> np.ndarray:
+    """Each row's logit from a model, words included, that is fitted without the rows of its fold."""
+    fold, out = np.arange(n) % folds, np.zeros(n)
+    for f in range(folds):
+        inside = fold != f
+        kept, place = inside[of], np.cumsum(inside) - 1
+        theta = _model(at[kept], place[of[kept]], int(inside.sum()), width, extra[inside], y[inside], min_docs, min_z)
+        out[~inside] = _logits(theta, at, of, n, width, extra)[~inside]
+    return out
+
+
+def fit(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, max_rows: int = MAX_ROWS, folds: int = FOLDS, min_docs: int = MIN_DOCS, min_z: float = MIN_Z) -> Chain:
     """Fit the chain on at most max_rows labelled documents, chosen by the digest of doc_id.
 
     The sample's ids and labels are bounded by max_rows, so they may be broadcast; the documents' word sets come
     to the driver. Each model but the first gets the earlier categories' logits from models that did not see the
-    row: out-of-fold predictions over FOLDS folds. Rows without one of the labels, null ids or null texts take no
-    part. Without any labelled row each category's probability is one half at every document.
+    row, neither for their weights nor for their choice of words: out-of-fold predictions over `folds` folds. A word
+    has a weight if min_docs rows hold it and its share differs by min_z standard errors. Rows without one of the
+    labels, null ids or null texts take no part. Without any labelled row each category's probability is one half at
+    every document.
     """
     needed = [column for _, column, _ in categories]
     wanted = [(F.col(column) == value).cast("int").alias(f"y{i}") for i, (_, column, value) in enumerate(categories)]
@@ -99,33 +122,27 @@ def fit(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, max_rows: int
 
     kind = "doc_id long, words array<string>, " + ", ".join(f"y{i} int" for i in range(len(categories)))
     got = rows.select(F.col("doc_id").cast("long"), "text", *[f"y{i}" for i in range(len(categories))]).mapInArrow(run, kind).toArrow().sort_by("doc_id")
-    sets = got["words"].to_pylist()
-    y = np.array([got[f"y{i}"].to_numpy() for i in range(len(categories))], dtype=float).T.reshape(len(sets), len(categories))
+    y = np.array([got[f"y{i}"].to_numpy() for i in range(len(categories))], dtype=float).T.reshape(got.num_rows, len(categories))
     names = [name for name, _, _ in categories]
-    if not sets:
+    n = got.num_rows
+    if not n:
         return Chain(names, {}, np.zeros((len(names), 0)), np.zeros(len(names)), [np.zeros(c) for c in range(len(names))])
-    index = {w: i for i, w in enumerate(_telling(sets, y))}
-    hits = [[index[w] for w in s if w in index] for s in sets]
-    at, of = np.array([i for h in hits for i in h], dtype=int), np.repeat(np.arange(len(hits)), [len(h) for h in hits])
-    n, width = len(sets), len(index)
-    fold = np.arange(n) % FOLDS
-    logits = np.zeros((n, 0))
-    weights, bias, links = [], [], []
+    column = got["words"].combine_chunks()
+    coded = column.flatten().dictionary_encode()
+    at, of = coded.indices.to_numpy(), np.repeat(np.arange(n), np.diff(column.offsets.to_numpy()))
+    width, logits = len(coded.dictionary), np.zeros((n, 0))
+    thetas = []
     for c in range(len(names)):
-        theta = _logistic(at, of, n, width, np.clip(logits, -8, 8), y[:, c])
-        weights.append(theta[:width])
-        links.append(theta[width:-1])
-        bias.append(theta[-1])
-        out = np.zeros(n)
-        for f in range(FOLDS if c + 1 < len(names) else 0):
-            inside = np.flatnonzero(fold != f)
-            keep = fold[of] != f
-            place = np.cumsum(fold != f) - 1
-            part = _logistic(at[keep], place[of[keep]], len(inside), width, np.clip(logits[inside], -8, 8), y[inside, c])
-            z = np.bincount(of, part[at], minlength=n) + np.clip(logits, -8, 8) @ part[width:-1] + part[-1]
-            out[fold == f] = z[fold == f]
-        logits = np.column_stack([logits, out])
-    return Chain(names, index, np.array(weights), np.array(bias), links)
+        extra = np.clip(logits, -8, 8)
+        thetas.append(_model(at, of, n, width, extra, y[:, c], min_docs, min_z))
+        if c + 1 < len(names):
+            logits = np.column_stack([logits, _out_of_fold(at, of, n, width, extra, y[:, c], min_docs, min_z, folds)])
+    used = np.flatnonzero(np.any([theta[:width] != 0 for theta in thetas], axis=0))
+    spelt = coded.dictionary.take(pa.array(used)).to_pylist()
+    order = np.argsort(np.array(spelt, dtype=object))
+    index = {spelt[i]: place for place, i in enumerate(order)}
+    weights = np.array([theta[:width][used][order] for theta in thetas])
+    return Chain(names, index, weights, np.array([theta[-1] for theta in thetas]), [theta[width:-1] for theta in thetas])
 
 
 def score(docs: DataFrame, chain: Chain, threshold: float = 0.5) -> DataFrame:
