@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from tallyspark.operators.numbering import numbered, running
+
 from .common import BLANKS, cut
 
 #: The weights that sources take in turn, and the share of all words that the mix holds.
@@ -23,19 +25,19 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float
     Sources in code point order, null last, take the weights in turn and share `share` of all words by weight;
     none gets over `most` times its size, and what is over goes to the others by weight. That end state has one
     level: each target is min(most x size, level x weight). With sources ordered by the level at which they fill
-    up, the level follows from two running sums. The windows without a key see one row for each source.
+    up, the level follows from two running sums. Both orders are cut into ranges, so sources may be many.
     """
-    numbered = sizes.withColumn("number", F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1)
+    ordered = numbered(sizes, [F.col("source").asc_nulls_last()], "number").withColumn("number", F.col("number") - 1)
     weight = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.col("number") % len(weights) + 1).cast("int"))
-    caps = numbered.withColumn("weight", weight).withColumn("cap", F.lit(most) * F.col("source_size"))
-    order, whole = W.orderBy(F.col("cap") / F.col("weight"), "number"), W.partitionBy()
-    before = order.rowsBetween(W.unboundedPreceding, -1)
-    left = F.lit(share) * F.sum("source_size").over(whole) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))
-    level = left / (F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
-    levels = caps.withColumn("level", F.when(level <= F.col("cap") / F.col("weight"), level))
-    found = levels.withColumn("rank", F.when(F.col("level").isNotNull(), F.row_number().over(order)))
-    found = found.withColumn("first", F.min(F.when(F.col("rank").isNotNull(), F.struct("rank", "level"))).over(whole))
-    return found.select("source", "number", "source_size", F.least("cap", F.coalesce(F.col("first.level"), F.lit(0.0)) * F.col("weight")).alias("target"))
+    caps = cut(ordered.withColumn("weight", weight).withColumn("cap", F.lit(most) * F.col("source_size")))
+    words, weighed = caps.agg(F.sum("source_size"), F.sum("weight")).head()
+    if not words:
+        return caps.select("source", "number", "source_size", F.lit(0.0).alias("target"))
+    filled = running(caps, [F.col("cap") / F.col("weight"), F.col("number")], {"cap_before": F.col("cap"), "weight_before": F.col("weight")})
+    level = (F.lit(share * words) - F.col("cap_before")) / (F.lit(weighed) - F.col("weight_before"))
+    first = filled.where(level <= F.col("cap") / F.col("weight")).agg(F.min(F.struct((F.col("cap") / F.col("weight")).alias("at"), "number", level.alias("level"))).alias("f")).head()
+    found = first["f"]["level"] if first["f"] else 0.0
+    return caps.select("source", "number", "source_size", F.least("cap", F.lit(found) * F.col("weight")).alias("target"))
 
 
 def mix(docs: DataFrame, quality: DataFrame | None = None, seed: int = 7, buckets: int = BUCKETS, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
