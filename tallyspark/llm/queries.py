@@ -66,12 +66,11 @@ QUERIES = {
     for f in (op1_url_filters, op2_kd_search, op3_jaccard_join, op4_suffix_dedup, op5_bpe, op6_exact_dedup, op7_toxicity, op8_mixing, op9_pii, op10_line_dedup)
 }
 
-#: Host, path and the key of one page's spellings, of a column that holds an address.
+#: Host, path and key of a column that holds an address.
 PARTS_SQL = r"""CASE WHEN contains({u}, '://') THEN substr({u}, instr({u}, '://') + 3) END"""
 HOST_SQL = f"coalesce(translate(regexp_extract({PARTS_SQL}, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '')"
 PATH_SQL = f"coalesce(regexp_extract({PARTS_SQL}, '^[^/?#]*([^?#]*)', 1), '')"
-KEPT_SQL = r"""list_sort(list_filter(string_split(regexp_extract({u}, '^[^?#]*\?([^#]*)', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(?:utm_[a-z]+|ref|fbclid|gclid)=')))"""
-KEY_SQL = rf"""CASE WHEN {HOST_SQL} <> '' THEN regexp_replace({HOST_SQL}, '^(?:www|m)\.', '') || regexp_replace({PATH_SQL}, '/+$', '') || CASE WHEN len({KEPT_SQL}) > 0 THEN '?' || array_to_string({KEPT_SQL}, '&') ELSE '' END END"""
+KEY_SQL = rf"""CASE WHEN {HOST_SQL} <> '' THEN {HOST_SQL} || regexp_replace({PATH_SQL}, '/+$', '') || coalesce(regexp_extract({{u}}, '^[^?#]*(\?[^#]*)', 1), '') END"""
 SQL_RULES = "VALUES " + ", ".join(f"('{h}', '{p}', '{a}')" for h, p, a in RULES)
 
 OP1_SQL = rf"""
@@ -93,12 +92,12 @@ p AS (SELECT url, {HOST_SQL.format(u="url")} AS host, {PATH_SQL.format(u="url")}
 f AS (SELECT url, r_host || r_path AS rule, action, row_number() OVER (PARTITION BY url ORDER BY len(r_host || r_path) DESC, action) AS place
   FROM p JOIN rules ON (host = r_host OR ends_with(host, '.' || r_host)) AND starts_with(path, r_path) WHERE host <> ''),
 b AS (SELECT url, rule, action FROM f WHERE place = 1),
-s AS (SELECT coalesce(root, k) AS root, bool_or(action = 'block') AND NOT bool_or(action = 'allow') AS blocked
-  FROM (SELECT {KEY_SQL.format(u="url")} AS k, action FROM b) LEFT JOIN roots ON node = k WHERE k IS NOT NULL GROUP BY 1),
+s AS (SELECT root, bool_or(action = 'block') AND NOT bool_or(action = 'allow') AS blocked
+  FROM (SELECT {KEY_SQL.format(u="url")} AS k, action FROM b) JOIN roots ON node = k GROUP BY 1),
 x AS (SELECT page_id, url, {KEY_SQL.format(u="url")} AS k FROM pages)
 SELECT page_id, {HOST_SQL.format(u="x.url")} AS host, {PATH_SQL.format(u="x.url")} AS path, rule,
   coalesce(action, CASE WHEN s.root IS NOT NULL THEN 'block' END, 'allow') AS verdict, s.root AS blocked_with
-FROM x LEFT JOIN b ON b.url = x.url LEFT JOIN roots ON node = k LEFT JOIN s ON s.blocked AND s.root = coalesce(roots.root, k)
+FROM x LEFT JOIN b ON b.url = x.url LEFT JOIN roots ON node = k LEFT JOIN s ON s.blocked AND s.root = roots.root
 """
 
 OP2_SQL = """

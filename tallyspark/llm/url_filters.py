@@ -24,16 +24,18 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(behind_scheme(url), r"^[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def alias_key(url: Column) -> Column:
-    """One key for the spellings of an address: no scheme, www. or m., fragment, tracking parameter or last slash.
+def address_key(url: Column, loose: bool = False) -> Column:
+    """What names an address in a link: host, path without slashes at the end, query; no scheme and no fragment.
 
-    Null for an address without a host.
+    With loose=True also no www. or m., no tracking parameters and sorted parameters. Null without a host.
     """
-    query = F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1)
-    kept = F.filter(F.split(query, "&"), lambda x: (x != "") & ~x.rlike(r"^(?:utm_[a-z]+|ref|fbclid|gclid)="))
-    host = F.regexp_replace(host_of(url), r"^(?:www|m)\.", "")
-    path = F.regexp_replace(path_of(url), r"/+$", "")
-    return F.when(host != "", F.concat(host, path, F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(F.array_sort(kept), "&"))).otherwise("")))
+    query = F.regexp_extract(url, r"^[^?#]*(\?[^#]*)", 1)
+    host, path = host_of(url), F.regexp_replace(path_of(url), r"/+$", "")
+    if loose:
+        kept = F.filter(F.split(F.substr(query, F.lit(2)), "&"), lambda x: (x != "") & ~x.rlike(r"^(?:utm_[a-z]+|ref|fbclid|gclid)="))
+        query = F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(F.array_sort(kept), "&"))).otherwise("")
+        host = F.regexp_replace(host, r"^(?:www|m)\.", "")
+    return F.when(host != "", F.concat(host, path, query))
 
 
 def resolved(link: Column, url: Column) -> Column:
@@ -74,24 +76,25 @@ def matched(nodes: DataFrame, rules: DataFrame) -> DataFrame:
     return best.select("url", "b.rule", F.col("b.action").alias("verdict"))
 
 
-def judge(pages: DataFrame, rules: DataFrame) -> DataFrame:
+def judge(pages: DataFrame, rules: DataFrame, loose: bool = False) -> DataFrame:
     """Decide for every page whether to keep it: page_id, host, path, rule, verdict, component.
 
     A page's own rule decides. A page without one takes part in its equivalence class: the connected component,
     over redirect and canonical-link edges, of addresses that name the same page. If a rule blocks any member,
-    listed page or bare link target, and none is explicitly allowed, the class is blocked. All else is allowed.
+    listed page or bare link target, and none is explicitly allowed, the class is blocked. All else is allowed: a page
+    without an edge to another address inherits nothing. Link ends are matched by address_key(), `loose` as there.
     A null url has an empty host and path, no rule and the verdict allow. Rows of pages are kept as they are,
     repeated ones too; other columns are left out. Empty tables give empty results.
     """
-    edges = alias_edges(pages).where(alias_key(F.col("target")).isNotNull())
-    links = edges.select(alias_key(F.col("url")).alias("u"), alias_key(F.col("target")).alias("v"))
+    key = lambda name: address_key(F.col(name), loose)
+    edges = alias_edges(pages).where(key("target").isNotNull())
+    roots = components(edges.select(key("url").alias("u"), key("target").alias("v")))
     nodes = pages.select("url").union(edges.select(F.col("target").alias("url"))).where("url is not null")
     ruled = matched(nodes, rules)
-    roots = components(links)
-    stand = ruled.select(alias_key(F.col("url")).alias("node"), "verdict").where("node is not null").groupBy("node").agg(F.bool_or(F.col("verdict") == "block").alias("b"), F.bool_or(F.col("verdict") == "allow").alias("a"))
-    spread = stand.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.bool_or("b").alias("b"), F.bool_or("a").alias("a")).where("b and not a").select("root")
-    blocked = spread.withColumn("node", F.col("root")).unionByName(spread.join(roots, "root").select("root", "node")).groupBy("node").agg(F.min("root").alias("blocked"))
-    rows = pages.select("page_id", "url", alias_key(F.col("url")).alias("node"))
+    stand = ruled.select(key("url").alias("node"), "verdict").where("node is not null").groupBy("node").agg(F.bool_or(F.col("verdict") == "block").alias("b"), F.bool_or(F.col("verdict") == "allow").alias("a"))
+    spread = stand.join(roots, "node").groupBy("root").agg(F.bool_or("b").alias("b"), F.bool_or("a").alias("a")).where("b and not a").select("root")
+    blocked = spread.join(roots, "root").select(F.col("root").alias("blocked"), "node")
+    rows = pages.select("page_id", "url", key("url").alias("node"))
     out = rows.join(ruled, "url", "left").join(blocked, "node", "left")
     verdict = F.coalesce("verdict", F.when(F.col("blocked").isNotNull(), "block"), F.lit("allow"))
     return out.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "rule", verdict.alias("verdict"), F.col("blocked").alias("blocked_with"))
