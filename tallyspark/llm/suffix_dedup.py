@@ -219,11 +219,17 @@ def _marks(keyed: DataFrame, length: int, gram: int, bucket: int, found: DataFra
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            out: list[tuple] = []
             for h, c, n, left, context in zip(*(column.to_pylist() for column in batch.columns)):
-                starts = range(len(context) - length + 1)
-                whole = [hashlib.md5(context[s : s + length]).digest() for s in starts]
-                k = len(whole)
-                yield pa.RecordBatch.from_arrays([pa.array([h] * k, pa.int64()), pa.array([c] * k, pa.int64()), pa.array([n] * k, pa.int64()), pa.array([s - left for s in starts], pa.int32()), pa.array(whole, pa.binary())], ["h", "c", "n", "low", "w"])
+                out += [(h, c, n, s - left, hashlib.md5(context[s : s + length]).digest()) for s in range(len(context) - length + 1)]
+                if len(out) >= ROWS:
+                    yield seen(out)
+                    out = []
+            yield seen(out)
+
+    def seen(out: list[tuple]) -> pa.RecordBatch:
+        kinds = {"h": pa.int64(), "c": pa.int64(), "n": pa.int64(), "low": pa.int32(), "w": pa.binary()}
+        return pa.RecordBatch.from_arrays([pa.array([row[i] for row in out], kind) for i, kind in enumerate(kinds.values())], list(kinds))
 
     pieces = there.mapInArrow(cut_out, "h long, c long, n long, big boolean, left int, context binary")
     if contexts.where(F.col("kinds") > bucket).isEmpty():
@@ -246,11 +252,11 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bucket
     Other columns are left out; an empty table gives an empty result.
 
     Anchors cut the suffixes into buckets: equal windows share an anchor, so a bucket of equal anchor strings
-    holds all windows that can be equal to one of its own. An anchor string that occurs once ends there; one whose
-    occurrences all have the same context is one repeated interval. In the other buckets, equal contexts are one row
-    with a count. The different ones are split into shards, each has its
-    Burrows-Wheeler transform over contexts aligned at the anchor, and the shards' transforms are merged by
-    interleave refinement. Buckets of more than `bucket` contexts are too much for a task and are settled, as
+    holds all windows that can be equal to one of its own. Counting digests settles two cases without a merge: an
+    anchor string that occurs once has no repeat, and one whose occurrences all have the same context is one repeated
+    interval; most repeats of whole copies end there. In the other buckets, equal contexts are one row with a count.
+    The different ones are split into shards, each has its Burrows-Wheeler transform over contexts aligned at the
+    anchor, and the shards' transforms are merged by interleave refinement. Buckets of more than `bucket` contexts are too much for a task and are settled, as
     exactly, by grouping whole windows.
     """
     reach = length - gram

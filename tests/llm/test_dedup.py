@@ -276,6 +276,20 @@ def test_suffix_dedup(spark, seed, bucket):
     assert [tuple(r)[1:] for r in out] == want
 
 
+def test_suffix_dedup_at_the_defaults(spark):
+    """Real lengths, a text of more than one block, and copies with small edits around shared passages."""
+    rng = random.Random(41)
+    word = lambda: "".join(rng.choices("abcdefgh é", k=rng.randint(2, 9)))
+    passage = [" ".join(word() for _ in range(80)) for _ in range(6)]
+    texts = [" ".join(rng.choice([word(), rng.choice(passage)[rng.randrange(40) :]]) for _ in range(rng.randint(1, 12))) for _ in range(60)]
+    huge = "".join(rng.choices("abcdefghij", k=(1 << 20) + 5000))
+    texts += [huge[:700] + "Z" * 10 + huge, "x" * 199, "y" * 200, "y" * 200 + "z", None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    out = sorted(S.suffix_dedup(docs).collect())
+    assert [tuple(r)[1:] for r in out] == brute_repeats([(t or "").encode() for t in texts], 200)
+    assert out[60]["n_removed"] == 1400
+
+
 def test_suffix_odd(odd, nothing):
     out = S.suffix_dedup(odd, texts=True).collect()
     assert len(out) == odd.count()

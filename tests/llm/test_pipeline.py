@@ -1,4 +1,6 @@
 import collections
+import hashlib
+import math
 
 import corpus_pipeline as P
 import pytest
@@ -7,6 +9,9 @@ from pyspark.sql import functions as F
 from tallyspark.llm import toxicity
 from tallyspark.llm.queries import tokenizer
 
+from .test_dedup import brute_lines, jaccard
+from .test_rest import fill
+
 
 @pytest.fixture(scope="module")
 def corpus(spark, tmp_path_factory):
@@ -57,6 +62,61 @@ def test_stages_one_by_one(spark, corpus):
     assert P.run(spark, corpus).count() > 0
 
 
+def plain_clean(spark, docs, where):
+    chain = toxicity.fit(spark.createDataFrame(docs, KIND), spark.read.parquet(f"{where}/labels.parquet"))
+    bad = lambda t: chain.probabilities([chain.index[w] for w in sorted(chain.index.keys() & toxicity.words(t or ""))])[-1]
+    return [d for d in docs if bad(d["text"]) < 0.5]
+
+
+def plain_lines(docs):
+    rows = brute_lines(docs)
+    return [{**d, "text": r[3], "n_chars": None if r[3] is None else len(r[3])} for d, r in zip(docs, rows)]
+
+
+def plain_groups(docs):
+    sets, classes = jaccard(docs), []
+    for d in docs:
+        mine = sets[d["doc_id"], d["text"]]
+        near = [c for c in classes if mine is not None and any(s is not None and len(mine & s) >= 0.8 * len(mine | s) for s, _ in c)]
+        classes = [c for c in classes if c not in near] + [[(mine, d), *[x for c in near for x in c]]]
+    return [min((d for _, d in c), key=lambda d: d["doc_id"]) for c in classes]
+
+
+def plain_mix(docs, quality):
+    size = {d["doc_id"]: len((d["text"] or "").split()) for d in docs}
+    sizes = collections.Counter()
+    for d in docs:
+        sizes[d["source"]] += size[d["doc_id"]]
+    out = collections.Counter()
+    for source, target in fill(sizes).items():
+        epochs, inside = (int(target // sizes[source]) if sizes[source] else 0), 0
+        rest = target - epochs * sizes[source]
+        unit = lambda i: (int(hashlib.md5(f"7:{i}".encode()).hexdigest()[:12], 16) + 0.5) / 16**12
+        mine = [d["doc_id"] for d in docs if d["source"] == source]
+        for i in sorted(mine, key=lambda i: (-math.log(unit(i)) / (0.25 + quality.get(i, 0.5)), i)):
+            out[i] = epochs + (size[i] > 0 and inside + size[i] / 2 <= rest)
+            inside += size[i]
+    return [d for d in docs for _ in range(out[d["doc_id"]])]
+
+
+KIND = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_pipeline_against_plain_python(spark, corpus):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(tokenizer())
+    docs = [r.asDict() for r in spark.read.parquet(f"{corpus}/documents.parquet").collect()]
+    quality = {r["doc_id"]: float(r["quality"]) for r in spark.read.parquet(f"{corpus}/labels.parquet").collect()}
+    rows = plain_mix(plain_groups(plain_lines(plain_clean(spark, docs, corpus))), quality)
+    sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
+    want = collections.Counter()
+    for d in rows:
+        ids = library.encode(d["text"] or "", add_special_tokens=False).ids
+        want[d["doc_id"], len(ids), sha(",".join(map(str, ids))), sha(d["text"] or "")] += 1
+    assert collections.Counter(map(tuple, P.run(spark, corpus).collect())) == want
+
+
 def test_pipeline_of_nothing(spark, corpus, tmp_path):
     for name in ("documents", "labels"):
         spark.read.parquet(f"{corpus}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")

@@ -56,6 +56,52 @@ def test_url_filters(spark):
     assert url_filters.judge(df.limit(0), rules).count() == 0
 
 
+def test_blocks_spread_over_edges_only(spark):
+    rng = random.Random(31)
+    hosts = ["x.example.org", "y.example.net", "www.y.example.net", "z.example.com"]
+    urls = sorted({f"http{rng.choice(['', 's'])}://{rng.choice(hosts)}{rng.choice(['/es/', '/de/', '/fr/', '/p', '/q', '/q'])}{rng.choice(['', rng.randrange(90)])}{rng.choice(['', '', '/', '?ref=1', '?ref=2', '#f'])}" for _ in range(500)})
+    html = ['<link rel=canonical href="{}">', '<meta http-equiv="refresh" content="0;url={}">', "canonical {}"]
+    pages = [(i, u, rng.choice(html).format(rng.choice(urls)) if rng.random() < 0.5 else None) for i, u in enumerate(urls)]
+
+    def key(u):
+        host, _, rest = u.split("://")[1].split("#")[0].partition("/")
+        path, mark, query = rest.partition("?")
+        return host + ("/" + path).rstrip("/") + mark + query
+
+    def rule(u):
+        host, _, path = u.split("://")[1].split("?")[0].split("#")[0].partition("/")
+        fits = [(len(h + p), a == "allow", a) for h, p, a in RULES if ("." + host).endswith("." + h) and ("/" + path).startswith(p)]
+        return max(fits)[2] if fits else None
+
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for _, u, h in pages:
+        if h and not h.startswith("canonical"):
+            target = re.search(r"https?://[^\">]+", h)[0]
+            root[find(key(u))] = find(key(target))
+    groups, linked = collections.defaultdict(set), collections.Counter(find(x) for x in list(root))
+    for u in urls:
+        if rule(u) and key(u) in root and linked[find(key(u))] > 1:
+            groups[find(key(u))].add(rule(u))
+    want = {i: rule(u) or ("block" if key(u) in root and groups[find(key(u))] == {"block"} else "allow") for i, u, _ in pages}
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(5)
+    got = {r["page_id"]: r["verdict"] for r in url_filters.judge(df, spark.createDataFrame(RULES, "host string, path string, action string")).collect()}
+    assert got == want
+    assert sum(v == "block" and rule(urls[i]) is None for i, v in got.items()) > 5
+
+
+def test_loose_address_keys(spark):
+    urls = [("http://www.a.b/x/?utm_s=1&c=2&b=1#f", "a.b/x?b=1&c=2", "www.a.b/x?utm_s=1&c=2&b=1"), ("https://M.a.b", "a.b", "m.a.b"), ("x", None, None), (None, None, None)]
+    df = spark.createDataFrame(urls, "u string, loose string, plain string")
+    u = F.col("u")
+    assert df.where(~url_filters.address_key(u, True).eqNullSafe(F.col("loose")) | ~url_filters.address_key(u).eqNullSafe(F.col("plain"))).count() == 0
+
+
 def test_url_sql_agrees_on_links(spark):
     import duckdb
     import pandas as pd
@@ -228,6 +274,71 @@ def test_toxicity_on_held_out(labelled):
     assert np.allclose(chain.weights, again.weights)
 
 
+def plain_model(sets, extra, y, min_docs, min_z, steps=200):
+    """A link of the chain by plain loops: (weight of each word, weights of the extras, constant)."""
+    n, share = len(sets), sum(y) / len(sets)
+    seen, inside = collections.Counter(w for s in sets for w in s), collections.Counter(w for s, v in zip(sets, y) if v for w in s)
+    error = lambda k: max(k * share * (1 - share) * (1 - k / n), 1e-9) ** 0.5
+    good = sorted(w for w, k in seen.items() if k >= min_docs and 0 < share < 1 and abs(inside[w] - k * share) / error(k) >= min_z)
+    rows = [{**{w: 1.0 for w in good if w in s}, **{("extra", i): x for i, x in enumerate(e)}, "one": 1.0} for s, e in zip(sets, extra)]
+    names = [*good, *[("extra", i) for i in range(len(extra[0]))], "one"]
+    theta, m, v = dict.fromkeys(names, 0.0), dict.fromkeys(names, 0.0), dict.fromkeys(names, 0.0)
+    theta["one"] = np.log((sum(y) + 1) / (n - sum(y) + 1))
+    for step in range(1, steps + 1):
+        slope = {name: 0.5 * theta[name] if name != "one" else 0.0 for name in names}
+        for row, label in zip(rows, y):
+            off = 1 / (1 + np.exp(-sum(theta[k] * x for k, x in row.items()))) - label
+            for k, x in row.items():
+                slope[k] += off * x
+        for k in names:
+            g = slope[k] / n
+            m[k], v[k] = 0.9 * m[k] + 0.1 * g, 0.99 * v[k] + 0.01 * g * g
+            theta[k] -= 0.1 * (m[k] / (1 - 0.9**step)) / ((v[k] / (1 - 0.99**step)) ** 0.5 + 1e-8)
+    return theta
+
+
+def plain_logit(theta, words, extra):
+    return theta["one"] + sum(theta.get(w, 0.0) for w in words) + sum(theta["extra", i] * x for i, x in enumerate(extra))
+
+
+def test_toxicity_agrees_with_plain_loops(spark, labelled):
+    docs, labels = labelled
+    docs, labels = docs.where("doc_id < 120"), labels.where("doc_id < 120")
+    chain = toxicity.fit(docs, labels, min_z=2.0)
+    known = {r["doc_id"]: (int(r["quality"] == 0), r["toxic"]) for r in labels.where("toxic is not null and doc_id is not null").collect()}
+    ids = sorted(known)
+    text = {r["doc_id"]: r["text"] for r in docs.collect()}
+    sets = [toxicity.words(text[i]) for i in ids]
+    none = [()] * len(ids)
+    first = plain_model(sets, none, [known[i][0] for i in ids], 3, 2.0)
+    clip = lambda z: min(max(z, -8), 8)
+    seen = [()] * len(ids)
+    for f in range(toxicity.FOLDS):
+        inside = [p for p in range(len(ids)) if p % toxicity.FOLDS != f]
+        part = plain_model([sets[p] for p in inside], [()] * len(inside), [known[ids[p]][0] for p in inside], 3, 2.0)
+        for p in range(f, len(ids), toxicity.FOLDS):
+            seen[p] = (clip(plain_logit(part, sets[p], ())),)
+    second = plain_model(sets, seen, [known[i][1] for i in ids], 3, 2.0)
+    for r in toxicity.score(docs, chain).collect():
+        low = plain_logit(first, toxicity.words(text[r["doc_id"]]), ())
+        bad = plain_logit(second, toxicity.words(text[r["doc_id"]]), (clip(low),))
+        assert abs(r["p_low_quality"] - 1 / (1 + np.exp(-low))) < 1e-6 and abs(r["p_toxic"] - 1 / (1 + np.exp(-bad))) < 1e-6
+        assert r["toxic"] == (bad >= 0)
+
+
+def test_out_of_fold_rows_shape_nothing():
+    rng = np.random.default_rng(2)
+    n, width = 60, 30
+    at, of = rng.integers(0, width, 400), np.sort(rng.integers(0, n, 400))
+    y = (rng.random(n) < 0.4).astype(float)
+    before = toxicity._out_of_fold(at, of, n, width, np.zeros((n, 0)), y, 1, 1.0, 4)
+    for fold in range(4):
+        other = y.copy()
+        other[fold::4] = 1 - other[fold::4]
+        after = toxicity._out_of_fold(at, of, n, width, np.zeros((n, 0)), other, 1, 1.0, 4)
+        assert np.allclose(before[fold::4], after[fold::4]) and not np.allclose(before, after)
+
+
 def test_toxicity_odd(odd, nothing, labelled):
     docs, labels = labelled
     chain = toxicity.fit(docs, labels)
