@@ -1,9 +1,16 @@
-"""SQL names for the text functions (SURVEY K): temporary functions of a session, and one table function."""
+"""SQL names for the text functions (SURVEY K): temporary functions of a session."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .text import BLANK, NARROW, WIDE
+
+
+def quoted(text: str) -> str:
+    """A SQL string of the text; every letter that a literal could read otherwise is written by its number."""
+    return "'" + "".join(c if c.isalnum() and c.isascii() else f"\\u{ord(c):04x}" for c in text) + "'"
+
 
 def register(spark: SparkSession) -> list[str]:
     """Creates norm_text, identity_key, blank_to_null, domain_of, month_low, month_high and similarity for SQL.
@@ -16,8 +23,8 @@ def register(spark: SparkSession) -> list[str]:
     )
     bodies = {
         "norm_text(t STRING) RETURNS STRING": "lower(regexp_replace(translate(t, '（），。', '(),.'), '[\\\\s\\\\x{3000}\\\\x{00A0}]+', ''))",
-        "identity_key(t STRING) RETURNS STRING": "regexp_replace(lower(t), '(?U)[\\\\W_]+', '')",
-        "blank_to_null(t STRING) RETURNS STRING": "nullif(trim(t), '')",
+        "identity_key(t STRING) RETURNS STRING": f"regexp_replace(lower(translate(t, {quoted(WIDE)}, {quoted(NARROW)})), '(?U)[\\\\W_]+', '')",
+        "blank_to_null(t STRING) RETURNS STRING": f"nullif(trim(BOTH {quoted(BLANK)} FROM t), '')",
         "domain_of(t STRING) RETURNS STRING": "CASE WHEN contains(t, '@') THEN lower(substring_index(t, '@', -1)) END",
         "month_low(d DATE, n INT) RETURNS DATE": "add_months(d, -greatest(n, 0))",
         "month_high(d DATE, n INT) RETURNS DATE": "add_months(d, greatest(n, 0))",

@@ -37,6 +37,102 @@ def upsert(snapshot: DataFrame, batch: DataFrame, key: str, stamp: Column) -> Da
     return both.select(row.alias("_row"), F.coalesce("first_seen", stamp).alias("first_seen"), F.when(fresh, stamp).otherwise(F.col("updated_at")).alias("updated_at"), change.alias("change")).select("_row.*", "first_seen", "updated_at", "change")
 
 
+def batch_log(changes: DataFrame, dataset: str, batch: str, source: str, stamp: Column) -> DataFrame:
+    """The one row that logs a batch: dataset, batch, source, n_inserted, n_updated, logged_at; kept rows are none."""
+    n = lambda kind: F.count_if(F.col("change") == kind).alias(f"n_{kind}")
+    return changes.agg(n("inserted"), n("updated")).select(F.lit(dataset).alias("dataset"), F.lit(batch).alias("batch"), F.lit(source).alias("source"), "n_inserted", "n_updated", stamp.alias("logged_at"))
+
+
+def log_operation(log: DataFrame, actions: DataFrame, stamp: Column) -> DataFrame:
+    """I4: the log with the actions of people and of the system appended, each under the day it counts for.
+
+    The log has (day, action, record_id, mail_id, reason, result, at), result as JSON. actions has action and any of the
+    others; a day or time that is absent or null is the stamp's, blanks stand for other absent values.
+    """
+    at = F.coalesce(F.col("at"), stamp) if "at" in actions.columns else stamp
+    day = F.coalesce(F.col("day"), at.cast("date")) if "day" in actions.columns else at.cast("date")
+    text = lambda c: (F.coalesce(F.col(c), F.lit("")) if c in actions.columns else F.lit("")).alias(c)
+    rows = actions.select(day.alias("day"), *map(text, ("action", "record_id", "mail_id", "reason", "result")), at.alias("at"))
+    return log.unionByName(rows)
+
+
+def operations(log: DataFrame, day: Column | None = None) -> DataFrame:
+    """I4: the log's rows of one day, or of all, newest first; a log that is partitioned by day is read there alone."""
+    rows = log.where(F.col("day") == day) if day is not None else log
+    return rows.orderBy(F.col("day").desc(), F.col("at").desc(), "action", "record_id", "mail_id")
+
+
+#: The answers of a manual check and what they say about the match.
+OUTCOMES = {"yes": "found by hand", "no": "missing by hand", "review": "open by hand"}
+IDENTITY = ("sender", "sent", "subject", "company", "project")
+
+
+def record_manual_outcome(overlay: DataFrame, answers: DataFrame, stamp: Column) -> tuple[DataFrame, DataFrame]:
+    """(the overlay's next version, events): answers of a manual check go to the overlay of overlay_newest(), never
+    to the automatic result, so the next reading of both lets the newer one win.
+
+    answers has IDENTITY, found (yes, no or review), match_status, note, record_id and seq. An answer without its whole
+    identity or with another word stops the query before anything is written. The last answer by seq of an identity counts
+    and replaces the overlay's row of that identity; first_seen stays. events has one row for each answer with a
+    record_id: record_id, seq, at, action `manual_outcome`, reason (the note, else the match status).
+    """
+    whole = reduce(lambda a, b: a & b, [blank_to_null(F.col(c).cast("string")).isNotNull() for c in IDENTITY])
+    known = F.coalesce(F.col("found").isin(*OUTCOMES), F.lit(False))
+    stop = F.when(~known, F.raise_error(F.lit("an outcome is yes, no or review"))).when(~whole, F.raise_error(F.lit("sender, sent, subject, company and project are needed")))
+    checked = answers.where(stop.otherwise(F.lit(True)))
+    status = F.coalesce(blank_to_null(F.col("match_status")), F.create_map(*[F.lit(x) for pair in OUTCOMES.items() for x in pair])[F.col("found")])
+    rows = checked.withColumns({"match_status": status, "checked_at": stamp, "detail_key": short_hash(F.concat_ws("|", *[F.col(c).cast("string") for c in IDENTITY]))})
+    kept = [*IDENTITY, "found", "match_status", "note", "checked_at", "detail_key"]
+    last = rows.groupBy("detail_key").agg(F.max_by(F.struct(*kept), "seq").alias("_r")).select("_r.*")
+    events = rows.where(blank_to_null(F.col("record_id")).isNotNull()).select("record_id", "seq", F.col("checked_at").alias("at"), F.lit("manual_outcome").alias("action"), F.coalesce(blank_to_null(F.col("note")), F.col("match_status")).alias("reason"))
+    return upsert(overlay, last, "detail_key", stamp), events
+
+
+def enqueue_retry(queue: DataFrame, requests: DataFrame, key: list[str], at: str) -> DataFrame:
+    """The queue with one pending entry for each detail identity: the newest request replaces older ones.
+
+    requests has the key's columns and at; a request with a blank part of its key stops the query. Of requests of one
+    time the one with the greatest values counts. queue has the requests' columns and status; entries of other keys stay.
+    """
+    whole = reduce(lambda a, b: a & b, [blank_to_null(F.col(c).cast("string")).isNotNull() for c in key])
+    checked = requests.where(F.when(~whole, F.raise_error(F.lit("a retry needs its whole identity"))).otherwise(F.lit(True)))
+    rows = queue.unionByName(checked.withColumn("status", F.lit("pending")))
+    cols = rows.columns
+    return rows.groupBy(*[F.col(c).alias(f"_k_{c}") for c in key]).agg(F.max_by(F.struct(*cols), F.struct(at, *[c for c in cols if c != at])).alias("_r")).select("_r.*")
+
+
+def save_item_draft(items: DataFrame, drafts: DataFrame, owner: str, item: str, classes: dict[str, str]) -> DataFrame:
+    """The items with drafts put in: same owner and item id replace brand, category and class, new ids are added.
+
+    Items have owner, item, brand, category, category_class, class_name, status and confirmed. A class outside `classes`
+    becomes blank and the status unmatched; a draft never confirms: an item keeps its confirmation only if it is as before.
+    No event is written and no status of the detail changes. Drafts repeat an item at most once.
+    """
+    kind = F.when(F.col("category_class").isin(*classes), F.col("category_class")).otherwise("")
+    text = lambda c: F.coalesce(F.trim(F.col(c)), F.lit(""))
+    fresh = drafts.select(F.col(owner).alias("_o"), F.col(item).alias("_i"), text("brand").alias("_b"), text("category").alias("_c"), kind.alias("_k"))
+    both = items.join(fresh, (F.col(owner) == F.col("_o")) & (F.col(item) == F.col("_i")), "full")
+    there = F.col("_o").isNotNull()
+    same = F.col("brand").eqNullSafe(F.col("_b")) & F.col("category").eqNullSafe(F.col("_c")) & F.col("category_class").eqNullSafe(F.col("_k"))
+    names = F.create_map(*[F.lit(x) for pair in classes.items() for x in pair])
+    put = {
+        owner: F.coalesce(F.col(owner), F.col("_o")), item: F.coalesce(F.col(item), F.col("_i")),
+        "brand": F.when(there, F.col("_b")).otherwise(F.col("brand")), "category": F.when(there, F.col("_c")).otherwise(F.col("category")),
+        "category_class": F.when(there, F.col("_k")).otherwise(F.col("category_class")), "class_name": F.when(there, F.coalesce(F.try_element_at(names, F.col("_k")), F.lit(""))).otherwise(F.col("class_name")),
+        "status": F.when(there, F.when(F.col("_k") != "", "matched").otherwise("unmatched")).otherwise(F.col("status")), "confirmed": F.when(there, F.coalesce(same & F.col("confirmed"), F.lit(False))).otherwise(F.col("confirmed")),
+    }
+    return both.select(*[put[c].alias(c) for c in items.columns if c in put])
+
+
+def delete_item(items: DataFrame, deleted: DataFrame, owner: str, item: str, stamp: Column) -> tuple[DataFrame, DataFrame]:
+    """(items without the deleted ones, events): each item that was there and is deleted leaves an event with its
+    owner, item id, action `delete_item`, brand and category as reason, and time. Unknown ids change nothing."""
+    gone = deleted.select(owner, item).distinct()
+    there = items.join(gone, [owner, item], "left_semi")
+    events = there.select(owner, item, F.lit("delete_item").alias("action"), F.concat_ws(" / ", "brand", "category").alias("reason"), stamp.alias("at"))
+    return items.join(gone, [owner, item], "left_anti"), events
+
+
 def replace_range(snapshot: DataFrame, batch: DataFrame, day: str, low: Column, high: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(next version, archived rows, refreshed days). All rows of the days low to high go to the archive and the
     batch takes their place; a batch row outside the range stops the query before anything is written. Every day of
@@ -147,10 +243,25 @@ def add_detail(details: DataFrame, added: DataFrame, key: list[str], projects: D
     return out.withColumn("outcome", F.when(F.col("_there"), "rejected").when(F.col("_known").isNull(), "warned").otherwise("added")).drop("_there", "_known")
 
 
-def fresh_lookup(results: DataFrame, now: Column, at: str, days: int, version: str, current: int, found: str) -> DataFrame:
-    """Results younger than `days`; empty results of an older matcher version are invalid."""
+def fresh_lookup(results: DataFrame, now: Column, at: str, days: int, version: str, current: int, found: str, key: list[str] | None = None, n_orders: str | None = None) -> DataFrame:
+    """Results younger than `days`; empty results of an older matcher version are invalid.
+
+    With key and n_orders, collapsed rows go too: where a lookup says that it found several orders and only one row of it
+    was kept, the detail of which order is lost, so it has to be asked again.
+    """
     young = F.datediff(now.cast("date"), F.col(at).cast("date")) < days
-    return results.where(young & ~((F.col(version) < current) & (F.col(found) == 0)))
+    good = results.where(young & ~((F.col(version) < current) & (F.col(found) == 0)))
+    if key is None or n_orders is None:
+        return good
+    lost = good.groupBy(*key).agg(F.max(n_orders).alias("_n"), F.count("*").alias("_rows")).where("_n > 1 and _rows < _n").select(*key)
+    return good.join(lost, key, "left_anti")
+
+
+def history_events(history: DataFrame, batch: DataFrame, mail: str, signature: str, at: str) -> DataFrame:
+    """I16: the event table itself: the events of both tables, once for each mail and signature; the earlier row stays."""
+    both = history.unionByName(batch.select(*history.columns))
+    cols = both.columns
+    return both.groupBy(F.col(mail).alias("_m"), F.col(signature).alias("_s")).agg(F.min_by(F.struct(*cols), F.struct(at, *[c for c in cols if c != at])).alias("_r")).select("_r.*")
 
 
 def sync_history(history: DataFrame, batch: DataFrame, mail: str, signature: str, at: str) -> DataFrame:
@@ -197,17 +308,21 @@ def backfill(details: DataFrame, results: DataFrame, key: list[str], fields: lis
     return out.select(*[F.coalesce(f"_{c}", c).alias(c) if c in fields else F.col(c) for c in details.columns])
 
 
-def alias_dedupe(active: DataFrame, filtered: DataFrame, aliases: list[str], seq: str) -> DataFrame:
+def alias_dedupe(active: DataFrame, filtered: DataFrame, aliases: list[str], seq: str, scope: str | None = None, project: str | None = None) -> DataFrame:
     """Filtered rows no alias of which is in the active list, nor in an earlier filtered row.
 
     Each row has several alias keys; blank ones match nothing. It keeps a row iff no earlier row shares an alias,
-    which differs from a running search only in chains of aliases.
+    which differs from a running search only in chains of aliases. With scope and project, a row whose scope is `project`
+    concerns only that project of its mail: it is compared with rows of the same project alone, by alias and project
+    together, and never with whole mails, active ones included.
     """
-    keys = F.array_compact(F.array(*[F.when(blank_to_null(F.col(a)).isNotNull(), F.concat(F.lit(a + "="), F.col(a))) for a in aliases]))
-    taken = active.select(F.explode(keys).alias("_alias")).distinct()
-    each = filtered.select(F.col(seq).alias("_seq"), F.explode(keys).alias("_alias"))
-    first = F.min("_seq").over(W.partitionBy("_alias"))
-    again = each.withColumn("_first", first).where("_first < _seq").select("_seq")
+    narrow = (F.coalesce(F.col(scope), F.lit("")) == "project") if scope else F.lit(False)
+    tail = F.when(narrow, F.concat(F.lit("|project="), F.coalesce(F.col(project), F.lit("")))).otherwise("") if project else F.lit("")
+    keys = lambda end: F.array_compact(F.array(*[F.when(blank_to_null(F.col(a)).isNotNull(), F.concat(F.lit(a + "="), F.col(a), end)) for a in aliases]))
+    taken = active.select(F.explode(keys(F.lit(""))).alias("_alias")).distinct()
+    each = filtered.select(F.col(seq).alias("_seq"), F.explode(keys(tail)).alias("_alias"))
+    first = each.groupBy("_alias").agg(F.min("_seq").alias("_first"))
+    again = each.join(first, "_alias").where("_first < _seq").select("_seq")
     there = each.join(taken, "_alias", "left_semi").select("_seq")
     return filtered.join(again.union(there).distinct(), filtered[seq] == F.col("_seq"), "left_anti")
 

@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from tallyspark.functions.similarity import text_match
 from tallyspark.functions.text import month_window
 
+from .numbering import numbered
+
 
 def interval_join(work: DataFrame, ledger: DataFrame, on: list[str], anchor: str, date: str, months: int, side: str = "in") -> DataFrame:
     """Ledger rows of the same key around each work row's date, with window_class in / out / unknown and days.
@@ -25,25 +27,22 @@ def interval_join(work: DataFrame, ledger: DataFrame, on: list[str], anchor: str
 def candidate_counts(work: DataFrame, ledger: DataFrame, on: list[str], anchor: str, date: str, months: int) -> DataFrame:
     """Counts n_in, n_out, n_unknown for every work row, and the nearest in-window date with its distance and ties.
 
-    The work list has one row a key. Both sides meet on the key once; counting happens in that partitioning.
+    Work rows may repeat a key, and a key and anchor: each has its row. Both sides are counted by key and day first,
+    so a key with many rows joins as many days as it has, not as many rows; no group is collected.
     """
     low, high = month_window(F.col(anchor), months)
-    entry = ledger.select(*on, F.col(date).alias("_date"), F.lit(True).alias("_there"))
-    rows = work.select(*on, anchor).join(entry, on, "left")
-    day = F.col("_date").cast("date")
-    inside = F.col("_there") & day.between(low, high)
-    unknown = F.col("_there") & (F.col("_date").isNull() | F.col(anchor).isNull())
-    gap = F.when(inside, F.abs(F.datediff(day, F.col(anchor).cast("date"))))
-    rows = rows.withColumn("_gap", gap).withColumn("_in", F.coalesce(inside, F.lit(False))).withColumn("_unknown", F.coalesce(unknown, F.lit(False)))
-    out = rows.groupBy(*on, anchor).agg(
-        F.count_if("_in").alias("n_in"),
-        F.count_if(F.col("_there") & ~F.col("_in") & ~F.col("_unknown")).alias("n_out"),
-        F.count_if("_unknown").alias("n_unknown"),
-        F.min(F.when(F.col("_in"), F.struct("_gap", day.alias("day")))).alias("_near"),
-        F.collect_list("_gap").alias("_gaps"),
-    )
-    ties = F.size(F.filter("_gaps", lambda g: g == F.col("_near._gap")))
-    return out.select(*on, anchor, "n_in", "n_out", "n_unknown", F.col("_near.day").alias("nearest_date"), F.col("_near._gap").alias("nearest_days"), F.when(F.col("_near").isNotNull(), ties > 1).alias("nearest_tie"))
+    entries = ledger.select(*on, F.col(date).cast("date").alias("_day"), F.col(date).isNotNull().alias("_dated")).groupBy(*on, "_day", "_dated").agg(F.count("*").alias("_n"))
+    rows = work.groupBy(*on, anchor).agg(F.count("*").alias("_copies")).join(entries, on, "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
+    unknown = ~F.col("_dated") | F.col(anchor).isNull()
+    kind = F.when(F.col("_dated").isNull(), "none").when(unknown, "unknown").when(F.coalesce(F.col("_day").between(low, high), F.lit(False)), "in").otherwise("out")
+    gap = F.abs(F.datediff("_day", F.col(anchor).cast("date")))
+    rows = rows.withColumn("_kind", kind).withColumn("_gap", F.when(F.col("_kind") == "in", gap))
+    near = rows.groupBy(*on, anchor, "_kind", "_gap").agg(F.sum("_n").alias("_n"), F.min("_day").alias("_day"), F.max("_copies").alias("_copies"))
+    count = lambda name: F.coalesce(F.sum(F.when(F.col("_kind") == name, F.col("_n"))), F.lit(0)).alias(f"n_{name}")
+    best = F.min(F.when(F.col("_kind") == "in", F.struct("_gap", "_day", "_n"))).alias("_near")
+    out = near.groupBy(*on, anchor).agg(count("in"), count("out"), count("unknown"), best, F.max("_copies").alias("_copies"))
+    out = out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
+    return out.select(*on, anchor, "n_in", "n_out", "n_unknown", F.col("_near._day").alias("nearest_date"), F.col("_near._gap").alias("nearest_days"), (F.col("_near._n") > 1).alias("nearest_tie"))
 
 
 def cardinality_status(n: Column) -> Column:
@@ -67,13 +66,18 @@ def reconcile(work: DataFrame, ledger: DataFrame, on: list[str], anchor: str, da
 def nearest_candidate(work: DataFrame, ledger: DataFrame, on: list[str], anchor: str, date: str, ties: list[str]) -> DataFrame:
     """for each work row the ledger row whose date is nearest, with days and whether others are as near.
 
-    Rows without a date take no part; equal distances are ordered by the date and then by `ties`.
+    Work rows may repeat a key. Rows without a date take no part; equal distances are ordered by the date and then by
+    `ties`. The answer depends on key and anchor alone, so it is found once for each pair of them: the ledger's days of
+    a key are counted with the first row of each, and the nearest day is a minimum, not a sort.
     """
-    pairs = work.join(ledger, on).where(F.col(anchor).isNotNull() & F.col(date).isNotNull())
-    pairs = pairs.withColumn("days", F.abs(F.datediff(F.col(date).cast("date"), F.col(anchor).cast("date"))))
-    near = W.partitionBy(*on).orderBy("days", date, *ties)
-    same = W.partitionBy(*on, "days")
-    return pairs.withColumn("tie", F.count("*").over(same) > 1).withColumn("place", F.row_number().over(near)).where("place = 1").drop("place")
+    first = F.min(F.struct(*[c for c in (date, *ties)], F.struct(*[c for c in ledger.columns if c not in on]).alias("_row"))).alias("_first")
+    entries = ledger.where(F.col(date).isNotNull()).withColumn("_day", F.col(date).cast("date")).groupBy(*on, "_day").agg(first, F.count("*").alias("_n"))
+    asked = work.where(F.col(anchor).isNotNull()).select(*on, F.col(anchor).alias("_anchor")).distinct()
+    pairs = asked.join(entries, on).withColumn("days", F.abs(F.datediff("_day", F.col("_anchor").cast("date"))))
+    near = pairs.groupBy(*on, "_anchor", "days").agg(F.sum("_n").alias("_n"), F.min("_first").alias("_first"))
+    best = near.groupBy(*on, "_anchor").agg(F.min(F.struct("days", "_n", "_first")).alias("_b"))
+    found = best.select(*on, "_anchor", "_b._first._row.*", F.col("_b.days").alias("days"), (F.col("_b._n") > 1).alias("tie"))
+    return work.withColumn("_anchor", F.col(anchor)).join(found, [*on, "_anchor"]).drop("_anchor")
 
 
 def first_variant(work: DataFrame, ledger: DataFrame, variants: Column, name: str, on: list[str], key: list[str]) -> DataFrame:
@@ -116,13 +120,36 @@ def match_items(claims: DataFrame, registered: DataFrame, owner: str, keys: list
     return items.withColumn("outcome", F.coalesce("outcome", F.when(F.col("side") == "claim", "missing").otherwise("extra")))
 
 
-def item_outcome(items: DataFrame, owner: str) -> DataFrame:
-    """Per owner the counts of claims matched, missing and pending, of extra items, and the overall outcome."""
+def item_gate(owners: DataFrame, owner: str, orders: DataFrame, details: DataFrame, needed: list[str]) -> DataFrame:
+    """(owner, n_orders, gate): why an owner's items can't be compared, blank if they can.
+
+    Only a single order can be compared: none is `no order`, several are `several orders`. Then its detail table must
+    be read (`detail unread`), have the columns needed (`columns missing`) and rows (`detail empty`). orders has one
+    row an order of the owner; details one row an owner that was read: columns (array of names) and n_rows.
+    """
+    counted = orders.groupBy(owner).agg(F.count("*").alias("n_orders"))
+    read = details.select(owner, F.col("columns").alias("_columns"), F.col("n_rows").alias("_rows"), F.lit(True).alias("_read"))
+    out = owners.select(owner).distinct().join(counted, owner, "left").join(read, owner, "left").withColumn("n_orders", F.coalesce("n_orders", F.lit(0)))
+    lacks = F.size(F.array_except(F.array(*[F.lit(c) for c in needed]), F.coalesce("_columns", F.expr("cast(array() as array<string>)")))) > 0
+    gate = F.when(F.col("n_orders") == 0, "no order").when(F.col("n_orders") > 1, "several orders").when(F.col("_read").isNull(), "detail unread").when(lacks, "columns missing").when(F.coalesce("_rows", F.lit(0)) == 0, "detail empty").otherwise("")
+    return out.select(owner, "n_orders", gate.alias("gate"))
+
+
+def item_outcome(items: DataFrame, owner: str, gates: DataFrame | None = None) -> DataFrame:
+    """Per owner the counts of claims matched, missing and pending, of extra items, and the overall outcome.
+
+    gates are item_gate() rows: an owner that can't be compared is pending whatever its items say, and the gate says
+    why; owners that only the gates name have their row too.
+    """
     claim = F.col("side") == "claim"
     count = lambda outcome: F.count_if(claim & (F.col("outcome") == outcome)).alias(f"n_{outcome}")
     out = items.groupBy(owner).agg(count("matched"), count("missing"), count("pending"), F.count_if(F.col("outcome") == "extra").alias("n_extra"))
     overall = F.when(F.col("n_missing") > 0, "missing").when(F.col("n_pending") > 0, "pending").when(F.col("n_matched") > 0, "matched").otherwise("none")
-    return out.withColumn("overall", overall)
+    if gates is None:
+        return out.withColumn("overall", overall)
+    out = out.join(gates.select(owner, "gate"), owner, "full").withColumn("gate", F.coalesce("gate", F.lit("")))
+    out = out.withColumns({n: F.coalesce(n, F.lit(0)) for n in ("n_matched", "n_missing", "n_pending", "n_extra")})
+    return out.withColumn("overall", F.when(F.col("gate") != "", "pending").otherwise(overall))
 
 
 def audit_label(result: Column, forced: Column | None = None) -> Column:
@@ -132,8 +159,8 @@ def audit_label(result: Column, forced: Column | None = None) -> Column:
 
 
 def missing_report(outcomes: DataFrame, status: str, order: list[str], lookup: str | None = None) -> DataFrame:
-    """Definite misses, numbered. A failed or skipped lookup is no miss."""
+    """Definite misses, numbered in `order`. A failed or skipped lookup is no miss."""
     sure = F.col(status) == "missing"
     if lookup:
         sure = sure & (F.col(lookup) == "done")
-    return outcomes.where(sure).withColumn("report_no", F.row_number().over(W.orderBy(*order)))
+    return numbered(outcomes.where(sure), [F.col(c) for c in order], "report_no")

@@ -6,8 +6,12 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from tallyspark.functions.similarity import may_reach, partial_similarity, similarity
-from tallyspark.functions.text import blank_to_null, norm_text, trimmed
+from tallyspark.functions.similarity import letters, may_reach, partial_similarity, similarity
+from tallyspark.functions.text import blank_to_null, domain_of, first_address, norm_text, trimmed
+
+from tallyspark.sources.shared import cut
+
+from .contain import held, places
 
 
 def lookup_exact(df: DataFrame, address: str, directory: DataFrame) -> DataFrame:
@@ -26,18 +30,14 @@ def match_alias(df: DataFrame, text: str, key: list[str], aliases: DataFrame, he
     """The alias a text holds at a separator edge, or within its first `head` letters: (key, alias, officials,
     at, ambiguous). The earliest place wins, then the longest alias; several officials are joined and flagged.
 
-    aliases has (alias, officials) in lower case; aliases of up to 190 letters are looked for at the head. The
-    containment join is bounded by the dictionary; each text keeps one hit on the map side.
+    aliases has (alias, officials) in lower case; all separators count as one letter behind an edge. Texts and aliases
+    meet on their first letters (contain.places); each text keeps one hit on the map side.
     """
-    edge = lambda c: F.concat(F.lit("\u0001"), F.regexp_replace(c, edges, "\u0001"))
-    longest = F.length("alias")
-    texts = df.select(*key, F.lower(F.col(text)).alias("_t")).select(*key, F.substring("_t", 1, 200).alias("_head"), edge(F.col("_t")).alias("_marked"))
-    names = aliases.select("*", edge(F.col("alias")).alias("_name"))
-    start = F.substr("_head", F.lit(1), longest + head - 1)
-    hits = texts.join(names, F.contains(F.col("_marked"), F.col("_name")) | F.contains(start, F.col("alias")))
-    first = F.call_function("locate", F.col("alias"), start)
-    edged = F.call_function("locate", F.col("_name"), F.col("_marked"))
-    good = hits.withColumn("at", F.least(F.nullif(first, F.lit(0)), F.nullif(edged, F.lit(0))))
+    mark = lambda c: F.regexp_replace(c, edges, "\u0001")
+    low = df.select(*key, F.lower(F.col(text)).alias("_t"))
+    names = aliases.withColumn("_name", mark(F.col("alias")))
+    edged = places(low.withColumn("_t", mark(F.col("_t"))), key, "_t", names, "_name", edges="\u0001")
+    good = edged.unionByName(places(low, key, "_t", names, "alias", head=head))
     best = good.groupBy(*key).agg(F.min(F.struct("at", (-F.length("alias")).alias("n"), "alias", "officials")).alias("_b"))
     return best.select(*key, "_b.alias", F.array_join("_b.officials", "、").alias("officials"), "_b.at", (F.size("_b.officials") > 1).alias("ambiguous"))
 
@@ -61,7 +61,7 @@ def match_signature(df: DataFrame, key: str, text: str, aliases: DataFrame, line
     """The alias in the last non-blank lines: (key, alias, officials); the latest line, then the longest alias."""
     kept = F.filter(F.transform(F.split(F.lower(F.col(text)), "\n"), trimmed), lambda x: x != "")
     tail = df.select(key, F.posexplode(F.slice(kept, F.greatest(F.size(kept) - lines + 1, F.lit(1)), lines)).alias("_no", "_line"))
-    hits = tail.join(aliases, F.contains(F.col("_line"), F.col("alias")))
+    hits = held(tail, [key, "_no"], "_line", aliases, "alias")
     best = hits.groupBy(key).agg(F.max(F.struct("_no", F.length("alias").alias("n"), "alias", "officials")).alias("_b"))
     return best.select(key, "_b.alias", "_b.officials")
 
@@ -76,18 +76,66 @@ def resolve(evidence: list[tuple[str, Column]], conflict: Column | None = None)
     return F.when(~bad, value), F.when(bad, "conflict").otherwise(method)
 
 
-def blocked_pairs(left: DataFrame, right: DataFrame, a: str, b: str, least: int, step: int = 4) -> DataFrame:
-    """Pairs of distinct normalised texts that can reach a similarity of `least`, by bands of lengths.
+def resolve_agents(mails: DataFrame, key: str, sender: str, subject: str, body: str, directory: DataFrame, aliases: DataFrame, public: list[str], medium: int = 80, high: int = 90) -> DataFrame:
+    """(key, agent, method, candidates) by evidence in order, each found by its own join.
 
-    A ratio of `least` bounds the longer length by (200 - least) / least times the shorter one. Each right text
-    stands in one band, each left one looks into the bands that its bound allows, and the exact bound cuts the rest.
+    `exact`: the sender's address is in the directory. `subject`: an alias in the subject; if the sender's domain
+    belongs to one agent alone and that is none of the alias's, the result is blank with `conflict`; an alias of several
+    officials takes the one that the domain confirms, else it is blank with `ambiguous`. `domain`: the sender's domain
+    belongs to one agent. `body`: the first known address in the body. `signature`: an alias in the last lines. `fuzzy`:
+    the name before the sender's address is like one agent's, `high` at least; `fuzzy_unsure` from `medium` leaves it
+    blank with the candidates. `none` otherwise. Blank or null evidence is no evidence; each key gives one row.
+
+    directory has (email, agent), one row an address; aliases (alias, officials) in lower case.
+    """
+    base = mails.select(key, F.lower(trimmed(F.coalesce(sender, F.lit("")))).alias("_from"), F.coalesce(subject, F.lit("")).alias("_subject"), F.coalesce(body, F.lit("")).alias("_body")).dropDuplicates([key])
+    address = first_address(F.col("_from"))
+    base = base.withColumns({"_address": address, "_domain": domain_of(address), "_name": trimmed(F.regexp_replace(F.substring_index("_from", "<", 1), "[\"']", ""))})
+    exact = lookup_exact(base.select(key, "_address"), "_address", directory).select(key, F.col("agent").alias("_exact"))
+    named = match_alias(base, "_subject", [key], aliases).select(key, F.split("officials", "、").alias("_officials"))
+    owner = unique_by_domain(directory, public).select(F.col("domain").alias("_domain"), F.col("agent").alias("_owner"))
+    inside = lookup_body_addresses(base, key, F.col("_body"), directory).select(key, F.col("agent").alias("_in_body"))
+    signed = match_signature(base, key, "_body", aliases).where(F.size("officials") == 1).select(key, F.col("officials")[0].alias("_signed"))
+    people = base.where((F.col("_name") != "") & ~F.contains("_name", F.lit("@"))).select(F.col("_name").alias("name")).distinct()
+    like = fuzzy_lookup(people, directory.select("agent").distinct(), "name", "agent", medium, high)
+    like = like.groupBy("name").agg(F.min_by("agent", "place").alias("_like"), F.max("score").alias("_score"), F.array_sort(F.collect_set(F.when(F.col("place") <= 5, F.col("agent")))).alias("_near")).withColumnRenamed("name", "_name")
+    out = base.select(key, "_domain", "_name").join(exact, key, "left").join(named, key, "left").join(owner, "_domain", "left").join(inside, key, "left").join(signed, key, "left").join(like, "_name", "left")
+    confirmed = F.array_contains("_officials", F.col("_owner"))
+    by_subject = F.when(F.size("_officials") == 1, F.col("_officials")[0]).when(confirmed, F.col("_owner"))
+    open_ = F.col("_exact").isNull() & F.col("_officials").isNotNull()
+    value, method = resolve([("exact", F.col("_exact")), ("subject", by_subject), ("domain", F.col("_owner")), ("body", F.col("_in_body")), ("signature", F.col("_signed")), ("fuzzy", F.when(F.col("_score") >= high, F.col("_like")))], open_ & F.col("_owner").isNotNull() & ~confirmed)
+    unclear = open_ & by_subject.isNull() & F.col("_owner").isNull()
+    unsure = value.isNull() & (method == "none") & F.col("_like").isNotNull()
+    listed = F.when(unclear | (method == "conflict"), F.col("_officials")).when(unsure, F.col("_near"))
+    said = F.when(unclear, "ambiguous").when(unsure, "fuzzy_unsure").otherwise(method)
+    return out.select(key, F.when(~unclear, value).alias("agent"), said.alias("method"), F.coalesce(listed, F.expr("cast(array() as array<string>)")).alias("candidates"))
+
+
+def counted_letters(text: Column) -> Column:
+    """The letters of a text, each with its number among equal ones; two such lists share as many as the letters do."""
+    kinds = F.array_distinct(letters(text))
+    return F.flatten(F.transform(kinds, lambda c: F.transform(F.sequence(F.lit(1), F.length(text) - F.length(F.replace(text, c, F.lit("")))), lambda i: F.concat(c, i.cast("string")))))
+
+
+def blocked_pairs(left: DataFrame, right: DataFrame, a: str, b: str, least: int) -> DataFrame:
+    """Pairs of distinct normalised texts that can reach a similarity of `least`; none that can is left out.
+
+    Texts that differ in d letters (insertions and deletions) share at least max(length) - 1 - 2 d pairs of neighbouring
+    letters, and `least` bounds d by the lengths. Where that leaves one pair or more, texts meet on a shared pair of
+    letters; only short texts, where it leaves none, meet on their lengths. Then the bound on the lengths, and on the
+    letters that both have, cut what can't reach `least` before any similarity is computed.
     """
+    x = left.select(F.col(a).alias("a")).distinct().where("a != ''").withColumns({"_a": counted_letters(F.col("a")), "_n": F.length("a")})
+    y = right.select(F.col(b).alias("b")).distinct().where("b != ''").withColumns({"_b": counted_letters(F.col("b")), "_m": F.length("b")})
+    pair = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 1), lambda i: F.substr(c, i, F.lit(2))))
+    apart = F.floor((F.col("_n") + F.col("_m")) * (100 - least) / 100)
+    shared = F.greatest("_n", "_m") - 1 - 2 * apart
+    good = may_reach(F.col("a"), F.col("b"), least) & (F.lit(200) * F.size(F.array_intersect("_a", "_b")) >= least * (F.col("_n") + F.col("_m")))
+    long = x.where("_n > 1").withColumn("_g", F.explode(pair("a"))).join(y.where("_m > 1").withColumn("_g", F.explode(pair("b"))), "_g").where((shared >= 1) & good).select("a", "b").distinct()
     ratio = (200 - least) / least
-    x = left.select(F.col(a).alias("a")).distinct().where("a != ''")
-    y = right.select(F.col(b).alias("b")).distinct().where("b != ''").withColumn("band", F.floor(F.length("b") / step))
-    low, high = F.floor(F.floor(F.length("a") / ratio) / step), F.floor(F.ceil(F.length("a") * ratio) / step)
-    reach = x.withColumn("band", F.explode(F.sequence(low, high)))
-    return reach.join(y, "band").where(may_reach(F.col("a"), F.col("b"), least)).select("a", "b")
+    reach = x.withColumn("_m", F.explode(F.sequence(F.greatest(F.floor(F.col("_n") / ratio), F.lit(1)).cast("int"), F.ceil(F.col("_n") * ratio).cast("int")))).where(shared < 1)
+    short = reach.join(y, "_m").where(good).select("a", "b")
+    return long.unionByName(short)
 
 
 def fuzzy_lookup(queries: DataFrame, candidates: DataFrame, a: str, b: str, medium: int = 80, high: int = 90) -> DataFrame:
@@ -110,35 +158,89 @@ def match_model_projects(queries: DataFrame, projects: DataFrame, a: str, b: str
     q = queries.select(norm_text(F.col(a)).alias("a")).distinct().where("a != ''")
     p = projects.select(norm_text(F.col(b)).alias("b")).distinct().where("b != ''")
     holds = F.contains("a", "b") | F.contains("b", "a")
-    gram = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substr(c, i, F.lit(2))))
-    pairs = q.withColumn("g", F.explode(gram(F.col("a")))).join(p.withColumn("g", F.explode(gram(F.col("b")))), "g").select("a", "b").distinct()
+    pair = lambda c: F.when(F.length(c) > 1, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substr(c, i, F.lit(2)))))
+    tagged = lambda tag, values: F.transform(F.coalesce(values, F.expr("cast(array() as array<string>)")), lambda v: F.concat(F.lit(tag), v))
+    one = lambda c: F.when(F.length(c) == 1, F.array(F.col(c)))
+    # A name of one letter has no pair; it meets the other side's letters.
+    grams = lambda c, mine, theirs: F.explode(F.concat(tagged("g", pair(c)), tagged(mine, one(c)), tagged(theirs, F.array_distinct(letters(F.col(c))))))
+    pairs = q.withColumn("g", grams("a", "o", "l")).join(p.withColumn("g", grams("b", "l", "o")), "g").select("a", "b").distinct()
     score = F.greatest(similarity(F.col("a"), F.col("b")), partial_similarity(F.col("a"), F.col("b")), F.when(holds, 95).otherwise(0))
     best = pairs.withColumn("score", score).where(F.col("score") >= least).groupBy("a").agg(F.max(F.struct("score", F.col("b"))).alias("_b"))
     return best.select(F.col("a").alias(a), F.col("_b.b").alias(b), "_b.score")
 
 
-def standardize_projects(df: DataFrame, key: str, raw: str, projects: DataFrame, combos: DataFrame, medium: int = 80) -> DataFrame:
-    """Rows (key, part_no, part, project, stage): the raw value as a whole if it is a project, else a known
-    combination's parts, else its parts between separators, each exact, else by similarity, else unmatched as it is.
+def standardize_projects(df: DataFrame, key: str, raw: str, projects: DataFrame, combos: DataFrame, countries: DataFrame | None = None, services: DataFrame | None = None, context: str | None = None) -> DataFrame:
+    """Rows (key, part_no, part, project, stage, matched): standard projects of a raw value, by stages in order.
 
-    projects has (name); combos has (name, part, part_no). Names are compared as norm_text.
+    The value as a whole: `exact`, it is a project; `combo`, a known combination's parts. Else its parts between
+    separators, or, where it has none and names two countries or more with one service, each country with that service.
+    A part: `part`, it is a project; `similar`, one is 90 alike or more; `service`, it is a service and nothing else, and
+    each country of the context (the other parts, then the context column) gives a project with it; `country`, it is a
+    country and nothing else, and the first service of the context gives one. Then the value as a whole: `whole`, if no
+    part was found, the best project from 75 on, matched from 85. Else `unmatched`, the part as it is. An exact answer
+    beats a similar one (from 80) for what a country and a service make. matched is false for unsure answers.
+
+    projects has (name); combos (name, part, part_no); countries and services (name, alias), services with a rank. Names
+    are compared as norm_text. Blank values give no row.
     """
-    base = df.select(key, raw, norm_text(F.col(raw)).alias("_n"))
+    spark = df.sparkSession
+    blank = spark.createDataFrame([], "name string, alias string, rank int")
+    lands = (countries if countries is not None else blank.drop("rank")).select("name", norm_text(F.col("alias")).alias("_alias"))
+    works = (services if services is not None else blank).select("name", norm_text(F.col("alias")).alias("_alias"), "rank")
+    about = F.coalesce(F.col(context), F.lit("")) if context else F.lit("")
+    base = df.select(key, F.col(raw).alias("_raw"), norm_text(F.col(raw)).alias("_n"), about.alias("_about")).where("_n != ''")
     names = projects.select(F.col("name").alias("_project"), norm_text(F.col("name")).alias("_p")).groupBy("_p").agg(F.min("_project").alias("_project"))
-    exact = base.join(names, F.col("_n") == F.col("_p"), "left")
-    whole = exact.where("_p is not null").select(key, F.lit(0).alias("part_no"), F.col(raw).alias("part"), F.col("_project").alias("project"), F.lit("exact").alias("stage"))
-    rest = exact.where("_p is null").select(key, raw, "_n")
-    known = combos.select(norm_text(F.col("name")).alias("_c"), F.col("part").alias("_part"), F.col("part_no").alias("_part_no"))
-    combined = rest.join(known, F.col("_n") == F.col("_c"), "left")
-    combo = combined.where("_c is not null").select(key, F.col("_part_no").alias("part_no"), F.col("_part").alias("part"), F.col("_part").alias("project"), F.lit("combo").alias("stage"))
-    parts = combined.where("_c is null").select(key, F.posexplode(F.filter(F.transform(F.split(raw, r"[+/,，、;；&]"), trimmed), lambda x: x != "")).alias("part_no", "part"))
-    single = parts.withColumn("_n", norm_text(F.col("part"))).join(names, F.col("_n") == F.col("_p"), "left")
-    lost = single.where("_p is null").select("part").distinct()
-    near = fuzzy_lookup(lost, projects.select("name"), "part", "name", medium).where("place = 1").select(F.col("part").alias("_part"), F.col("name").alias("_near"))
-    out = single.join(near, F.col("part") == F.col("_part"), "left")
-    stage = F.when(F.col("_p").isNotNull(), "part").when(F.col("_near").isNotNull(), "similar").otherwise("unmatched")
-    split = out.select(key, "part_no", "part", F.coalesce("_project", "_near", "part").alias("project"), stage.alias("stage"))
-    return whole.unionByName(combo).unionByName(split)
+    shown = lambda rows, stage, matched=True: rows.select(key, "part_no", "part", "project", F.lit(stage).alias("stage"), (F.lit(matched) if isinstance(matched, bool) else matched).alias("matched"))
+
+    # Each stage goes on from what the one before left open; that is kept, so that plans don't multiply.
+    exact = cut(base.join(names, F.col("_n") == F.col("_p"), "left"))
+    whole = shown(exact.where("_p is not null").withColumns({"part_no": F.lit(0), "part": F.col("_raw"), "project": F.col("_project")}), "exact")
+    known = combos.select(norm_text(F.col("name")).alias("_c"), F.col("part").alias("_part"), F.col("part_no").cast("int").alias("part_no"))
+    rest = exact.where("_p is null").select(key, "_raw", "_n", "_about")
+    combo = shown(rest.join(known, F.col("_n") == F.col("_c")).withColumns({"part": F.col("_part"), "project": F.col("_part")}), "combo")
+    rest = rest.join(known.select("_c").distinct(), F.col("_n") == F.col("_c"), "left_anti")
+
+    pieces = F.filter(F.transform(F.split("_raw", r"[+＋/／,，、;；&]"), trimmed), lambda x: x != "")
+    rest = cut(rest.withColumn("_cut", pieces))
+    split = rest.where(F.size("_cut") > 1).select(key, "_raw", "_about", F.posexplode("_cut").alias("part_no", "part"))
+    single = rest.where(F.size("_cut") == 1)
+    inside = held(single, [key], "_n", lands, "_alias").groupBy(key).agg(F.array_sort(F.collect_set(F.struct("at", "name"))).alias("_lands"))
+    doing = held(single, [key], "_n", works, "_alias").groupBy(key).agg(F.min(F.struct("rank", "name")).alias("_s"))
+    spread = single.join(inside, key, "left").join(doing, key, "left")
+    several = (F.size("_lands") > 1) & F.col("_s").isNotNull()
+    made = F.transform("_lands", lambda c: F.concat(c["name"], F.col("_s.name")))
+    multiplied = spread.where(several).select(key, "_raw", "_about", F.posexplode(made).alias("part_no", "part"))
+    alone = spread.where(~F.coalesce(several, F.lit(False))).select(key, "_raw", "_about", F.lit(0).alias("part_no"), F.col("_raw").alias("part"))
+    parts = split.unionByName(multiplied).unionByName(alone).withColumn("_n", norm_text(F.col("part")))
+
+    found = cut(parts.join(names, F.col("_n") == F.col("_p"), "left"))
+    done = shown(found.where("_p is not null").withColumn("project", F.col("_project")), "part")
+    open_ = found.where("_p is null").select(key, "_raw", "_about", "part_no", "part", "_n")
+    fuzzy = lambda texts, least: fuzzy_lookup(texts.select(F.col("part").alias("_text")).distinct(), projects.select(F.col("name").alias("_near")), "_text", "_near", least).where("place = 1").select("_text", "_near", "score")
+    like = cut(fuzzy(open_, 90))
+    near = open_.join(like, F.col("part") == F.col("_text"))
+    close = shown(near.withColumn("project", F.col("_near")), "similar")
+    open_ = cut(open_.join(like, F.col("part") == F.col("_text"), "left_anti"))
+
+    scene = open_.withColumn("_scene", norm_text(F.concat_ws(" ", "_raw", "_about"))).select(key, "part_no", "part", "_n", "_scene")
+    told = held(scene.select(key, "_scene").distinct(), [key], "_scene", lands, "_alias").select(key, F.col("name").alias("_land")).distinct()
+    said = held(scene.select(key, "_scene").distinct(), [key], "_scene", works, "_alias").groupBy(key).agg(F.min(F.struct("rank", "name"))["name"].alias("_work"))
+    pure_work = scene.join(works.groupBy("_alias").agg(F.min(F.struct("rank", "name"))["name"].alias("_own")), F.col("_n") == F.col("_alias")).join(told, key).select(key, "part_no", "part", F.concat("_land", "_own").alias("_made"), F.lit("service").alias("stage"))
+    pure_land = scene.join(lands.groupBy("_alias").agg(F.min("name").alias("_own")), F.col("_n") == F.col("_alias")).join(said, key).select(key, "part_no", "part", F.concat("_own", "_work").alias("_made"), F.lit("country").alias("stage"))
+    built = cut(pure_work.unionByName(pure_land).withColumn("_m", norm_text(F.col("_made"))).join(names, F.col("_m") == F.col("_p"), "left"))
+    sure = built.where("_p is not null").select(key, "part_no", "part", F.col("_project").alias("project"), "stage", F.lit(True).alias("matched")).distinct()
+    guess = built.join(sure.select(key, "part_no").distinct(), [key, "part_no"], "left_anti")
+    guessed = fuzzy(guess.select(F.col("_made").alias("part")), 80)
+    unsure = guess.join(guessed, F.col("_made") == F.col("_text")).select(key, "part_no", "part", F.col("_near").alias("project"), "stage", (F.col("score") >= 90).alias("matched")).distinct()
+    placed_ = cut(sure.unionByName(unsure))
+    open_ = open_.join(placed_.select(key, "part_no").distinct(), [key, "part_no"], "left_anti")
+
+    results = cut(whole.unionByName(combo).unionByName(done).unionByName(close).unionByName(placed_))
+    lost = open_.join(results.select(key).distinct(), key, "left_anti").select(key, F.col("_raw").alias("part")).distinct()
+    best = cut(fuzzy(lost, 75))
+    last = lost.join(best, F.col("part") == F.col("_text")).select(key, F.lit(0).alias("part_no"), "part", F.col("_near").alias("project"), F.lit("whole").alias("stage"), (F.col("score") >= 85).alias("matched"))
+    left = shown(open_.join(last.select(key).distinct(), key, "left_anti").withColumn("project", F.col("part")), "unmatched", False)
+    return results.unionByName(last).unionByName(left)
 
 
 def country_of(df: DataFrame, key: str, text: str, countries: DataFrame) -> DataFrame:
@@ -146,9 +248,9 @@ def country_of(df: DataFrame, key: str, text: str, countries: DataFrame) -> Data
 
     countries has (name, alias, lang); lang `own` is the first kind.
     """
-    low = F.lower(F.col(text))
-    hits = df.select(key, low.alias("_t")).join(countries, F.contains(F.col("_t"), F.lower("alias")))
-    prefix = F.expr("startswith(_t, lower(alias))")
+    low = df.select(key, F.lower(F.col(text)).alias("_t"))
+    hits = held(low, [key], "_t", countries.select("name", F.lower("alias").alias("alias"), "lang"), "alias")
+    prefix = F.col("at") == 1
     kind = F.when(prefix & (F.col("lang") == "own"), 0).when(prefix, 1).otherwise(2)
     return hits.groupBy(key).agg(F.min(F.struct(kind.alias("k"), (-F.length("alias")).alias("n"), "name")).alias("_b")).select(key, "_b.name")
 
@@ -183,18 +285,57 @@ def record_scope(records: DataFrame, file: str, text: str, company: Column) -> D
     return records.where(F.contains(norm_text(F.col(text)), norm_text(company)))
 
 
-def record_groups(records: DataFrame, mail_projects: DataFrame, mail: str, locator: list[str], project: str) -> DataFrame:
-    """One row per physical record with its own project, else the mail's only one, else flagged."""
+def record_groups(records: DataFrame, mail_projects: DataFrame, mail: str, locator: list[str], project: str, text_groups: DataFrame | None = None) -> DataFrame:
+    """One row per physical record with its own project, else the mail's only one, else flagged.
+
+    Records replace the text groups of their mail and set the number of groups that is expected of it; with text_groups,
+    which have the mail and project, mails without records keep these, and n_expected is null there.
+    """
     one = mail_projects.groupBy(mail).agg(F.min(project).alias("_only"), F.max(project).alias("_last"))
     rows = records.dropDuplicates([mail, *locator]).join(one, mail, "left")
     only = F.when(F.col("_only") == F.col("_last"), F.col("_only"))
-    out = rows.withColumn("_own", blank_to_null(F.col(project)))
-    return out.withColumn(project, F.coalesce("_own", only)).withColumn("flagged", F.col(project).isNull()).drop("_only", "_last", "_own")
+    out = rows.withColumn("_own", blank_to_null(F.col(project))).withColumn(project, F.coalesce("_own", only))
+    out = out.withColumns({"flagged": F.col(project).isNull(), "origin": F.lit("record")}).drop("_only", "_last", "_own")
+    counts = out.groupBy(mail).agg(F.count("*").alias("n_expected"))
+    out = out.join(counts, mail)
+    if text_groups is None:
+        return out
+    rest = text_groups.join(counts.select(mail), mail, "left_anti").withColumns({"flagged": blank_to_null(F.col(project)).isNull(), "origin": F.lit("text")})
+    return out.unionByName(rest, allowMissingColumns=True)
 
 
 def best_source(candidates: DataFrame, key: str, rank: str) -> DataFrame:
-    """All candidates of the best-ranked source of each key."""
-    return candidates.withColumn("_best", F.min(rank).over(W.partitionBy(key))).where(F.col(rank) == F.col("_best")).drop("_best")
+    """All candidates of the best-ranked source of each key."""
+    best = candidates.groupBy(key).agg(F.min(rank).alias("_best"))
+    return candidates.join(best, key).where(F.col(rank) == F.col("_best")).drop("_best")
+
+
+#: The sources of a mail's projects in their order.
+PROJECT_SOURCES = ("bound form", "checked form", "segments", "declared", "table names", "rules")
+
+
+def project_source(mail: str, bound: DataFrame, checked: DataFrame, segments: DataFrame, declared: DataFrame, names: DataFrame, ruled: DataFrame, plain: DataFrame | None = None, wide: int = 2) -> DataFrame:
+    """(mail, project, source, flagged): the projects of each mail from its best source, in PROJECT_SOURCES' order.
+
+    Each table has (mail, project): bound forms, checked forms, segmented groups, what subject and body declare, project
+    names found in all text, and what the rules find there. A checked form of `wide` projects or more that has declared
+    ones is narrowed to these; the mail's plain files (plain), if the subject declares their projects, join in. A checked
+    form that declares nothing in common stays whole and is flagged. Blank projects are none.
+    """
+    tables = dict(zip(PROJECT_SOURCES, (bound, checked, segments, declared, names, ruled)))
+    clean = {source: df.select(mail, trimmed(F.col("project")).alias("project")).where("project != ''").distinct() for source, df in tables.items()}
+    said = clean["declared"].withColumn("_said", F.lit(True))
+    form = clean["checked form"].join(said, [mail, "project"], "left")
+    size = form.groupBy(mail).agg(F.count("*").alias("_n"), F.count("_said").alias("_both")).join(said.select(mail).distinct().withColumn("_any", F.lit(True)), mail, "left")
+    form = form.join(size, mail)
+    narrow = (F.col("_n") >= wide) & (F.col("_both") > 0)
+    form = form.where(~narrow | F.col("_said").isNotNull()).select(mail, "project", ((F.col("_n") >= wide) & (F.col("_both") == 0) & F.col("_any").isNotNull()).alias("flagged"))
+    if plain is not None:
+        more = plain.select(mail, trimmed(F.col("project")).alias("project")).where("project != ''").distinct()
+        more = more.join(clean["declared"], [mail, "project"], "left_semi").join(form.select(mail).distinct(), mail, "left_semi").withColumn("flagged", F.lit(False))
+        form = form.unionByName(more).groupBy(mail, "project").agg(F.bool_or("flagged").alias("flagged"))
+    ranked = [(form if source == "checked form" else clean[source].withColumn("flagged", F.lit(False))).withColumns({"_rank": F.lit(i), "source": F.lit(source)}) for i, source in enumerate(PROJECT_SOURCES)]
+    return best_source(reduce(lambda x, y: x.unionByName(y), ranked), mail, "_rank").select(mail, "project", "source", "flagged")
 
 
 def first_source(candidates: DataFrame, key: str, value: str, rank: str) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from .numbering import numbered
+
 
 def outcome_class(found: Column, match: Column, lookup: Column, special: Column, items: Column) -> Column:
     """E1's ordered cases: special items first, then found, then definite misses, else pending."""
@@ -129,9 +131,14 @@ def alias_index(df: DataFrame, official: str, aliases: Column, least: int = 2) -
     return rows.where(F.length("alias") >= least).groupBy("alias").agg(F.array_sort(F.collect_set("official")).alias("officials"))
 
 
-def newest_first(df: DataFrame, day: str, *ties: str) -> DataFrame:
+def newest_first(df: DataFrame, day: str, *ties: str | Column) -> DataFrame:
     """Newest first, undated last, then the ties; a total order, so the position can be stated."""
-    return df.withColumn("position", F.row_number().over(W.orderBy(F.col(day).desc_nulls_last(), *ties)))
+    return numbered(df, [F.col(day).desc_nulls_last(), *[F.col(t) if isinstance(t, str) else t for t in ties]], "position")
+
+
+def missing_list(df: DataFrame, status: str, day: str, *ties: str | Column) -> DataFrame:
+    """The definite misses, newest first, undated last, with their position."""
+    return newest_first(df.where(F.col(status) == "missing"), day, *ties)
 
 
 def top_per_key(df: DataFrame, key: list[str], order: list[Column], k: int = 1) -> DataFrame:

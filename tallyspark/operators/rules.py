@@ -6,7 +6,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from tallyspark.functions.text import blank_to_null, domain_in, sanitize_company, trimmed
+from tallyspark.functions.company import sanitize_company
+from tallyspark.functions.text import blank_to_null, domain_in, trimmed
+
+from .contain import held
 
 
 def any_hit(text: Column, terms) -> Column:
@@ -24,10 +27,10 @@ def first_hit(text: Column, terms) -> Column:
 def first_hit_by_table(df: DataFrame, text: str, key: str, terms: DataFrame) -> DataFrame:
     """C1 for large groups: terms has (rank, term); rows (key, term) with the lowest rank contained in the text.
 
-    The dictionary decides the join: small ones are broadcast by Spark, and the pairs are cut to one row a key on
-    the map side.
+    A small dictionary is tested in the row, a large one joined on first letters (contain.held).
     """
-    hits = df.join(terms, F.contains(F.lower(df[text]), F.lower(terms["term"])))
+    low = df.select(key, F.lower(F.col(text)).alias("_t"))
+    hits = held(low, [key], "_t", terms.select("rank", "term", F.lower("term").alias("_low")), "_low")
     return hits.groupBy(key).agg(F.min(F.struct("rank", "term")).alias("_best")).select(key, F.col("_best.term").alias("term"))
 
 

@@ -59,13 +59,21 @@ def map_chunks(chunks: DataFrame, mail: str, chunk: str, company: str, project:
     return clear.unionByName(product.withColumn("flagged", F.lit(True)))
 
 
-def numbered_list(rows: DataFrame, key: list[str], pattern: str, stated: str | None = None) -> DataFrame:
-    """the lines that begin with a number or code, if there are two or more; flagged if a stated count differs."""
+def numbered_list(rows: DataFrame, key: list[str], pattern: str, stated: str | None = None, projects: DataFrame | None = None) -> DataFrame:
+    """the lines that begin with a number or code, if there are two or more; flagged if a stated count differs.
+
+    With projects, rows (key, project) of the subjects, only texts whose subject has exactly one project make rows, and
+    each row has that project.
+    """
     marked = rows.where(F.col("line").rlike(pattern))
     n = F.count("*").over(W.partitionBy(*key))
     out = marked.withColumn("n_lines", n).where("n_lines >= 2")
     flag = (F.col(stated) != F.col("n_lines")) if stated else F.lit(False)
-    return out.withColumn("flagged", F.coalesce(flag, F.lit(False)))
+    out = out.withColumn("flagged", F.coalesce(flag, F.lit(False)))
+    if projects is None:
+        return out
+    one = projects.where("project is not null").groupBy(*key).agg(F.min("project").alias("project"), F.max("project").alias("_last")).where("project = _last").drop("_last")
+    return out.join(one, key)
 
 
 def scope_lines(rows: DataFrame, key: list[str], order: str, mine: Column, other: Column, label: Column) -> DataFrame:
@@ -90,6 +98,23 @@ def header_blocks(rows: DataFrame, key: list[str], order: str, header: Column) -
     return labels.join(values, [*key, "place", "_start"]).where("_size >= _hs").select(*key, "block", "place", "label", "value")
 
 
+def header_lines(rows: DataFrame, key: list[str], order: str, header: Column, least: int = 2) -> DataFrame:
+    """F8, its other form: (key, block, place, label, value): a line of cells between tabs, bars or wide gaps of which
+    `least` are headers, and the next line's cells, if they are as many and no header is among them.
+
+    header is a Column over `cell`. block is the number of the header line among the text's lines.
+    """
+    cells = F.filter(F.transform(F.split("line", r"\t+|\s*\|\s*|\s{2,}"), trimmed), lambda x: x != "")
+    per = W.partitionBy(*key).orderBy(order)
+    work = rows.withColumn("_cells", cells).withColumn("block", F.row_number().over(per))
+    heads = work.select(*key, "block", F.posexplode("_cells").alias("place", "cell")).withColumn("_h", header.cast("int"))
+    count = heads.groupBy(*key, "block").agg(F.sum("_h").alias("_heads"))
+    work = work.join(count, [*key, "block"], "left").withColumn("_heads", F.coalesce("_heads", F.lit(0)))
+    after = {"_next": F.lead("_cells").over(W.partitionBy(*key).orderBy("block")), "_next_heads": F.lead("_heads").over(W.partitionBy(*key).orderBy("block"))}
+    good = work.withColumns(after).where((F.col("_heads") >= least) & (F.size("_cells") == F.size("_next")) & (F.col("_next_heads") == 0))
+    return good.select(*key, "block", F.posexplode(F.arrays_zip(F.col("_cells").alias("label"), F.col("_next").alias("value"))).alias("place", "_z")).select(*key, "block", F.col("place") + 1, "_z.label", "_z.value").toDF(*key, "block", "place", "label", "value")
+
+
 def zip_by_position(brands: Column, categories: Column) -> Column:
     """brand i with category i; the longer list's rest has null partners."""
     return F.transform(F.arrays_zip(brands.alias("brand"), categories.alias("category")), lambda x: F.struct(x["brand"].alias("brand"), x["category"].alias("category")))

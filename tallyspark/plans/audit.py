@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyspark.functions.text import company_noise
+from tallyspark.functions.company import Words, company_noise
 from tallyspark.operators import audit as A
 from tallyspark.operators import segments as S
 from tallyspark.sources import cells as C
@@ -50,6 +50,26 @@ def a4(spark, sf_dir):
     return M.require_complete(rows, rows.count(), F.col("n_name").isNull()).select("n_nationkey")
 
 
+@plans.add("a4_complete_orders", "SELECT o_orderkey FROM orders")
+def a4_orders(spark, sf_dir):
+    """The orders, published only if as many came as their customers' counts say and each has a date."""
+    rows = table(spark, sf_dir, "orders")
+    expected = rows.groupBy("o_custkey").count().agg(F.sum("count")).head()[0]
+    return M.require_complete(rows, expected or 0, F.col("o_orderdate").isNull()).select("o_orderkey")
+
+
+@plans.add("a5_import_addresses", "SELECT DISTINCT lower(s_name) || '@x' || s_nationkey AS email, 'x' || s_nationkey AS suffix FROM supplier WHERE s_suppkey % 3 <> 0")
+def a5_import(spark, sf_dir):
+    """The suppliers as an import form: a title, a header row, addresses in the second column, others beside it."""
+    rows = table(spark, sf_dir, "supplier")
+    head = spark.createDataFrame([(1, 1, "List of 2024, write to me@other.org"), (2, 1, "Name"), (2, 2, "E-Mail address"), (2, 3, "Note")], "row_no int, col_no int, value string")
+    k = (F.col("s_suppkey") + 3).cast("int").alias("row_no")
+    at = lambda n, value: F.struct(F.lit(n).alias("col_no"), value.alias("value"))
+    mail = F.when(F.col("s_suppkey") % 3 != 0, F.concat(F.lit(" "), F.upper("s_name"), F.lit("@X"), F.col("s_nationkey"))).otherwise("none yet")
+    body = rows.select(k, F.explode(F.array(at(1, F.col("s_name")), at(2, mail), at(3, F.concat(F.lit("old@"), "s_name")))).alias("c")).select("row_no", "c.*")
+    return M.import_addresses(head.union(body), ("mail",))
+
+
 @plans.add("a5_address_set", "SELECT DISTINCT lower(trim(c)) AS email FROM (SELECT unnest([s_name || '@x', 'no', CAST(s_suppkey % 3 AS VARCHAR) || '@y']) AS c FROM supplier) WHERE c LIKE '%@%'")
 def a5(spark, sf_dir):
     rows = table(spark, sf_dir, "supplier").select(F.concat("s_name", F.lit("@X ")).alias("a"), F.lit("no").alias("b"), F.concat(F.col("s_suppkey") % 3, F.lit("@y")).alias("c"))
@@ -74,15 +94,35 @@ def queued(spark, sf_dir):
 
 @plans.add("a14_three_way", "SELECT CASE o_orderstatus WHEN 'F' THEN 'work' WHEN 'O' THEN 'filtered' ELSE 'review' END AS list, count(*) AS n FROM orders GROUP BY 1")
 def a14(spark, sf_dir):
-    parts = M.split_stage1(queued(spark, sf_dir), "queue")
-    out = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("list"), "n") for name, df in parts.items()]
-    return out[0].union(out[1]).union(out[2])
+    return M.list_sizes(queued(spark, sf_dir), "queue")
+
+
+@plans.add("a14_work_list", "SELECT o_orderkey FROM orders WHERE o_orderstatus NOT IN ('F', 'O')")
+def a14_review(spark, sf_dir):
+    return M.split_stage1(queued(spark, sf_dir), "queue")["review"].select("o_orderkey")
 
 
 @plans.add("a19_export_reviewed", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND year(o_orderdate) = 1998")
 def a19(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").withColumn("mail_day", F.col("o_orderdate").cast("date")).withColumn("status", F.when(F.col("o_orderstatus") == "F", "confirmed").otherwise("open"))
-    return M.export_reviewed(rows, rows, rows, rows, rows, "mail_day", day("1998-01-01"), day("1998-12-31"))["confirmed"].select("o_orderkey")
+    return M.export_reviewed(rows, rows, rows, edits(rows), rows, "mail_day", day("1998-01-01"), day("1998-12-31"))["confirmed"].select("o_orderkey")
+
+
+def edits(rows):
+    """A change of each third order's state and priority; the rest of the maps is equal."""
+    k = F.col("o_orderkey")
+    new = F.when(k % 3 == 0, "X").otherwise(F.col("o_orderstatus"))
+    before = F.create_map(F.lit("state"), F.col("o_orderstatus"), F.lit("priority"), F.col("o_orderpriority"), F.lit("old"), F.lit(" "))
+    after = F.create_map(F.lit("state"), new, F.lit("priority"), F.when(k % 5 != 0, F.col("o_orderpriority")), F.lit("note"), F.when(k % 7 == 0, "n"))
+    return rows.select("mail_day", k.alias("record_id"), before.alias("before"), after.alias("after"))
+
+
+@plans.add("a19_modified_fields", """WITH o AS (SELECT *, CAST(o_orderdate AS DATE) AS d FROM orders WHERE year(o_orderdate) = 1998)
+SELECT d AS mail_day, o_orderkey AS record_id, 'state' AS field, o_orderstatus AS before, 'X' AS after FROM o WHERE o_orderkey % 3 = 0
+UNION ALL SELECT d, o_orderkey, 'priority', o_orderpriority, NULL FROM o WHERE o_orderkey % 5 = 0 UNION ALL SELECT d, o_orderkey, 'note', NULL, 'n' FROM o WHERE o_orderkey % 7 = 0""")
+def a19_modified(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").withColumn("mail_day", F.col("o_orderdate").cast("date")).withColumn("status", F.lit("confirmed"))
+    return M.export_reviewed(rows, rows, rows, edits(rows), rows, "mail_day", day("1998-01-01"), day("1998-12-31"))["modified"]
 
 
 @plans.add("a21_archives", "WITH y AS (SELECT year(o_orderdate) AS y, count(*) FILTER (o_orderstatus = 'F' AND o_custkey % 50 = 0 AND year(o_orderdate) % 2 = 0) AS w FROM orders GROUP BY 1) SELECT y AS run_id FROM y WHERE w > 0")
@@ -99,13 +139,25 @@ def a22(spark, sf_dir):
     return M.project_report(rows, "filtered")
 
 
+@plans.add("a22_stage_view", "SELECT o_orderkey AS mail_key, 'c' || o_custkey AS company, '' AS project, CASE o_orderstatus WHEN 'F' THEN 'yes' ELSE '' END AS found, '' AS order_no, '' AS match_status, o_orderstatus AS lookup, o_orderpriority AS note FROM orders")
+def a22_stage(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("mail_key"), F.concat(F.lit("c"), "o_custkey").alias("company"), F.lit(None).cast("string").alias("project"), F.when(F.col("o_orderstatus") == "F", "yes").alias("found"), F.col("o_orderstatus").alias("state"), F.col("o_orderpriority").alias("reason"))
+    return M.project_report(rows, "stage")
+
+
+@plans.add("a22_result_list", "SELECT l_orderkey AS mail_key, l_returnflag AS company, l_linestatus AS project, '' AS found, CAST(l_linenumber AS VARCHAR) AS order_no FROM lineitem")
+def a22_result(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("mail_key"), F.col("l_returnflag").alias("company"), F.col("l_linestatus").alias("project"), F.col("l_linenumber").alias("order_no"))
+    return M.project_report(rows, "result")
+
+
 # Cells: the lines of conversations as sheets, a line's words as columns.
 
 CELLS = "w AS (SELECT conv_id AS file, turn AS sheet, string_split(text, chr(10)) AS l FROM conversations), r AS (SELECT file, sheet, unnest(l) AS line, generate_subscripts(l, 1) AS row_no FROM w), c AS (SELECT file, sheet, row_no, unnest(string_split(line, ' ')) AS value, generate_subscripts(string_split(line, ' '), 1) AS col_no FROM r)"
 
 
 def cells(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations").where("text is not null").select(F.col("conv_id").alias("file"), F.col("turn").alias("sheet"), F.posexplode(F.split("text", "\n")).alias("row_no", "line"))
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("file"), F.col("turn").alias("sheet"), F.posexplode(F.split("text", "\n")).alias("row_no", "line"))
     return rows.select("file", "sheet", (F.col("row_no") + 1).alias("row_no"), F.posexplode(F.split("line", " ")).alias("col_no", "value")).withColumn("col_no", F.col("col_no") + 1)
 
 
@@ -116,9 +168,9 @@ def a12(spark, sf_dir):
     return C.name_columns(cells(spark, sf_dir), 1)
 
 
-@plans.add("a13_checked_pairs", "WITH m AS (SELECT DISTINCT l_orderkey AS form, l_linenumber AS row_no, l_returnflag AS label, l_returnflag = 'N' AS c FROM lineitem WHERE l_linestatus = 'F' AND l_returnflag <> 'A') SELECT a.form, a.row_no, a.label AS country, b.label AS service, CASE WHEN b.label IS NULL THEN 'unmatched' ELSE 'pair' END AS outcome FROM (SELECT * FROM m WHERE c) a LEFT JOIN (SELECT * FROM m WHERE NOT c) b USING (form, row_no) UNION ALL SELECT form, row_no, NULL, label, 'orphan' FROM m b WHERE NOT c AND NOT EXISTS (SELECT 1 FROM m a WHERE a.c AND a.form = b.form AND a.row_no = b.row_no)")
+@plans.add("a13_checked_pairs", "WITH m AS (SELECT DISTINCT l_orderkey AS form, l_linenumber AS row_no, l_returnflag AS label, l_returnflag = 'N' AS c FROM lineitem WHERE l_linestatus = 'F') SELECT a.form, a.row_no, a.label AS country, b.label AS service, CASE WHEN b.label IS NULL THEN 'unmatched' ELSE 'pair' END AS outcome FROM (SELECT * FROM m WHERE c) a LEFT JOIN (SELECT * FROM m WHERE NOT c) b USING (form, row_no) UNION ALL SELECT form, row_no, NULL, label, 'orphan' FROM m b WHERE NOT c AND NOT EXISTS (SELECT 1 FROM m a WHERE a.c AND a.form = b.form AND a.row_no = b.row_no)")
 def a13(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").where("l_returnflag != 'A'")
+    rows = table(spark, sf_dir, "lineitem")
     marks = rows.select(F.col("l_orderkey").alias("form"), F.col("l_linenumber").alias("row_no"), F.when(F.col("l_returnflag") == "N", "country").otherwise("service").alias("kind"), F.col("l_returnflag").alias("label"), (F.col("l_linestatus") == "F").alias("checked"))
     return C.checked_pairs(marks)
 
@@ -141,16 +193,26 @@ def a9(spark, sf_dir):
     return C.sectioned_records(sheets(spark, sf_dir), roles(spark), (("brand", "category"),))
 
 
-@plans.add("a10_preferred_columns", "WITH t AS (SELECT DISTINCT p_type AS file FROM part) SELECT file, 1 AS sheet, 'any' AS role, 2 AS col_no FROM t")
+@plans.add("a10_preferred_columns", """WITH h AS (SELECT l_orderkey AS file, l_suppkey % 2 AS sheet, l_linestatus AS role, l_linenumber AS col_no, CASE l_returnflag WHEN 'R' THEN 1 WHEN 'N' THEN 2 ELSE 1000000 END AS r FROM lineitem)
+SELECT file, sheet, role, arg_min(col_no, (r, col_no)) AS col_no FROM h GROUP BY file, sheet, role""")
 def a10(spark, sf_dir):
-    heads = sheets(spark, sf_dir).where("row_no = 1").select("file", "sheet", "col_no", F.lit("any").alias("role"), F.lower("value").alias("label"))
-    return C.preferred_columns(heads, spark.createDataFrame([("category", 1), ("brand", 2)], "label string, rank int"))
+    heads = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("file"), (F.col("l_suppkey") % 2).alias("sheet"), F.col("l_linenumber").alias("col_no"), F.col("l_linestatus").alias("role"), F.col("l_returnflag").alias("label"))
+    return C.preferred_columns(heads, spark.createDataFrame([("R", 1), ("N", 2)], "label string, rank int"))
 
 
-@plans.add("a11_label_values", "WITH t AS (SELECT p_type AS file, min(p_partkey) AS k FROM part GROUP BY 1) SELECT file, 1 AS sheet, 1 AS row_no, 'size' AS field, CAST(p_size AS VARCHAR) AS value FROM t JOIN part ON p_partkey = k WHERE k = 0")
+@plans.add("a11_label_values", """SELECT o_orderkey AS file, 1 AS sheet, x.r AS row_no, x.f AS field, x.v AS value FROM (SELECT o_orderkey, unnest([{'r': 1, 'f': 'company', 'v': 'C' || o_custkey}, {'r': 2, 'f': 'status', 'v': o_orderstatus},
+{'r': 3, 'f': 'priority', 'v': o_orderpriority}, {'r': 5, 'f': 'status', 'v': 'S2'}, {'r': 5, 'f': 'priority', 'v': 'P2'}]) AS x FROM orders)""")
 def a11(spark, sf_dir):
-    labels = roles(spark).withColumnRenamed("role", "field")
-    return C.label_values(sheets(spark, sf_dir).where("not (row_no > 1 and col_no < 3)"), labels.where("label = 'size'"))
+    """Each order as a sheet: a value behind a colon, one to the right of a gap, one below, and labels side by side."""
+    at = lambda row, col, value: F.struct(F.lit(row).alias("row_no"), F.lit(col).alias("col_no"), value.alias("value"))
+    text = F.lit
+    sheet = [
+        at(1, 1, F.concat(text("Company: C"), F.col("o_custkey"))), at(2, 1, text("Status")), at(2, 2, text(" ")), at(2, 4, F.col("o_orderstatus")), at(2, 5, text("too far")), at(3, 1, text("Priority：")), at(4, 1, F.col("o_orderpriority")),
+        at(5, 1, text("Status")), at(5, 2, text("Priority")), at(6, 1, text("S2")), at(6, 2, text("")), at(7, 2, text("P2")), at(8, 1, text("status")), at(9, 1, text("Company")),
+    ]
+    cells = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("file"), F.lit(1).alias("sheet"), F.explode(F.array(*sheet)).alias("c")).select("file", "sheet", "c.*")
+    labels = spark.createDataFrame([("company", "company"), ("status", "status"), ("priority", "priority")], "label string, field string")
+    return C.label_values(cells, labels)
 
 
 # Segments
@@ -188,7 +250,7 @@ LINES = r"k AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents W
 
 
 def doc_lines(spark, sf_dir):
-    return S.lines(table(spark, sf_dir, "documents").where("text is not null"), ["doc_id"], "text")
+    return S.lines(table(spark, sf_dir, "documents"), ["doc_id"], "text")
 
 
 @plans.add("f6_numbered_list", f"WITH {LINES}, m AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n FROM n WHERE regexp_matches(line, '^[A-D]')) SELECT doc_id, line_no, n AS n_lines, n <> doc_id % 4 AS flagged FROM m WHERE n >= 2")
@@ -197,6 +259,25 @@ def f6(spark, sf_dir):
     return S.numbered_list(rows, ["doc_id"], "^[A-D]", "stated").select("doc_id", "line_no", "n_lines", "flagged")
 
 
+@plans.add("f6_numbered_projects", f"WITH {LINES}, m AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n FROM n WHERE regexp_matches(line, '^[A-D]')), p AS (SELECT doc_id, CASE WHEN contains(text, 'tion') THEN 'a' END AS a, CASE WHEN contains(text, 'heit') THEN 'b' END AS b FROM documents) SELECT m.doc_id, line_no, n AS n_lines, coalesce(a, b) AS project FROM m JOIN p ON m.doc_id = p.doc_id AND (a IS NULL) <> (b IS NULL) WHERE n >= 2")
+def f6_projects(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    found = docs.select("doc_id", F.explode(F.array(F.when(F.contains("text", F.lit("tion")), "a"), F.when(F.contains("text", F.lit("heit")), "b"))).alias("project"))
+    return S.numbered_list(doc_lines(spark, sf_dir), ["doc_id"], "^[A-D]", projects=found).select("doc_id", "line_no", "n_lines", "project")
+
+
+@plans.add("f8_header_lines", """SELECT p_partkey, 2 AS block, i AS place, ['Brand', 'Category', 'Note'][i] AS label, [p_brand, p_name, 'n' || p_size][i] AS value FROM part, range(1, 4) r(i) WHERE p_partkey % 3 = 0
+UNION ALL SELECT p_partkey, 1, i, ['Brand', 'Category'][i], [p_brand, p_type][i] FROM part, range(1, 3) r(i) WHERE p_partkey % 3 = 1""")
+def f8_lines(spark, sf_dir):
+    """By part key: 0 tabs below a plain line, 1 bars, 2 headers twice and too few values."""
+    k = F.col("p_partkey") % 3
+    tabbed = F.concat_ws("\n", F.lit("see below"), F.lit("Brand\tCategory\tNote"), F.concat_ws("\t", "p_brand", "p_name", F.concat(F.lit("n"), "p_size")))
+    barred = F.concat_ws("\n", F.lit("Brand | Category"), F.concat_ws(" | ", "p_brand", "p_type"))
+    rest = F.concat_ws("\n", F.lit("Brand  Category"), F.lit("Brand  Category"), F.col("p_brand"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.when(k == 0, tabbed).when(k == 1, barred).otherwise(rest).alias("text"))
+    return S.header_lines(S.lines(rows, ["p_partkey"], "text"), ["p_partkey"], "line_no", F.col("cell").isin("Brand", "Category"))
+
+
 @plans.add("f7_scope_lines", f"""WITH {LINES}, f AS (SELECT *, contains(line, 'the') AS mine, contains(line, 'ing') AND NOT contains(line, 'the') AS other, contains(line, 'an') AS lab FROM n),
 o AS (SELECT *, coalesce(last_value(CASE WHEN mine THEN true WHEN other THEN false END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING), false) AS open FROM f) SELECT doc_id, line_no FROM o WHERE mine OR (open AND lab AND NOT other)""")
 def f7(spark, sf_dir):
@@ -254,15 +335,18 @@ def j7(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", A.classify_exactly_one(F.col("p_name"), {"r": "ring", "e": "re", "b": "blue"}).alias("v"))
 
 
-CASES = "d AS (SELECT o_orderkey AS k, CASE o_orderkey % 9 WHEN 0 THEN ' ' WHEN 1 THEN 'Unknown' WHEN 2 THEN 'a@b.de' WHEN 3 THEN '+49 30 1234' WHEN 4 THEN 'AB-12345' WHEN 5 THEN 'Max Meier' WHEN 6 THEN 'form.pdf' WHEN 7 THEN 'Please send' ELSE 'Sea Trade Ltd' END AS company, CASE WHEN o_orderkey % 4 = 0 THEN 'TBD' ELSE 'agent' END AS agent, CASE WHEN o_orderstatus = 'P' THEN '' ELSE o_orderpriority END AS project, o_orderkey % 6 <> 0 AS matched, CASE WHEN o_orderkey % 5 = 0 THEN 'ask' ELSE 'register' END AS request FROM orders)"
-CODES = "list_filter([CASE k % 9 WHEN 0 THEN 'FIELD_MISSING' WHEN 1 THEN 'COMPANY_PLACEHOLDER' WHEN 2 THEN 'COMPANY_EMAIL' WHEN 3 THEN 'COMPANY_CONTACT_OR_ID' WHEN 4 THEN 'COMPANY_CODE_ONLY' WHEN 5 THEN 'COMPANY_PERSON_NAME' WHEN 6 THEN 'COMPANY_FILENAME' WHEN 7 THEN 'COMPANY_SENTENCE' END, CASE WHEN agent = 'TBD' THEN 'AGENT_PLACEHOLDER' END, CASE WHEN project = '' THEN 'FIELD_MISSING' WHEN NOT matched THEN 'PROJECT_UNMATCHED' WHEN project NOT LIKE '%-%O%' THEN 'PROJECT_UNSUPPORTED' END, CASE WHEN request <> 'register' THEN 'INTENT_UNCERTAIN' END], lambda x: x IS NOT NULL)"
+VALUES = (" ", "Unknown", "a@b.de", "+49 30 1234", "AB-12345", "Max Meier", "form.pdf", "Please send", "Sea Trade Ltd", "德国WEEE EG0001 Sea Trade Ltd", "不能与其它公司", "2家公司-x", "ab\tcde", "EG-0001 Sea Trade Ltd")
+KINDS = ("FIELD_MISSING", "COMPANY_PLACEHOLDER", "COMPANY_EMAIL", "COMPANY_CONTACT_OR_ID", "COMPANY_CODE_ONLY", "COMPANY_PERSON_NAME", "COMPANY_FILENAME", "COMPANY_SENTENCE", "COMPANY_EQUALS_AGENT", "COMPANY_CODE_MIXED", "COMPANY_FORM_NOTE", "COMPANY_PLACEHOLDER", "COMPANY_CONTROL_CHAR", "COMPANY_CODE_MIXED")
+LIST = "[" + ", ".join("'" + v.replace("\t", "' || chr(9) || '") + "'" for v in VALUES) + "]"
+CASES = f"d AS (SELECT o_orderkey AS k, {LIST}[o_orderkey % 14 + 1] AS company, CASE WHEN o_orderkey % 4 = 0 THEN 'TBD' ELSE 'agent' END AS agent, CASE WHEN o_orderstatus = 'P' THEN '' ELSE o_orderpriority END AS project, o_orderkey % 6 <> 0 AS matched, CASE WHEN o_orderkey % 5 = 0 THEN 'ask' ELSE 'register' END AS request FROM orders)"
+CODES = f"list_filter([CASE WHEN k % 14 <> 8 OR k % 3 = 0 THEN {list(KINDS)}[k % 14 + 1] END, CASE WHEN agent = 'TBD' THEN 'AGENT_PLACEHOLDER' END, CASE WHEN project = '' THEN 'FIELD_MISSING' WHEN NOT matched THEN 'PROJECT_UNMATCHED' WHEN project NOT LIKE '%-%O%' THEN 'PROJECT_UNSUPPORTED' END, CASE WHEN request <> 'register' THEN 'INTENT_UNCERTAIN' END], lambda x: x IS NOT NULL)"
 
 
 def cases(spark, sf_dir):
     k = F.col("o_orderkey")
-    values = F.array(*[F.lit(v) for v in (" ", "Unknown", "a@b.de", "+49 30 1234", "AB-12345", "Max Meier", "form.pdf", "Please send", "Sea Trade Ltd")])
-    rows = table(spark, sf_dir, "orders").select(k.alias("k"), F.element_at(values, (k % 9 + 1).cast("int")).alias("company"), F.when(k % 4 == 0, "TBD").otherwise("agent").alias("agent"), F.when(F.col("o_orderstatus") == "P", "").otherwise(F.col("o_orderpriority")).alias("project"), (k % 6 != 0).alias("matched"), F.when(k % 5 == 0, "ask").otherwise("register").alias("request"), F.lit("medium").alias("confidence"), F.lit("").alias("hint"))
-    return A.validate(rows, {n: n for n in ("company", "agent", "project", "matched", "request")}, ("register", "add"), "-.*O", ("unknown",), ("Please",), ("tbd",))
+    values = F.array(*[F.lit(v) for v in VALUES])
+    rows = table(spark, sf_dir, "orders").select(k.alias("k"), F.element_at(values, (k % 14 + 1).cast("int")).alias("company"), F.when(k % 4 == 0, "TBD").otherwise("agent").alias("agent"), F.when(F.col("o_orderstatus") == "P", "").otherwise(F.col("o_orderpriority")).alias("project"), (k % 6 != 0).alias("matched"), F.when(k % 5 == 0, "ask").otherwise("register").alias("request"), F.lit("medium").alias("confidence"), F.lit("").alias("hint"))
+    return A.validate(rows, {n: n for n in ("company", "agent", "project", "matched", "request")}, ("register", "add"), "-.*O", Words(placeholders=("unknown",), starts=("Please",)), ("tbd",), F.col("k") % 3 == 0)
 
 
 @plans.add("j8_validate", f"WITH {CASES} SELECT k, {CODES} AS codes FROM d")
@@ -296,11 +380,17 @@ def j11(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", v.alias("v"))
 
 
-@plans.add("j17_outcome_reason", "SELECT o_orderkey, CASE WHEN o_orderkey % 6 = 0 THEN 'yes' ELSE 'no' END AS recorded, ['', 'not looked up yet', 'timeout', 'several candidates', 'items missing', 'no order found'][o_orderkey % 6 + 1] AS reason FROM orders")
+REASONS = (("no", "not looked up yet"), ("no", "by hand"), ("no", "filtered"), ("no", "skipped"), ("no", "timeout"), ("no", "several candidates"), ("no", "date differs"), ("no", "items missing"), ("no", "items pending"), ("yes", ""), ("no", "no order found"), ("no", "unclear"))
+
+
+@plans.add("j17_outcome_reason", f"SELECT o_orderkey, {[r for r, _ in REASONS]}[o_orderkey % 12 + 1] AS recorded, {[w for _, w in REASONS]}[o_orderkey % 12 + 1] AS reason FROM orders".replace('"', "'"))
 def j17(spark, sf_dir):
-    k = F.col("o_orderkey") % 6
-    none = F.lit(None).cast("string")
-    v = A.outcome_reason(F.when(k == 1, "stage1_pending").otherwise("done"), F.when(k == 2, "lookup failed"), F.when(k == 3, "multi match"), F.when(k == 5, "no").otherwise("yes"), k == 4, F.when(k == 4, "missing"), F.when(k == 2, "timeout"))
+    k = F.col("o_orderkey") % 12
+    pick = lambda **at: F.coalesce(*[F.when(k == int(n[1:]), F.lit(v)) for n, v in at.items()])
+    state = F.coalesce(pick(k0="stage1_pending", k1="stage1_review", k2="stage1_filtered", k3="skipped"), F.lit("done"))
+    match = pick(k5="multi match", k6="date differs")
+    found = F.coalesce(pick(k10="no", k11="open"), F.lit("yes"))
+    v = A.outcome_reason(state, pick(k4="lookup failed"), match, found, k.isin(7, 8), pick(k7="missing"), pick(k1="by hand", k4="timeout"))
     return table(spark, sf_dir, "orders").select("o_orderkey", v.alias("v")).select("o_orderkey", "v.*")
 
 
@@ -312,26 +402,65 @@ def j18(spark, sf_dir):
     return A.report_rows(items, "l_orderkey", "items", F.col("l_orderkey") % 2 == 0)
 
 
-@plans.add("j20_bind_applicants", "WITH o AS (SELECT l_orderkey, arg_min(l_returnflag, (l_linenumber, l_returnflag)) AS v FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1), a AS (SELECT l_orderkey, arg_min(l_returnflag, (l_linenumber, l_returnflag)) AS v FROM lineitem WHERE l_linestatus = 'O' GROUP BY 1) SELECT coalesce(o.l_orderkey, a.l_orderkey) AS l_orderkey, coalesce(o.v, a.v) AS name, CASE WHEN o.v IS NOT NULL THEN a.v END AS alias FROM o FULL JOIN a ON o.l_orderkey = a.l_orderkey")
+@plans.add("j20_bind_applicants", """WITH s AS (SELECT l_orderkey AS file, l_linenumber AS s, l_linenumber // 2 AS g, bool_or(l_linestatus = 'F') AS o, bool_or(l_linestatus = 'O') AS t FROM lineitem GROUP BY ALL),
+j AS (SELECT file, g, count(*) FILTER (o) = 2 OR count(*) FILTER (t) = 2 AS one FROM s GROUP BY ALL),
+r AS (SELECT s.file, s, CASE WHEN one THEN -s.g - 1 ELSE s END AS k, CASE WHEN o THEN 'Name ' || s.g ELSE 'Other ' || s.g END AS name, CASE WHEN o AND t THEN 'Other ' || s.g END AS alias FROM s JOIN j ON s.file = j.file AND s.g = j.g)
+SELECT file, first(name ORDER BY alias IS NULL, s) AS name, first(alias ORDER BY alias IS NULL, s) AS alias, list(s ORDER BY s) AS sheets FROM r GROUP BY file, k""")
 def j20(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_returnflag").alias("name"), F.struct("l_linenumber", "l_returnflag").alias("priority"), F.when(F.col("l_linestatus") == "F", "own").otherwise("en").alias("lang"))
-    return A.bind_applicants(rows, ["l_orderkey"], "name", "priority", "lang")
+    """Line numbers as sheets: two in a row name the same applicant, in its own language or another."""
+    pair = F.floor(F.col("l_linenumber") / 2)
+    own = F.col("l_linestatus") == "F"
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("file"), F.col("l_linenumber").alias("sheet"), F.concat(F.when(own, "Name ").otherwise("Other "), pair).alias("name"), F.lit(1).alias("priority"), F.when(own, "own").otherwise("en").alias("lang"))
+    return A.bind_applicants(rows, "file", "sheet", "name", "priority", "lang")
+
+
+@plans.add("j20_bind_projects", """SELECT o_orderkey AS mail, 'f' || o_orderkey AS file, 'Sea ' || o_custkey AS name,
+CASE o_orderkey % 6 WHEN 0 THEN 'form p' WHEN 1 THEN 'group p' WHEN 2 THEN 'group p' WHEN 3 THEN 'file p' WHEN 4 THEN 'declared p' END AS project, ['form', 'group', 'group', 'file', 'declared', 'none'][o_orderkey % 6 + 1] AS source FROM orders""")
+def j20_projects(spark, sf_dir):
+    """By order key: 0 has all sources, 1 to 4 lack the first ones, 5 has two declared projects only."""
+    k = F.col("o_orderkey")
+    rows = table(spark, sf_dir, "orders").select(k.alias("mail"), F.concat(F.lit("f"), k).alias("file"), F.concat(F.lit("Sea "), "o_custkey").alias("name"), F.when(k % 6 == 2, F.concat(F.lit("Other "), "o_custkey")).alias("alias"))
+    up_to = lambda n: rows.where(F.col("mail") % 6 <= n)
+    forms, files = up_to(0).select("file", F.lit("form p").alias("project")), up_to(3).select("file", F.lit("file p").alias("project"))
+    groups = up_to(2).select("mail", F.upper(F.coalesce("alias", "name")).alias("company"), F.lit("group p").alias("project"))
+    declared = rows.select("mail", F.explode(F.when(F.col("mail") % 6 == 5, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array(F.lit("declared p")))).alias("project"))
+    return A.bind_projects(rows, "file", forms, groups, files, declared, "mail")
 
 
 QUERIES["j21_rule_projects"] = lambda spark, sf_dir: A.rule_projects(table(spark, sf_dir, "part"), "p_partkey", "p_name", table(spark, sf_dir, "part").select(F.substring_index("p_name", " ", 1).alias("name"), F.substring_index("p_name", " ", 1).alias("alias")).distinct(), table(spark, sf_dir, "part").select(F.substring_index("p_name", " ", -1).alias("name"), F.substring_index("p_name", " ", -1).alias("alias")).distinct())
 ORACLES["j21_rule_projects"] = "SELECT p_partkey, split_part(p_name, ' ', 1) AS country, split_part(p_name, ' ', 2) AS service FROM part"
 
 
-@plans.add("j22_extract_items", "WITH r AS (SELECT l_orderkey, l_returnflag AS brand, l_linestatus AS category, l_linenumber % 2 = 0 AS rec FROM lineitem), k AS (SELECT DISTINCT l_orderkey FROM r WHERE rec) SELECT l_orderkey, brand, category, CASE WHEN rec THEN 'record' ELSE 'text' END AS source FROM r WHERE rec OR l_orderkey NOT IN (SELECT l_orderkey FROM k)")
+@plans.add("j22_extract_items", """WITH v AS (SELECT p_partkey, p_partkey % 6 AS m, p_brand FROM part)
+SELECT p_partkey, p_brand AS brand, 'red item' AS category, 'record' AS source, 2::BIGINT AS mentions, 'matched' AS status, '1' AS category_class FROM v WHERE m = 0
+UNION ALL SELECT p_partkey, unnest(['Zed', 'Yak']), 'red lamp', 'text', 1, 'matched', '1' FROM v WHERE m = 1
+UNION ALL SELECT p_partkey, 'Zed', 'class 3', 'text', 1, 'matched', '3' FROM v WHERE m = 2
+UNION ALL SELECT p_partkey, 'A1', 'ring', 'text', 1, 'matched', '3' FROM v WHERE m = 3 UNION ALL SELECT p_partkey, 'B2', 'bolt', 'text', 1, 'matched', '6' FROM v WHERE m = 3
+UNION ALL SELECT p_partkey, NULL, 'gizmo', 'text', 1, 'ambiguous', '' FROM v WHERE m = 5""")
 def j22(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_returnflag").alias("brand"), F.col("l_linestatus").alias("category"), (F.col("l_linenumber") % 2 == 0).alias("rec"))
-    return A.extract_items(rows.where("rec").drop("rec"), rows.where("not rec").drop("rec"), "l_orderkey")
+    """By part key: 0 has two records of one item and a text that doesn't count, 1 to 5 only texts, 4 without items."""
+    part = table(spark, sf_dir, "part")
+    texts = ("Brand: not used", "Brand: Zed, Yak\nCategory: red lamp", "we add brand Zed class 3", "Brand: A1, B2; Category: ring, bolt", "nothing at all", "Category: gizmo")
+    rows = part.select("p_partkey", F.element_at(F.array(*[F.lit(t) for t in texts]), (F.col("p_partkey") % 6 + 1).cast("int")).alias("text"))
+    records = part.where("p_partkey % 6 = 0").select("p_partkey", F.col("p_brand").alias("brand"), F.explode(F.array(F.lit("red item"), F.lit("Red-item"))).alias("category"))
+    found = A.extract_items(records.union(part.where("p_partkey % 6 = 1").select("p_partkey", F.lit(" "), F.lit(None))), rows, "p_partkey", dictionary(spark))
+    return found.withColumn("category", F.when(F.col("source") == "record", F.lower(F.translate("category", "-", " "))).otherwise(F.col("category")))
 
 
-@plans.add("j23_repair_company", "WITH b AS (SELECT l_orderkey, arg_min(l_returnflag, (l_linenumber, l_returnflag, l_linestatus)) AS v, arg_min(l_linestatus, (l_linenumber, l_returnflag, l_linestatus)) AS s FROM lineitem GROUP BY 1) SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN v ELSE o_orderstatus END AS company, CASE WHEN o_orderstatus = 'P' THEN s ELSE 'own' END AS company_source FROM orders LEFT JOIN b ON l_orderkey = o_orderkey")
+@plans.add("j23_repair_company", """SELECT o_orderkey, CASE o_orderkey % 8 WHEN 0 THEN 'Sea' || o_custkey || ' Trade Ltd' WHEN 1 THEN 'Sun Trade GmbH' WHEN 2 THEN 'Old Mill Ltd' WHEN 3 THEN 'Blue Sea Ltd' WHEN 4 THEN 'Sea Trade Ltd' WHEN 5 THEN 'Own Ltd' WHEN 6 THEN '深圳太阳有限公司' END AS company,
+['body', 'body', 'subject', 'file', 'split', 'own', 'record', NULL][o_orderkey % 8 + 1] AS company_source FROM orders""")
 def j23(spark, sf_dir):
-    found = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_returnflag").alias("value"), F.col("l_linenumber").alias("rank"), F.col("l_linestatus").alias("source"))
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") == "P", " ").otherwise(F.col("o_orderstatus")).alias("company"))
+    """By order key: a label in the body, a label over its value, the subject, a file's name, a code in front, its own, the
+    located record (the agent's name in front), nothing."""
+    k = F.col("o_orderkey")
+    m = k % 8
+    rows = table(spark, sf_dir, "orders").select(
+        "o_orderkey", F.when(m == 3, "tbd").when(m == 4, "AB-1234 Sea Trade Ltd").when(m == 5, "Own Ltd").when(m != 2, " ").alias("company"),
+        F.when(m == 0, F.concat(F.lit("dear all\nCompany: Sea"), F.col("o_custkey"), F.lit(" Trade Ltd\nbye"))).when(m == 1, "Company name:\n\nSun Trade GmbH").when(m == 6, "company: Wrong Ltd").otherwise("hello").alias("body"),
+        F.when(m == 2, "register Old Mill Ltd now").otherwise("hi").alias("subject"), F.when(m == 3, F.array(F.lit("de-Blue Sea Ltd-form.pdf"))).alias("files"), F.concat(F.lit("f"), k).alias("file"), F.lit("Acme").alias("agent"),
+    )
+    records = rows.where("o_orderkey % 8 = 6").select("file", F.lit("Acme深圳太阳有限公司").alias("company")).union(rows.where("o_orderkey % 8 = 7").select("file", F.explode(F.array(F.lit("A One Ltd"), F.lit("B Two Ltd")))))
+    found = A.company_evidence(rows, "o_orderkey", "body", "subject", "files").unionByName(A.located_records(rows, records, "o_orderkey", ["file"], "agent"))
     return A.repair_company(rows, found, "o_orderkey", "company").select("o_orderkey", "company", "company_source")
 
 
@@ -363,12 +492,12 @@ def j27(spark, sf_dir):
     return A.item_set_status(rows, table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("owner")), "owner", "category", "s")
 
 
-@plans.add("j28_quarantine_company", f"WITH {CASES}, q AS (SELECT k, company, k % 9 IN (0, 2, 3, 4, 6) AS bad FROM d) SELECT k, CASE WHEN bad THEN company END AS company_original, bad AS quarantined, CASE WHEN bad THEN '' ELSE company END AS company FROM q")
+@plans.add("j28_quarantine_company", f"WITH {CASES}, q AS (SELECT k, company, k % 14 IN (0, 2, 3, 4, 5, 6, 10, 11, 12) AS bad FROM d) SELECT k, CASE WHEN bad THEN company END AS company_original, bad AS quarantined, CASE WHEN bad THEN '' ELSE company END AS company FROM q")
 def j28(spark, sf_dir):
     rows = cases(spark, sf_dir).select("k", "company")
     return A.quarantine_company(rows, "company", company_noise(F.col("company"))).select("k", "company_original", "quarantined", "company")
 
 
-@plans.add("j29_sanitize_groups", f"WITH {CASES} SELECT k, trim(company) AS company, trim(company) = '' AS flagged FROM d WHERE NOT starts_with(lower(company), 'please')")
+@plans.add("j29_sanitize_groups", f"WITH {CASES} SELECT k, CASE WHEN k % 14 = 12 THEN 'cde' ELSE trim(company) END AS company, trim(company) = '' AS flagged FROM d WHERE NOT starts_with(lower(company), 'please')")
 def j29(spark, sf_dir):
     return A.sanitize_groups(cases(spark, sf_dir).select("k", "company"), "company", ("please",))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tallyspark.functions.text import distinct_by
 from tallyspark.operators import ledger as L
 from tallyspark.operators import resolve as R
 
@@ -12,13 +13,13 @@ from .base import Plans, table
 plans = Plans()
 QUERIES, ORACLES = plans.queries, plans.oracles
 
-ADDRESSES = r"a AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[A-Za-z0-9_.+-]+@[A-Za-z0-9_.-]+\.[A-Za-z]{2,}')) AS email FROM documents WHERE doc_id IS NOT NULL)"
+ADDRESSES = r"a AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[A-Za-z0-9_.+-]+@[A-Za-z0-9_.-]+\.[A-Za-z]{2,}')) AS email FROM documents)"
 
 
 def addresses(spark, sf_dir):
     from tallyspark.functions.text import all_addresses
 
-    return table(spark, sf_dir, "documents").where("doc_id is not null").select(F.explode(all_addresses(F.col("text"))).alias("email")).distinct()
+    return table(spark, sf_dir, "documents").select(F.explode(all_addresses(F.col("text"))).alias("email")).distinct()
 
 
 def directory(spark, sf_dir):
@@ -70,6 +71,25 @@ def d4(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", value.alias("agent"), method.alias("method"))
 
 
+AGENTS = ("Agent One", None, "Agent Two", None, "Agent One", "Agent Two", "Agent Three", "Agent Two", None, None)
+METHODS = ("exact", "conflict", "subject", "ambiguous", "domain", "body", "signature", "fuzzy", "none", "fuzzy_unsure")
+
+
+@plans.add("d4_resolve_agents", f"""SELECT o_orderkey, {[a or '' for a in AGENTS]}[o_orderkey % 10 + 1] AS agent, {list(METHODS)}[o_orderkey % 10 + 1] AS method,
+CASE o_orderkey % 10 WHEN 1 THEN ['Agent Two'] WHEN 3 THEN ['Agent One', 'Agent Two'] WHEN 9 THEN ['Agent Two'] ELSE [] END AS candidates FROM orders""")
+def d4_agents(spark, sf_dir):
+    """By order key: each kind of evidence, a domain that disagrees with the subject, one that settles it, and none."""
+    m = F.col("o_orderkey") % 10
+    senders = ("A <A@one.org>", "new@one.org", "new@two.org", "x@else.org", "x@one.org", "x@else.org", "x@else.org", '"Agent Twoo" <x@else.org>', None, "Agnt Tw <x@else.org>")
+    sender = F.element_at(F.array(*[F.lit(s) for s in senders]), (m + 1).cast("int"))
+    subject = F.when(m == 1, "order for acme now").when(m.isin(2, 3), "all of it: shared goods").when(m == 0, "acme").otherwise("hello")
+    body = F.when(m == 5, F.concat(F.lit("write to nobody@no.org or C@two.org, order "), "o_orderkey")).when(m == 6, "hello\nregards\n\nzed team")
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", sender.alias("sender"), subject.alias("subject"), body.alias("body"))
+    directory = spark.createDataFrame([("a@one.org", "Agent One"), ("b@one.org", "Agent One"), ("c@two.org", "Agent Two"), ("d@mail.com", "Agent Three")], "email string, agent string")
+    aliases = spark.createDataFrame([("acme", ["Agent Two"]), ("shared", ["Agent One", "Agent Two"]), ("zed", ["Agent Three"])], "alias string, officials array<string>")
+    return R.resolve_agents(rows, "o_orderkey", "sender", "subject", "body", directory, aliases, ["mail.com"]).withColumn("agent", F.coalesce("agent", F.lit("")))
+
+
 @plans.add("d5_body_addresses", rf"WITH {DIRECTORY}, x AS (SELECT doc_id, regexp_extract_all(lower(text), '[A-Za-z0-9_.+-]+@[A-Za-z0-9_.-]+\.[A-Za-z]{{2,}}') AS l FROM documents), e AS (SELECT doc_id, unnest(l) AS email, generate_subscripts(l, 1) AS pos FROM x) SELECT doc_id, arg_min(e.email, pos) AS email, arg_min(agent, pos) AS agent FROM e JOIN d USING (email) WHERE len(email) % 2 = 0 GROUP BY doc_id")
 def d5(spark, sf_dir):
     return R.lookup_body_addresses(table(spark, sf_dir, "documents"), "doc_id", F.col("text"), directory(spark, sf_dir).where(F.length("email") % 2 == 0))
@@ -79,7 +99,7 @@ def d5(spark, sf_dir):
 t AS (SELECT doc_id, l[greatest(len(l) - 9, 1):] AS l FROM k), e AS (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS no FROM t), h AS (SELECT * FROM e JOIN i ON contains(line, alias)),
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY no DESC, len(alias) DESC, encode(alias) DESC) AS place FROM h) SELECT doc_id, alias, officials FROM r WHERE place = 1""")
 def d6(spark, sf_dir):
-    return R.match_signature(table(spark, sf_dir, "documents").where("text is not null"), "doc_id", "text", aliases(spark, sf_dir))
+    return R.match_signature(table(spark, sf_dir, "documents"), "doc_id", "text", aliases(spark, sf_dir))
 
 
 #: Common subsequences of every pair of names that can reach 80, by a recursive table.
@@ -109,7 +129,7 @@ ORACLES["d7_fuzzy_lookup"] = f"WITH RECURSIVE {FUZZY.split('WITH RECURSIVE ', 1)
 @plans.add("d9_standardize_projects", """WITH b AS (SELECT p_partkey, p_brand || CASE WHEN p_partkey % 3 = 0 THEN ' + ' || p_type || ' + odd' ELSE '' END AS raw FROM part),
 n AS (SELECT DISTINCT p_brand AS name FROM part UNION SELECT DISTINCT p_type FROM part), x AS (SELECT p_partkey, 0 AS part_no, raw AS part, raw AS project, 'exact' AS stage FROM b WHERE p_partkey % 3 <> 0),
 y AS (SELECT p_partkey, i - 1 AS part_no, trim(string_split(raw, '+')[i]) AS part FROM b, range(1, 4) r(i) WHERE p_partkey % 3 = 0)
-SELECT * FROM x UNION ALL SELECT p_partkey, part_no, part, part, CASE WHEN part_no = 2 THEN 'unmatched' ELSE 'part' END FROM y""")
+SELECT *, true AS matched FROM x UNION ALL SELECT p_partkey, part_no, part, part, CASE WHEN part_no = 2 THEN 'unmatched' ELSE 'part' END, part_no <> 2 FROM y""")
 def d9(spark, sf_dir):
     part = table(spark, sf_dir, "part")
     raw = F.when(F.col("p_partkey") % 3 == 0, F.concat_ws(" + ", "p_brand", "p_type", F.lit("odd"))).otherwise(F.col("p_brand"))
@@ -118,16 +138,48 @@ def d9(spark, sf_dir):
     return R.standardize_projects(part.select("p_partkey", raw.alias("raw")), "p_partkey", "raw", projects, combos)
 
 
+#: Raw values and what they become: (raw, context, [(part, project, stage, matched), ...]).
+RAW = (
+    ("Germany WEEE", "", (("Germany WEEE", "Germany WEEE", "exact", True),)),
+    ("big set", "", (("Germany WEEE", "Germany WEEE", "combo", True), ("France WEEE", "France WEEE", "combo", True))),
+    ("germany  weee + Poland battery", "", (("germany  weee", "Germany WEEE", "part", True), ("Poland battery", "Poland battery", "part", True))),
+    ("Germany and France WEEE", "", (("GermanyWEEE", "Germany WEEE", "part", True), ("FranceWEEE", "France WEEE", "part", True))),
+    ("Germany WEEEE", "", (("Germany WEEEE", "Germany WEEE", "similar", True),)),
+    ("WEEE", "for France please", (("WEEE", "France WEEE", "service", True),)),
+    ("Poland", "the battery law", (("Poland", "Poland battery", "country", True),)),
+    ("German WEEX", "", (("German WEEX", "Germany WEEE", "whole", True),)),
+    ("quite unknown", "Germany", (("quite unknown", "quite unknown", "unmatched", False),)),
+    ("odd / Germany WEEE", "", (("odd", "odd", "unmatched", False), ("Germany WEEE", "Germany WEEE", "part", True))),
+    (" ", "Germany WEEE", ()),
+)
+MADE = ", ".join(f"({i}, {no}, '{part}', '{project}', '{stage}', {str(matched).lower()})" for i, (_, _, parts) in enumerate(RAW) for no, (part, project, stage, matched) in enumerate(parts))
+
+
+@plans.add("d9_projects_by_stage", f"SELECT p_partkey, part_no, part, project, stage, matched FROM part JOIN (VALUES {MADE}) v(i, part_no, part, project, stage, matched) ON i = p_partkey % {len(RAW)}")
+def d9_stages(spark, sf_dir):
+    pick = lambda n: F.element_at(F.array(*[F.lit(row[n]) for row in RAW]), (F.col("p_partkey") % len(RAW) + 1).cast("int"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", pick(0).alias("raw"), pick(1).alias("about"))
+    projects = spark.createDataFrame([("Germany WEEE",), ("France WEEE",), ("Germany packaging",), ("Poland battery",)], "name string")
+    combos = spark.createDataFrame([("Big Set", "Germany WEEE", 0), ("Big Set", "France WEEE", 1)], "name string, part string, part_no int")
+    countries = spark.createDataFrame([(n, n) for n in ("Germany", "France", "Poland")], "name string, alias string")
+    services = spark.createDataFrame([("WEEE", "weee", 1), ("battery", "battery", 2), ("packaging", "packaging", 3)], "name string, alias string, rank int")
+    return R.standardize_projects(rows, "p_partkey", "raw", projects, combos, countries, services, "about")
+
+
 QUERIES["d10_model_projects"] = lambda spark, sf_dir: R.match_model_projects(names(spark, sf_dir), table(spark, sf_dir, "part").select(F.substring_index("p_name", " ", -1).alias("word")).distinct(), "p_name", "word")
 
 
 ORACLES["d10_model_projects"] = "SELECT DISTINCT replace(lower(p_name), ' ', '') AS p_name, lower(split_part(p_name, ' ', 2)) AS word, 100 AS score FROM part"
 
 
-@plans.add("b21_country_of", "WITH c AS (SELECT n_name AS name, lower(n_name) AS alias FROM nation), h AS (SELECT o_orderkey, name, alias, lower('NATION_' || o_custkey || ' order') AS t FROM orders JOIN c ON contains(lower('NATION_' || o_custkey || ' order'), alias)), r AS (SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY len(alias) DESC, name) AS no FROM h) SELECT o_orderkey, name FROM r WHERE no = 1")
+@plans.add("b21_country_of", "SELECT o_orderkey, ['Germany', 'Germany', 'Guinea-Bissau', 'Guinea', 'France', 'Poland'][o_orderkey % 7 + 1] AS name FROM orders WHERE o_orderkey % 7 < 6")
 def b21(spark, sf_dir):
-    countries = table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), F.col("n_name").alias("alias"), F.lit("own").alias("lang"))
-    return R.country_of(table(spark, sf_dir, "orders").withColumn("t", F.concat(F.lit("NATION_"), "o_custkey", F.lit(" order"))), "o_orderkey", "t", countries)
+    """By order key: an own prefix before another language's, a prefix in another language, the longer and the shorter of
+    two prefixes, a contained name, the longer of two contained ones, none."""
+    texts = ("GERMANY needs Frankreich", "deutschland, not france", "Guinea-Bissau order", "guinea order", "order for France", "an oman or Poland order", "nothing")
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.element_at(F.array(*[F.lit(t) for t in texts]), (F.col("o_orderkey") % 7 + 1).cast("int")), F.lit(" "), F.col("o_custkey")).alias("t"))
+    names = [("Germany", "Germany", "own"), ("Germany", "Deutschland", "de"), ("France", "France", "own"), ("France", "Frankreich", "de"), ("Guinea", "Guinea", "own"), ("Guinea-Bissau", "Guinea-Bissau", "own"), ("Poland", "Poland", "own"), ("Oman", "Oman", "own")]
+    return R.country_of(rows, "o_orderkey", "t", spark.createDataFrame(names, "name string, alias string, lang string"))
 
 
 SIBLINGS = "r AS (SELECT l_orderkey AS mail, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_returnflag AS v, CASE WHEN l_linestatus = 'O' THEN 'a' ELSE 'n' END AS suggested, l_linestatus = 'F' AS ok FROM lineitem)"
@@ -171,6 +223,32 @@ def d24(spark, sf_dir):
     return R.best_source(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
 
 
+@plans.add("d23_text_groups", "WITH r AS (SELECT p_brand, p_partkey, p_name AS project FROM part WHERE p_size < 3), c AS (SELECT p_brand, count(*) AS n FROM r GROUP BY 1) SELECT r.p_brand, project, n AS n_expected, 'record' AS origin FROM r JOIN c USING (p_brand) UNION ALL SELECT p_brand, p_type, NULL, 'text' FROM part WHERE p_size > 45 AND p_brand NOT IN (SELECT p_brand FROM c)")
+def d23_groups(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    records = part.where("p_size < 3").select("p_brand", "p_partkey", F.col("p_name").alias("project"))
+    texts = part.where("p_size > 45").select("p_brand", F.col("p_type").alias("project"))
+    return R.record_groups(records, texts.where("false"), "p_brand", ["p_partkey"], "project", texts).select("p_brand", "project", "n_expected", "origin")
+
+
+@plans.add("d24_project_sources", """WITH f AS (SELECT DISTINCT l_orderkey AS m, l_returnflag AS p FROM lineitem WHERE l_orderkey % 6 IN (1, 2, 3)), n AS (SELECT m, count(*) AS n, bool_or(p = 'R') AS r FROM f GROUP BY m), k AS (SELECT DISTINCT l_orderkey AS m FROM lineitem)
+SELECT m AS mail, 'B' AS project, 'bound form' AS source, false AS flagged FROM k WHERE m % 6 = 0
+UNION ALL SELECT m, p, 'checked form', false FROM f WHERE m % 6 = 1
+UNION ALL SELECT f.m, p, 'checked form', n >= 2 AND NOT r FROM f JOIN n ON f.m = n.m WHERE f.m % 6 = 2 AND (NOT (n >= 2 AND r) OR p = 'R')
+UNION ALL SELECT f.m, p, 'checked form', n >= 2 FROM f JOIN n ON f.m = n.m WHERE f.m % 6 = 3
+UNION ALL SELECT m, 'extra', 'checked form', false FROM k WHERE m % 6 = 3
+UNION ALL SELECT m, 'R', 'declared', false FROM k WHERE m % 6 = 4 UNION ALL SELECT m, 'r', 'rules', false FROM k WHERE m % 6 = 5""")
+def d24_sources(spark, sf_dir):
+    """By order key: 0 bound, 1 a form alone, 2 a form narrowed by what is declared, 3 one that declares nothing in common
+    and plain files, 4 declared, 5 rules only; every mail has rules."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("mail"), F.col("l_returnflag").alias("project"))
+    of = lambda name, *rest: rows.where(F.col("mail") % 6 == rest[0] if len(rest) == 1 else (F.col("mail") % 6).isin(*rest)).select("mail", F.lit(name).alias("project"))
+    form = rows.where((F.col("mail") % 6).isin(1, 2, 3))
+    declared = of("R", 2, 4).union(of("extra", 3)).union(of(" ", 1))
+    every = rows.select("mail", F.lit("r").alias("project"))
+    return R.project_source("mail", of("B", 0), form, of("s", 0), declared, of("t", 0), every, plain=of("extra", 3).union(of("more", 3)))
+
+
 @plans.add("d25_company_source", "SELECT l_orderkey, arg_min(l_returnflag, (l_linenumber, l_returnflag)) AS l_returnflag, min(l_linenumber) AS l_linenumber FROM lineitem WHERE l_returnflag <> 'N' GROUP BY 1")
 def d25(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", F.regexp_replace("l_returnflag", "N", " ").alias("l_returnflag"), "l_linenumber")
@@ -220,6 +298,11 @@ def i1(spark, sf_dir):
     return out.select("event_id", "value", "change", (F.col("first_seen") < now).alias("old"))
 
 
+@plans.add("i1_batch_log", "SELECT 'mail' AS dataset, 'b1' AS batch, 'a file' AS source, count(*) FILTER (day(ts) > 20) AS n_inserted, count(*) FILTER (day(ts) < 10) AS n_updated FROM events")
+def i1_log(spark, sf_dir):
+    return L.batch_log(i1(spark, sf_dir), "mail", "b1", "a file", F.lit("2024-03-01").cast("timestamp")).drop("logged_at")
+
+
 @plans.add("i2_replace_range", "SELECT event_id, CASE WHEN day(ts) BETWEEN 5 AND 9 THEN 'new' ELSE 'old' END AS origin FROM events WHERE NOT (day(ts) BETWEEN 5 AND 9 AND event_id % 3 <> 0)")
 def i2(spark, sf_dir):
     rows = events(spark, sf_dir).select("event_id", "day").withColumn("origin", F.lit("old"))
@@ -235,9 +318,15 @@ def i3(spark, sf_dir):
     return L.drop_refreshed(rows, days, "day").select("event_id")
 
 
-@plans.add("i4_operations", "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events WHERE CAST(ts AS DATE) = DATE '2024-01-07' GROUP BY ALL")
+@plans.add("i4_operations", "SELECT CAST(ts AS DATE) AS day, event_type AS action, CAST(event_id AS VARCHAR) AS record_id, CASE WHEN event_id % 3 = 0 THEN 'r' || user_id ELSE '' END AS reason FROM events WHERE CAST(ts AS DATE) = DATE '2024-01-07'")
 def i4(spark, sf_dir):
-    return events(spark, sf_dir).where("day = date'2024-01-07'").groupBy("day", "event_type").agg(F.count("*").alias("n"))
+    """The first half of the events is the log, the second is appended; one day is read."""
+    rows = events(spark, sf_dir)
+    text = F.lit("")
+    log = rows.where("event_id % 2 = 0").select("day", F.col("event_type").alias("action"), F.col("event_id").cast("string").alias("record_id"), text.alias("mail_id"), F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("r"), "user_id")).otherwise("").alias("reason"), text.alias("result"), F.col("ts").cast("timestamp").alias("at"))
+    fresh = rows.where("event_id % 2 != 0").select(F.col("event_type").alias("action"), F.col("event_id").cast("string").alias("record_id"), F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("r"), "user_id")).alias("reason"), F.col("ts").cast("timestamp").alias("at"))
+    both = L.log_operation(log, fresh, F.lit("2030-01-01").cast("timestamp"))
+    return L.operations(both, F.lit("2024-01-07").cast("date")).select("day", "action", "record_id", "reason")
 
 
 @plans.add("i5_once", "SELECT min(event_id) AS event_id FROM events GROUP BY user_id, event_type, CAST(ts AS DATE)")
@@ -331,6 +420,18 @@ def i15(spark, sf_dir):
     return L.fresh_lookup(rows, F.lit("2024-01-15"), "ts", 7, "version", 2, "found").select("event_id")
 
 
+@plans.add("i15_collapsed_lookup", "WITH g AS (SELECT user_id, event_type, count(*) AS n FROM events WHERE DATE '2024-01-15' - CAST(ts AS DATE) < 7 GROUP BY ALL) SELECT event_id FROM events e JOIN g ON e.user_id = g.user_id AND e.event_type = g.event_type WHERE DATE '2024-01-15' - CAST(ts AS DATE) < 7 AND NOT (e.user_id % 3 + 1 > 1 AND n < e.user_id % 3 + 1)")
+def i15_collapsed(spark, sf_dir):
+    rows = events(spark, sf_dir).withColumns({"version": F.lit(2), "found": F.lit(1), "n_orders": F.col("user_id") % 3 + 1})
+    return L.fresh_lookup(rows, F.lit("2024-01-15"), "ts", 7, "version", 2, "found", ["user_id", "event_type"], "n_orders").select("event_id")
+
+
+@plans.add("i16_history_events", "SELECT user_id, event_type || day(ts) AS g, min(ts) AS ts FROM events GROUP BY ALL")
+def i16_events(spark, sf_dir):
+    rows = events(spark, sf_dir).select("user_id", F.concat("event_type", F.dayofmonth("day")).alias("g"), "ts")
+    return L.history_events(rows, rows, "user_id", "g", "ts")
+
+
 @plans.add("i16_sync_history", "WITH s AS (SELECT user_id, event_type || day(ts) AS g, min(ts) AS ts FROM events GROUP BY ALL) SELECT user_id, min(ts) AS first_seen, max(ts) AS last_seen, count(*) AS n_events FROM s GROUP BY user_id")
 def i16(spark, sf_dir):
     rows = events(spark, sf_dir).withColumn("g", F.concat("event_type", F.dayofmonth("day")))
@@ -356,6 +457,80 @@ def i19(spark, sf_dir):
     return L.item_state(table(spark, sf_dir, "lineitem").withColumn("confirmed", F.col("l_linestatus") == "F"), "l_orderkey", ("R", "A"), "l_returnflag")
 
 
+ITEM = "i AS (SELECT p_brand AS owner, p_partkey AS item, p_name AS brand, p_type AS category, CAST(p_size % 8 AS VARCHAR) AS k, p_partkey % 2 = 0 AS c FROM part)"
+
+
+def part_items(spark, sf_dir):
+    kind = (F.col("p_size") % 8).cast("string")
+    return table(spark, sf_dir, "part").select(F.col("p_brand").alias("owner"), F.col("p_partkey").alias("item"), F.col("p_name").alias("brand"), F.col("p_type").alias("category"), kind.alias("category_class"), F.concat(F.lit("class "), kind).alias("class_name"), F.lit("matched").alias("status"), (F.col("p_partkey") % 2 == 0).alias("confirmed"))
+
+
+@plans.add("i19_item_draft", f"""WITH {ITEM}, d AS (SELECT owner, item FROM i WHERE item % 3 = 0), j AS (SELECT i.*, item % 3 = 0 AS d, item % 9 = 0 AS o, k IN ('1', '2', '3') AS known FROM i)
+SELECT owner, item, CASE WHEN o THEN 'New' ELSE brand END AS brand, CASE WHEN d AND NOT known THEN '' ELSE k END AS category_class, CASE WHEN d THEN CASE WHEN known THEN 'c' || k ELSE '' END ELSE 'class ' || k END AS class_name,
+CASE WHEN d AND NOT known THEN 'unmatched' ELSE 'matched' END AS status, CASE WHEN d THEN c AND known AND NOT o ELSE c END AS confirmed FROM j UNION ALL SELECT owner, -1 - item, 'Added', '', '', 'unmatched', false FROM i WHERE item % 10 = 1""")
+def i19_draft(spark, sf_dir):
+    """Each third item has a draft: each ninth with another brand; classes beyond 3 are unknown; each tenth adds an item."""
+    rows = part_items(spark, sf_dir)
+    drafts = rows.where("item % 3 = 0").select("owner", "item", F.when(F.col("item") % 9 == 0, " New ").otherwise(F.col("brand")).alias("brand"), "category", "category_class")
+    new = rows.where("item % 10 = 1").select("owner", (-1 - F.col("item")).alias("item"), F.lit("Added"), F.lit(None).cast("string"), F.lit("9"))
+    return L.save_item_draft(rows, drafts.union(new), "owner", "item", {"1": "c1", "2": "c2", "3": "c3"}).drop("category")
+
+
+@plans.add("i19_delete_item", f"WITH {ITEM} SELECT owner, item, CASE WHEN item % 4 = 0 THEN 'delete_item' ELSE 'kept' END AS action, brand || ' / ' || category AS reason FROM i")
+def i19_delete(spark, sf_dir):
+    rows = part_items(spark, sf_dir)
+    gone = rows.where("item % 4 = 0").select("owner", "item").union(rows.select("owner", -1 - F.col("item")))
+    left, events = L.delete_item(rows, gone, "owner", "item", F.lit("2024-01-01").cast("timestamp"))
+    return events.drop("at").union(left.select("owner", "item", F.lit("kept"), F.concat_ws(" / ", "brand", "category")))
+
+
+ANSWER = "a AS (SELECT o_orderkey AS seq, 's' || o_custkey % 40 AS sender, CAST(date_trunc('year', o_orderdate) AS DATE) AS sent, o_orderpriority AS subject, 'c' || o_custkey % 5 AS company, 'p' AS project, CASE o_orderstatus WHEN 'F' THEN 'yes' WHEN 'O' THEN 'no' ELSE 'review' END AS found, CASE WHEN o_orderkey % 7 = 0 THEN 'own words' END AS said FROM orders)"
+
+
+def answers(spark, sf_dir):
+    found = F.when(F.col("o_orderstatus") == "F", "yes").when(F.col("o_orderstatus") == "O", "no").otherwise("review")
+    return table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("seq"), F.concat(F.lit("s"), F.col("o_custkey") % 40).alias("sender"), F.trunc("o_orderdate", "year").alias("sent"), F.col("o_orderpriority").alias("subject"), F.concat(F.lit("c"), F.col("o_custkey") % 5).alias("company"), F.lit("p").alias("project"),
+        found.alias("found"), F.when(F.col("o_orderkey") % 7 == 0, "own words").otherwise(" ").alias("match_status"), F.lit("").alias("note"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderkey").cast("string")).alias("record_id"),
+    )
+
+
+def manual(spark, sf_dir):
+    """Answers of keys divisible by 5 are the overlay of an earlier day, the others come now."""
+    rows = answers(spark, sf_dir)
+    stamp = lambda day: F.lit(day).cast("timestamp")
+    none = rows.limit(0).select(*L.IDENTITY, "found", "match_status", "note", F.lit(None).cast("timestamp").alias("checked_at"), F.lit("").alias("detail_key"), *[F.lit(None).cast("timestamp").alias(c) for c in ("first_seen", "updated_at")])
+    old, _ = L.record_manual_outcome(none, rows.where("seq % 5 = 0"), stamp("2024-01-01"))
+    return L.record_manual_outcome(old.drop("change"), rows.where("seq % 5 != 0"), stamp("2024-02-01"))
+
+
+@plans.add("i20_manual_outcome", f"""WITH {ANSWER}, o AS (SELECT sender, sent, subject, company, project, arg_max({{'f': found, 's': said}}, seq) AS v FROM a WHERE seq % 5 = 0 GROUP BY ALL), n AS (SELECT sender, sent, subject, company, project, arg_max({{'f': found, 's': said}}, seq) AS v FROM a WHERE seq % 5 <> 0 GROUP BY ALL),
+b AS (SELECT coalesce(n.sender, o.sender) AS sender, coalesce(n.sent, o.sent) AS sent, coalesce(n.subject, o.subject) AS subject, coalesce(n.company, o.company) AS company, coalesce(n.v, o.v) AS v, CASE WHEN o.sender IS NULL THEN 'inserted' WHEN n.sender IS NULL THEN 'kept' ELSE 'updated' END AS change FROM n FULL JOIN o ON n.sender = o.sender AND n.sent = o.sent AND n.subject = o.subject AND n.company = o.company)
+SELECT sender, sent, subject, company, v.f AS found, coalesce(v.s, CASE v.f WHEN 'yes' THEN 'found by hand' WHEN 'no' THEN 'missing by hand' ELSE 'open by hand' END) AS match_status, change FROM b""")
+def i20(spark, sf_dir):
+    return manual(spark, sf_dir)[0].select("sender", "sent", "subject", "company", "found", "match_status", "change")
+
+
+@plans.add("i20_manual_events", f"WITH {ANSWER} SELECT CAST(seq AS VARCHAR) AS record_id, seq, 'manual_outcome' AS action, coalesce(said, CASE found WHEN 'yes' THEN 'found by hand' WHEN 'no' THEN 'missing by hand' ELSE 'open by hand' END) AS reason FROM a WHERE seq % 5 <> 0 AND seq % 2 = 0")
+def i20_events(spark, sf_dir):
+    return manual(spark, sf_dir)[1].drop("at")
+
+
+@plans.add("i21_enqueue_retry", "WITH r AS (SELECT o_custkey, o_orderpriority, arg_max(o_orderkey, (CASE WHEN o_orderkey % 4 = 0 THEN 0 ELSE 1 END, o_orderdate, o_orderkey)) AS o_orderkey FROM orders GROUP BY ALL) SELECT o_custkey, o_orderpriority, o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN 'asked' ELSE 'pending' END AS status FROM r")
+def i21(spark, sf_dir):
+    """Orders divisible by 4 are the queue, from before; the others are asked for now, some for keys that wait already."""
+    rows = table(spark, sf_dir, "orders").select("o_custkey", "o_orderpriority", "o_orderkey", F.when(F.col("o_orderkey") % 4 == 0, F.col("o_orderdate") - F.expr("interval 100 years")).otherwise(F.col("o_orderdate")).alias("at"))
+    queue = rows.where("o_orderkey % 4 = 0").withColumn("status", F.lit("asked"))
+    return L.enqueue_retry(queue, rows.where("o_orderkey % 4 != 0"), ["o_custkey", "o_orderpriority"], "at").drop("at")
+
+
+@plans.add("d15_scoped_aliases", """WITH x AS (SELECT event_id, user_id || '' AS a, CASE WHEN event_id % 4 = 0 THEN 'project' ELSE '' END AS s, event_type AS p FROM events), t AS (SELECT a FROM x WHERE event_id % 50 = 1), f AS (SELECT *, a || CASE WHEN s = 'project' THEN '|' || p ELSE '' END AS k FROM x WHERE event_id % 50 <> 1)
+SELECT event_id FROM f WHERE (s = 'project' OR a NOT IN (SELECT a FROM t)) AND event_id = (SELECT min(event_id) FROM f g WHERE g.k = f.k AND g.s = f.s)""")
+def d15_scoped(spark, sf_dir):
+    rows = events(spark, sf_dir).select("event_id", F.col("user_id").cast("string").alias("a"), F.when(F.col("event_id") % 4 == 0, "project").alias("scope"), F.col("event_type").alias("project"))
+    return L.alias_dedupe(rows.where("event_id % 50 = 1"), rows.where("event_id % 50 != 1"), ["a"], "event_id", "scope", "project").select("event_id")
+
+
 @plans.add("d13_overlay_newest", "SELECT event_id, CASE WHEN day(ts) > 20 OR (day(ts) > 10 AND event_id % 2 = 0) THEN 'manual' ELSE 'auto' END AS origin FROM events")
 def d13(spark, sf_dir):
     rows = events(spark, sf_dir).select("event_id", "ts", "day")
@@ -377,12 +552,14 @@ def d15(spark, sf_dir):
     return L.alias_dedupe(rows.where("event_id % 50 = 0"), rows.where("event_id % 50 != 0"), ["a", "b"], "event_id").select("event_id")
 
 
-@plans.add("d19_retry", "SELECT o_orderkey, o_custkey IN (SELECT user_id FROM events WHERE event_type = 'error') AS retry, FALSE AS done FROM orders")
+@plans.add("d19_retry", "WITH q AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'error'), d AS (SELECT DISTINCT o_custkey FROM orders WHERE o_orderstatus = 'P') SELECT o_orderkey, o_custkey IN (SELECT user_id FROM q) AS retry, o_custkey IN (SELECT user_id FROM q WHERE user_id NOT IN (SELECT o_custkey FROM d)) AS waits FROM orders")
 def d19(spark, sf_dir):
+    """retry: the customer is in the queue; waits: it still is when the definite results have left the queue."""
     queue = events(spark, sf_dir).where("event_type = 'error'").select(F.col("user_id").alias("o_custkey"))
-    rows = L.retry_mark(table(spark, sf_dir, "orders"), queue, ["o_custkey"])
-    left = L.retry_ack(rows, rows.where("o_orderstatus = 'F'").limit(0), ["o_custkey"], "o_orderstatus", ("F",))
-    return left.select("o_orderkey", "retry", F.lit(False).alias("done"))
+    orders = table(spark, sf_dir, "orders")
+    left = L.retry_ack(queue, orders, ["o_custkey"], "o_orderstatus", ("P",))
+    rows = L.retry_mark(L.retry_mark(orders, queue, ["o_custkey"]).withColumnRenamed("retry", "first"), left, ["o_custkey"])
+    return rows.select("o_orderkey", F.col("first").alias("retry"), F.col("retry").alias("waits"))
 
 
 @plans.add("d19_retry_ack", "SELECT DISTINCT user_id FROM events WHERE user_id NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
@@ -422,7 +599,8 @@ def h2(spark, sf_dir):
 @plans.add("h3_bag_difference", "SELECT user_id, event_type FROM events WHERE event_id % 3 <> 0 EXCEPT ALL SELECT user_id, event_type FROM events WHERE event_id % 3 = 0")
 def h3(spark, sf_dir):
     rows = events(spark, sf_dir)
-    return rows.where("event_id % 3 != 0").select("user_id", "event_type").exceptAll(rows.where("event_id % 3 = 0").select("user_id", "event_type"))
+    left = rows.where("event_id % 3 != 0").select("user_id", "event_type")
+    return L.multiset_except(left, rows.where("event_id % 3 = 0"), ["user_id", "event_type"], ["user_id"])
 
 
 @plans.add("h4_field_changes", "SELECT o_orderkey, 'o_orderstatus' AS field, o_orderstatus AS before, 'X' AS after FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT o_orderkey, 'o_orderpriority', o_orderpriority, NULL FROM orders WHERE o_orderkey % 5 = 0")
@@ -434,7 +612,7 @@ def h4(spark, sf_dir):
 
 @plans.add("h5_distinct_lists", "WITH w AS (SELECT item_id, string_split(lower(text), ' ') AS l FROM benchmark) SELECT item_id, list_filter(l, lambda x, i: list_position(l, x) = i) AS v FROM w")
 def h5(spark, sf_dir):
-    return table(spark, sf_dir, "benchmark").select("item_id", F.array_distinct(F.split(F.lower("text"), " ")).alias("v"))
+    return table(spark, sf_dir, "benchmark").select("item_id", distinct_by(F.split(F.lower("text"), " "), lambda x: x).alias("v"))
 
 
 @plans.add("f10_last_event", "SELECT arg_max(event_id, (ts, event_type)) AS event_id, user_id FROM events GROUP BY user_id")

@@ -85,6 +85,37 @@ def f3(spark, sf_dir):
     return out.select("k", F.col("entered").cast("date").alias("entered"), "days", "tie")
 
 
+#: Work rows that share keys: eight orders a case, so keys, and keys with dates, repeat; some have no date.
+SHARED_WORK = "p AS (SELECT o_orderkey, o_orderkey // 8 AS k, CASE WHEN o_orderkey % 11 <> 0 THEN CAST(date_trunc('month', o_orderdate) AS DATE) END AS anchor FROM orders), l AS (SELECT l_orderkey // 8 AS k, l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_linenumber <> 5 THEN CAST(l_shipdate AS DATE) END AS day FROM lineitem)"
+
+
+def shared_work(spark, sf_dir):
+    k = F.col("o_orderkey")
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.floor(k / 8).alias("k"), F.when(k % 11 != 0, F.trunc("o_orderdate", "month")).alias("anchor"))
+
+
+def shared_ledger(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").select(F.floor(F.col("l_orderkey") / 8).alias("k"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.when(F.col("l_linenumber") != 5, F.col("l_shipdate").cast("date")).alias("entered"))
+
+
+@plans.add("f3_nearest_shared_keys", f"""WITH {SHARED_WORK}, j AS (SELECT o_orderkey, p.k, anchor, day, l_orderkey, l_linenumber, l_partkey, l_suppkey, abs(day - anchor) AS days FROM p JOIN l ON p.k = l.k WHERE anchor IS NOT NULL AND day IS NOT NULL),
+r AS (SELECT *, count(*) OVER (PARTITION BY o_orderkey, days) > 1 AS tie, row_number() OVER (PARTITION BY o_orderkey ORDER BY days, day, l_orderkey, l_linenumber, l_partkey, l_suppkey) AS place FROM j)
+SELECT o_orderkey, day AS entered, l_orderkey, l_linenumber, days, tie FROM r WHERE place = 1""")
+def f3_shared(spark, sf_dir):
+    out = match.nearest_candidate(shared_work(spark, sf_dir), shared_ledger(spark, sf_dir), ["k"], "anchor", "entered", ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"])
+    return out.select("o_orderkey", "entered", "l_orderkey", "l_linenumber", "days", "tie")
+
+
+@plans.add("j1_reconcile_shared_keys", f"""WITH {SHARED_WORK}, j AS (SELECT o_orderkey, p.k, anchor, l.k IS NOT NULL AS there, day, coalesce(day BETWEEN CAST(anchor - INTERVAL 1 MONTH AS DATE) AND CAST(anchor + INTERVAL 1 MONTH AS DATE), false) AS inside, abs(day - anchor) AS gap FROM p LEFT JOIN l ON p.k = l.k),
+c AS (SELECT o_orderkey, k, anchor, count(*) FILTER (inside) AS n_in, count(*) FILTER (there AND (day IS NULL OR anchor IS NULL)) AS n_unknown, count(*) FILTER (there AND day IS NOT NULL AND anchor IS NOT NULL AND NOT inside) AS n_out,
+min(gap) FILTER (inside) AS nearest_days FROM j GROUP BY ALL)
+SELECT k, anchor, n_in, n_out, n_unknown, nearest_days, (SELECT min(day) FROM j WHERE j.o_orderkey = c.o_orderkey AND inside AND gap = nearest_days) AS nearest_date,
+CASE WHEN nearest_days IS NOT NULL THEN (SELECT count(*) > 1 FROM j WHERE j.o_orderkey = c.o_orderkey AND inside AND gap = nearest_days) END AS nearest_tie,
+CASE WHEN n_in + n_unknown = 0 THEN 'missing' WHEN n_in + n_unknown = 1 THEN 'recorded' ELSE 'review' END AS status FROM c""")
+def j1_shared(spark, sf_dir):
+    return match.reconcile(shared_work(spark, sf_dir), shared_ledger(spark, sf_dir), ["k"], "anchor", "entered", 1)
+
+
 ITEMS = """WITH i AS (SELECT l_orderkey AS owner, p_brand AS brand, p_type AS kind, l_returnflag = 'R' AS claim, l_linenumber, l_partkey, l_suppkey, l_shipdate
 FROM lineitem JOIN part ON l_partkey = p_partkey),
 g AS (SELECT owner, brand, kind, count(*) FILTER (claim) AS a, count(*) FILTER (NOT claim) AS b FROM i GROUP BY ALL),
@@ -113,6 +144,26 @@ def j5(spark, sf_dir):
     return j4(spark, sf_dir).select("owner", match.audit_label(F.col("overall")).alias("label"))
 
 
+@plans.add("j4_item_gate", """WITH o AS (SELECT l_orderkey, count(*) FILTER (l_returnflag = 'R') AS n FROM lineitem GROUP BY 1)
+SELECT o_orderkey, coalesce(n, 0) AS n_orders, CASE WHEN coalesce(n, 0) = 0 THEN 'no order' WHEN n > 1 THEN 'several orders' WHEN o_orderkey % 5 = 0 THEN 'detail unread'
+WHEN o_orderkey % 5 = 1 THEN 'columns missing' WHEN o_custkey % 2 = 0 THEN 'detail empty' ELSE '' END AS gate FROM orders LEFT JOIN o ON l_orderkey = o_orderkey""")
+def j4_gate(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    found = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
+    columns = F.when(F.col("o_orderkey") % 5 == 1, F.array(F.lit("brand"))).otherwise(F.array(F.lit("class"), F.lit("brand"), F.lit("x")))
+    read = orders.where("o_orderkey % 5 != 0").select("o_orderkey", columns.alias("columns"), (F.col("o_custkey") % 2).alias("n_rows"))
+    return match.item_gate(orders, "o_orderkey", found, read, ["brand", "class"])
+
+
+@plans.add("j4_gated_outcome", ITEMS.rsplit("SELECT *, CASE", 1)[0] + """, d AS (SELECT l_orderkey AS owner, CASE WHEN count(*) FILTER (l_returnflag = 'N') = 0 THEN 'no order' WHEN count(*) FILTER (l_returnflag = 'N') > 1 THEN 'several orders' ELSE '' END AS gate FROM lineitem GROUP BY 1)
+SELECT s.*, gate, CASE WHEN gate <> '' THEN 'pending' WHEN n_missing > 0 THEN 'missing' WHEN n_matched > 0 THEN 'matched' ELSE 'none' END AS overall FROM s JOIN d USING (owner)""")
+def j4_gated(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("owner"), "l_returnflag")
+    read = rows.select("owner").distinct().select("owner", F.array(F.lit("brand")).alias("columns"), F.lit(1).alias("n_rows"))
+    gates = match.item_gate(rows, "owner", rows.where("l_returnflag = 'N'"), read, ["brand"])
+    return match.item_outcome(items(spark, sf_dir), "owner", gates)
+
+
 @plans.add(
     "j19_missing_report",
     f"WITH {SIMPLE} SELECT k, anchor, row_number() OVER (ORDER BY anchor, k) AS report_no FROM c WHERE n_in + n_unknown = 0",
@@ -151,12 +202,15 @@ def d11(spark, sf_dir):
 
 @plans.add(
     "j3_field_agree",
-    """WITH o AS (SELECT o_orderkey, o_orderstatus AS a, o_orderpriority AS p, o_orderkey % 3 AS m FROM orders WHERE o_orderkey IS NOT NULL)
-SELECT o_orderkey, (m = 0 OR a = 'F') AND CASE WHEN m = 1 THEN false ELSE true END AS agree FROM o""",
+    """WITH o AS (SELECT o_orderkey, o_orderkey % 5 AS m FROM orders) SELECT o_orderkey, m IN (0, 1) AS agree FROM o""",
 )
 def j3(spark, sf_dir):
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority", (F.col("o_orderkey") % 3).alias("m"))
-    other = F.when(F.col("m") == 0, " ").otherwise("f")
-    project = F.when(F.col("m") == 1, "").otherwise(F.col("o_orderpriority"))
-    ok = match.field_agree(F.col("o_orderstatus"), other, F.col("o_orderpriority"), F.concat(F.col("o_orderpriority"), F.lit(" x")), F.col("o_orderpriority"), project)
-    return rows.select("o_orderkey", ok.alias("agree"))
+    """By order key: 0 blank agent, 1 all agree, 2 other agent, 3 other company, 4 blank project."""
+    m = F.col("o_orderkey") % 5
+    who = F.concat(F.lit("Agent "), F.col("o_custkey"))
+    company = F.concat(F.lit("Company "), F.col("o_custkey"), F.lit(" Ltd"))
+    other = F.when(m == 0, " ").when(m == 2, "quite another").otherwise(F.upper(who))
+    their = F.when(m == 3, "Zzzzzz Qqqqqq").otherwise(F.concat(F.lit("the "), company))
+    project = F.when(m == 4, "").otherwise(F.col("o_orderpriority"))
+    ok = match.field_agree(who, other, company, their, F.col("o_orderpriority"), project)
+    return table(spark, sf_dir, "orders").select("o_orderkey", ok.alias("agree"))

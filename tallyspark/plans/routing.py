@@ -31,11 +31,11 @@ GROUPS = {
 
 
 def mails(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where("doc_id is not null and text is not null")
+    docs = table(spark, sf_dir, "documents")
     return docs.select("doc_id", F.substring_index("text", "\n", 1).alias("subject"), F.expr("substring(text, length(substring_index(text, '\n', 1)) + 2)").alias("body"), F.lit("").alias("extra"), "lang", "source")
 
 
-MAILS = "m AS (SELECT doc_id, split_part(text, chr(10), 1) AS subject, substr(text, len(split_part(text, chr(10), 1)) + 2) AS body, '' AS extra, lang, source FROM documents WHERE text IS NOT NULL)"
+MAILS = "m AS (SELECT doc_id, split_part(coalesce(text, ''), chr(10), 1) AS subject, substr(coalesce(text, ''), len(split_part(text, chr(10), 1)) + 2) AS body, '' AS extra, lang, coalesce(source, '') AS source FROM documents)"
 
 
 def hit(text: str, *names: str) -> str:
@@ -70,9 +70,9 @@ def c2(spark, sf_dir):
 TERMS = ("password", "token", "license", "ción", "heit", "éau", "the ")
 
 
-@plans.add("c1_first_hit", "SELECT doc_id, CASE " + " ".join(f"WHEN contains(lower(text), '{t}') THEN '{t}'" for t in TERMS) + " END AS term FROM documents WHERE text IS NOT NULL")
+@plans.add("c1_first_hit", "SELECT doc_id, CASE " + " ".join(f"WHEN contains(lower(text), '{t}') THEN '{t}'" for t in TERMS) + " END AS term FROM documents")
 def c1(spark, sf_dir):
-    return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", rules.first_hit(F.col("text"), TERMS).alias("term"))
+    return table(spark, sf_dir, "documents").select("doc_id", rules.first_hit(F.col("text"), TERMS).alias("term"))
 
 
 @plans.add("c1_first_hit_by_table", "WITH t AS (SELECT item_id AS rank, lower(split_part(text, ' ', 1)) AS term FROM benchmark), h AS (SELECT doc_id, rank, term FROM documents JOIN t ON contains(lower(text), term)) SELECT doc_id, arg_min(term, (rank, term)) AS term FROM h GROUP BY doc_id")
@@ -81,26 +81,26 @@ def c1_table(spark, sf_dir):
     return rules.first_hit_by_table(table(spark, sf_dir, "documents"), "text", "doc_id", terms)
 
 
-@plans.add("c3_all_internal", r"""WITH a AS (SELECT doc_id, list_filter(list_distinct(regexp_extract_all(lower(text), '[A-Za-z0-9_.+-]+@[A-Za-z0-9_.-]+\.[A-Za-z]{2,}')), lambda x: x <> 'a@b.cd') AS l FROM documents WHERE text LIKE '%@%')
-SELECT doc_id, len(l) > 0 AND len(list_filter(l, lambda x: NOT (suffix(x, '@mail3.example.com') OR suffix(x, '@mail4.example.com')))) = 0 AS v FROM a""")
+@plans.add("c3_all_internal", r"""WITH a AS (SELECT doc_id, list_filter(list_distinct(regexp_extract_all(lower(text), '[A-Za-z0-9_.+-]+@[A-Za-z0-9_.-]+\.[A-Za-z]{2,}')), lambda x: x <> 'a@b.cd') AS l FROM documents)
+SELECT doc_id, coalesce(len(l) > 0, false) AND len(list_filter(l, lambda x: NOT (suffix(x, '@mail3.example.com') OR suffix(x, '@mail4.example.com')))) = 0 AS v FROM a""")
 def c3(spark, sf_dir):
     from tallyspark.functions.text import all_addresses
 
-    rows = table(spark, sf_dir, "documents").where("text like '%@%'")
+    rows = table(spark, sf_dir, "documents")
     return rows.select("doc_id", rules.all_internal(all_addresses(F.col("text")), ["a@b.cd"], ["mail3.example.com", "mail4.example.com"]).alias("v"))
 
 
-@plans.add("c4_internal_sender", "SELECT doc_id, source IN ('src1', 'src2') AS v FROM documents WHERE source IS NOT NULL")
+@plans.add("c4_internal_sender", "SELECT doc_id, coalesce(source IN ('src1', 'src2'), false) AS v FROM documents")
 def c4(spark, sf_dir):
     from tallyspark.functions.text import domain_in
 
-    rows = table(spark, sf_dir, "documents").where("source is not null")
+    rows = table(spark, sf_dir, "documents")
     return rows.select("doc_id", domain_in(F.concat(F.lit("x@"), "source"), ("src1", "src2")).alias("v"))
 
 
-@plans.add("c5_near", r"SELECT doc_id, regexp_matches(text, '(?is)(?:license).{0,48}(?:version)') OR regexp_matches(text, '(?is)(?:version).{0,48}(?:license)') AS v FROM documents WHERE text IS NOT NULL")
+@plans.add("c5_near", r"SELECT doc_id, regexp_matches(text, '(?is)(?:license).{0,48}(?:version)') OR regexp_matches(text, '(?is)(?:version).{0,48}(?:license)') AS v FROM documents")
 def c5(spark, sf_dir):
-    return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", rules.near(F.col("text"), "license", "version").alias("v"))
+    return table(spark, sf_dir, "documents").select("doc_id", rules.near(F.col("text"), "license", "version").alias("v"))
 
 
 def turns(spark, sf_dir):
@@ -180,9 +180,9 @@ def c14(spark, sf_dir):
     return rules.confirmed_only(rules.confirmed_only(rows, "state"), "no such column").select("o_orderkey")
 
 
-@plans.add("c15_is_special", f"WITH {MAILS} SELECT doc_id, CASE WHEN lang = 'en' THEN false ELSE contains(lower(subject || ' ' || body), 'heit') END AS v FROM m WHERE lang IS NOT NULL")
+@plans.add("c15_is_special", f"WITH {MAILS} SELECT doc_id, CASE WHEN lang = 'en' THEN false ELSE contains(lower(subject || ' ' || body), 'heit') END AS v FROM m")
 def c15(spark, sf_dir):
-    rows = mails(spark, sf_dir).where("lang is not null")
+    rows = mails(spark, sf_dir)
     return rows.select("doc_id", rules.is_special(F.when(F.col("lang") == "en", F.lit("plain")), F.col("subject"), F.col("body"), ("heit",)).alias("v"))
 
 
@@ -350,9 +350,9 @@ def g1(spark, sf_dir):
     return rollup.newest_first(rows, "at", "event_id").select("event_id", "position")
 
 
-@plans.add("g2_missing_newest", OUT + " SELECT k, anchor FROM s WHERE status = 'missing'")
+@plans.add("g2_missing_newest", OUT + " SELECT k, anchor, row_number() OVER (ORDER BY anchor DESC NULLS LAST, k) AS position FROM s WHERE status = 'missing'")
 def g2(spark, sf_dir):
-    return outcomes(spark, sf_dir).where("status = 'missing'").orderBy(F.col("anchor").desc_nulls_last(), "k").select("k", "anchor")
+    return rollup.missing_list(outcomes(spark, sf_dir), "status", "anchor", "k").select("k", "anchor", "position")
 
 
 @plans.add("g3_top_per_key", "SELECT user_id, event_id, place FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS place FROM events) WHERE place <= 3")

@@ -87,13 +87,15 @@ def a18(spark, sf_dir):
     return L.snapshot(spark, f"{where}/ledger", stream).select("event_id")
 
 
-@plans.add("a20_check_import", "SELECT 'part' AS name, true AS usable UNION ALL SELECT 'nation', false")
+@plans.add("a20_check_import", "SELECT n.name, n.lacks, n.usable FROM (VALUES ('part', [], (SELECT count(*) > 0 FROM part WHERE trim(p_name) <> '' AND trim(p_brand) <> '')), ('nation', ['p_name', 'p_brand'], false), ('small parts', [], (SELECT count(*) > 0 FROM part WHERE p_size < 0))) n(name, lacks, usable)")
 def a20(spark, sf_dir):
-    results = [(name, M.check_import(table(spark, sf_dir, name), ["p_name", "p_brand"])[1]) for name in ("part", "nation")]
-    return spark.createDataFrame(results, "name string, usable boolean")
+    part = table(spark, sf_dir, "part")
+    tables = {"part": part, "nation": table(spark, sf_dir, "nation"), "small parts": part.where("p_size < 0")}
+    results = [(name, *M.check_import(df, ["p_name", "p_brand"])) for name, df in tables.items()]
+    return spark.createDataFrame(results, "name string, lacks array<string>, usable boolean")
 
 
-@plans.add("k1_sql_functions", "SELECT p_partkey, replace(p_name, ' ', '') AS n, regexp_replace(lower(p_brand), '[^a-z0-9]+', '', 'g') AS k, CASE WHEN p_name LIKE 'red%' THEN 100 ELSE NULL END AS s FROM part")
+@plans.add("k1_sql_functions", "SELECT p_partkey, replace(p_name, ' ', '') AS n, 'abc' || regexp_replace(lower(p_brand), '[^a-z0-9]+', '', 'g') AS k, CASE WHEN p_name LIKE 'red%' THEN 100 ELSE NULL END AS s FROM part")
 def k1(spark, sf_dir):
-    text = "SELECT p_partkey, norm_text(p_name) AS n, identity_key(p_brand) AS k, CASE WHEN p_name LIKE 'red%' THEN similarity(p_name, p_name) END AS s FROM {part}"
+    text = "SELECT p_partkey, norm_text(p_name) AS n, identity_key('ＡＢ　c ' || p_brand) AS k, CASE WHEN p_name LIKE 'red%' THEN similarity(p_name, p_name) END AS s FROM {part}"
     return Q.query(spark, text, part=table(spark, sf_dir, "part"))

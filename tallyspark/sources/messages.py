@@ -46,6 +46,20 @@ def load_address_set(df: DataFrame) -> DataFrame:
     return cells.select(F.lower(F.trim("cell")).alias("email")).where(F.contains("email", F.lit("@"))).distinct()
 
 
+def import_addresses(cells: DataFrame, words: tuple[str, ...]) -> DataFrame:
+    """A5: (email, suffix) of an import form given as cells (row_no, col_no, value): the addresses below the first header
+    cell, from the top and then the left, that holds one of the words; without such a cell, those of the whole table.
+
+    Addresses are lower case and trimmed, once each; suffix is what follows their @.
+    """
+    low = cells.select("row_no", "col_no", F.lower(F.trim("value")).alias("_v"))
+    header = reduce(lambda a, b: a | b, [F.contains("_v", F.lit(w.lower())) for w in words]) & ~F.contains("_v", F.lit("@"))
+    head = low.agg(F.min(F.when(header, F.struct("row_no", "col_no"))).alias("_h"))
+    inside = F.col("_h").isNull() | ((F.col("col_no") == F.col("_h.col_no")) & (F.col("row_no") > F.col("_h.row_no")))
+    found = low.where(F.contains("_v", F.lit("@"))).withColumn("_one", F.lit(1)).join(F.broadcast(head.withColumn("_one", F.lit(1))), "_one").where(inside)
+    return found.select(F.col("_v").alias("email"), F.substring_index("_v", "@", -1).alias("suffix")).distinct()
+
+
 def load_projects(df: DataFrame, name: str) -> DataFrame:
     """The distinct non-blank names; an empty table stops the query."""
     names = df.select(blank_to_null(F.col(name)).alias(name)).where(f"{name} is not null").distinct()
@@ -74,6 +88,11 @@ def split_stage1(df: DataFrame, queue: str) -> dict[str, DataFrame]:
     return {q: df.where(name == q) for q in ("work", "review", "filtered")}
 
 
+def list_sizes(df: DataFrame, queue: str) -> DataFrame:
+    """(list, n) of the three lists from one scan; an empty list has no row."""
+    return df.groupBy(F.coalesce(F.col(queue), F.lit("review")).alias("list")).agg(F.count("*").alias("n")).where(F.col("list").isin("work", "review", "filtered"))
+
+
 def write_stage1(df: DataFrame, queue: str, path: str, run_id: str) -> None:
     """One write, partitioned by queue, of this run's copy, and the same as `current`."""
     named = df.withColumn(queue, F.coalesce(F.col(queue), F.lit("review")))
@@ -97,10 +116,22 @@ def list_archives(manifest: DataFrame) -> DataFrame:
     return manifest.where(has("work") | has("review")).orderBy(F.col("high").desc(), F.col("low").desc(), F.col("run_id").desc())
 
 
+def modified_fields(changes: DataFrame, key: list[str], before: str = "before", after: str = "after") -> DataFrame:
+    """One row a changed field: (key, field, before, after), from maps of a row's old and new values. A field that
+    one of the maps lacks is null there; equal values, and blanks for null, are no change."""
+    names = F.array_union(F.coalesce(F.map_keys(before), F.expr("cast(array() as array<string>)")), F.coalesce(F.map_keys(after), F.expr("cast(array() as array<string>)")))
+    each = changes.select(*key, F.explode(names).alias("field"), F.col(before).alias("_b"), F.col(after).alias("_a"))
+    rows = each.select(*key, "field", F.try_element_at("_b", F.col("field")).alias("before"), F.try_element_at("_a", F.col("field")).alias("after"))
+    return rows.where(~blank_to_null(F.col("before")).eqNullSafe(blank_to_null(F.col("after"))))
+
+
 def export_reviewed(details: DataFrame, operations: DataFrame, deleted: DataFrame, changes: DataFrame, added: DataFrame, day: str, low: Column, high: Column) -> dict[str, DataFrame]:
-    """Five tables cut to a range of mail days: confirmed details, operations, deleted, modified and added."""
+    """Five tables cut to a range of mail days: confirmed details, operations, deleted, modified and added.
+
+    changes has the day, record_id and the maps before and after; modified has one row for each changed field.
+    """
     cut = lambda df: df.where(F.col(day).between(low, high))
-    return {"confirmed": cut(details).where("status = 'confirmed'"), "operations": cut(operations), "deleted": cut(deleted), "modified": cut(changes), "added": cut(added)}
+    return {"confirmed": cut(details).where("status = 'confirmed'"), "operations": cut(operations), "deleted": cut(deleted), "modified": modified_fields(cut(changes), [day, "record_id"]), "added": cut(added)}
 
 
 def check_import(df: DataFrame, needed: list[str]) -> tuple[list[str], bool]:
@@ -110,10 +141,24 @@ def check_import(df: DataFrame, needed: list[str]) -> tuple[list[str], bool]:
     return absent, usable
 
 
+#: The columns of each report, as (name, source column).
+REPORTS = {
+    "work": (("mail_key", "mail_key"), ("subject", "subject")),
+    "review": (("mail_key", "mail_key"), ("subject", "subject"), ("reason", "reason"), ("hint", "hint")),
+    "filtered": (("mail_key", "mail_key"), ("subject", "subject"), ("body", "body"), ("names", "names"), ("reason", "reason")),
+    "stage": (("mail_key", "mail_key"), ("company", "company"), ("project", "project"), ("found", "found"), ("order_no", "order_no"), ("match_status", "match_status"), ("lookup", "state"), ("note", "reason")),
+    "result": (("mail_key", "mail_key"), ("company", "company"), ("project", "project"), ("found", "found"), ("order_no", "order_no")),
+}
+
+
 def project_report(df: DataFrame, kind: str) -> DataFrame:
-    """The columns of a report: filtered lists cut the body at 300 letters and join the attachment names."""
-    if kind == "filtered":
-        return df.select("mail_key", "subject", F.substring("body", 1, 300).alias("body"), F.array_join("names", ", ").alias("names"), "reason")
-    if kind == "review":
-        return df.select("mail_key", "subject", "reason", "hint")
-    return df.select("mail_key", "subject")
+    """The columns of a report: filtered lists cut the body at 300 letters and join the attachment names; the stage
+    view shows rows before a lookup in the outcome's columns, with what they don't have yet as blanks; the result list is
+    plain. Columns that the table lacks are blank."""
+    shown = {"body": lambda c: F.substring(c, 1, 300), "names": lambda c: F.array_join(c, ", ")}
+    there = lambda c: F.col(c) if c in df.columns else F.lit("")
+    blank = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    columns = REPORTS[kind]
+    if kind in ("stage", "result"):
+        return df.select(*[(there(source) if name == "mail_key" else blank(there(source))).alias(name) for name, source in columns])
+    return df.select(*[shown.get(name, lambda c: c)(there(source)).alias(name) for name, source in columns])

@@ -1,51 +1,78 @@
 """Streams into the ledger: file or event streams, foreachBatch, keyed state.
 
-The versioned ledger is a folder of Parquet versions and a pointer table that names the current one. A batch id is
-part of the version's name, so a batch that is run again after a failure writes the same version again.
+The versioned ledger is a folder of Parquet versions and a pointer table that names the current one. Each attempt at a
+batch writes a version of its own and then points to it, so a batch that runs again after a failure reads the version of
+the batch before it and never overwrites what it reads. A version has one folder for each bucket of keys; buckets that a
+batch doesn't touch are not written again: the version's list names the folder that each bucket is in.
 """
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tallyspark.operators.ledger import STATUS, drop_refreshed, upsert
 
 
-def current(spark: SparkSession, path: str) -> str | None:
-    """The folder of the current version; null before the first. The pointer is a table of (batch, version)."""
+POINTER = "batch long, attempt string, bucket int, folder string"
+#: Buckets of keys of a ledger; a batch rewrites those that its keys fall into.
+BUCKETS = 64
+
+
+def current(spark: SparkSession, path: str, before: int | None = None) -> dict[int, str]:
+    """The folder of each bucket of the current version, or of that before batch `before`; empty before the first.
+
+    The pointer is a table of (batch, attempt, bucket, folder): one file for each attempt, which lists all buckets.
+    """
     try:
-        row = spark.read.schema("batch long, version string").parquet(f"{path}/pointer").orderBy(F.col("batch").desc()).head()
+        rows = spark.read.schema(POINTER).parquet(f"{path}/pointer")
+        if before is not None:
+            rows = rows.where(F.col("batch") < before)
+        last = rows.agg(F.max(F.struct("batch", "attempt")).alias("v")).head()["v"]
     except Exception as error:  # the first batch finds no table
         if "PATH_NOT_FOUND" not in str(error):
             raise
-        return None
-    return row["version"] if row else None
+        return {}
+    if last is None:
+        return {}
+    found = rows.where((F.col("batch") == last["batch"]) & (F.col("attempt") == last["attempt"]) & F.col("folder").isNotNull())
+    return {r["bucket"]: r["folder"] for r in found.collect()}
+
+
+def snapshot(spark: SparkSession, path: str, like: DataFrame, before: int | None = None, buckets: list[int] | None = None) -> DataFrame:
+    """The current rows, or those of some buckets; before the first version an empty table of the batch's columns."""
+    folders = [folder for bucket, folder in sorted(current(spark, path, before).items()) if buckets is None or bucket in buckets]
+    if folders:
+        return spark.read.parquet(*folders)
+    return like.limit(0).withColumns({"first_seen": F.lit(None).cast("timestamp"), "updated_at": F.lit(None).cast("timestamp")})
 
 
-def snapshot(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
-    """The current rows; before the first version an empty table of the batch's columns."""
-    version = current(spark, path)
-    if version:
-        return spark.read.parquet(version)
-    return like.limit(0).withColumns({"first_seen": F.lit(None).cast("timestamp"), "updated_at": F.lit(None).cast("timestamp")})
+def bucket_of(key: str) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
 
 
-def publish(spark: SparkSession, path: str, batch: int, rows: DataFrame) -> None:
-    """Write a version whole, then point to it: readers see the old or the new one, never a part."""
-    version = f"{path}/version={batch}"
-    rows.write.mode("overwrite").parquet(version)
-    spark.createDataFrame([(batch, version)], "batch long, version string").coalesce(1).write.mode("append").parquet(f"{path}/pointer")
+def publish(spark: SparkSession, path: str, batch: int, key: str, rows: DataFrame, touched: list[int]) -> None:
+    """Write the touched buckets, then point to them and to the others' old folders: readers see the old or the new
+    version, never a part. Times sort attempts, so the last one that was finished counts."""
+    attempt = f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+    folder = f"{path}/versions/{batch}-{attempt}"
+    rows.withColumn("bucket", bucket_of(key)).repartition("bucket").write.partitionBy("bucket").parquet(folder)
+    old = current(spark, path, batch)
+    listed = [(batch, attempt, b, f"{folder}/bucket={b}" if b in touched else old[b]) for b in sorted({*old, *touched})]
+    spark.createDataFrame(listed or [(batch, attempt, -1, None)], POINTER).coalesce(1).write.mode("append").parquet(f"{path}/pointer")
 
 
 def upsert_stream(stream: DataFrame, key: str, seq: str, path: str, checkpoint: str, refreshed: DataFrame | None = None, day: str | None = None) -> StreamingQuery:
     """Upserts each micro-batch into the ledger at path; rows of refreshed days are late and dropped.
 
-    The last row of a key in a batch counts. Runs with availableNow, so it ends when the source is read.
+    The last row of a key in a batch counts. Only the buckets of the batch's keys are read and rewritten, so a batch costs
+    what it touches, not what the ledger holds. Runs with availableNow, so it ends when the source is read.
     """
 
     def apply(batch: DataFrame, number: int) -> None:
@@ -53,7 +80,10 @@ def upsert_stream(stream: DataFrame, key: str, seq: str, path: str, checkpoint:
         rows = drop_refreshed(batch, refreshed, day) if refreshed is not None else batch
         columns = batch.columns
         last = rows.groupBy(key).agg(F.max_by(F.struct(*columns), seq).alias("_r")).select("_r.*").select(*columns)
-        publish(spark, path, number, upsert(snapshot(spark, path, batch), last, key, F.current_timestamp()).drop("change"))
+        touched = [r["b"] for r in last.select(bucket_of(key).alias("b")).distinct().collect()]
+        if touched:
+            old = snapshot(spark, path, batch, number, touched).select(*columns, "first_seen", "updated_at")
+            publish(spark, path, number, key, upsert(old, last, key, F.current_timestamp()).drop("change"), touched)
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

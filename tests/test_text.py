@@ -5,6 +5,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from tallyspark.functions import company as C
 from tallyspark.functions import similarity as S
 from tallyspark.functions import sql as Q
 from tallyspark.functions import text as T
@@ -43,9 +44,12 @@ def one(spark, column, **values):
         (T.size_cm, "500mm", 50.0),
         (T.size_cm, "none", 0.0),
         (T.dedupe_joined, "A / a / B", "A / B"),
-        (T.sanitize_company, "x\tLong Name\ny", "Long Name"),
-        (T.company_noise, "a@b", "email"),
-        (T.company_noise, "Sea Trade", ""),
+        (C.sanitize_company, "x\tLong Name\ny", "Long Name"),
+        (C.sanitize_company, "a@bcdefghijklmnop\tSea Ltd", "Sea Ltd"),
+        (C.company_noise, "a@b", "email"),
+        (C.company_noise, "Sea Trade", "person"),
+        (C.company_noise, "Sea Trade Ltd", ""),
+        (C.company_noise, None, "missing"),
         (T.blank_to_null, " 　", None),
     ],
 )
