@@ -45,8 +45,9 @@ def repeated(docs: DataFrame, slim: DataFrame, sent: int = SENT) -> DataFrame:
     They are found by tid, the digest of the raw text, which needs no normalising; a row more, of equal tid, does no
     harm. Up to `sent` tids of 8 bytes are broadcast, so that other texts stay where they are; more are joined.
     """
-    twice = slim.groupBy("digest").count().where("count > 1").select("digest")
-    tids = cut(slim.join(twice, "digest", "left_semi").select("tid").distinct())
+    each = slim.groupBy("digest", "tid").agg(F.count("*").alias("n"))
+    twice = each.groupBy("digest").agg(F.sum("n").alias("rows")).where("rows > 1").select("digest")
+    tids = cut(each.join(twice, "digest", "left_semi").select("tid").distinct())
     few = tids.limit(sent + 1).count() <= sent
     return docs.withColumn("tid", F.xxhash64("text")).join(F.broadcast(tids) if few else tids, "tid", "left_semi")
 
@@ -64,7 +65,7 @@ def exact_dedup(docs: DataFrame, salts: int = 16, digest=lambda text: F.sha2(tex
     """
     texts = docs.select("doc_id", F.xxhash64("text").alias("tid"), normalised(F.col("text")).alias("norm"))
     slim = cut(texts.select("doc_id", "tid", digest(F.col("norm")).alias("digest"), mark(F.col("norm")).alias("mark"), F.sha2("norm", 256).alias("text_sha256")))
-    groups = exact_groups(repeated(docs.select("doc_id", "text"), slim), salts, digest)
+    groups = cut(exact_groups(repeated(docs.select("doc_id", "text"), slim), salts, digest))
     out = slim.join(groups, ["digest", "mark"], "left")
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     return out.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256")
