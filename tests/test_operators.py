@@ -158,3 +158,121 @@ def test_rule_projects_finds_every_pair(spark):
     for r in A.rule_projects(df, "id", "t", countries, services).collect():
         got[r["id"]].append(f"{r['country']} {r['service']}")
     assert {t: ",".join(sorted(v)) for t, v in got.items()} == texts
+
+
+def test_work_rows_that_share_a_key(spark):
+    kind = "id int, k string, anchor date"
+    work = spark.createDataFrame([(1, "w", D(2026, 3, 1)), (2, "w", D(2026, 3, 1)), (3, "w", D(2026, 6, 1)), (4, "w", None), (5, None, D(2026, 3, 1)), (6, "x", D(2026, 3, 1))], kind)
+    ledger = spark.createDataFrame([("w", D(2026, 2, 27), 1), ("w", D(2026, 3, 3), 2), ("w", D(2026, 6, 2), 3), ("w", None, 4), (None, D(2026, 3, 1), 5)], "k string, day date, no int")
+    out = rows(M.candidate_counts(work.drop("id"), ledger, ["k"], "anchor", "day", 1).na.fill("none", ["k"]).withColumn("anchor", F.coalesce(F.col("anchor").cast("string"), F.lit(""))), "k", "anchor", "n_in", "n_out", "n_unknown")
+    assert out == [("none", "2026-03-01", 0, 0, 0), ("w", "", 0, 0, 4), ("w", "2026-03-01", 2, 1, 1), ("w", "2026-03-01", 2, 1, 1), ("w", "2026-06-01", 1, 2, 1), ("x", "2026-03-01", 0, 0, 0)]
+    near = M.nearest_candidate(work, ledger, ["k"], "anchor", "day", ["no"])
+    assert rows(near, "id", "no", "days", "tie") == [(1, 1, 2, True), (2, 1, 2, True), (3, 3, 1, False)]
+
+
+def test_numbers_and_sums_over_ranges(spark):
+    import random
+
+    from tallyspark.operators import numbering
+
+    rng = random.Random(3)
+    data = [(i, rng.choice([None, rng.randrange(50)]), rng.randrange(9)) for i in range(500)]
+    df = spark.createDataFrame(data, "id int, v int, n int").repartition(7)
+    order = [F.col("v").desc_nulls_last(), F.col("id")]
+    want = sorted(data, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))
+    got = sorted(numbering.numbered(df, order, "no").collect(), key=lambda r: r["no"])
+    assert [(r["id"], r["no"]) for r in got] == [(r[0], i) for i, r in enumerate(want, 1)]
+    sums = {r["id"]: r["before"] for r in numbering.running(df, order, {"before": F.col("n")}).collect()}
+    total = 0
+    for i, _, n in want:
+        assert sums[i] == total
+        total += n
+    assert numbering.numbered(df.limit(0), order, "no").count() == 0 and numbering.running(df.limit(0), order, {"x": F.col("n")}).count() == 0
+
+
+def common(a, b):
+    line = [0] * (len(b) + 1)
+    for x in a:
+        fresh = [0]
+        for j, y in enumerate(b, 1):
+            fresh.append(line[j - 1] + 1 if x == y else max(line[j], fresh[-1]))
+        line = fresh
+    return line[-1]
+
+
+@pytest.mark.parametrize("least", [60, 80, 95])
+def test_blocked_pairs_lose_nothing(spark, least):
+    import random
+
+    rng = random.Random(least)
+    base = ["".join(rng.choices("abcde", k=rng.randint(1, 14))) for _ in range(25)]
+    texts = set(base)
+    for text in base:
+        for _ in range(3):
+            at = rng.randrange(len(text) + 1)
+            texts.add(rng.choice([text[:at] + rng.choice("abcde") + text[at:], text[:at] + text[at + 1 :]]))
+    texts = sorted(texts - {""})
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    pairs = {(r["a"], r["b"]) for r in R.blocked_pairs(df, df, "t", "t", least).collect()}
+    reach = {(a, b) for a in texts for b in texts if 200 * common(a, b) // (len(a) + len(b)) >= least}
+    assert reach <= pairs and len(pairs) < 0.6 * len(texts) ** 2
+
+
+def test_model_projects_against_plain_python(spark):
+    names, projects = ["x", "germany weee", "weee", "battery law", "packaging", "pack", "ab"], ["xyz", "Germany WEEE", "Battery", "packagin g", "y", "zzab"]
+    plain = lambda t: t.lower().replace(" ", "")
+    ratio = lambda a, b: 200 * common(a, b) // (len(a) + len(b))
+
+    def score(a, b):
+        short, long = sorted((a, b), key=len)
+        part = max(ratio(short, long[i : i + len(short)]) for i in range(len(long) - len(short) + 1))
+        return max(ratio(a, b), part, 95 if a in b or b in a else 0)
+
+    want = []
+    for a in map(plain, names):
+        best = max((score(a, b), b) for b in map(plain, projects))
+        if best[0] >= 88:
+            want.append((a, *best[::-1]))
+    out = R.match_model_projects(spark.createDataFrame([(n,) for n in names], "a string"), spark.createDataFrame([(p,) for p in projects], "b string"), "a", "b")
+    assert rows(out, "a", "b", "score") == sorted(want)
+    assert ("x", "xyz", 100) in want
+
+
+def test_versions_by_attempt(spark, tmp_path):
+    from tallyspark.streaming import ledger_stream as S
+
+    path = str(tmp_path / "ledger")
+    one = spark.createDataFrame([(i, i) for i in range(200)], "k long, v long")
+    stamp = F.lit("2026-01-01").cast("timestamp")
+
+    def put(batch, df):
+        touched = [r["b"] for r in df.select(S.bucket_of("k").alias("b")).distinct().collect()]
+        old = S.snapshot(spark, path, df, batch, touched).select(*df.columns, "first_seen", "updated_at")
+        S.publish(spark, path, batch, "k", L.upsert(old, df, "k", stamp).drop("change"), touched)
+
+    put(0, one)
+    two = spark.createDataFrame([(1, 100), (500, 5)], "k long, v long")
+    put(1, two)
+    before = S.current(spark, path)
+    put(1, two)  # the same batch again reads batch 0 and writes a folder of its own
+    after = S.current(spark, path)
+    assert sum(before[b] != after[b] for b in after) <= 2 and len(after) == len(before)
+    want = {i: i for i in range(200)} | {1: 100, 500: 5}
+    assert {r["k"]: r["v"] for r in S.snapshot(spark, path, one).collect()} == want
+    assert S.current(spark, str(tmp_path / "none")) == {}
+
+
+def test_identities_are_needed(spark):
+    kind = "seq int, sender string, sent string, subject string, company string, project string, found string, match_status string, note string, record_id string"
+    good = (1, "s", "d", "t", "c", "p", "yes", "", "", None)
+    none = spark.createDataFrame([good], kind)
+    overlay = none.limit(0).select(*L.IDENTITY, "found", "match_status", "note", F.lit(None).cast("timestamp").alias("checked_at"), F.lit("").alias("detail_key"), *[F.lit(None).cast("timestamp").alias(c) for c in ("first_seen", "updated_at")])
+    stamp = F.lit("2026-01-01").cast("timestamp")
+    assert L.record_manual_outcome(overlay, none, stamp)[0].head()["match_status"] == "found by hand"
+    for bad in ((1, " ", *good[2:]), (*good[:6], "maybe", *good[7:])):
+        with pytest.raises(Exception, match="needed|yes, no or review"):
+            L.record_manual_outcome(overlay, spark.createDataFrame([bad], kind), stamp)[0].collect()
+    queue = spark.createDataFrame([("a", 1, "asked")], "k string, at int, status string")
+    with pytest.raises(Exception, match="whole identity"):
+        L.enqueue_retry(queue, spark.createDataFrame([(None, 2)], "k string, at int"), ["k"], "at").collect()
+    assert rows(L.enqueue_retry(queue, spark.createDataFrame([("a", 2), ("a", 3), ("b", 1)], "k string, at int"), ["k"], "at"), "k", "at", "status") == [("a", 3, "pending"), ("b", 1, "pending")]

@@ -44,9 +44,7 @@ def test_query(spark, duck, name):
     df = plans.queries()[name](spark, SF)
     columns = sorted(df.columns)
     rows = collections.Counter(repr(tuple(plain(r[c]) for c in columns)) for r in df.collect())
-    if name not in SQL:
-        assert sum(rows.values()) >= 0
-        return
+    assert name in SQL, "a core query without SQL needs a test of its own"
     found = duck.execute(SQL[name])
     names = [c[0] for c in found.description]
     assert sorted(names) == columns
