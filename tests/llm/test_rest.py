@@ -479,3 +479,88 @@ def test_pii_bootstraps_over_several_hops(spark):
         got = [text[int(a) : int(b)] for kind, a, b in (s.split(":") for s in out[i].split(",") if s) if kind == "context"]
         assert got == values, text
     assert out[len(texts) - 1] == ""
+
+
+def plain_near(text):
+    """Every candidate of a text as (start, end, value, pattern), by plain loops."""
+    out = []
+    if not re.search("[0-9@]", text):
+        return out
+    for lacks, pattern in enumerate(pii.CONTEXTS):
+        for m in re.finditer(pattern, text, re.A):
+            words = re.split(r"[ \t]+", m[1])
+            value = re.sub(r"^[\"'(<\[{]+", "", words[-1])
+            end = m.end() - 1 + len(m[1])
+            before = re.sub("[0-9]", "0", " ".join(["\n"] * lacks + words[: 2 - lacks]).lower())
+            out.append((end - len(value), end, value, hashlib.md5(before.encode()).hexdigest() if len(before) > 200 else before))
+    return out
+
+
+def plain_patterns(graph):
+    """Good patterns of a set of (pattern, value, known)."""
+    known = collections.defaultdict(bool)
+    for _, value, k in graph:
+        known[value] |= k
+    edges = {(p, v) for p, v, _ in graph}
+    by_pattern = collections.defaultdict(set)
+    for p, v in edges:
+        by_pattern[p].add(v)
+    while True:
+        score = {v: float(k) for v, k in known.items()}
+        for last in (False, True):
+            found = {}
+            for p, values in by_pattern.items():
+                support = sum(known[v] for v in values)
+                if support:
+                    found[p] = (sum(score[v] for v in values) / len(values) * support / (support + 1), support)
+            if not last:
+                doubt = collections.Counter()
+                for p, v in edges:
+                    if p in found:
+                        doubt[v] += np.log(1 - min(found[p][0], 0.999))
+                score = {v: 1.0 if known[v] else 1 - np.exp(doubt[v]) for v in known}
+        good = {p for p, (confidence, support) in found.items() if confidence >= 0.7 and support >= 3}
+        fresh = {v for p in good for v in by_pattern[p] if not known[v]}
+        if not fresh:
+            return good
+        known.update(dict.fromkeys(fresh, True))
+
+
+def plain_spans(texts):
+    bases, each = {}, []
+    for i, text in texts.items():
+        bases[i] = [(int(a), int(b), kind) for kind, a, b in (s.split(":") for s in base(text))]
+        for start, end, value, pattern in plain_near(text):
+            if any(a < start < b for a, b, _ in bases[i]):
+                continue
+            over = [b for a, b, _ in bases[i] if a < end and b > start]
+            each.append((i, start, end, text[start : max(over)] if over and max(over) > end else value, pattern, bool(over)))
+    good = plain_patterns({(p, v, k) for _, _, _, v, p, k in each})
+    rank = [*PATTERNS, "context"]
+    out = {}
+    for i in texts:
+        added = {(start, end, "context") for j, start, end, _, p, k in each if j == i and not k and p in good}
+        spans = sorted([*bases[i], *added], key=lambda s: (s[0], rank.index(s[2]), s[1]))
+        out[i] = ",".join(f"{kind}:{a}:{b}" for a, b, kind in spans)
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_pii_contexts_against_plain_python(spark, seed):
+    rng = random.Random(seed)
+    leads = ["write to", "call me", "account no", "id", "paid", "ref", "see (page", "émail à"]
+    values = ["user{}@mail.org", "+1 (988) 555-24{:02d}", "10.0.{}.0", "acct-{}", "key_{}", "{}", "\"x{}\"", "4111 1111 1111 1111"]
+    own = {lead: rng.sample(values, 2) for lead in leads}
+    texts = {}
+    for i in range(160):
+        parts = []
+        for _ in range(rng.randint(0, 5)):
+            lead = rng.choice(leads)
+            value = rng.choice(own[lead] if rng.random() < 0.9 else values).format(rng.randrange(12))
+            parts.append(f"{lead}{rng.choice([' ', '  ', chr(9)])}{value}{rng.choice([' ', chr(10), ', then ', '. Or '])}")
+        texts[i] = "".join(parts)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["spans"] for r in pii.detect(df).collect()}
+    want = plain_spans(texts)
+    assert got == want
+    assert sum(s.count("context") for s in want.values()) > 20
