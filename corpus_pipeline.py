@@ -2,8 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows that its predecessor kept and returns a DataFrame; all but
 the last return the columns of documents. Null texts pass as empty ones; an empty table stays empty. SQL can't
-express the classifier, the similarity join or the encoding, so there is no ORACLE_SQL; the tests hold the stages
-against plain Python versions.
+express the classifier, the similarity join or the encoding, so there is no ORACLE_SQL; the tests hold the whole run
+against a plain Python version.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of similar documents the one with the least doc_id stays."""
+    """Of each group of similar documents one row stays, that with the least doc_id."""
     return jaccard_join.keep_one(docs)
 
 
