@@ -84,11 +84,12 @@ def resolve_agents(mails: DataFrame, key: str, sender: str, subject: str, body:
     officials takes the one that the domain confirms, else it is blank with `ambiguous`. `domain`: the sender's domain
     belongs to one agent. `body`: the first known address in the body. `signature`: an alias in the last lines. `fuzzy`:
     the name before the sender's address is like one agent's, `high` at least; `fuzzy_unsure` from `medium` leaves it
-    blank with the candidates. `none` otherwise. Blank or null evidence is no evidence; each key gives one row.
+    blank with the candidates. `none` otherwise. Blank or null evidence is no evidence; each key gives one row, of repeated keys the least texts.
 
     directory has (email, agent), one row an address; aliases (alias, officials) in lower case.
     """
-    base = mails.select(key, F.lower(trimmed(F.coalesce(sender, F.lit("")))).alias("_from"), F.coalesce(subject, F.lit("")).alias("_subject"), F.coalesce(body, F.lit("")).alias("_body")).dropDuplicates([key])
+    texts = F.struct(F.lower(trimmed(F.coalesce(sender, F.lit("")))).alias("_from"), F.coalesce(subject, F.lit("")).alias("_subject"), F.coalesce(body, F.lit("")).alias("_body"))
+    base = mails.groupBy(key).agg(F.min(texts).alias("_m")).select(key, "_m.*")
     address = first_address(F.col("_from"))
     base = base.withColumns({"_address": address, "_domain": domain_of(address), "_name": trimmed(F.regexp_replace(F.substring_index("_from", "<", 1), "[\"']", ""))})
     exact = lookup_exact(base.select(key, "_address"), "_address", directory).select(key, F.col("agent").alias("_exact"))
@@ -286,13 +287,16 @@ def record_scope(records: DataFrame, file: str, text: str, company: Column) -> D
 
 
 def record_groups(records: DataFrame, mail_projects: DataFrame, mail: str, locator: list[str], project: str, text_groups: DataFrame | None = None) -> DataFrame:
-    """One row per physical record with its own project, else the mail's only one, else flagged.
+    """One row per physical record, of repeated ones the least, with its own project, else the mail's only one, else
+    flagged.
 
     Records replace the text groups of their mail and set the number of groups that is expected of it; with text_groups,
     which have the mail and project, mails without records keep these, and n_expected is null there.
     """
     one = mail_projects.groupBy(mail).agg(F.min(project).alias("_only"), F.max(project).alias("_last"))
-    rows = records.dropDuplicates([mail, *locator]).join(one, mail, "left")
+    same = [mail, *locator]
+    rest = [c for c in records.columns if c not in same]
+    rows = records.groupBy(*same).agg(F.min(F.struct(*rest)).alias("_r")).select(*same, "_r.*").join(one, mail, "left")
     only = F.when(F.col("_only") == F.col("_last"), F.col("_only"))
     out = rows.withColumn("_own", blank_to_null(F.col(project))).withColumn(project, F.coalesce("_own", only))
     out = out.withColumns({"flagged": F.col(project).isNull(), "origin": F.lit("record")}).drop("_only", "_last", "_own")
