@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 #: A table of up to this many terms becomes a list in the expression; a larger one is joined.
 FEW = 64
 #: Terms are joined on their first 8, 4, 2 or 1 letters, the most that they have.
 KEYS = (8, 4, 2, 1)
-#: Letters of a piece of text, in two steps, so that no piece is sought from the start of a long text.
-LARGE, SMALL = 32_768, 256
+#: Letters of a piece of text, in steps, so that no small piece is sought from the start of a long text.
+PIECES = (32_768, 1_024, 64)
 
 
 def pieces(df: DataFrame, size: int, over: int) -> DataFrame:
@@ -24,18 +26,17 @@ def pieces(df: DataFrame, size: int, over: int) -> DataFrame:
     return df.withColumn("_p", F.explode(parts)).select(*rest, F.col("_p.t").alias("_t"), F.col("_p.at").alias("_at"), F.col("_p.own").alias("_own"))
 
 
-def first_letters(term: Column) -> Column:
-    n = F.length(term)
-    size = F.lit(1)
+def key_size(term: Column) -> Column:
+    n, size = F.length(term), F.lit(1)
     for k in sorted(KEYS):
         size = F.when(n >= k, k).otherwise(size)
-    return F.substr(term, F.lit(1), size)
+    return size
 
 
 def places(df: DataFrame, key: list[str], text: str, terms: DataFrame, term: str, edges: str | None = None, head: int = 0, context: int = 0) -> DataFrame:
     """Rows (key, at, the columns of terms) for every place, from 1, of every term in the text; blank terms have none.
 
-    With `edges`, a class of letters, only places at the text's start or behind such a letter count; with `head`, only
+    With `edges`, a class of letters (which goes without context), only places at the text's start or behind such a letter count; with `head`, only
     those within the first `head` letters. With `context`, pre has up to that many letters before the place (filled
     with blanks at the text's start) and post the letter behind it. Text and terms are compared as they are. Each place
     gives a row for each length in KEYS, with no more of the text than the longest term, and meets the terms that begin
@@ -43,20 +44,23 @@ def places(df: DataFrame, key: list[str], text: str, terms: DataFrame, term: str
     doesn't share letters with.
     """
     known = terms.where(F.length(term) > 0)
-    longest = known.agg(F.max(F.length(term))).head()[0] or 1
-    # Some letters stand before the text, so that each place has letters before it.
+    longest, sizes = known.agg(F.coalesce(F.max(F.length(term)), F.lit(1)), F.collect_set(key_size(F.col(term)))).head()
+    # Some letters stand before the text, so that each place has letters before it; an edge letter, if edges count.
     pad, own = max(context, 1), F.length(text)
-    rows = df.where(own > 0).select(*key, F.concat(F.lit(" " * pad), F.col(text)).alias("_t"), F.lit(0).alias("_at"), (F.least(own, F.lit(head)) if head else own).alias("_own"))
-    over = longest + pad + 1
-    rows = pieces(pieces(rows, LARGE, over), SMALL, over)
-    inside = F.sequence(F.lit(1), F.col("_own"))
+    front = next(c for c in "\u0001 ,\n" if re.fullmatch(edges, c)) if edges else " "
+    rows = df.where(own > 0).select(*key, F.concat(F.lit(front * pad), F.col(text)).alias("_t"), F.lit(0).alias("_at"), (F.least(own, F.lit(head)) if head else own).alias("_own"))
+    for size in PIECES:
+        rows = pieces(rows, size, longest + pad + 1)
     if edges:
-        inside = F.filter(inside, lambda i: F.substr("_t", i + pad - 1, F.lit(1)).rlike(edges) | (F.col("_at") + i == 1))
-    before = lambda i: [F.substr("_t", i, F.lit(pad)).alias("pre")] if context else []
-    one = F.transform(inside, lambda i: F.struct((F.col("_at") + i).alias("at"), F.substr("_t", i + pad, F.lit(longest + 1)).alias("rest"), *before(i)))
-    each = rows.select(*key, F.explode(one).alias("_o")).select(*key, "_o.*")
-    keyed = each.withColumn("_k", F.explode(F.array_distinct(F.array(*[F.substr("rest", F.lit(1), F.lit(k)) for k in KEYS]))))
-    named = known.withColumn("_k", first_letters(F.col(term))).withColumn("_term", F.col(term))
+        # What is left of the piece from an edge on tells its place.
+        found = F.regexp_extract_all("_t", F.lit(rf"(?s)(?=((?:{edges}).*))"), F.lit(1))
+        each = rows.select(*key, "_at", "_own", F.length("_t").alias("_n"), F.explode(found).alias("_x")).withColumn("_i", F.col("_n") - F.length("_x") + 1)
+    else:
+        found = F.regexp_extract_all("_t", F.lit(rf"(?s)(?=(.{{{pad}}}.{{0,{longest + 1}}}))"), F.lit(1))
+        each = rows.select(*key, "_at", "_own", F.posexplode(found).alias("_i", "_x")).withColumn("_i", F.col("_i") + 1)
+    each = each.where(F.col("_i") <= F.col("_own")).select(*key, (F.col("_at") + F.col("_i")).alias("at"), F.substr("_x", F.lit(pad + 1), F.lit(longest + 1)).alias("rest"), *([F.substr("_x", F.lit(1), F.lit(pad)).alias("pre")] if context else []))
+    keyed = each.withColumn("_k", F.explode(F.array(*[F.when(F.length("rest") >= k, F.substr("rest", F.lit(1), F.lit(k))) for k in sorted(sizes) or [1]])))
+    named = known.withColumn("_k", F.substr(F.col(term), F.lit(1), key_size(F.col(term)))).withColumn("_term", F.col(term))
     hits = keyed.join(named, "_k").where(F.startswith("rest", F.col("_term")))
     if context:
         hits = hits.withColumn("post", F.substr("rest", F.length("_term") + 1, F.lit(1)))

@@ -91,7 +91,7 @@ def resolve_agents(mails: DataFrame, key: str, sender: str, subject: str, body:
     texts = F.struct(F.lower(trimmed(F.coalesce(sender, F.lit("")))).alias("_from"), F.coalesce(subject, F.lit("")).alias("_subject"), F.coalesce(body, F.lit("")).alias("_body"))
     base = mails.groupBy(key).agg(F.min(texts).alias("_m")).select(key, "_m.*")
     address = first_address(F.col("_from"))
-    base = base.withColumns({"_address": address, "_domain": domain_of(address), "_name": trimmed(F.regexp_replace(F.substring_index("_from", "<", 1), "[\"']", ""))})
+    base = cut(base.withColumns({"_address": address, "_domain": domain_of(address), "_name": trimmed(F.regexp_replace(F.substring_index("_from", "<", 1), "[\"']", ""))}))
     exact = lookup_exact(base.select(key, "_address"), "_address", directory).select(key, F.col("agent").alias("_exact"))
     named = match_alias(base, "_subject", [key], aliases).select(key, F.split("officials", "、").alias("_officials"))
     owner = unique_by_domain(directory, public).select(F.col("domain").alias("_domain"), F.col("agent").alias("_owner"))
