@@ -16,8 +16,8 @@ from .common import components, cut, stored
 WIDTH, THRESHOLD = 5, 0.8
 #: Tries, their depth (the values of a full path), and the share of links that must be met.
 TREES, DEPTH, RECALL = 24, 8, 0.9999
-#: Texts and bytes of shingles of a block: a task compares two blocks at a time.
-BLOCK, BYTES = 1024, 16 << 20
+#: Texts and bytes of shingles of a block: a task compares two blocks at a time, STRIP texts with a block at once.
+BLOCK, BYTES, STRIP = 4096, 16 << 20, 512
 #: Word digests that a worker keeps.
 KEEP = 1_000_000
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -173,9 +173,9 @@ def _links(sets: list[np.ndarray], maybe: np.ndarray, left: np.ndarray, right: n
         shared = np.zeros((len(used[0]), len(used[1])), dtype=np.float32)
         order = np.argsort(number, kind="stable")
         number, owner = number[order], owner[order]
-        for start in range(0, len(words), 4096):
-            lo, hi = np.searchsorted(number, [start, start + 4096])
-            table = np.zeros((len(both), 4096), dtype=np.float32)
+        for start in range(0, len(words), 1024):
+            lo, hi = np.searchsorted(number, [start, start + 1024])
+            table = np.zeros((len(both), 1024), dtype=np.float32)
             table[owner[lo:hi], number[lo:hi] - start] = 1
             shared += table[: len(used[0])] @ table[len(used[0]) :].T
         total = np.add.outer(n[used[0]], m[used[1]]) - shared
@@ -196,7 +196,10 @@ def _compare(rows: list[dict], threshold: float) -> Iterator[tuple[bytes, bytes,
     left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
     if not len(right):
         right = left
-    linked = _links(sets, _shared(at[left], at[right], tree), left, right, threshold)
+    linked = np.zeros((len(left), len(right)), dtype=bool)
+    for start in range(0, len(left), STRIP):
+        part = left[start : start + STRIP]
+        linked[start : start + STRIP] = _links(sets, _shared(at[part], at[right], tree), part, right, threshold)
     counts = np.zeros(len(rows), dtype=int)
     counts[left] += linked.sum(axis=1)
     if right is not left:
