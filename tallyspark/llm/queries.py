@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, exact_dedup, jaccard_join, kd_search, line_dedup, mixing, pii, suffix_dedup, toxicity, url_filters
+from . import bpe, exact_dedup, jaccard_join, kd_search, line_dedup, lm_scoring, mixing, pii, suffix_dedup, toxicity, url_filters
 from .common import read
 
 #: The rules that op1 applies, as host, path and action.
@@ -61,9 +61,15 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op11_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, out = read(spark, sf_dir, "documents"), lm_scoring.held_out(F.col("doc_id")).alias("held_out")
+    model = lm_scoring.train(docs.where(~out))
+    return lm_scoring.score(docs, model).select("doc_id", out, "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_url_filters, op2_kd_search, op3_jaccard_join, op4_suffix_dedup, op5_bpe, op6_exact_dedup, op7_toxicity, op8_mixing, op9_pii, op10_line_dedup)
+    for f in (op1_url_filters, op2_kd_search, op3_jaccard_join, op4_suffix_dedup, op5_bpe, op6_exact_dedup, op7_toxicity, op8_mixing, op9_pii, op10_line_dedup, op11_lm_scoring)
 }
 
 #: Host, path and key of a column that holds an address.
