@@ -125,6 +125,13 @@ class Bpe:
                 extend(kept.get(piece) or self.piece(piece))
         return out
 
+    def encode_plain(self, text: str) -> list[int]:
+        """The ids of a whole text in which an added token's own spelling is text like any other."""
+        kept, out = self.kept, []
+        for piece in self.pieces.findall(text):
+            out.extend(kept.get(piece) or self.piece(piece))
+        return out
+
     def decode(self, ids: list[int]) -> str:
         """The text of ids, added tokens included; bytes that are no UTF-8 become U+FFFD."""
         return b"".join(map(self.text_of.__getitem__, ids)).decode("utf-8", "replace")

@@ -4,18 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, exact_dedup, jaccard_join, kd_search, line_dedup, lm_scoring, mixing, pii, suffix_dedup, toxicity, url_filters
+from . import bpe, exact_dedup, jaccard_join, kd_search, line_dedup, lm_scoring, mixing, pii, source_audit, suffix_dedup, token_align, toxicity, url_filters
 from .common import read
 
 #: The rules that op1 applies, as host, path and action.
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
 
 
-def tokenizer() -> str:
-    """The byte-level tokenizer file that the queries use; operators take any path."""
+def tokenizer(name: str = "byte_bpe_50k.json") -> str:
+    """The file of a public tokenizer, by default the byte-level one that the queries use; operators take any path."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,9 +67,17 @@ def op11_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score(docs, model).select("doc_id", out, "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op12_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.audit(read(spark, sf_dir, "documents"))
+
+
+def op13_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_align.align(read(spark, sf_dir, "documents"), tokenizer(), tokenizer("piece_bpe_32k.model"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_url_filters, op2_kd_search, op3_jaccard_join, op4_suffix_dedup, op5_bpe, op6_exact_dedup, op7_toxicity, op8_mixing, op9_pii, op10_line_dedup, op11_lm_scoring)
+    for f in (op1_url_filters, op2_kd_search, op3_jaccard_join, op4_suffix_dedup, op5_bpe, op6_exact_dedup, op7_toxicity, op8_mixing, op9_pii, op10_line_dedup, op11_lm_scoring, op12_source_audit, op13_token_align)
 }
 
 #: Host, path and key of a column that holds an address.
@@ -173,4 +181,24 @@ SELECT doc_id, source, size, source_size, target,
 FROM (SELECT k.*, documents.source FROM k JOIN documents USING (doc_id))
 """
 
-ORACLES = {"op1_url_filters": OP1_SQL, "op2_kd_search": OP2_SQL, "op3_jaccard_join": OP3_SQL, "op6_exact_dedup": OP6_SQL, "op10_line_dedup": OP10_SQL, "op8_mixing": OP8_SQL}
+OP12_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+t AS (SELECT r, lang, source, unnest(terms) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS n FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= 30),
+c AS (SELECT lang, source, term, count(*) AS n FROM t JOIN k USING (lang, term) GROUP BY lang, source, term),
+g AS (SELECT DISTINCT lang, source FROM d),
+l AS (SELECT lang, CAST(sum(n) AS HUGEINT) AS total, count(*) AS v FROM k GROUP BY lang),
+s AS (SELECT g.lang, g.source, CAST(coalesce(sum(c.n), 0) AS HUGEINT) AS total FROM g LEFT JOIN c USING (lang, source) GROUP BY g.lang, g.source),
+p AS (SELECT s.lang, s.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000 * (CAST(coalesce(c.n, 0) AS HUGEINT) + 5)) // (s.total + 5 * l.v) AS p,
+  1 + (1000000000 * (CAST(k.n AS HUGEINT) + 5)) // (l.total + 5 * l.v) AS q
+  FROM s JOIN k USING (lang) JOIN l USING (lang) LEFT JOIN c ON c.lang = s.lang AND c.source = s.source AND c.term = k.term),
+x AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(sum(abs(a.p - b.p)) AS BIGINT) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source
+  UNION ALL SELECT a.lang, a.source, 'pair', b.source, 0 FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source WHERE a.lang NOT IN (SELECT lang FROM l)
+  UNION ALL SELECT lang, source, 'term', term, CAST(p - q AS BIGINT) FROM p WHERE n > 0 AND p > q),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS INTEGER) AS rank FROM x)
+SELECT lang, source, part, item, value, rank FROM r WHERE part = 'pair' OR rank <= 50
+"""
+
+ORACLES = {"op1_url_filters": OP1_SQL, "op2_kd_search": OP2_SQL, "op3_jaccard_join": OP3_SQL, "op6_exact_dedup": OP6_SQL, "op10_line_dedup": OP10_SQL, "op8_mixing": OP8_SQL, "op12_source_audit": OP12_SQL}
