@@ -1,6 +1,7 @@
 """Edge cases of scalar functions, as literal rows."""
 
 import datetime
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -102,3 +103,30 @@ def test_first_address_over_whole_texts(spark, tmp_path):
             continue
         inner, address = re.search(r"<([^<>]+)>", text), re.search(r"[A-Za-z0-9_.+-]+@[A-Za-z0-9_.-]+\.[A-Za-z]{2,}", text)
         assert got[i] == (inner[1] if inner else address[0] if address else text).strip().lower()
+
+
+@pytest.mark.parametrize(
+    "given, want",
+    [
+        ("AB-1234", "code"), ("ABCDEFGHI-1234", ""), ("AB-123", ""), ("030 / 1", ""), ("+49 (30) 12", "contact"), ("12345", ""), ("a.PDF", "file"), ("Attached you find", "sentence"), ("请查收", "sentence"), ("www.a.b", "link"),
+        ("3 家公司：A", "count"), ("三家公司", "count"), ("3M Ltd", ""), ("Anna Maria de Vries", ""), ("Anna Maria Vries", "person"), ("Anna Vries GmbH", ""), ("Émile Zola", "person"), ("North Star Corp s. r. o", ""),
+        ("You may not use a company", "form note"), ("明日科技 (香港) 有限公司", ""), ("安排深圳有限公司", ""), ("安排两个公司", "lead-in"), ("a (b", "unpaired"), ("x\ty", "control"), ("x" * 120, ""), ("x" * 121, "sentence"),
+    ],
+)
+def test_company_noise(spark, given, want):
+    assert one(spark, C.company_noise(F.col("x")), x=given) == want
+
+
+def test_company_words_from_a_table(spark):
+    words = C.Words.from_table([("placeholders", "TO BE SET"), ("leads", "siehe")])
+    assert words.placeholders == ("to be set",) and words.endings == C.Words().endings
+    assert one(spark, C.is_placeholder(F.col("x"), words), x="To-be set") is True
+    assert one(spark, C.is_placeholder(F.col("x"), words), x="unknown") is False
+
+
+def test_company_names_with_many_aliases(spark):
+    aliases = tuple(f"Alias {i} (c++" for i in range(300)) + ("Sea", "Sea Agent")
+    start = time.time()
+    got = one(spark, C.company_names(F.col("x"), aliases=aliases), x="CH-1234 Sea Agent North Star Corp s. r. o, Alias 7 (c++ and 出海者 CHZ489 深圳市聚恒科技有限公司")
+    assert got == ["North Star Corp s. r. o", "深圳市聚恒科技有限公司"]
+    assert time.time() - start < 10
