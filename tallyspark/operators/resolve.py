@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from tallyspark.functions.similarity import letters, may_reach, partial_similarity, similarity
+from tallyspark.functions.similarity import letters, partial_similarity_arrow, similarity_arrow
 from tallyspark.functions.text import blank_to_null, domain_of, first_address, norm_text, trimmed
 
 from tallyspark.sources.shared import cut
@@ -30,14 +30,15 @@ def match_alias(df: DataFrame, text: str, key: list[str], aliases: DataFrame, he
     """The alias a text holds at a separator edge, or within its first `head` letters: (key, alias, officials,
     at, ambiguous). The earliest place wins, then the longest alias; several officials are joined and flagged.
 
-    aliases has (alias, officials) in lower case; all separators count as one letter behind an edge. Texts and aliases
-    meet on their first letters (contain.places); each text keeps one hit on the map side.
+    aliases has (alias, officials) in lower case; all separators count as one letter behind an edge. Texts are read once
+    by an automaton of the aliases and once more at their head; each gives its best hit at most.
     """
     mark = lambda c: F.regexp_replace(c, edges, "\u0001")
     low = df.select(*key, F.lower(F.col(text)).alias("_t"))
     names = aliases.withColumn("_name", mark(F.col("alias")))
-    edged = places(low.withColumn("_t", mark(F.col("_t"))), key, "_t", names, "_name", edges="\u0001")
-    good = edged.unionByName(places(low, key, "_t", names, "alias", head=head))
+    edged = places(low.withColumn("_t", mark(F.col("_t"))), key, "_t", names, "_name", edges="\u0001", keep="best")
+    longest = names.agg(F.coalesce(F.max(F.length("alias")), F.lit(0))).head()[0]
+    good = edged.unionByName(places(low.withColumn("_t", F.substring("_t", 1, head + longest)), key, "_t", names, "alias", head=head, keep="best"))
     best = good.groupBy(*key).agg(F.min(F.struct("at", (-F.length("alias")).alias("n"), "alias", "officials")).alias("_b"))
     return best.select(*key, "_b.alias", F.array_join("_b.officials", "、").alias("officials"), "_b.at", (F.size("_b.officials") > 1).alias("ambiguous"))
 
@@ -112,31 +113,73 @@ def resolve_agents(mails: DataFrame, key: str, sender: str, subject: str, body:
     return out.select(key, F.when(~unclear, value).alias("agent"), said.alias("method"), F.coalesce(listed, F.expr("cast(array() as array<string>)")).alias("candidates"))
 
 
+#: So many of the most frequent letters (with their number among equal ones) are put in order; all others are rarer.
+ORDERED = 4096
+
+
 def counted_letters(text: Column) -> Column:
     """The letters of a text, each with its number among equal ones; two such lists share as many as the letters do."""
     kinds = F.array_distinct(letters(text))
     return F.flatten(F.transform(kinds, lambda c: F.transform(F.sequence(F.lit(1), F.length(text) - F.length(F.replace(text, c, F.lit("")))), lambda i: F.concat(c, i.cast("string")))))
 
 
+def ranked_letters(*texts: DataFrame) -> list[DataFrame]:
+    """Each table of (text) with its distinct texts and `tokens`, their counted letters, rarest in all tables first.
+
+    The order is one for all texts: tokens that aren't among the ORDERED most frequent ones, by name, then those by
+    rising frequency. Any order of all tokens gives the same pairs; this one gives few candidates.
+    """
+    each = [df.select(F.col(df.columns[0]).alias("text")).where("text != ''").distinct().withColumn("tokens", counted_letters(F.col("text"))) for df in texts]
+    counts = reduce(lambda a, b: a.unionByName(b), [df.select(F.explode("tokens").alias("token")) for df in each]).groupBy("token").count()
+    order = [r["token"] for r in counts.orderBy(F.desc("count"), "token").limit(ORDERED).collect()]
+    frequent = F.split(F.lit("\u0001".join(order[::-1])), "\u0001")
+    sort = lambda tokens: F.concat(F.array_sort(F.array_except(tokens, frequent)), F.array_intersect(frequent, tokens))
+    return [df.withColumn("tokens", sort(F.col("tokens"))) for df in each]
+
+
+def needed(n: Column, m: Column, least: int) -> Column:
+    """The letters that texts of n and m letters must have in common for a similarity of `least`."""
+    return F.ceil(F.lit(least) * (n + m) / 200).cast("int")
+
+
+def meetings(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(a, b, all_a, all_b): pairs that meet on a token of their prefixes, each pair at its first common one only.
+
+    Both have (text, tokens, prefix), in one order of tokens. _i and _j are the token's places, n and m the lengths.
+    """
+    x = left.select(F.col("text").alias("a"), F.col("tokens").alias("all_a"), F.col("prefix").alias("_p"), F.posexplode("prefix").alias("_i", "_t"))
+    y = right.select(F.col("text").alias("b"), F.col("tokens").alias("all_b"), F.col("prefix").alias("_q"), F.posexplode("prefix").alias("_j", "_t"))
+    both = x.join(y, "_t").withColumns({"n": F.size("all_a"), "m": F.size("all_b")})
+    return both.where(F.get(F.array_intersect("_p", "_q"), F.lit(0)) == F.col("_t"))
+
+
 def blocked_pairs(left: DataFrame, right: DataFrame, a: str, b: str, least: int) -> DataFrame:
-    """Pairs of distinct normalised texts that can reach a similarity of `least`; none that can is left out.
+    """Pairs (a, b) of distinct texts that can reach a similarity of `least`; none that can is left out.
+
+    A text of n letters that is `least` alike to another one has c letters in common with it, and c follows from n for the
+    shortest one possible. So both have a token in common within their first n - c + 1 tokens in one order of all tokens,
+    rarest first: only on those do texts meet. Of the pairs that meet, the lengths, then the places of the first common
+    token (what is behind it must suffice), then all common letters are tested before any similarity is computed.
+    """
+    prefixed = lambda df: df.withColumn("_n", F.size("tokens")).withColumn("prefix", F.slice("tokens", F.lit(1), F.col("_n") - needed(F.col("_n"), F.ceil(F.col("_n") * least / (200 - least)), least) + 1))
+    x, y = (prefixed(df) for df in ranked_letters(left.select(a), right.select(b)))
+    common = needed(F.col("n"), F.col("m"), least)
+    met = meetings(x, y).where((F.least("n", "m") >= common) & (F.least(F.col("n") - F.col("_i"), F.col("m") - F.col("_j")) >= common))
+    return met.where(F.size(F.array_intersect("all_a", "all_b")) >= common).select("a", "b")
+
+
+def window_pairs(left: DataFrame, right: DataFrame, a: str, b: str, least: int) -> DataFrame:
+    """Pairs (a, b) of distinct texts of which the shorter can be `least` alike to a window of the longer, or to all of it.
 
-    Texts that differ in d letters (insertions and deletions) share at least max(length) - 1 - 2 d pairs of neighbouring
-    letters, and `least` bounds d by the lengths. Where that leaves one pair or more, texts meet on a shared pair of
-    letters; only short texts, where it leaves none, meet on their lengths. Then the bound on the lengths, and on the
-    letters that both have, cut what can't reach `least` before any similarity is computed.
+    A text of s letters has at least c = least x s / 100 in common with its window, so one of its s - c + 1 rarest tokens
+    is among the longer text's tokens; the longer one has no shorter prefix.
     """
-    x = left.select(F.col(a).alias("a")).distinct().where("a != ''").withColumns({"_a": counted_letters(F.col("a")), "_n": F.length("a")})
-    y = right.select(F.col(b).alias("b")).distinct().where("b != ''").withColumns({"_b": counted_letters(F.col("b")), "_m": F.length("b")})
-    pair = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 1), lambda i: F.substr(c, i, F.lit(2))))
-    apart = F.floor((F.col("_n") + F.col("_m")) * (100 - least) / 100)
-    shared = F.greatest("_n", "_m") - 1 - 2 * apart
-    good = may_reach(F.col("a"), F.col("b"), least) & (F.lit(200) * F.size(F.array_intersect("_a", "_b")) >= least * (F.col("_n") + F.col("_m")))
-    long = x.where("_n > 1").withColumn("_g", F.explode(pair("a"))).join(y.where("_m > 1").withColumn("_g", F.explode(pair("b"))), "_g").where((shared >= 1) & good).select("a", "b").distinct()
-    ratio = (200 - least) / least
-    reach = x.withColumn("_m", F.explode(F.sequence(F.greatest(F.floor(F.col("_n") / ratio), F.lit(1)).cast("int"), F.ceil(F.col("_n") * ratio).cast("int")))).where(shared < 1)
-    short = reach.join(y, "_m").where(good).select("a", "b")
-    return long.unionByName(short)
+    x, y = (df.withColumn("_n", F.size("tokens")) for df in ranked_letters(left.select(a), right.select(b)))
+    prefix = F.slice("tokens", F.lit(1), F.col("_n") - F.ceil(F.col("_n") * least / 100).cast("int") + 1)
+    short = lambda df: df.withColumn("prefix", prefix)
+    whole = lambda df: df.withColumn("prefix", F.col("tokens"))
+    met = meetings(short(x), whole(y)).where("n <= m").unionByName(meetings(whole(x), short(y)).where("n > m"))
+    return met.where(F.size(F.array_intersect("all_a", "all_b")) >= F.ceil(F.least("n", "m") * least / 100)).select("a", "b")
 
 
 def fuzzy_lookup(queries: DataFrame, candidates: DataFrame, a: str, b: str, medium: int = 80, high: int = 90) -> DataFrame:
@@ -145,7 +188,7 @@ def fuzzy_lookup(queries: DataFrame, candidates: DataFrame, a: str, b: str, medi
     """
     q = queries.select(F.col(a).alias("q"), norm_text(F.col(a)).alias("a")).distinct()
     c = candidates.select(F.col(b).alias("c"), norm_text(F.col(b)).alias("b")).distinct()
-    pairs = blocked_pairs(q, c, "a", "b", medium).withColumn("score", similarity(F.col("a"), F.col("b"))).where(F.col("score") >= medium)
+    pairs = blocked_pairs(q, c, "a", "b", medium).withColumn("score", similarity_arrow("a", "b")).where(F.col("score") >= medium)
     rows = q.join(pairs, "a").join(c, "b")
     place = F.row_number().over(W.partitionBy("q").orderBy(F.col("score").desc(), "c"))
     best = F.max("score").over(W.partitionBy("q"))
@@ -154,18 +197,13 @@ def fuzzy_lookup(queries: DataFrame, candidates: DataFrame, a: str, b: str, medi
 
 def match_model_projects(queries: DataFrame, projects: DataFrame, a: str, b: str, least: int = 88) -> DataFrame:
     """The best project of each text: the greater of whole and partial similarity, 95 at least where one holds
-    the other; accepted from `least`. Partial scores have no length bound, so both sides are distinct first.
+    the other; accepted from `least`, at most 95. Pairs come from window_pairs().
     """
     q = queries.select(norm_text(F.col(a)).alias("a")).distinct().where("a != ''")
     p = projects.select(norm_text(F.col(b)).alias("b")).distinct().where("b != ''")
+    pairs = window_pairs(q, p, "a", "b", least)
     holds = F.contains("a", "b") | F.contains("b", "a")
-    pair = lambda c: F.when(F.length(c) > 1, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substr(c, i, F.lit(2)))))
-    tagged = lambda tag, values: F.transform(F.coalesce(values, F.expr("cast(array() as array<string>)")), lambda v: F.concat(F.lit(tag), v))
-    one = lambda c: F.when(F.length(c) == 1, F.array(F.col(c)))
-    # A name of one letter has no pair; it meets the other side's letters.
-    grams = lambda c, mine, theirs: F.explode(F.concat(tagged("g", pair(c)), tagged(mine, one(c)), tagged(theirs, F.array_distinct(letters(F.col(c))))))
-    pairs = q.withColumn("g", grams("a", "o", "l")).join(p.withColumn("g", grams("b", "l", "o")), "g").select("a", "b").distinct()
-    score = F.greatest(similarity(F.col("a"), F.col("b")), partial_similarity(F.col("a"), F.col("b")), F.when(holds, 95).otherwise(0))
+    score = F.greatest(F.when(holds, 95).otherwise(0), similarity_arrow("a", "b"), partial_similarity_arrow("a", "b"))
     best = pairs.withColumn("score", score).where(F.col("score") >= least).groupBy("a").agg(F.max(F.struct("score", F.col("b"))).alias("_b"))
     return best.select(F.col("a").alias(a), F.col("_b.b").alias(b), "_b.score")
 

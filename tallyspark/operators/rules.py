@@ -27,7 +27,7 @@ def first_hit(text: Column, terms) -> Column:
 def first_hit_by_table(df: DataFrame, text: str, key: str, terms: DataFrame) -> DataFrame:
     """C1 for large groups: terms has (rank, term); rows (key, term) with the lowest rank contained in the text.
 
-    A small dictionary is tested in the row, a large one joined on first letters (contain.held).
+    A small dictionary is tested in the row, a large one by an automaton (contain.held).
     """
     low = df.select(key, F.lower(F.col(text)).alias("_t"))
     hits = held(low, [key], "_t", terms.select("rank", "term", F.lower("term").alias("_low")), "_low")

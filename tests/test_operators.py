@@ -276,3 +276,17 @@ def test_identities_are_needed(spark):
     with pytest.raises(Exception, match="whole identity"):
         L.enqueue_retry(queue, spark.createDataFrame([(None, 2)], "k string, at int"), ["k"], "at").collect()
     assert rows(L.enqueue_retry(queue, spark.createDataFrame([("a", 2), ("a", 3), ("b", 1)], "k string, at int"), ["k"], "at"), "k", "at", "status") == [("a", 3, "pending"), ("b", 1, "pending")]
+
+
+def test_meetings_are_few(spark):
+    """Candidates on part names: at least ten times fewer than by any shared pair of letters."""
+    df = spark.read.parquet("/root/testdata/sf0.001/part.parquet").select(F.concat("p_name", F.lit(" "), "p_brand").alias("t")).distinct()
+    pairs = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 1), lambda i: F.substr(c, i, F.lit(2))))
+    old = df.select(F.explode(pairs("t")).alias("g")).groupBy("g").count().agg(F.sum(F.col("count") * F.col("count"))).head()[0]
+    x, y = R.ranked_letters(df, df)
+    tokens = F.size("tokens")
+    prefix = F.slice("tokens", F.lit(1), tokens - R.needed(tokens, F.ceil(tokens * 90 / 110), 90) + 1)
+    met = R.meetings(x.withColumn("prefix", prefix), y.withColumn("prefix", prefix)).count()
+    kept = R.blocked_pairs(df, df, "t", "t", 90).count()
+    print("rows that meet:", old, "by pairs of letters,", met, "by prefixes,", kept, "after the bounds")
+    assert met * 10 < old
