@@ -337,21 +337,37 @@ def retry_ack(queue: DataFrame, results: DataFrame, key: list[str], status: str,
     return queue.join(results.where(F.col(status).isin(*definite)).select(*key).distinct(), key, "left_anti")
 
 
-def migrate_state(old: DataFrame, new: DataFrame, mail: str, base: str, strong: str, weak: str) -> DataFrame:
-    """(mail, base, decision) for each old row: carry, draft or drop, and whether the whole mail is downgraded.
+def migrate_state(old: DataFrame, new: DataFrame, mail: str, base: str, strong: str, weak: str, entry: str | None = None) -> DataFrame:
+    """(mail, base, decision, to_base, downgraded) for each base of the old rows: what becomes of a reviewer's state.
 
-    A base that is unique on both sides matches; the same strong fingerprint carries the state, the same weak one
-    makes a draft, anything else drops it to review. Old rows without a match downgrade their whole mail, which
-    turns carry into draft.
+    A base that is one row on both sides matches. The evidence is the same if both strong fingerprints are there and
+    equal; if one is absent, the weak ones say so, weakly. `carry`: same base and same evidence. `draft`: same base,
+    weakly the same; or a changed base, if the mail has exactly one old and one new row left over and these have the same
+    strong evidence. `drop`: the evidence of a matched base changed. `left`: no row matches. `none`: entry, a flag of
+    the old rows, says that there is no state. to_base is where a carried state or a draft goes. Old rows with a state
+    that are left downgrade their whole mail, which turns what it carries into drafts.
+
+    Rows are grouped by mail and base, then by mail; a mail's rows never meet in a list. Null keys match nothing.
     """
-    one = lambda df, tag: df.groupBy(mail, base).agg(F.count("*").alias(f"_{tag}_n"), F.max(strong).alias(f"_{tag}_s"), F.max(weak).alias(f"_{tag}_w"))
-    both = one(old, "o").join(one(new, "n"), [mail, base], "left")
-    unique = (F.col("_o_n") == 1) & (F.col("_n_n") == 1)
-    decision = F.when(~F.coalesce(unique, F.lit(False)), "drop").when(F.col("_o_s") == F.col("_n_s"), "carry").when(F.col("_o_w") == F.col("_n_w"), "draft").otherwise("drop")
-    rows = both.select(mail, base, decision.alias("_d"), (~F.coalesce(unique, F.lit(False))).alias("_left"))
-    down = F.max(F.col("_left").cast("int")).over(W.partitionBy(mail)) == 1
-    rows = rows.withColumn("downgraded", down)
-    return rows.select(mail, base, F.when(F.col("downgraded") & (F.col("_d") == "carry"), "draft").otherwise(F.col("_d")).alias("decision"), "downgraded")
+    def one(df: DataFrame, tag: str, *more) -> DataFrame:
+        alone = F.when(F.count("*") == 1, F.max(strong)).alias(f"_{tag}_s")
+        return df.groupBy(F.col(mail).alias(f"_{tag}_mail"), F.col(base).alias(f"_{tag}_base")).agg(F.count("*").alias(f"_{tag}_n"), alone, F.max(weak).alias(f"_{tag}_w"), *more)
+
+    there = F.coalesce(F.bool_or(F.col(entry)), F.lit(False)) if entry else F.lit(True)
+    both = one(old, "o", there.alias("_e")).join(one(new, "n"), (F.col("_o_mail") == F.col("_n_mail")) & (F.col("_o_base") == F.col("_n_base")), "full")
+    both = both.withColumns({"_mail": F.coalesce("_o_mail", "_n_mail"), "_met": F.coalesce((F.col("_o_n") == 1) & (F.col("_n_n") == 1), F.lit(False))})
+    rest = both.where(~F.col("_met")).groupBy("_mail").agg(
+        *[F.sum(F.coalesce(f"_{t}_n", F.lit(0))).alias(f"_{t}_left") for t in "on"], F.max("_o_s").alias("_l_s"), F.max("_n_s").alias("_r_s"),
+        F.max(F.when(F.col("_n_n") > 0, F.col("_n_base"))).alias("_to"), F.coalesce(F.bool_or(F.col("_e") & (F.col("_o_n") > 0)), F.lit(False)).alias("_state"),
+    )
+    changed = F.coalesce((F.col("_o_left") == 1) & (F.col("_n_left") == 1) & (F.col("_l_s") == F.col("_r_s")), F.lit(False))
+    rest = rest.select("_mail", "_to", changed.alias("_changed"), (F.col("_state") & ~changed).alias("downgraded"))
+    rows = both.where("_o_n > 0").join(rest, "_mail", "left").withColumn("downgraded", F.coalesce("downgraded", F.lit(False)))
+    weakly = (F.col("_o_s").isNull() | F.col("_n_s").isNull()) & (F.col("_o_w") == F.col("_n_w"))
+    decision = F.when(~F.col("_e"), "none").when(F.col("_met"), F.when(F.col("_o_s") == F.col("_n_s"), F.when(F.col("downgraded"), "draft").otherwise("carry")).when(weakly, "draft").otherwise("drop"))
+    rows = rows.withColumn("decision", decision.when(F.col("_changed"), "draft").otherwise("left"))
+    goes = F.when(F.col("decision").isin("carry", "draft"), F.when(F.col("_met"), F.col("_n_base")).otherwise(F.col("_to")))
+    return rows.select(F.col("_o_mail").alias(mail), F.col("_o_base").alias(base), "decision", goes.alias("to_base"), "downgraded")
 
 
 def multiset_except(left: DataFrame, right: DataFrame, key: list[str], order: list[str]) -> DataFrame:

@@ -82,35 +82,40 @@ def resolve_agents(mails: DataFrame, key: str, sender: str, subject: str, body:
 
     `exact`: the sender's address is in the directory. `subject`: an alias in the subject; if the sender's domain
     belongs to one agent alone and that is none of the alias's, the result is blank with `conflict`; an alias of several
-    officials takes the one that the domain confirms, else it is blank with `ambiguous`. `domain`: the sender's domain
-    belongs to one agent. `body`: the first known address in the body. `signature`: an alias in the last lines. `fuzzy`:
-    the name before the sender's address is like one agent's, `high` at least; `fuzzy_unsure` from `medium` leaves it
-    blank with the candidates. `none` otherwise. Blank or null evidence is no evidence; each key gives one row, of repeated keys the least texts.
+    officials takes the one that the domain confirms, else it is blank with `ambiguous`. The domain is no evidence by
+    itself. `body`: the first known address in the body. `signature`: an alias in the last lines. `fuzzy`: one address
+    of the directory alone is like the sender's, from `medium` on, and reaches `high`; otherwise the agents of all such
+    addresses are candidates, the most alike first, and the result is blank with `fuzzy_unsure`. `none` otherwise. Blank
+    or null evidence is no evidence; each key gives one row, of repeated keys the least texts.
 
     directory has (email, agent), one row an address; aliases (alias, officials) in lower case.
     """
     texts = F.struct(F.lower(trimmed(F.coalesce(sender, F.lit("")))).alias("_from"), F.coalesce(subject, F.lit("")).alias("_subject"), F.coalesce(body, F.lit("")).alias("_body"))
     base = mails.groupBy(key).agg(F.min(texts).alias("_m")).select(key, "_m.*")
     address = first_address(F.col("_from"))
-    base = cut(base.withColumns({"_address": address, "_domain": domain_of(address), "_name": trimmed(F.regexp_replace(F.substring_index("_from", "<", 1), "[\"']", ""))}))
+    base = cut(base.withColumns({"_address": address, "_domain": domain_of(address)}))
     exact = lookup_exact(base.select(key, "_address"), "_address", directory).select(key, F.col("agent").alias("_exact"))
     named = match_alias(base, "_subject", [key], aliases).select(key, F.split("officials", "、").alias("_officials"))
     owner = unique_by_domain(directory, public).select(F.col("domain").alias("_domain"), F.col("agent").alias("_owner"))
     inside = lookup_body_addresses(base, key, F.col("_body"), directory).select(key, F.col("agent").alias("_in_body"))
     signed = match_signature(base, key, "_body", aliases).where(F.size("officials") == 1).select(key, F.col("officials")[0].alias("_signed"))
-    people = base.where((F.col("_name") != "") & ~F.contains("_name", F.lit("@"))).select(F.col("_name").alias("name")).distinct()
-    like = fuzzy_lookup(people, directory.select("agent").distinct(), "name", "agent", medium, high)
-    like = like.groupBy("name").agg(F.min_by("agent", "place").alias("_like"), F.max("score").alias("_score"), F.array_sort(F.collect_set(F.when(F.col("place") <= 5, F.col("agent")))).alias("_near")).withColumnRenamed("name", "_name")
-    out = base.select(key, "_domain", "_name").join(exact, key, "left").join(named, key, "left").join(owner, "_domain", "left").join(inside, key, "left").join(signed, key, "left").join(like, "_name", "left")
+    listed = directory.select(F.lower("email").alias("email"), "agent")
+    strange = base.select("_address").distinct().join(listed.select(F.col("email").alias("_address")), "_address", "left_anti").where("_address != ''")
+    alike = fuzzy_lookup(strange, listed.select("email").distinct(), "_address", "email", medium, high).join(listed, "email")
+    alike = alike.groupBy("_address", norm_text(F.col("agent")).alias("_same")).agg(F.min(F.struct((-F.col("score")).alias("s"), "place", "agent")).alias("_b"), F.count("*").alias("n"))
+    ranked = F.transform(F.array_sort(F.collect_list("_b")), lambda x: x["agent"])
+    alike = alike.groupBy("_address").agg(ranked.alias("_near"), F.sum("n").alias("_n"), F.max(-F.col("_b.s")).alias("_score"))
+    out = base.select(key, "_domain", "_address").join(exact, key, "left").join(named, key, "left").join(owner, "_domain", "left").join(inside, key, "left").join(signed, key, "left").join(alike, "_address", "left")
     confirmed = F.array_contains("_officials", F.col("_owner"))
     by_subject = F.when(F.size("_officials") == 1, F.col("_officials")[0]).when(confirmed, F.col("_owner"))
     open_ = F.col("_exact").isNull() & F.col("_officials").isNotNull()
-    value, method = resolve([("exact", F.col("_exact")), ("subject", by_subject), ("domain", F.col("_owner")), ("body", F.col("_in_body")), ("signature", F.col("_signed")), ("fuzzy", F.when(F.col("_score") >= high, F.col("_like")))], open_ & F.col("_owner").isNotNull() & ~confirmed)
+    sure = F.when((F.col("_n") == 1) & (F.col("_score") >= high), F.col("_near")[0])
+    value, method = resolve([("exact", F.col("_exact")), ("subject", by_subject), ("body", F.col("_in_body")), ("signature", F.col("_signed")), ("fuzzy", sure)], open_ & F.col("_owner").isNotNull() & ~confirmed)
     unclear = open_ & by_subject.isNull() & F.col("_owner").isNull()
-    unsure = value.isNull() & (method == "none") & F.col("_like").isNotNull()
-    listed = F.when(unclear | (method == "conflict"), F.col("_officials")).when(unsure, F.col("_near"))
+    unsure = value.isNull() & (method == "none") & F.col("_near").isNotNull()
+    shown = F.when(unclear | (method == "conflict"), F.col("_officials")).when(unsure, F.col("_near"))
     said = F.when(unclear, "ambiguous").when(unsure, "fuzzy_unsure").otherwise(method)
-    return out.select(key, F.when(~unclear, value).alias("agent"), said.alias("method"), F.coalesce(listed, F.expr("cast(array() as array<string>)")).alias("candidates"))
+    return out.select(key, F.when(~unclear, value).alias("agent"), said.alias("method"), F.coalesce(shown, F.expr("cast(array() as array<string>)")).alias("candidates"))
 
 
 #: So many of the most frequent letters (with their number among equal ones) are put in order; all others are rarer.

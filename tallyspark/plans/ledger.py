@@ -71,21 +71,23 @@ def d4(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", value.alias("agent"), method.alias("method"))
 
 
-AGENTS = ("Agent One", None, "Agent Two", None, "Agent One", "Agent Two", "Agent Three", "Agent Two", None, None)
-METHODS = ("exact", "conflict", "subject", "ambiguous", "domain", "body", "signature", "fuzzy", "none", "fuzzy_unsure")
+AGENTS = ("Agent One", None, "Agent Two", None, "Agent Two", "Agent Two", "Agent Three", "Agent Two", None, None, None, "Agent One")
+METHODS = ("exact", "conflict", "subject", "ambiguous", "body", "body", "signature", "fuzzy", "none", "fuzzy_unsure", "fuzzy_unsure", "subject")
+NEAR_AGENTS = "CASE o_orderkey % 12 WHEN 1 THEN ['Agent Two'] WHEN 3 THEN ['Agent One', 'Agent Two'] WHEN 9 THEN ['Agent One'] WHEN 10 THEN ['Agent Four'] ELSE [] END"
 
 
-@plans.add("d4_resolve_agents", f"""SELECT o_orderkey, {[a or '' for a in AGENTS]}[o_orderkey % 10 + 1] AS agent, {list(METHODS)}[o_orderkey % 10 + 1] AS method,
-CASE o_orderkey % 10 WHEN 1 THEN ['Agent Two'] WHEN 3 THEN ['Agent One', 'Agent Two'] WHEN 9 THEN ['Agent Two'] ELSE [] END AS candidates FROM orders""")
+@plans.add("d4_resolve_agents", f"""SELECT o_orderkey, {[a or '' for a in AGENTS]}[o_orderkey % 12 + 1] AS agent, {list(METHODS)}[o_orderkey % 12 + 1] AS method, {NEAR_AGENTS} AS candidates FROM orders""")
 def d4_agents(spark, sf_dir):
-    """By order key: each kind of evidence, a domain that disagrees with the subject, one that settles it, and none."""
-    m = F.col("o_orderkey") % 10
-    senders = ("A <A@one.org>", "new@one.org", "new@two.org", "x@else.org", "x@one.org", "x@else.org", "x@else.org", '"Agent Twoo" <x@else.org>', None, "Agnt Tw <x@else.org>")
+    """By order key: each kind of evidence; a domain that disagrees with the subject, one that settles it and one that
+    says nothing by itself; addresses like one other, like two and like one not well enough; and none."""
+    m = F.col("o_orderkey") % 12
+    senders = ("A <A@one.org>", "new@one.org", "new@two.org", "x@else.org", "x@one.org", "x@else.org", "x@else.org", "cc@two.org", None, "sale@shop.org", "d@quartzmill.net", "q@one.org")
     sender = F.element_at(F.array(*[F.lit(s) for s in senders]), (m + 1).cast("int"))
-    subject = F.when(m == 1, "order for acme now").when(m.isin(2, 3), "all of it: shared goods").when(m == 0, "acme").otherwise("hello")
-    body = F.when(m == 5, F.concat(F.lit("write to nobody@no.org or C@two.org, order "), "o_orderkey")).when(m == 6, "hello\nregards\n\nzed team")
+    subject = F.when(m == 1, "order for acme now").when(m.isin(2, 3, 11), "all of it: shared goods").when(m == 0, "acme").otherwise("hello")
+    body = F.when(m.isin(4, 5), F.concat(F.lit("write to nobody@no.org or C@two.org, order "), "o_orderkey")).when(m == 6, "hello\nregards\n\nzed team")
     rows = table(spark, sf_dir, "orders").select("o_orderkey", sender.alias("sender"), subject.alias("subject"), body.alias("body"))
-    directory = spark.createDataFrame([("a@one.org", "Agent One"), ("b@one.org", "Agent One"), ("c@two.org", "Agent Two"), ("d@mail.com", "Agent Three")], "email string, agent string")
+    listed = [("a@one.org", "Agent One"), ("b@one.org", "Agent One"), ("c@two.org", "Agent Two"), ("d@mail.com", "Agent Three"), ("sales@shop.org", "AGENT ONE"), ("sale2@shop.org", "Agent One"), ("f@quartzmall.net", "Agent Four")]
+    directory = spark.createDataFrame(listed, "email string, agent string")
     aliases = spark.createDataFrame([("acme", ["Agent Two"]), ("shared", ["Agent One", "Agent Two"]), ("zed", ["Agent Three"])], "alias string, officials array<string>")
     return R.resolve_agents(rows, "o_orderkey", "sender", "subject", "body", directory, aliases, ["mail.com"]).withColumn("agent", F.coalesce("agent", F.lit("")))
 
@@ -568,12 +570,24 @@ def d19_ack(spark, sf_dir):
     return L.retry_ack(queue, table(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "user_id"), ["user_id"], "o_orderstatus", ("F",))
 
 
-@plans.add("d20_migrate_state", """WITH o AS (SELECT user_id, event_type, count(*) AS n, max(event_id) AS s, max(day(ts)) AS w FROM events WHERE event_id % 5 <> 0 GROUP BY ALL), m AS (SELECT user_id, event_type, count(*) AS n, max(event_id) AS s, max(day(ts)) AS w FROM events WHERE event_id % 3 <> 0 GROUP BY ALL),
-d AS (SELECT o.user_id, o.event_type, NOT coalesce(o.n = 1 AND m.n = 1, false) AS l, CASE WHEN NOT coalesce(o.n = 1 AND m.n = 1, false) THEN 'drop' WHEN o.s = m.s THEN 'carry' WHEN o.w = m.w THEN 'draft' ELSE 'drop' END AS d FROM o LEFT JOIN m USING (user_id, event_type)),
-g AS (SELECT *, bool_or(l) OVER (PARTITION BY user_id) AS downgraded FROM d) SELECT user_id, event_type, CASE WHEN downgraded AND d = 'carry' THEN 'draft' ELSE d END AS decision, downgraded FROM g""")
+@plans.add("d20_migrate_state", """WITH r AS (SELECT *, concat_ws('-', event_type, CAST(event_id % 7 AS VARCHAR)) AS base FROM events),
+o AS (SELECT user_id, base, count(*) AS n, CASE WHEN count(*) = 1 THEN max(event_id // 4) END AS s, max(day(ts)) AS w, bool_or(event_id % 9 <> 0) AS e FROM r WHERE event_id % 5 <> 0 GROUP BY ALL),
+m AS (SELECT user_id, CASE WHEN event_id % 6 = 1 THEN base || 'x' ELSE base END AS base, CASE WHEN event_id % 11 = 0 THEN NULL WHEN event_id % 13 = 0 THEN -1 ELSE event_id // 4 END AS s, day(ts) AS w FROM r WHERE event_id % 17 <> 0 AND event_id % 5 <> 0),
+k AS (SELECT user_id, base, count(*) AS n, CASE WHEN count(*) = 1 THEN max(s) END AS s, max(w) AS w FROM m GROUP BY ALL),
+b AS (SELECT coalesce(o.user_id, k.user_id) AS user_id, o.base AS o_base, k.base AS k_base, coalesce(o.n, 0) AS o_n, coalesce(k.n, 0) AS k_n, o.s AS o_s, k.s AS k_s, o.w AS o_w, k.w AS k_w, o.e AS e, coalesce(o.n = 1 AND k.n = 1, false) AS met FROM o FULL JOIN k ON o.user_id = k.user_id AND o.base = k.base),
+p AS (SELECT user_id, sum(o_n) AS o_left, sum(k_n) AS k_left, max(o_s) AS o_s, max(k_s) AS k_s, max(k_base) FILTER (k_n > 0) AS to_base, bool_or(e AND o_n > 0) AS e FROM b WHERE NOT met GROUP BY user_id),
+c AS (SELECT *, coalesce(o_left = 1 AND k_left = 1 AND o_s = k_s, false) AS changed FROM p),
+x AS (SELECT b.user_id, o_base AS base, CASE WHEN NOT b.e THEN 'none' WHEN met AND b.o_s = b.k_s THEN 'carry' WHEN met AND (b.o_s IS NULL OR b.k_s IS NULL) AND o_w = k_w THEN 'draft' WHEN met THEN 'drop' WHEN changed THEN 'draft' ELSE 'left' END AS d,
+CASE WHEN met THEN b.k_base WHEN changed THEN to_base END AS t, coalesce(c.e AND NOT changed, false) AS downgraded FROM b LEFT JOIN c USING (user_id) WHERE o_n > 0)
+SELECT user_id, base, CASE WHEN d = 'carry' AND downgraded THEN 'draft' ELSE d END AS decision, CASE WHEN d IN ('carry', 'draft') THEN t END AS to_base, downgraded FROM x""")
 def d20(spark, sf_dir):
-    rows = events(spark, sf_dir).withColumn("w", F.dayofmonth("day"))
-    return L.migrate_state(rows.where("event_id % 5 != 0"), rows.where("event_id % 3 != 0"), "user_id", "event_type", "event_id", "w")
+    """Rows of a user as a mail: unchanged, without a strong fingerprint, with another one, under a changed base, gone."""
+    rows = events(spark, sf_dir).withColumn("w", F.dayofmonth("day")).where("event_id % 5 != 0").withColumn("base", F.concat_ws("-", "event_type", (F.col("event_id") % 7).cast("string")))
+    i = F.col("event_id")
+    old = rows.select("user_id", "base", F.floor(i / 4).alias("s"), "w", (i % 9 != 0).alias("held"))
+    strong = F.when(i % 11 == 0, None).when(i % 13 == 0, -1).otherwise(F.floor(i / 4))
+    new = rows.where(i % 17 != 0).select("user_id", F.when(i % 6 == 1, F.concat("base", F.lit("x"))).otherwise(F.col("base")).alias("base"), strong.alias("s"), "w")
+    return L.migrate_state(old, new, "user_id", "base", "s", "w", "held")
 
 
 @plans.add("d21_multiset_except", "WITH r AS (SELECT event_id, user_id, event_type, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS no FROM events WHERE event_id % 3 <> 0), b AS (SELECT user_id, event_type, count(*) AS n FROM events WHERE event_id % 3 = 0 GROUP BY ALL) SELECT event_id FROM r LEFT JOIN b USING (user_id, event_type) WHERE no > coalesce(n, 0)")
