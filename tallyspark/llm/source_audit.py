@@ -20,7 +20,7 @@ ADDED, SCALE = 5, 1_000_000_000
 #: Ranks of the terms that a group has more of than its language.
 TOP = 50
 #: Terms of one product, terms and groups of one task. A product has at most TERMS x GROUPS columns on a side.
-TERMS, TERMS_A_TASK, GROUPS = 64, 4096, 32
+TERMS, TERMS_A_TASK, GROUPS = 64, 512, 32
 #: Different (language, source, term) that a task counts before it passes them on.
 ENTRIES = 1 << 19
 #: Fixed value: letters of terms are A to Z, which become small, a to z and all that isn't ASCII; others separate.
@@ -101,10 +101,9 @@ def pair_sums(cells: DataFrame, tasks: DataFrame) -> DataFrame:
     block of TERMS rows has few levels. Blocks are summed within a task, tasks by aggregation.
     """
 
-    def run(key: tuple, table: pa.Table) -> pa.Table:
+    def run(key: tuple, table: pa.Table, task: pa.Table) -> pa.Table:
         lang, _, one, two = (k.as_py() for k in key)
-        task = table.filter(pa.compute.is_valid(table["terms"])).to_pylist()[0]
-        table = table.filter(pa.compute.is_null(table["terms"]))
+        task = task.to_pylist()[0]
         at, group, n = (table[c].to_numpy() for c in ("at", "group", "n"))
         totals = [task["one_totals"], task["two_totals"]]
         sides = []
@@ -124,8 +123,9 @@ def pair_sums(cells: DataFrame, tasks: DataFrame) -> DataFrame:
     spread = cells.join(blocks, "lang").withColumn("block", F.floor(F.col("group") / GROUPS)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), "last")))
     key = [F.floor(F.col("number") / TERMS_A_TASK).alias("part"), F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two")]
     spread = spread.select("lang", *key, (F.col("number") % TERMS_A_TASK).alias("at"), "group", "n")
-    rows = spread.unionByName(tasks, allowMissingColumns=True)
-    return rows.groupBy("lang", "part", "one", "two").applyInArrow(run, "lang string, a long, b long, value long").groupBy("lang", "a", "b").agg(F.sum("value").alias("value"))
+    names = ["lang", "part", "one", "two"]
+    out = spread.groupBy(*names).cogroup(tasks.groupBy(*names)).applyInArrow(run, "lang string, a long, b long, value long")
+    return out.groupBy("lang", "a", "b").agg(F.sum("value").alias("value"))
 
 
 def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP) -> DataFrame:
