@@ -201,20 +201,20 @@ def gram_counts(docs: DataFrame, order: int, segments: int) -> DataFrame:
     return training_text(docs).mapInArrow(run, "seg long, ones binary, many binary")
 
 
-def segment(ones: list[bytes], many: list[bytes], base: float = BASE) -> tuple[int, bytes]:
+def segment(ones: list[bytes], many: list[bytes], base: float = BASE, bits: int = BITS) -> tuple[int, bytes]:
     """The entries and the words of one segment: an n-gram of level q has the entries (n-gram, 1) to (n-gram, q)."""
     single = np.frombuffer(b"".join(ones), np.uint64)
     pairs = [np.frombuffer(x, np.uint64).reshape(2, -1) for x in many if x]
     grams, counts = merged(np.concatenate([single, *(p[0] for p in pairs)]), np.concatenate([np.ones(len(single), np.uint64), *(p[1] for p in pairs)]))
     levels = np.searchsorted(thresholds(base), counts, "right")
-    size = np.uint64(max(1, -(-int(levels.sum()) * BITS // 64)))
+    size = np.uint64(max(1, -(-int(levels.sum()) * bits // 64)))
     words = np.zeros(int(size), np.uint64)
     for level in range(1, int(levels.max(initial=0)) + 1):
-        at, bits = spots(grams[levels >= level], level, size)
+        at, marks = spots(grams[levels >= level], level, size)
         order = np.argsort(at)
-        at, bits = at[order], bits[order]
+        at, marks = at[order], marks[order]
         first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-        words[at[first]] |= np.bitwise_or.reduceat(bits, first)
+        words[at[first]] |= np.bitwise_or.reduceat(marks, first)
     return int(levels.sum()), words.tobytes()
 
 
@@ -278,7 +278,7 @@ class Model:
         return {bytes(r["token"]): r["c"] for r in self.vocab.where(F.col("c") * HOT >= self.tokens).collect()}
 
 
-def train(docs: DataFrame, order: int = ORDER, prior: float = PRIOR, base: float = BASE) -> Model:
+def train(docs: DataFrame, order: int = ORDER, prior: float = PRIOR, base: float = BASE, bits: int = BITS) -> Model:
     """A model of the whole texts of docs.
 
     Tasks count tokens and n-grams of their own rows first. n-grams travel as packed hashes to the segment of the
@@ -291,7 +291,7 @@ def train(docs: DataFrame, order: int = ORDER, prior: float = PRIOR, base: float
     segments = max(1, -(-tokens * order // SEGMENT))
 
     def build(key: tuple, table: pa.Table) -> pa.Table:
-        entries, words = segment(table["ones"].to_pylist(), table["many"].to_pylist(), base)
+        entries, words = segment(table["ones"].to_pylist(), table["many"].to_pylist(), base, bits)
         return pa.table({"seg": pa.array([key[0].as_py()], pa.int64()), "entries": pa.array([entries], pa.int64()), "words": pa.array([words], pa.binary())})
 
     parts = stored(gram_counts(docs, order, segments).groupBy("seg").applyInArrow(build, "seg long, entries long, words binary"))
