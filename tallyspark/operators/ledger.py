@@ -153,8 +153,10 @@ def drop_refreshed(batch: DataFrame, refreshed: DataFrame, day: str) -> DataFram
 
 def once(requests: DataFrame, request: str, order: list[str]) -> DataFrame:
     """A repeated request keeps its first reply; rows without a request id all stay."""
+    named = F.col(request).isNotNull()
     first = F.row_number().over(W.partitionBy(request).orderBy(*order)) == 1
-    return requests.withColumn("_first", first).where(F.col("_first") | F.col(request).isNull()).drop("_first")
+    kept = requests.where(named).withColumn("_first", first).where("_first").drop("_first")
+    return kept.unionByName(requests.where(~named))
 
 
 #: Fixed value: what each action makes of a record's status.

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tallyspark.functions import sql as Q
 from tallyspark.sources import messages as M
 from tallyspark.sources.shared import shared_folder
+from tallyspark.sources.store import Incomplete, Store, publish_complete, replace_days
 from tallyspark.streaming import ledger_stream as L
 
 from . import ledger as batch
@@ -46,6 +47,56 @@ def once(spark, sf_dir):
     return spark.read.parquet(f"{where}/out").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
 
 
+@plans.add("i5_first_replies", "WITH f AS (SELECT event_id, CASE WHEN event_id % 10 = 0 THEN NULL ELSE user_id || '|' || event_type END AS request FROM events) SELECT event_id, request, coalesce(min(event_id) OVER (PARTITION BY request), event_id) AS answered, request IS NOT NULL AND event_id > min(event_id) OVER (PARTITION BY request) AS repeated FROM f WHERE request IS NOT NULL UNION ALL SELECT event_id, request, event_id, false FROM f WHERE request IS NULL")
+def replies(spark, sf_dir):
+    """Every event as a request of its user and kind, some without an id; each gets the number of the first one."""
+    where = folder(spark)
+    request = F.when(F.col("event_id") % 10 != 0, F.concat_ws("|", "user_id", "event_type"))
+    stream = event_stream(spark, sf_dir).select("event_id", request.alias("request"), F.col("event_id").cast("string").alias("reply"))
+    out = L.replies(stream, "request", "event_id", "reply")
+    out.writeStream.format("parquet").option("path", f"{where}/out").option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{where}/out").select(F.col("seq").alias("event_id"), "request", F.col("reply").cast("long").alias("answered"), "repeated")
+
+
+@plans.add("i1_stream_log", "SELECT count(DISTINCT user_id) AS n_inserted, 0 AS n_updated, 'stream' AS source FROM events")
+def stream_log(spark, sf_dir):
+    where = folder(spark)
+    stream = event_stream(spark, sf_dir).select("user_id", "event_id")
+    L.upsert_stream(stream, "user_id", "event_id", f"{where}/ledger", f"{where}/state").awaitTermination()
+    return L.batch_log(spark, f"{where}/ledger").select("n_inserted", "n_updated", "source")
+
+
+@plans.add("i2_replace_days", """SELECT * FROM (SELECT event_id % 2 AS list, count(*) FILTER (day(ts) NOT BETWEEN 5 AND 9 OR event_id % 3 = 0) AS n, count(*) FILTER (day(ts) BETWEEN 5 AND 9 AND event_id % 3 = 0) AS fresh, count(*) FILTER (day(ts) BETWEEN 5 AND 9) AS archived FROM events GROUP BY 1), (SELECT count(*) AS days FROM range(5, 10))""")
+def i2_days(spark, sf_dir):
+    """The events as two lists of a store, odd and even ones; five days of both are replaced by a third of their rows."""
+    store = Store(spark, folder(spark))
+    rows = batch.events(spark, sf_dir).select("event_id", "day", F.lit(False).alias("fresh"))
+    day = lambda d: F.lit(f"2024-01-{d:02d}").cast("date")
+    for odd in (0, 1):
+        taken, version = store.begin()
+        store.commit(taken, version.folders | {f"list{odd}": [store.write(rows.where(F.col("event_id") % 2 == odd), "list")]})
+    new = rows.where(F.col("day").between(day(5), day(9)) & (F.col("event_id") % 3 == 0)).withColumn("fresh", F.lit(True))
+    version = replace_days(store, {f"list{odd}": new.where(F.col("event_id") % 2 == odd) for odd in (0, 1)}, "day", day(5), day(9), F.lit("2024-02-01").cast("timestamp"), "r1")
+    archived = store.read(version, "archive").groupBy(F.right("dataset", F.lit(1)).cast("int").alias("list")).agg(F.count("*").alias("archived"))
+    lists = store.read(version, "list0").withColumn("list", F.lit(0)).unionByName(store.read(version, "list1").withColumn("list", F.lit(1)))
+    counts = lists.groupBy("list").agg(F.count("*").alias("n"), F.count_if("fresh").alias("fresh"))
+    days = store.read(version, "refreshed_days").agg(F.count("*").alias("days"))
+    return counts.join(archived, "list").join(F.broadcast(days), F.lit(True))
+
+
+@plans.add("a4_publish_complete", "SELECT o_orderkey FROM orders")
+def a4_publish(spark, sf_dir):
+    """All orders are published; a later run that lacks some leaves them."""
+    store, rows = Store(spark, folder(spark)), table(spark, sf_dir, "orders")
+    expected = rows.groupBy("o_custkey").count().agg(F.coalesce(F.sum("count"), F.lit(0))).head()[0]
+    publish_complete(store, "orders", rows, expected, F.col("o_orderdate").isNull())
+    try:
+        publish_complete(store, "orders", rows.where("o_orderkey % 2 = 0"), expected, F.lit(False))
+    except Incomplete:
+        pass
+    return store.read(store.head(), "orders").select("o_orderkey")
+
+
 @plans.add("i6_review_stream", f"WITH {batch.FOLD} SELECT record_id, status, agent, company, n_events FROM s")
 def reviews(spark, sf_dir):
     where = folder(spark)
@@ -65,8 +116,8 @@ def a15(spark, sf_dir):
     where = folder(spark)
     queue = F.when(F.col("o_orderstatus") == "F", "work").when(F.col("o_orderstatus") == "O", "filtered")
     M.write_stage1(table(spark, sf_dir, "orders").withColumn("queue", queue), "queue", where, "r1")
-    read = lambda part, name: spark.read.parquet(f"{where}/{part}").select(F.lit(name).alias("copy"), F.col("queue").cast("string").alias("queue"))
-    return read("run_id=r1", "run").union(read("current", "current")).groupBy("copy", "queue").agg(F.count("*").alias("n"))
+    read = lambda df, name: df.select(F.lit(name).alias("copy"), F.col("queue").cast("string").alias("queue"))
+    return read(spark.read.parquet(f"{where}/run_id=r1"), "run").union(read(M.read_stage1(spark, where), "current")).groupBy("copy", "queue").agg(F.count("*").alias("n"))
 
 
 @plans.add("a16_archive_run", "SELECT 'r1' AS run_id, DATE '1995-01-01' AS low, DATE '2001-12-31' AS high, count(*) FILTER (o_orderstatus = 'F') AS n_work, count(*) FILTER (o_orderstatus = 'P') AS n_review FROM orders")

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tallyspark.functions.text import blank_to_null
 
+from .store import Store
+
 
 def effective_ts(header: str, arrival: str) -> Column:
     return F.coalesce(F.col(header), F.col(arrival))
@@ -94,10 +96,19 @@ def list_sizes(df: DataFrame, queue: str) -> DataFrame:
 
 
 def write_stage1(df: DataFrame, queue: str, path: str, run_id: str) -> None:
-    """One write, partitioned by queue, of this run's copy, and the same as `current`."""
+    """One write, partitioned by queue, of this run's copy; then the store's current version points to it, so
+    that readers of read_stage1() see the run before or this one."""
+    store = Store(df.sparkSession, path)
+    taken, version = store.begin()
     named = df.withColumn(queue, F.coalesce(F.col(queue), F.lit("review")))
     named.write.partitionBy(queue).mode("overwrite").parquet(f"{path}/run_id={run_id}")
-    df.sparkSession.read.parquet(f"{path}/run_id={run_id}").write.partitionBy(queue).mode("overwrite").parquet(f"{path}/current")
+    store.commit(taken, version.folders | {"stage1": [f"{path}/run_id={run_id}"]}, {"run_id": run_id})
+
+
+def read_stage1(spark: SparkSession, path: str) -> DataFrame:
+    """The current run's rows."""
+    store = Store(spark, path)
+    return store.read(store.head(), "stage1")
 
 
 def archive_run(spark: SparkSession, path: str, archive: str, low: str, high: str, run_id: str) -> DataFrame:

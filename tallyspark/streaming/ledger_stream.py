@@ -1,48 +1,34 @@
 """Streams into the ledger: file or event streams, foreachBatch, keyed state.
 
-The versioned ledger is a folder of Parquet versions and a pointer table that names the current one. Each attempt at a
-batch writes a version of its own and then points to it, so a batch that runs again after a failure reads the version of
-the batch before it and never overwrites what it reads. A version has one folder for each bucket of keys; buckets that a
-batch doesn't touch are not written again: the version's list names the folder that each bucket is in.
+The versioned ledger is a store (sources.store). Each attempt at a batch writes folders of its own and then commits them,
+so a batch that runs again after a failure reads the version of the batch before it and never overwrites what it reads.
+A version has one folder for each bucket of keys; buckets that a batch doesn't touch are not written again: the commit
+names the folder that each bucket is in.
 """
 
 from __future__ import annotations
 
 import time
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tallyspark.functions.text import blank_to_null
 from tallyspark.operators.ledger import STATUS, drop_refreshed, upsert
+from tallyspark.sources.store import Store
 
 
-POINTER = "batch long, attempt string, bucket int, folder string"
 #: Buckets of keys of a ledger; a batch rewrites those that its keys fall into.
 BUCKETS = 64
 
 
 def current(spark: SparkSession, path: str, before: int | None = None) -> dict[int, str]:
-    """The folder of each bucket of the current version, or of that before batch `before`; empty before the first.
-
-    The pointer is a table of (batch, attempt, bucket, folder): one file for each attempt, which lists all buckets.
-    """
-    try:
-        rows = spark.read.schema(POINTER).parquet(f"{path}/pointer")
-        if before is not None:
-            rows = rows.where(F.col("batch") < before)
-        last = rows.agg(F.max(F.struct("batch", "attempt")).alias("v")).head()["v"]
-    except Exception as error:  # the first batch finds no table
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        return {}
-    if last is None:
-        return {}
-    found = rows.where((F.col("batch") == last["batch"]) & (F.col("attempt") == last["attempt"]) & F.col("folder").isNotNull())
-    return {r["bucket"]: r["folder"] for r in found.collect()}
+    """The folder of each bucket of the current version, or of that before batch `before`; empty before the first."""
+    version = Store(spark, path).head(lambda v: before is None or v.about["batch"] < before)
+    return {int(name.removeprefix("bucket=")): folders[0] for name, folders in version.folders.items()}
 
 
 def snapshot(spark: SparkSession, path: str, like: DataFrame, before: int | None = None, buckets: list[int] | None = None) -> DataFrame:
@@ -57,15 +43,29 @@ def bucket_of(key: str) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
 
 
-def publish(spark: SparkSession, path: str, batch: int, key: str, rows: DataFrame, touched: list[int]) -> None:
-    """Write the touched buckets, then point to them and to the others' old folders: readers see the old or the new
-    version, never a part. Times sort attempts, so the last one that was finished counts."""
-    attempt = f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
-    folder = f"{path}/versions/{batch}-{attempt}"
-    rows.withColumn("bucket", bucket_of(key)).repartition("bucket").write.partitionBy("bucket").parquet(folder)
-    old = current(spark, path, batch)
-    listed = [(batch, attempt, b, f"{folder}/bucket={b}" if b in touched else old[b]) for b in sorted({*old, *touched})]
-    spark.createDataFrame(listed or [(batch, attempt, -1, None)], POINTER).coalesce(1).write.mode("append").parquet(f"{path}/pointer")
+def publish(spark: SparkSession, path: str, batch: int, key: str, rows: DataFrame, touched: list[int], source: str = "stream") -> None:
+    """Write the touched buckets, then commit them with the others' old folders: readers see the old or the new version,
+    never a part. rows may have the column change (upsert()), which is counted while they are written, for the log."""
+    store, seen = Store(spark, path), Observation()
+    numbers = store.numbers()
+    change = F.col("change") if "change" in rows.columns else F.lit("")
+    counted = rows.observe(seen, *[F.count_if(change == kind).alias(kind) for kind in ("inserted", "updated")])
+    folder = store.write(counted.drop("change").withColumn("bucket", bucket_of(key)).repartition("bucket"), "ledger", ["bucket"])
+    named = {b: f"{folder}/bucket={b}" for b in touched}
+    folders = {f"bucket={b}": [f] for b, f in sorted((current(spark, path, batch) | named).items())}
+    about = {"batch": batch, "source": source, "n_inserted": seen.get["inserted"], "n_updated": seen.get["updated"], "logged_at": time.time()}
+    store.commit(numbers[0] if numbers else 0, folders, about)
+
+
+def batch_log(spark: SparkSession, path: str) -> DataFrame:
+    """One row for each batch of a ledger: batch, source, n_inserted, n_updated, logged_at; of a batch that ran again,
+    the last time."""
+    if not Store(spark, path).numbers():
+        return spark.createDataFrame([], "batch long, source string, n_inserted long, n_updated long, logged_at timestamp")
+    notes = "about struct<batch:long,source:string,n_inserted:long,n_updated:long,logged_at:double>"
+    rows = spark.read.schema(notes).json(f"{path}/commits").where("about is not null").select("about.*")
+    last = rows.groupBy("batch").agg(F.max_by(F.struct("source", "n_inserted", "n_updated", F.timestamp_seconds("logged_at").alias("logged_at")), "logged_at").alias("r"))
+    return last.select("batch", "r.*")
 
 
 def upsert_stream(stream: DataFrame, key: str, seq: str, path: str, checkpoint: str, refreshed: DataFrame | None = None, day: str | None = None) -> StreamingQuery:
@@ -83,7 +83,7 @@ def upsert_stream(stream: DataFrame, key: str, seq: str, path: str, checkpoint:
         touched = [r["b"] for r in last.select(bucket_of(key).alias("b")).distinct().collect()]
         if touched:
             old = snapshot(spark, path, batch, number, touched).select(*columns, "first_seen", "updated_at")
-            publish(spark, path, number, key, upsert(old, last, key, F.current_timestamp()).drop("change"), touched)
+            publish(spark, path, number, key, upsert(old, last, key, F.current_timestamp()), touched)
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -93,6 +93,36 @@ def once_stream(stream: DataFrame, request: str, at: str, within: str) -> DataFr
     return stream.withWatermark(at, within).dropDuplicatesWithinWatermark([request])
 
 
+def replies(stream: DataFrame, request: str, seq: str, reply: str, hold_ms: int | None = None) -> DataFrame:
+    """A stream of (seq, request, reply, repeated) for every request: one whose id came before gets the first reply.
+
+    The first reply, by seq within a batch, is kept in state for each id, also over restarts; with hold_ms it is given
+    up when no request of that id came for so long. Requests with a null or blank id have no state, get their own reply
+    and don't meet in a task.
+    """
+    out = stream.select(F.col(seq).cast("long").alias("seq"), F.col(request).alias("request"), F.col(reply).cast("string").alias("reply"))
+
+    def answer(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        if held.hasTimedOut:
+            held.remove()
+            return
+        first = held.get[0] if held.exists else None
+        known = held.exists
+        for rows in [pd.concat(list(batches)).sort_values("seq")]:
+            if not known:
+                first = rows["reply"].iloc[0]
+                held.update((first,))
+            if hold_ms:
+                held.setTimeoutDuration(hold_ms)
+            yield rows.assign(reply=first, repeated=[known or i > 0 for i in range(len(rows))])[["seq", "request", "reply", "repeated"]]
+
+    named = blank_to_null(F.col("request")).isNotNull()
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if hold_ms else GroupStateTimeout.NoTimeout
+    kind = "seq long, request string, reply string, repeated boolean"
+    kept = out.where(named).groupBy("request").applyInPandasWithState(answer, kind, "reply string", "append", timeout)
+    return kept.union(out.where(~named).select("seq", "request", "reply", F.lit(False).alias("repeated")))
+
+
 def fold_one(status: str | None, fields: dict[str, str], count: int, action: str, given: dict | None) -> tuple[str | None, dict[str, str], int]:
     """One event of the review fold: the rules of operators.ledger.fold_reviews."""
     if action == "reset":
