@@ -5,19 +5,19 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .bpe import load
+from .bpe import PIECES, load
 from .common import stored
 
 #: A pair of ids as one number: the first tokenizer's id times this, plus the second's.
 WIDTH = 1 << 20
 #: Bytes of text that are aligned at a time; a longer text by itself. Pairs that are expanded at a time.
-CHUNK, PAIRS = 1 << 21, 1 << 21
+CHUNK, PAIRS = 1 << 20, 1 << 20
 #: Pairs with at least this part of all (document, pair) rows are broadcast: never more than HOT of them.
 HOT = 1 << 16
 #: What stands before a token in a document's groups: the first of a group, the first of its second side, another one.
@@ -35,6 +35,23 @@ def pieces(path: str):
     return model, [plain(i) for i in range(model.get_piece_size())]
 
 
+@lru_cache(maxsize=2)
+def encoder(path: str):
+    """The byte-level tokenizer's encoder of plain text, in which a special token's string is text like any other.
+
+    Where the file's merges come in the order of the ids that they make, ranks are ids and a compiled encoder serves; it
+    holds no pieces of texts. Another file is encoded by bpe.Bpe.
+    """
+    import tiktoken
+
+    bpe = load(path)
+    made = [merged for _, merged in sorted(bpe.merges.values())]
+    if any(a >= b for a, b in zip(made, made[1:])) or (made and max(bpe.first) >= made[0]):
+        return bpe.encode_plain
+    ranks = {token: i for i, token in bpe.text_of.items() if i not in set(bpe.added.values())}
+    return tiktoken.Encoding("plain", pat_str=PIECES.replace(r"\p{White_Space}", r"\s").replace(r"\P{White_Space}", r"\S"), mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+
 def coalesced(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """The group of each interval, from 0, intervals being sorted by start: a group breaks where a start reaches the
     largest end so far."""
@@ -92,9 +109,9 @@ class Aligner:
     """Both tokenizers, the bytes of their ids, and the text of each id behind each mark."""
 
     def __init__(self, a_path: str, b_path: str) -> None:
-        self.bpe = load(a_path)
-        self.model, self.b_bytes = pieces(b_path)
-        self.a_bytes = [self.bpe.text_of.get(i, b"") for i in range(max(self.bpe.text_of) + 1)]
+        known = load(a_path).text_of
+        self.encode, (self.model, self.b_bytes) = encoder(a_path), pieces(b_path)
+        self.a_bytes = [known.get(i, b"") for i in range(max(known) + 1)]
         self.lengths = [np.array([len(x) for x in table]) for table in (self.a_bytes, self.b_bytes)]
         self.size = max(map(len, (self.a_bytes, self.b_bytes)))
         self.texts = [f"{mark}{i}" for marks in MARKS for mark in marks for i in range(self.size)]
@@ -102,7 +119,7 @@ class Aligner:
     def tokens(self, text: str) -> tuple[list[int], list[int]]:
         """The ids of both sides; none where the text is empty or one side's bytes aren't those of a space and the text."""
         if text:
-            a, b = self.bpe.encode_plain(" " + text), self.model.encode(text, num_threads=1)
+            a, b = self.encode(" " + text), self.model.encode(text, num_threads=1)
             whole = (" " + text).encode()
             if b"".join(map(self.a_bytes.__getitem__, a)) == whole and b"".join(map(self.b_bytes.__getitem__, b)) == whole:
                 return a, b
@@ -114,7 +131,7 @@ class Aligner:
         n = [np.array([len(t[side]) for t in tokens], np.int64) for side in (0, 1)]
         ids, doc, starts, ends = [], [], [], []
         for side in (0, 1):
-            flat = np.fromiter((i for t in tokens for i in t[side]), np.int64, int(n[side].sum()))
+            flat = np.fromiter(chain.from_iterable(t[side] for t in tokens), np.int64, int(n[side].sum()))
             end = np.cumsum(self.lengths[side][flat]) if len(flat) else np.zeros(0, np.int64)
             ids.append(flat)
             doc.append(np.repeat(docs, n[side]))
