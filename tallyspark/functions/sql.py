@@ -2,11 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
 
+from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql.functions import udtf
+
+from .similarity import partial_similarity_arrow, similarity_arrow
 from .text import BLANK, NARROW, WIDE
 
 
+class Segments:
+    """F4 as a table function: group_segments(TABLE(t) PARTITION BY mail ORDER BY no), with columns mail, no, company, country
+    and service. A mail's rows stream through; only the open record is kept."""
+
+    def __init__(self) -> None:
+        self.record, self.company, self.country = 0, None, None
+
+    def eval(self, row: Row) -> Iterator[tuple]:
+        if row["company"] is not None:
+            self.record, self.company, self.country = self.record + 1, row["company"], None
+        if row["country"] is not None:
+            self.country = row["country"]
+        if row["service"] is not None and self.company is not None:
+            yield row["mail"], row["no"], self.record, self.company, self.country, row["service"]
+
+
 def quoted(text: str) -> str:
     """A SQL string of the text; every letter that a literal could read otherwise is written by its number."""
     return "'" + "".join(c if c.isalnum() and c.isascii() else f"\\u{ord(c):04x}" for c in text) + "'"
@@ -15,7 +35,9 @@ def quoted(text: str) -> str:
 def register(spark: SparkSession) -> list[str]:
     """Creates norm_text, identity_key, blank_to_null, domain_of, month_low, month_high and similarity for SQL.
 
-    They are SQL expressions, so Catalyst inlines them; the similarity is the Indel ratio of functions.similarity.
+    They are SQL expressions, so Catalyst inlines them; the similarity is the Indel ratio of functions.similarity. Besides,
+    similarity_arrow and partial_similarity_arrow compute it and the partial one in Arrow batches, and group_segments is a
+    table function.
     """
     lcs = (
         "element_at(aggregate(filter(split(a, ''), c -> c != ''), transform(concat(array(''), filter(split(b, ''), c -> c != '')), c -> 0), "
@@ -32,7 +54,11 @@ def register(spark: SparkSession) -> list[str]:
     }
     for head, body in bodies.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURN {body}")
-    return [head.split("(")[0] for head in bodies]
+    for name, function in (("similarity_arrow", similarity_arrow), ("partial_similarity_arrow", partial_similarity_arrow)):
+        spark.udf.register(name, function)
+    returns = "mail long, no long, record_no long, company string, country string, service string"
+    spark.udtf.register("group_segments", udtf(Segments, returnType=returns))
+    return [*(head.split("(")[0] for head in bodies), "similarity_arrow", "partial_similarity_arrow", "group_segments"]
 
 
 def query(spark: SparkSession, text: str, **tables: DataFrame) -> DataFrame:

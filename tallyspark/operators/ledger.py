@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tallyspark.functions.text import blank_to_null, short_hash
+from tallyspark.sources.shared import cut
 
 
 def occurrence_no(df: DataFrame, base: str, seq: str) -> DataFrame:
@@ -310,23 +311,36 @@ def backfill(details: DataFrame, results: DataFrame, key: list[str], fields: lis
     return out.select(*[F.coalesce(f"_{c}", c).alias(c) if c in fields else F.col(c) for c in details.columns])
 
 
-def alias_dedupe(active: DataFrame, filtered: DataFrame, aliases: list[str], seq: str, scope: str | None = None, project: str | None = None) -> DataFrame:
-    """Filtered rows no alias of which is in the active list, nor in an earlier filtered row.
+def alias_dedupe(active: DataFrame, filtered: DataFrame, aliases: list[str], seq: str, scope: str | None = None, project: str | None = None, rounds: int = 100) -> DataFrame:
+    """Filtered rows no alias of which is in the active list, nor in an earlier filtered row that stays.
 
-    Each row has several alias keys; blank ones match nothing. It keeps a row iff no earlier row shares an alias,
-    which differs from a running search only in chains of aliases. With scope and project, a row whose scope is `project`
-    concerns only that project of its mail: it is compared with rows of the same project alone, by alias and project
-    together, and never with whole mails, active ones included.
+    Each row has several alias keys; blank ones match nothing, and a row without any stays. With scope and project, a
+    row whose scope is `project` concerns only that project of its mail: it is compared with rows of the same project
+    alone, by alias and project together, and never with whole mails, active ones included.
+
+    A row that goes hides nobody. Rows are settled in rounds: one that is the first open row of all its aliases stays,
+    and open rows that share an alias with it go. Most rows have aliases of their own and are settled in the first
+    round; a chain of n rows, each sharing an alias with the next, takes n / 2. More than `rounds` is an error. seq is
+    unique.
     """
     narrow = (F.coalesce(F.col(scope), F.lit("")) == "project") if scope else F.lit(False)
     tail = F.when(narrow, F.concat(F.lit("|project="), F.coalesce(F.col(project), F.lit("")))).otherwise("") if project else F.lit("")
     keys = lambda end: F.array_compact(F.array(*[F.when(blank_to_null(F.col(a)).isNotNull(), F.concat(F.lit(a + "="), F.col(a), end)) for a in aliases]))
     taken = active.select(F.explode(keys(F.lit(""))).alias("_alias")).distinct()
-    each = filtered.select(F.col(seq).alias("_seq"), F.explode(keys(tail)).alias("_alias"))
-    first = each.groupBy("_alias").agg(F.min("_seq").alias("_first"))
-    again = each.join(first, "_alias").where("_first < _seq").select("_seq")
-    there = each.join(taken, "_alias", "left_semi").select("_seq")
-    return filtered.join(again.union(there).distinct(), filtered[seq] == F.col("_seq"), "left_anti")
+    each = filtered.select(F.col(seq).alias("_seq"), F.explode(keys(tail)).alias("_alias")).distinct()
+    gone = cut(each.join(taken, "_alias", "left_semi").select("_seq").distinct())
+    open_ = cut(each.join(gone, "_seq", "left_anti"))
+    for _ in range(rounds):
+        first = open_.groupBy("_alias").agg(F.min("_seq").alias("_first"))
+        stays = open_.join(first, "_alias").groupBy("_seq").agg(F.bool_and(F.col("_seq") == F.col("_first")).alias("_all")).where("_all").select("_seq")
+        held = open_.join(stays, "_seq", "left_semi").select("_alias").distinct()
+        rest = open_.join(stays, "_seq", "left_anti")
+        struck = cut(rest.join(held, "_alias", "left_semi").select("_seq").distinct())
+        gone = cut(gone.union(struck))
+        open_ = cut(rest.join(struck, "_seq", "left_anti"))
+        if open_.isEmpty():
+            return filtered.join(gone, filtered[seq] == F.col("_seq"), "left_anti")
+    raise RuntimeError(f"aliases form chains that {rounds} rounds didn't settle")
 
 
 def retry_mark(rows: DataFrame, queue: DataFrame, key: list[str]) -> DataFrame:

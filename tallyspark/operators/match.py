@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from tallyspark.functions.similarity import text_match
 from tallyspark.functions.text import month_window
@@ -63,6 +65,62 @@ def reconcile(work: DataFrame, ledger: DataFrame, on: list[str], anchor: str, da
     return out.withColumn("status", cardinality_status(F.col("n_in") + F.col("n_unknown")))
 
 
+#: The fields whose agreement J1 notes, as (name, how two values agree).
+FIELDS = ("agent", "company", "project")
+
+
+def agreements(least: int = 85) -> dict[str, Column]:
+    """J3, field by field, of work (w_) and ledger (l_) columns: agents are equal or one is blank, companies match,
+    projects are both there and match."""
+    blank = lambda c: F.coalesce(F.trim(F.col(c)), F.lit("")) == ""
+    same = F.lower(F.trim("w_agent")) == F.lower(F.trim("l_agent"))
+    match = lambda f, t: F.coalesce(text_match(F.col(f"w_{f}"), F.col(f"l_{f}"), t), F.lit(False))
+    return {"agent": blank("w_agent") | blank("l_agent") | same, "company": match("company", least), "project": ~blank("w_project") & ~blank("l_project") & match("project", 85)}
+
+
+def reconcile_notes(work: DataFrame, ledger: DataFrame, on: list[str], key: list[str], anchor: str, date: str, months: int = 1, windowed: bool = True) -> DataFrame:
+    """For each work row (key) status, match_status, n, nearest_days and note, what a clerk reads beside the verdict.
+
+    work has agent, company and project besides key, on and anchor; so has ledger besides on and date. With `windowed`,
+    candidates outside the window take no part, as in reconcile(); without it all count, and a lone one outside is noted.
+    No candidate is `missing`. One is recorded: `exact`, `fields differ` (the note names them, with both sides' values) or
+    `date outside` (with the days). Several need review, `several`: the note has their number, the distance of the
+    nearest dated one and whether it is tied, or that none has a date, and whether no candidate agrees in all fields.
+
+    Both sides are counted by key, day and fields first, agreement is computed once for each pair of them, and all notes
+    come from one grouping; no list of candidates is made.
+    """
+    low, high = month_window(F.col("_anchor"), months)
+    mine = work.select(*on, F.col(anchor).cast("date").alias("_anchor"), *[F.coalesce(F.col(f), F.lit("")).alias(f"w_{f}") for f in FIELDS])
+    day = F.col(date).cast("date")
+    theirs = ledger.select(*on, day.alias("_day"), *[F.coalesce(F.col(f), F.lit("")).alias(f"l_{f}") for f in FIELDS])
+    theirs = theirs.groupBy(*theirs.columns).agg(F.count("*").alias("_n"))
+    pairs = mine.distinct().join(theirs, on)
+    outside = F.col("_day").isNotNull() & F.col("_anchor").isNotNull() & ~F.coalesce(F.col("_day").between(low, high), F.lit(False))
+    pairs = pairs.withColumn("_outside", outside)
+    pairs = pairs.where(~F.col("_outside")) if windowed else pairs
+    pairs = pairs.withColumns({f"_{f}": c for f, c in agreements().items()})
+    whole = F.col("_agent") & F.col("_company") & F.col("_project")
+    gap = F.abs(F.datediff("_day", "_anchor"))
+    differ = F.concat_ws("; ", *[F.when(~F.col(f"_{f}"), F.concat(F.lit(f"{f}: "), F.col(f"w_{f}"), F.lit(" / "), F.col(f"l_{f}"))) for f in FIELDS])
+    per = [*on, "_anchor", *[f"w_{f}" for f in FIELDS]]
+    near = pairs.groupBy(*per, gap.alias("_gap")).agg(F.sum("_n").alias("_n"), F.sum(F.when(whole, F.col("_n")).otherwise(0)).alias("_whole"), F.min(differ).alias("_differ"), F.bool_or("_outside").alias("_outside"))
+    best = F.min(F.when(F.col("_gap").isNotNull(), F.struct("_gap", "_n"))).alias("_near")
+    sums = near.groupBy(*per).agg(F.sum("_n").alias("n"), F.sum("_whole").alias("_whole"), F.min("_differ").alias("_differ"), F.bool_or("_outside").alias("_outside"), best)
+    rows = work.select(*key, *mine.columns[: len(on)], F.col(anchor).cast("date").alias("_anchor"), *[F.coalesce(F.col(f), F.lit("")).alias(f"w_{f}") for f in FIELDS])
+    match = F.lit(True)
+    left, right = rows.alias("w"), sums.alias("s")
+    for c in per:
+        match = match & F.col(f"w.{c}").eqNullSafe(F.col(f"s.{c}"))
+    n, days, text = F.coalesce("n", F.lit(0)), F.col("_near._gap"), lambda c: c.cast("string")
+    lone = F.when(F.col("_whole") == 0, "fields differ").when(F.col("_outside"), "date outside").otherwise("exact")
+    tied = F.when(F.col("_near._n") > 1, " (tied)").otherwise("")
+    many = F.concat(text(n), F.lit(" records"), F.coalesce(F.concat(F.lit("; the nearest is "), text(days), F.lit(" days away"), tied), F.lit("; none has a date")), F.when(F.col("_whole") == 0, "; none agrees in all fields").otherwise(""))
+    note = F.when(n == 0, "").when(n > 1, many).when(F.col("_whole") == 0, F.concat(F.lit("one record, but "), F.col("_differ"))).when(F.col("_outside"), F.concat(F.lit("one record, but "), text(days), F.lit(" days away"))).otherwise("")
+    status = F.when(n == 0, "missing").when(n > 1, "several").otherwise(lone)
+    return left.join(right, match, "left").select(*[F.col(f"w.{c}").alias(c) for c in key], cardinality_status(n).alias("status"), status.alias("match_status"), n.cast("long").alias("n"), days.alias("nearest_days"), note.alias("note"))
+
+
 def nearest_candidate(work: DataFrame, ledger: DataFrame, on: list[str], anchor: str, date: str, ties: list[str]) -> DataFrame:
     """for each work row the ledger row whose date is nearest, with days and whether others are as near.
 
@@ -106,7 +164,7 @@ def match_items(claims: DataFrame, registered: DataFrame, owner: str, keys: list
     takes the nth registered item of that key, and the rest goes on to the next pass. Equal items are told apart by
     their number in `order`, so a pair claimed twice and registered once matches once. Outcomes: matched, missing
     (claimed only), extra (registered only). A claim with a blank key is pending and takes no part. It differs from
-    a greedy search only where one registered item could serve two claims by different keys.
+    the ordered search of match_items_in_order() only where one registered item could serve two claims by different keys.
     """
     items = claims.select(F.lit("claim").alias("side"), "*").unionByName(registered.select(F.lit("registered").alias("side"), "*"))
     blank = lambda c: F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")) == ""
@@ -120,6 +178,84 @@ def match_items(claims: DataFrame, registered: DataFrame, owner: str, keys: list
     return items.withColumn("outcome", F.coalesce("outcome", F.when(F.col("side") == "claim", "missing").otherwise("extra")))
 
 
+#: Items of an owner that are searched in one group; a larger owner is matched by passes.
+MOST_ITEMS = 10_000
+
+
+def claimed_in_order(claims: list[tuple], free: list[tuple], largest: bool) -> list[int | None]:
+    """For each claim the place of its registered item: the first one still free that agrees in one of the keys.
+
+    Both are tuples of one value for each key, None where it is blank. With `largest`, claims that find nothing free move
+    earlier ones to other items (augmenting paths), so as many as possible are matched.
+    """
+    by_key: dict[tuple[int, object], list[int]] = {}
+    for place, item in enumerate(free):
+        for k, value in enumerate(item):
+            if value is not None:
+                by_key.setdefault((k, value), []).append(place)
+    fits = [sorted({p for k, value in enumerate(claim) if value is not None for p in by_key.get((k, value), ())}) for claim in claims]
+    holder: dict[int, int] = {}
+    for claim, places in enumerate(fits):
+        first = next((p for p in places if p not in holder), None)
+        if first is not None:
+            holder[first] = claim
+        elif largest:
+            # Breadth first over items, each reached from the claim that would take it.
+            came, queue, end = {p: (claim, None) for p in places}, list(places), None
+            for p in queue:
+                if p not in holder:
+                    end = p
+                    break
+                for q in fits[holder[p]]:
+                    if q not in came:
+                        came[q] = (holder[p], p)
+                        queue.append(q)
+            while end is not None:
+                holder[end], end = came[end]
+    out: list[int | None] = [None] * len(claims)
+    for place, claim in holder.items():
+        out[claim] = place
+    return out
+
+
+def match_items_in_order(claims: DataFrame, registered: DataFrame, owner: str, keys: list[list[str]], order: list[str], largest: bool = False, most: int = MOST_ITEMS) -> DataFrame:
+    """match_items() by the ordered search: each claim, in order, takes the first free registered item of its owner, in
+    order, that agrees in any of the keys, so an item that could serve two claims goes to the first. With `largest`, as
+    many claims as possible are matched.
+
+    Adds outcome and partner, the number of the other side's item (from 0, in order) for matched rows. A claim whose first
+    or last key column is blank in all keys is pending. An owner is one group; owners with more than `most` items, which
+    no message has, are matched by match_items() and have no partner.
+    """
+    items = claims.select(F.lit("claim").alias("side"), "*").unionByName(registered.select(F.lit("registered").alias("side"), "*"))
+    blank = lambda c: F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")) == ""
+    key = lambda cols: F.when(~(blank(cols[0]) | blank(cols[-1])), F.to_json(F.struct(*cols)))
+    many = items.groupBy(owner).count().where(F.col("count") > most).select(owner)
+    columns = items.columns
+    schema = StructType([StructField(f.name, f.dataType) for f in items.schema]).add("outcome", StringType()).add("partner", IntegerType())
+
+    def search(table: pa.Table) -> pa.Table:
+        table = table.sort_by([(c, "ascending") for c in order])
+        side, tags = table["side"].to_pylist(), list(zip(*(table[f"_k{i}"].to_pylist() for i in range(len(keys)))))
+        mine = [i for i, s in enumerate(side) if s == "claim" and any(x is not None for x in tags[i])]
+        theirs = [i for i, s in enumerate(side) if s == "registered"]
+        found = claimed_in_order([tags[i] for i in mine], [tags[i] for i in theirs], largest)
+        number = {i: n for which in ("claim", "registered") for n, i in enumerate(i for i, s in enumerate(side) if s == which)}
+        outcome = ["extra" if s == "registered" else "pending" for s in side]
+        partner: list[int | None] = [None] * len(side)
+        for i, place in zip(mine, found):
+            outcome[i] = "missing" if place is None else "matched"
+            if place is not None:
+                outcome[theirs[place]] = "matched"
+                partner[i], partner[theirs[place]] = number[theirs[place]], number[i]
+        return table.select(columns).append_column("outcome", pa.array(outcome, pa.string())).append_column("partner", pa.array(partner, pa.int32()))
+
+    small = items.join(many, owner, "left_anti").withColumns({f"_k{i}": key(k) for i, k in enumerate(keys)})
+    out = small.groupBy(owner).applyInArrow(search, schema)
+    large = match_items(claims.join(many, owner, "left_semi"), registered.join(many, owner, "left_semi"), owner, keys, order)
+    return out.unionByName(large.withColumn("partner", F.lit(None).cast("int")))
+
+
 def item_gate(owners: DataFrame, owner: str, orders: DataFrame, details: DataFrame, needed: list[str]) -> DataFrame:
     """(owner, n_orders, gate): why an owner's items can't be compared, blank if they can.
 

@@ -547,8 +547,12 @@ def d14(spark, sf_dir):
     return L.backfill(table(spark, sf_dir, "orders"), got, ["o_custkey"], ["o_orderpriority"]).select("o_orderkey", "o_orderpriority")
 
 
-@plans.add("d15_alias_dedupe", """WITH x AS (SELECT event_id, user_id || '' AS a, event_type || floor(value) AS b FROM events), t AS (SELECT * FROM x WHERE event_id % 50 = 0), f AS (SELECT * FROM x WHERE event_id % 50 <> 0)
-SELECT event_id FROM f WHERE a NOT IN (SELECT a FROM t) AND b NOT IN (SELECT b FROM t) AND event_id = (SELECT min(event_id) FROM f g WHERE g.a = f.a) AND event_id = (SELECT min(event_id) FROM f g WHERE g.b = f.b)""")
+@plans.add("d15_alias_dedupe", """WITH RECURSIVE x AS (SELECT event_id, user_id || '' AS a, event_type || floor(value) AS b FROM events), t AS (SELECT * FROM x WHERE event_id % 50 = 0),
+f AS (SELECT * FROM x WHERE event_id % 50 <> 0 AND a NOT IN (SELECT a FROM t) AND b NOT IN (SELECT b FROM t)),
+r(n, id, a, b, s) AS (SELECT 0, event_id, a, b, 'open' FROM f UNION ALL
+SELECT n + 1, id, a, b, CASE WHEN s <> 'open' THEN s WHEN k THEN 'kept' WHEN bool_or(k) OVER (PARTITION BY a) OR bool_or(k) OVER (PARTITION BY b) THEN 'gone' ELSE 'open' END
+FROM (SELECT *, coalesce(s = 'open' AND id = min(id) FILTER (s = 'open') OVER (PARTITION BY a) AND id = min(id) FILTER (s = 'open') OVER (PARTITION BY b), false) AS k, bool_or(s = 'open') OVER () AS going FROM r) WHERE going)
+SELECT id AS event_id FROM r WHERE n = (SELECT max(n) FROM r) AND s = 'kept'""")
 def d15(spark, sf_dir):
     rows = events(spark, sf_dir).select("event_id", F.col("user_id").cast("string").alias("a"), F.concat("event_type", F.floor("value")).alias("b"))
     return L.alias_dedupe(rows.where("event_id % 50 = 0"), rows.where("event_id % 50 != 0"), ["a", "b"], "event_id").select("event_id")

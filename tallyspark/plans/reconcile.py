@@ -214,3 +214,45 @@ def j3(spark, sf_dir):
     project = F.when(m == 4, "").otherwise(F.col("o_orderpriority"))
     ok = match.field_agree(who, other, company, their, F.col("o_orderpriority"), project)
     return table(spark, sf_dir, "orders").select("o_orderkey", ok.alias("agree"))
+
+
+NOTED = """WITH w AS (SELECT o_orderkey, o_orderkey // 2 AS k, CASE WHEN o_orderkey % 23 <> 0 THEN CAST(o_orderdate AS DATE) END AS anchor, o_custkey FROM orders WHERE o_orderkey % 3 <> 0 OR o_custkey % 2 = 0),
+l AS (SELECT l_orderkey // 2 AS k, CASE WHEN l_partkey % 9 <> 0 THEN CAST(l_shipdate AS DATE) END AS day, l_linenumber % 4 <> 3 AS agent, l_partkey % 3 <> 1 AS company, l_suppkey % 5 <> 0 AS project FROM lineitem WHERE l_quantity > 30),
+j AS (SELECT w.o_orderkey, w.anchor, w.o_custkey, l.k IS NOT NULL AS there, day, agent, company, project, abs(day - anchor) AS gap, coalesce(day IS NOT NULL AND anchor IS NOT NULL AND NOT day BETWEEN CAST(anchor - INTERVAL 1 MONTH AS DATE) AND CAST(anchor + INTERVAL 1 MONTH AS DATE), false) AS outside FROM w LEFT JOIN l ON w.k = l.k),
+c AS (SELECT o_orderkey, o_custkey, count(*) FILTER (there AND {take}) AS n, min(gap) FILTER (there AND {take}) AS nearest_days, count(*) FILTER (there AND {take} AND agent AND company AND project) AS good, coalesce(bool_or(outside) FILTER (there AND {take}), false) AS outside,
+concat_ws('; ', CASE WHEN bool_or(NOT agent) FILTER (there AND {take}) THEN 'agent: Agent ' || o_custkey || ' / quite another' END, CASE WHEN bool_or(NOT company) FILTER (there AND {take}) THEN 'company: Blue Sea Trading / Zzzzzz Qqqqqq' END, CASE WHEN bool_or(NOT project) FILTER (there AND {take}) THEN 'project: Germany WEEE / ' END) AS differ FROM j GROUP BY o_orderkey, o_custkey),
+t AS (SELECT c.*, (SELECT count(*) FROM j WHERE j.o_orderkey = c.o_orderkey AND there AND {take} AND gap = nearest_days) AS ties FROM c)
+SELECT o_orderkey, CASE WHEN n = 0 THEN 'missing' WHEN n = 1 THEN 'recorded' ELSE 'review' END AS status, CASE WHEN n = 0 THEN 'missing' WHEN n > 1 THEN 'several' WHEN good = 0 THEN 'fields differ' WHEN outside THEN 'date outside' ELSE 'exact' END AS match_status, n, nearest_days,
+CASE WHEN n = 0 THEN '' WHEN n > 1 THEN n || ' records' || coalesce('; the nearest is ' || nearest_days || ' days away' || CASE WHEN ties > 1 THEN ' (tied)' ELSE '' END, '; none has a date') || CASE WHEN good = 0 THEN '; none agrees in all fields' ELSE '' END
+WHEN good = 0 THEN 'one record, but ' || differ WHEN outside THEN 'one record, but ' || nearest_days || ' days away' ELSE '' END AS note FROM t"""
+
+
+def noted(spark, sf_dir, windowed):
+    """Orders, two a key, against their line items of large quantity, whose fields agree or differ by their numbers."""
+    k = F.col("o_orderkey")
+    orders = table(spark, sf_dir, "orders").where("o_orderkey % 3 != 0 OR o_custkey % 2 = 0")
+    work = orders.select("o_orderkey", F.floor(k / 2).alias("k"), F.when(k % 23 != 0, F.col("o_orderdate")).alias("anchor"), F.concat(F.lit("Agent "), "o_custkey").alias("agent"), F.lit("Blue Sea Trading").alias("company"), F.lit("Germany WEEE").alias("project"))
+    agent = F.when(F.col("l_linenumber") % 4 == 3, "quite another").otherwise("")
+    company = F.when(F.col("l_partkey") % 3 == 1, "Zzzzzz Qqqqqq").otherwise("The Blue Sea Trading Ltd")
+    ledger = table(spark, sf_dir, "lineitem").where("l_quantity > 30").select(F.floor(F.col("l_orderkey") / 2).alias("k"), F.when(F.col("l_partkey") % 9 != 0, F.col("l_shipdate")).alias("entered"), agent.alias("agent"), company.alias("company"), F.when(F.col("l_suppkey") % 5 != 0, "Germany WEEE").alias("project"))
+    return match.reconcile_notes(work, ledger, ["k"], ["o_orderkey"], "anchor", "entered", 1, windowed)
+
+
+@plans.add("j1_reconcile_notes", NOTED.format(take="NOT outside"))
+def j1_notes(spark, sf_dir):
+    return noted(spark, sf_dir, True)
+
+
+@plans.add("j1_reconcile_notes_all", NOTED.format(take="true"))
+def j1_notes_all(spark, sf_dir):
+    return noted(spark, sf_dir, False)
+
+
+@plans.add("j4_items_in_order", ITEMS.rsplit("SELECT *, CASE", 1)[0] + "SELECT owner, n_matched, n_missing, n_extra FROM s")
+def j4_in_order(spark, sf_dir):
+    """With keys of which the second adds nothing, the ordered search matches as many as there are on both sides."""
+    rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    each = rows.select(F.col("l_orderkey").alias("owner"), F.col("p_brand").alias("brand"), F.col("p_type").alias("kind"), "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_returnflag")
+    parts = lambda mine: each.where((F.col("l_returnflag") == "R") == mine).drop("l_returnflag")
+    out = match.match_items_in_order(parts(True), parts(False), "owner", [["brand", "kind"], ["kind", "brand"]], ["l_linenumber", "l_partkey", "l_suppkey", "l_shipdate"])
+    return match.item_outcome(out, "owner").select("owner", "n_matched", "n_missing", "n_extra")

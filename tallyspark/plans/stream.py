@@ -150,3 +150,17 @@ def a20(spark, sf_dir):
 def k1(spark, sf_dir):
     text = "SELECT p_partkey, norm_text(p_name) AS n, identity_key('ＡＢ　c ' || p_brand) AS k, CASE WHEN p_name LIKE 'red%' THEN similarity(p_name, p_name) END AS s FROM {part}"
     return Q.query(spark, text, part=table(spark, sf_dir, "part"))
+
+
+@plans.add("k2_group_segments", "WITH s AS (SELECT user_id, event_id, CASE WHEN event_id % 7 = 0 THEN 'c' || event_id END AS co, CASE WHEN event_id % 3 = 0 THEN 'n' || event_id % 5 END AS na, CASE WHEN event_id % 2 = 0 THEN event_type END AS service FROM events), n AS (SELECT *, count(co) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS record_no FROM s), c AS (SELECT *, last_value(co IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS company, last_value(na IGNORE NULLS) OVER (PARTITION BY user_id, record_no ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS country FROM n) SELECT user_id AS mail, event_id AS no, record_no, company, country, service FROM c WHERE service IS NOT NULL AND company IS NOT NULL")
+def k2(spark, sf_dir):
+    """The segments of f4_group_segments by the table function, called from SQL."""
+    text = """SELECT g.* FROM group_segments(TABLE(SELECT user_id AS mail, event_id AS no, CASE WHEN event_id % 7 = 0 THEN concat('c', event_id) END AS company,
+        CASE WHEN event_id % 3 = 0 THEN concat('n', event_id % 5) END AS country, CASE WHEN event_id % 2 = 0 THEN event_type END AS service FROM {events}) PARTITION BY mail ORDER BY no) g"""
+    return Q.query(spark, text, events=table(spark, sf_dir, "events"))
+
+
+@plans.add("k3_arrow_similarity", "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 100 WHEN p_partkey % 3 = 1 THEN 50 END AS s, CASE WHEN p_partkey % 3 = 2 THEN NULL ELSE 100 END AS part FROM part")
+def k3(spark, sf_dir):
+    other = "CASE p_partkey % 3 WHEN 0 THEN p_name WHEN 1 THEN concat(p_name, repeat('#', 2 * length(p_name))) END"
+    return Q.query(spark, f"SELECT p_partkey, similarity_arrow(p_name, {other}) AS s, partial_similarity_arrow(p_name, {other}) AS part FROM {{part}}", part=table(spark, sf_dir, "part"))
