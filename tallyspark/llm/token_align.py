@@ -61,48 +61,48 @@ def coalesced(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 def summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each key once, in rising order, with the sum of its values."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys, values = keys[order], values[order]
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)])
     return keys[first], np.add.reduceat(values, first) if len(first) else values
 
 
+#: A document of a batch and a pair as one number; a batch has fewer documents than 2**22.
+DOC = 1 << 41
+
+
 def linked(group: np.ndarray, ids: np.ndarray, second: np.ndarray, doc_of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document, pair, links): how often each pair of ids shares a group of each document.
 
-    Within a group, equal ids are counted first, so a long group of few different ids costs little; different ones are
-    expanded a part at a time.
+    A group of one token on each side is a pair; both sides come in the order of their groups. In other groups equal ids are counted first, so a long group of few
+    different ids costs little; different ones are expanded a part at a time.
     """
+    many = np.bincount(group, minlength=len(doc_of)) > 2
+    large = many[group]
+    keys = [doc_of[~many] * DOC + ids[~large & ~second] * WIDTH + ids[~large & second]]
+    links = [np.ones(len(keys[0]), np.int64)]
     sides = []
     for side in (False, True):
-        mine = second == side
-        keys, times = summed(group[mine] * WIDTH + ids[mine], np.ones(int(mine.sum()), np.int64))
-        sides.append((keys // WIDTH, keys % WIDTH, times))
+        mine = large & (second == side)
+        own, times = summed(group[mine] * WIDTH + ids[mine], np.ones(int(mine.sum()), np.int64))
+        sides.append((own // WIDTH, own % WIDTH, times))
     (ga, a, na), (gb, b, nb) = sides
     first, last = np.searchsorted(gb, ga), np.searchsorted(gb, ga, "right")
     sizes = last - first
-    docs, pairs, links = [], [], []
     done = np.concatenate([[0], np.cumsum(sizes)])
     at = 0
     while at < len(ga):
         to = max(at + 1, int(np.searchsorted(done, done[at] + PAIRS, "right")) - 1)
         own = np.repeat(np.arange(at, to), sizes[at:to])
         other = np.arange(len(own)) - np.repeat(done[at:to] - done[at], sizes[at:to]) + first[own]
-        doc, pair, times = doc_of[ga[own]], a[own] * WIDTH + b[other], na[own] * nb[other]
-        order = np.lexsort((pair, doc))
-        doc, pair, times = doc[order], pair[order], times[order]
-        new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (pair[1:] != pair[:-1])])[: len(doc)])
-        docs.append(doc[new])
-        pairs.append(pair[new])
-        links.append(np.add.reduceat(times, new))
+        key, times = doc_of[ga[own]] * DOC + a[own] * WIDTH + b[other], na[own] * nb[other]
+        if to < len(ga):
+            key, times = summed(key, times)
+        keys.append(key)
+        links.append(times)
         at = to
-    if len(docs) == 1:
-        return docs[0], pairs[0], links[0]
-    doc, pair, times = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (docs, pairs, links))
-    order = np.lexsort((pair, doc))
-    doc, pair, times = doc[order], pair[order], times[order]
-    new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (pair[1:] != pair[:-1])])[: len(doc)])
-    return doc[new], pair[new], np.add.reduceat(times, new) if len(new) else times
+    key, times = summed(np.concatenate(keys), np.concatenate(links))
+    return key // DOC, key % DOC, times
 
 
 class Aligner:
