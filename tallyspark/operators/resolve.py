@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tallyspark.functions.similarity import letters, partial_similarity_arrow, similarity_arrow
-from tallyspark.functions.text import blank_to_null, domain_of, first_address, norm_text, trimmed
+from tallyspark.functions.text import blank_to_null, domain_of, first_address, norm_text, product_key, trimmed
 
 from tallyspark.sources.shared import cut
 
@@ -329,6 +329,31 @@ def record_scope(records: DataFrame, file: str, text: str, company: Column) -> D
     return records.where(F.contains(norm_text(F.col(text)), norm_text(company)))
 
 
+def record_scopes(records: DataFrame, companies: DataFrame, mail: str, file: str, text: str, company: str) -> DataFrame:
+    """D22 for all companies of all mails: a row for each company of a mail and each record that it may use, `scoped` telling
+    whether the record mentions it, in its text or its file's name.
+
+    records has mail, file and text; companies (mail, company), of which repeated ones count once. A blank company may
+    use all records of its mail. Of a file whose records don't mention a company it may use none (scope_files()). Records
+    and companies meet on their mail only, so a mail with many of both makes the most rows. Names are compared as
+    product keys.
+    """
+    names = companies.select(F.col(mail).alias("_mail"), F.coalesce(F.trim(F.col(company)), F.lit("")).alias(company)).distinct().withColumn("_key", product_key(F.col(company)))
+    told = records.withColumn("_text", product_key(F.concat_ws(" ", F.coalesce(F.col(text), F.lit("")), F.coalesce(F.col(file), F.lit("")))))
+    both = told.join(names, F.col(mail) == F.col("_mail")).where((F.col("_key") == "") | F.contains("_text", F.col("_key")))
+    return both.withColumn("scoped", F.col("_key") != "").drop("_mail", "_key", "_text")
+
+
+def scope_files(records: DataFrame, scopes: DataFrame, mail: str, file: str, company: str) -> DataFrame:
+    """(mail, company, file, n_records, n_used) of each file of a mail that has companies; n_used 0: the file tells
+    nothing of the company, and none of its records is used."""
+    files = records.groupBy(mail, file).agg(F.count("*").alias("n_records"))
+    used = scopes.groupBy(mail, file, company).agg(F.count("*").alias("n_used"))
+    names = scopes.select(mail, company).distinct()
+    out = files.join(names, mail).join(used, [mail, file, company], "left")
+    return out.select(mail, company, file, "n_records", F.coalesce("n_used", F.lit(0)).cast("long").alias("n_used"))
+
+
 def record_groups(records: DataFrame, mail_projects: DataFrame, mail: str, locator: list[str], project: str, text_groups: DataFrame | None = None) -> DataFrame:
     """One row per physical record, of repeated ones the least, with its own project, else the mail's only one, else
     flagged.

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -115,6 +117,25 @@ def header_lines(rows: DataFrame, key: list[str], order: str, header: Column, le
     return good.select(*key, "block", F.posexplode(F.arrays_zip(F.col("_cells").alias("label"), F.col("_next").alias("value"))).alias("place", "_z")).select(*key, "block", F.col("place") + 1, "_z.label", "_z.value").toDF(*key, "block", "place", "label", "value")
 
 
+def table_rows(lines: DataFrame, key: list[str], order: str, header: Callable[[Column], Column], least: int = 2) -> DataFrame:
+    """F8 for tables of several lines: (key, header_no, line_no, place, label, value): each line below a header line with
+    as many cells, down to the first line that has another number of them or is a header itself.
+
+    A line's cells stand between tabs, bars or wide gaps, and empty ones between tabs or bars count. header is a
+    function of a cell's Column; a line with `least` headers is one. line_no counts a text's lines from 1.
+    """
+    cells = F.transform(F.split(F.regexp_replace("line", r"^\s*\|\s*|\s*\|\s*$", ""), r"\t|\s*\|\s*|\s{2,}"), trimmed)
+    named = lambda c: F.size(F.filter(c, lambda x: F.coalesce(header(x), F.lit(False))))
+    per = W.partitionBy(*key).orderBy(order)
+    work = lines.withColumns({"_cells": cells, "line_no": F.row_number().over(per)}).withColumn("_head", named("_cells") >= least)
+    head = F.last(F.when(F.col("_head"), F.struct(F.col("line_no").alias("no"), F.col("_cells").alias("labels"))), True).over(per.rowsBetween(W.unboundedPreceding, W.currentRow))
+    work = work.withColumn("_h", head).where("_h is not null").withColumn("_other", ~F.col("_head") & (F.size("_cells") != F.size("_h.labels")))
+    broken = F.bool_or("_other").over(W.partitionBy(*key, "_h.no").orderBy("line_no").rowsBetween(W.unboundedPreceding, W.currentRow))
+    good = work.withColumn("_broken", broken).where(~F.col("_head") & ~F.col("_broken"))
+    pairs = F.posexplode(F.arrays_zip(F.col("_h.labels").alias("label"), F.col("_cells").alias("value"))).alias("place", "_z")
+    return good.select(*key, F.col("_h.no").alias("header_no"), "line_no", pairs).select(*key, "header_no", "line_no", (F.col("place") + 1).alias("place"), "_z.label", "_z.value")
+
+
 def zip_by_position(brands: Column, categories: Column) -> Column:
     """brand i with category i; the longer list's rest has null partners."""
     return F.transform(F.arrays_zip(brands.alias("brand"), categories.alias("category")), lambda x: F.struct(x["brand"].alias("brand"), x["category"].alias("category")))

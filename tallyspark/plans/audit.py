@@ -431,6 +431,19 @@ QUERIES["j21_rule_projects"] = lambda spark, sf_dir: A.rule_projects(table(spark
 ORACLES["j21_rule_projects"] = "SELECT p_partkey, split_part(p_name, ' ', 1) AS country, split_part(p_name, ' ', 2) AS service FROM part"
 
 
+@plans.add("j22_items_of_tables", """WITH v AS (SELECT p_partkey, p_partkey % 4 AS m FROM part)
+SELECT p_partkey, 'Z' || p_partkey AS brand, 'red lamp' AS category, 'table' AS source, 1::BIGINT AS mentions, 'matched' AS status, '1' AS category_class FROM v WHERE m IN (0, 1) UNION ALL SELECT p_partkey, 'Second', 'ring', 'table', 1, 'matched', '3' FROM v WHERE m IN (0, 1)
+UNION ALL SELECT p_partkey, 'Labelled', 'bolt', 'text', 1, 'matched', '6' FROM v WHERE m = 2""")
+def j22_tables(spark, sf_dir):
+    """By part key: a table between bars, one between tabs with a third column, labels that beat a table, no table."""
+    m, brand = F.col("p_partkey") % 4, F.concat(F.lit("Z"), "p_partkey")
+    bars = F.concat(F.lit("we ask for\n| Brand | Category |\n| "), brand, F.lit(" | red lamp |\nSecond | ring\nthanks\nThird | bolt"))
+    tabs = F.concat(F.lit("No\tCategory\tBrand\n1\tred lamp\t"), brand, F.lit("\n2\tring\tSecond\nTotal\t2\n3\tbolt\tThird"))
+    text = F.when(m == 0, bars).when(m == 1, tabs).when(m == 2, "Brand: Labelled\nCategory: bolt\nBrand | Category\nx | y").otherwise("Brand | Colour\nx | y")
+    rows = table(spark, sf_dir, "part").select("p_partkey", text.alias("text"))
+    return A.extract_items(rows.limit(0).select("p_partkey", F.lit("").alias("brand"), F.lit("").alias("category")), rows, "p_partkey", dictionary(spark))
+
+
 @plans.add("j22_extract_items", """WITH v AS (SELECT p_partkey, p_partkey % 6 AS m, p_brand FROM part)
 SELECT p_partkey, p_brand AS brand, 'red item' AS category, 'record' AS source, 2::BIGINT AS mentions, 'matched' AS status, '1' AS category_class FROM v WHERE m = 0
 UNION ALL SELECT p_partkey, unnest(['Zed', 'Yak']), 'red lamp', 'text', 1, 'matched', '1' FROM v WHERE m = 1

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.functions.text import distinct_by
 from tallyspark.operators import ledger as L
+from tallyspark.operators import audit as A
 from tallyspark.operators import resolve as R
 
 from .base import Plans, table
@@ -213,6 +214,30 @@ def d22(spark, sf_dir):
     return R.record_scope(table(spark, sf_dir, "part"), "p_brand", "p_name", F.lit("Red BOLT")).select("p_partkey")
 
 
+SCOPES = """r AS (SELECT p_brand AS mail, p_type AS file, p_partkey, p_name, replace(p_name, ' ', '') || replace(p_type, ' ', '') AS t FROM part),
+c AS (SELECT DISTINCT p_brand AS mail, CASE WHEN p_size % 25 = 0 THEN '' ELSE p_name END AS company FROM part WHERE p_size % 5 = 0),
+s AS (SELECT mail, company, file, p_partkey, company <> '' AS scoped FROM r JOIN c USING (mail) WHERE contains(lower(t), lower(replace(company, ' ', ''))))"""
+
+
+def scopes(spark, sf_dir):
+    """Parts as records: the brand is the mail, the type the file; every fifth size gives a company, some are blank."""
+    records = table(spark, sf_dir, "part").select(F.col("p_brand").alias("mail"), F.col("p_type").alias("file"), "p_partkey", "p_name")
+    part = table(spark, sf_dir, "part").where("p_size % 5 = 0")
+    companies = part.select(F.col("p_brand").alias("mail"), F.when(F.col("p_size") % 25 != 0, F.upper("p_name")).alias("company"))
+    return records, R.record_scopes(records, companies, "mail", "file", "p_name", "company")
+
+
+@plans.add("d22_record_scopes", f"WITH {SCOPES} SELECT mail, company, p_partkey, scoped FROM s")
+def d22_scopes(spark, sf_dir):
+    return scopes(spark, sf_dir)[1].select("mail", F.lower("company").alias("company"), "p_partkey", "scoped")
+
+
+@plans.add("d22_scope_files", f"WITH {SCOPES}, f AS (SELECT mail, file, count(*) AS n_records FROM r GROUP BY ALL), u AS (SELECT mail, company, file, count(*) AS n FROM s GROUP BY ALL) SELECT f.mail, n.company, f.file, n_records, coalesce(u.n, 0) AS n_used FROM f JOIN (SELECT DISTINCT mail, company FROM s) n USING (mail) LEFT JOIN u ON u.mail = f.mail AND u.file = f.file AND u.company = n.company")
+def d22_files(spark, sf_dir):
+    records, found = scopes(spark, sf_dir)
+    return R.scope_files(records, found, "mail", "file", "company").withColumn("company", F.lower("company"))
+
+
 @plans.add("d23_record_groups", "WITH o AS (SELECT p_brand, min(p_type) AS a, max(p_type) AS b FROM part WHERE p_size > 48 GROUP BY 1) SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_name WHEN a = b THEN a END AS project, p_partkey % 2 <> 0 AND coalesce(a <> b, true) AS flagged FROM part LEFT JOIN o USING (p_brand)")
 def d23(spark, sf_dir):
     part = table(spark, sf_dir, "part")
@@ -257,6 +282,21 @@ def d25(spark, sf_dir):
     return R.first_source(rows, "l_orderkey", "l_returnflag", "l_linenumber")
 
 
+@plans.add("d25_company_evidence", """SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN 'Blue Sea' || o_custkey || ' Ltd' WHEN 1 THEN 'Old Mill GmbH' WHEN 2 THEN 'Green Hill Ltd' WHEN 3 THEN 'Deep Well' || o_custkey || ' Inc' WHEN 4 THEN 'Sand Dune GmbH' END AS value,
+o_orderkey % 6 // 1 + CASE WHEN o_orderkey % 6 = 4 THEN 0 ELSE 1 END AS rank, ['body', 'subject', 'file', 'file text', 'file text'][o_orderkey % 6 + 1] AS source FROM orders WHERE o_orderkey % 6 < 5""")
+def d25_evidence(spark, sf_dir):
+    """By order key: a labelled company beats all, a subject beats files, a file's name beats texts; the first of two texts;
+    5 has no evidence."""
+    k = F.col("o_orderkey") % 6
+    orders = table(spark, sf_dir, "orders")
+    body = F.when(k == 0, F.concat(F.lit("hello\nCompany: Blue Sea"), "o_custkey", F.lit(" Ltd\nbye"))).otherwise("nothing to see")
+    rows = orders.select("o_orderkey", body.alias("body"), F.when(k < 2, "about Old Mill GmbH").alias("subject"))
+    name = F.when((k < 3) & (F.col("no") == 2), "form_Green Hill Ltd_2.pdf").otherwise("form.pdf")
+    text = F.when((k < 4) & (F.col("no") == 1), F.concat(F.lit("we, Deep Well"), "o_custkey", F.lit(" Inc, ask"))).when((k == 4) & (F.col("no") == 2), "for Sand Dune GmbH")
+    files = orders.withColumn("no", F.explode(F.array(F.lit(1), F.lit(2)))).select("o_orderkey", "no", name.alias("file"), text.alias("text"))
+    return A.company_source(rows, files, "o_orderkey", "body", "subject", "file", "text", "no")
+
+
 @plans.add("d26_current_batch", "SELECT o_orderkey FROM orders WHERE year(o_orderdate) = (SELECT max(year(o_orderdate)) FROM orders)")
 def d26(spark, sf_dir):
     orders = table(spark, sf_dir, "orders")

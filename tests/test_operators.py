@@ -396,6 +396,9 @@ def test_items_in_order(spark):
     rng = random.Random(14)
     make = lambda n: [(o, i, rng.choice(["a", "b", None]), rng.choice(["1", "2", "3", ""]), rng.choice(["s", "t", None])) for o in range(120) for i in range(rng.randrange(n))]
     claims, registered = make(6), make(6)
+    # The first claim takes the only item that the second one could have, and could do with another.
+    claims += [(119, 90, "z", "1", "s"), (119, 91, "z", "1", None)]
+    registered += [(119, 90, "z", "1", None), (119, 91, "z", "9", "s")]
     keys = [["brand", "cls"], ["brand", "text"]]
     value = lambda r: [None if not r[2] or not x else (r[2], x) for x in (r[3], r[4])]
     kind = "owner int, pos int, brand string, cls string, text string"
