@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 from itertools import groupby
 
 import numpy as np
@@ -14,7 +15,7 @@ from .common import stored
 
 #: Bytes of a repeat; bytes of an anchor's own string.
 LENGTH, GRAM = 200, 64
-#: Contexts of one anchor that one task merges, in about 200 MB; more take the exact way by whole windows.
+#: Contexts of one bucket that one task merges, in about 200 MB; a larger bucket is split by the letters around its anchor.
 BUCKET = 60_000
 #: Contexts of a shard, contexts merged at a time, bytes of a text that are hashed at a time.
 SHARD, BATCH, CHUNK = 1024, 4096, 1 << 20
@@ -154,22 +155,35 @@ def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
 def repeats(rows: list[tuple], length: int = LENGTH, gram: int = GRAM, shard: int = SHARD) -> Iterator[tuple[int, int, int, int]]:
     """(h, c, low, high): windows of context c that start low to high - 1 bytes from the anchor are repeated.
 
-    rows (h, c, n, left, context) hold whole buckets in the order of h; n is how often the context occurs.
+    rows (key, h, c, n, low, high, left, context) hold whole buckets in the order of key; n is how often the context
+    occurs, and a row asks for windows from low to high - 1 only.
     """
     reach = length - gram
     bucket = np.cumsum([0] + [a[0] != b[0] for a, b in zip(rows, rows[1:])])
     texts = np.full((len(rows), reach + length), END, np.uint16)
-    for i, (_, _, _, left, context) in enumerate(rows):
+    for i, (*_, left, context) in enumerate(rows):
         texts[i, reach - left : reach - left + len(context)] = np.frombuffer(context, np.uint8)
     parts = [slice(s, s + shard) for s in range(0, len(rows), shard)]
     found = np.concatenate(merged([shard_bwt(texts[p], bucket[p]) for p in parts], [bucket[p] for p in parts], length, reach + 1))
-    for i, (h, c, n, left, context) in enumerate(rows):
+    for i, (_, h, c, n, low, high, left, context) in enumerate(rows):
         starts = np.zeros(reach + 1, bool)
-        starts[reach - left : max(reach - left, reach - left + len(context) - length + 1)] = True
+        starts[max(reach - left, reach + low) : max(reach - left, min(reach - left + len(context) - length + 1, reach + high))] = True
         for a, b in _runs(starts if n > 1 else found[i] & starts):
             yield h, c, a - reach, b - reach
 
 
+def halved(row: tuple, length: int = LENGTH) -> Iterator[tuple]:
+    """A row (key, h, c, n, low, high, left, context) for each half of its windows, if the context has one of them: the key
+    is the digest of the bytes that all windows of the half share, so equal windows stay together."""
+    _, h, c, n, low, high, left, context = row
+    middle = (low + high) // 2
+    for a, b in ((low, middle), (middle, high)):
+        if max(a, -left) <= min(b - 1, len(context) - left - length):
+            shared = context[left + b - 1 : left + a + length]
+            key = int.from_bytes(hashlib.md5(b"%d,%d:%b" % (h, a, shared)).digest()[:8], "big", signed=True)
+            yield key, h, c, n, a, b, left, context
+
+
 def _bytes(text: pa.Scalar) -> np.ndarray:
     return np.frombuffer((text.as_py() or "").encode("utf-8", "surrogatepass"), np.uint8)
 
@@ -184,62 +198,69 @@ def _marks(keyed: DataFrame, length: int, gram: int, bucket: int, found: DataFra
     many = contexts.select("at.doc_id", "at.tid", F.struct("at.pos", "h", "c", "n", (F.col("kinds") > bucket).alias("big")).alias("a"))
     wanted = many.groupBy("doc_id", "tid").agg(F.collect_list("a").alias("a")).withColumnsRenamed({"doc_id": "w_doc", "tid": "w_tid"})
     there = keyed.join(wanted, F.col("doc_id").eqNullSafe(F.col("w_doc")) & (F.col("tid") == F.col("w_tid"))).select("text", "a")
+    names = ("key", "h", "c", "n", "low", "high", "left", "context")
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+    schema = "key long, h long, c long, n long, low int, high int, left int, context binary"
 
-    def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def emit(out: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.binary()))], ["h", "c", "n", "big", "left", "context"])
+    def emit(out: list[tuple], more: tuple = (), kinds: tuple = ()) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((*types, *kinds))], [*names, *more])
 
+    def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         for batch in batches:
             for text, marks in zip(batch["text"], batch["a"]):
                 data = _bytes(text).tobytes()
                 for a in marks.as_py():
                     left = min(a["pos"], reach)
-                    out.append((a["h"], a["c"], a["n"], a["big"], left, data[a["pos"] - left : a["pos"] + length]))
+                    out.append((a["h"], a["h"], a["c"], a["n"], -reach, 1, left, data[a["pos"] - left : a["pos"] + length], a["big"]))
                 if len(out) >= BATCH:
-                    yield emit(out)
+                    yield emit(out, ("big",), (pa.bool_(),))
                     out = []
         if out:
-            yield emit(out)
+            yield emit(out, ("big",), (pa.bool_(),))
+
+    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        return (row for batch in batches for row in zip(*(batch[c].to_pylist() for c in names)))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def emit(rows: list[tuple]) -> pa.RecordBatch:
+        def done(rows: list[tuple]) -> pa.RecordBatch:
             out = list(repeats(rows, length, gram))
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["h", "c", "low", "high"])
 
-        rows = (row for batch in batches for row in zip(*(column.to_pylist() for column in batch.columns)))
         held: list[tuple] = []
-        for _, group in groupby(rows, key=lambda r: r[0]):
-            held += {row[1]: row for row in group}.values()
+        for _, group in groupby(rows_of(batches), key=lambda r: r[0]):
+            held += {row[1:3]: row for row in group}.values()
             if len(held) >= BATCH:
-                yield emit(held)
+                yield done(held)
                 held = []
         if held:
-            yield emit(held)
+            yield done(held)
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[tuple] = []
-            for h, c, n, left, context in zip(*(column.to_pylist() for column in batch.columns)):
-                out += [(h, c, n, s - left, hashlib.md5(context[s : s + length]).digest()) for s in range(len(context) - length + 1)]
-                if len(out) >= ROWS:
-                    yield seen(out)
-                    out = []
-            yield seen(out)
-
-    def seen(out: list[tuple]) -> pa.RecordBatch:
-        kinds = {"h": pa.int64(), "c": pa.int64(), "n": pa.int64(), "low": pa.int32(), "w": pa.binary()}
-        return pa.RecordBatch.from_arrays([pa.array([row[i] for row in out], kind) for i, kind in enumerate(kinds.values())], list(kinds))
+    def halve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        for row in rows_of(batches):
+            out += halved(row, length)
+            if len(out) >= BATCH:
+                yield emit(out)
+                out = []
+        if out:
+            yield emit(out)
 
-    pieces = there.mapInArrow(cut_out, "h long, c long, n long, big boolean, left int, context binary")
+    settled = lambda df: df.repartition("key").sortWithinPartitions("key").mapInArrow(merge, "h long, c long, low int, high int")
+    pieces = there.mapInArrow(cut_out, schema + ", big boolean")
     if contexts.where(F.col("kinds") > bucket).isEmpty():
-        return pieces.drop("big").repartition("h").sortWithinPartitions("h").mapInArrow(merge, "h long, c long, low int, high int")
+        return settled(pieces.drop("big"))
     pieces = stored(pieces)
-    plain = pieces.where("not big").drop("big").repartition("h").sortWithinPartitions("h").mapInArrow(merge, "h long, c long, low int, high int")
-    each = stored(pieces.where("big").drop("big").dropDuplicates(["h", "c"]).mapInArrow(windows, "h long, c long, n long, low int, w binary"))
-    twice = each.groupBy("h", "low", "w").agg(F.sum("n").alias("total")).where("total > 1").select("h", "low", "w")
-    rest = each.join(twice, ["h", "low", "w"], "left_semi").select("h", "c", "low", (F.col("low") + 1).alias("high"))
-    return plain.unionByName(rest)
+    parts = [settled(pieces.where("not big").drop("big"))]
+    rest, width = pieces.where("big").drop("big").dropDuplicates(["h", "c"]), reach + 1
+    while width > 1 and not rest.isEmpty():
+        width = (width + 1) // 2
+        rest = stored(rest.mapInArrow(halve, schema))
+        large = stored(rest.groupBy("key").agg(F.count("*").alias("kinds")).where(F.col("kinds") > bucket).select("key"))
+        parts.append(settled(rest.join(large, "key", "left_anti").select(*names)))
+        rest = stored(rest.join(large, "key", "left_semi").select(*names))
+    # What is left has one window a row, and a bucket is one window: that of more than `bucket` contexts.
+    return reduce(DataFrame.unionByName, [*parts, rest.select("h", "c", "low", "high")])
 
 
 def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bucket: int = BUCKET, texts: bool = False) -> DataFrame:
@@ -256,8 +277,10 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bucket
     anchor string that occurs once has no repeat, and one whose occurrences all have the same context is one repeated
     interval; most repeats of whole copies end there. In the other buckets, equal contexts are one row with a count.
     The different ones are split into shards, each has its Burrows-Wheeler transform over contexts aligned at the
-    anchor, and the shards' transforms are merged by interleave refinement. Buckets of more than `bucket` contexts are too much for a task and are settled, as
-    exactly, by grouping whole windows.
+    anchor, and the shards' transforms are merged by interleave refinement. A bucket of more than `bucket` contexts is
+    split by the letters around the anchor: its windows are halved by where they start, and each half's contexts go by
+    the bytes that all its windows share, again and again, until a bucket is small enough to be merged. Where one window
+    is left, its bucket is that window's.
     """
     reach = length - gram
     keyed = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text", F.lit(1)).alias("tid"), "text")
