@@ -130,3 +130,19 @@ def test_company_names_with_many_aliases(spark):
     got = one(spark, C.company_names(F.col("x"), aliases=aliases), x="CH-1234 Sea Agent North Star Corp s. r. o, Alias 7 (c++ and 出海者 CHZ489 深圳市聚恒科技有限公司")
     assert got == ["North Star Corp s. r. o", "深圳市聚恒科技有限公司"]
     assert time.time() - start < 10
+
+
+@pytest.mark.parametrize(
+    "given, want",
+    [("AXB Sea Ltd", "AXB Sea Ltd"), ("a.b Sea Ltd", "Sea Ltd"), ("A.B: Sea Ltd", "Sea Ltd"), ("c++(x-Sea Ltd", "Sea Ltd"), ("a.b c Sea Ltd", "Sea Ltd"), ("a.b c d", "a.b c d"), ("a.bc Ltd", "a.bc Ltd"), (None, None)],
+)
+def test_strip_alias_prefix_takes_aliases_as_they_are(spark, given, want):
+    assert one(spark, T.strip_alias_prefix(F.col("x"), ("a.b", "c++(x", "a.b c"), ("ltd",)), x=given) == want
+
+
+def test_words_are_no_patterns(spark):
+    assert one(spark, T.company_key(F.col("x"), ("c.o",)), x="Sea cxo") == "seacxo"
+    assert one(spark, T.suggested_value("a.b", F.col("x")), x="axb: 1\na.b: 2") == ["2"]
+    assert one(spark, T.brand_values(F.col("x"), label="c++"), x="c++: Sea\nccc: No") == ["Sea"]
+    assert one(spark, T.split_values(F.col("x"), "^]-"), x="a^b]c-d") == ["a", "b", "c", "d"]
+    assert one(spark, T.search_variants(F.col("x"), "a.b", ("x.",)), x="xyz(axb)") == ["xyz(axb)"]
