@@ -19,7 +19,7 @@ TREES, DEPTH, RECALL = 24, 8, 0.9999
 #: Texts and bytes of shingles of a block: a task compares two blocks at a time, STRIP texts with a block at once.
 BLOCK, BYTES, STRIP = 4096, 16 << 20, 512
 #: Word digests that a worker keeps.
-KEEP = 1_000_000
+KEEP = 250_000
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
