@@ -56,8 +56,10 @@ def alias_edges(pages: DataFrame) -> DataFrame:
     """Rows (url, target) for each canonical link and each meta-refresh redirect in a page's html."""
     link = F.regexp_extract(F.regexp_extract("html", r"""(?is)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>""", 0), r"""(?is)\bhref\s*=\s*["']?([^"'\s>]+)""", 1)
     jump = F.regexp_extract(F.regexp_extract("html", r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>""", 0), r"""(?is)\burl\s*=\s*["']?([^"'\s>]+)""", 1)
-    found = pages.where(F.col("url").isNotNull() & F.col("html").rlike(r"(?i)\b(?:canonical|refresh)\b")).select("url", F.explode(F.array(link, jump)).alias("link"))
-    return found.select("url", resolved(F.col("link"), F.col("url")).alias("target")).where("target is not null")
+    found = pages.where(F.col("url").isNotNull() & F.col("html").rlike(r"(?i)\b(?:canonical|refresh)\b")).select("url", link.alias("link"), jump.alias("jump"))
+    # Addresses are made before they are dealt to rows: a test on them then reads a column and doesn't repeat their making.
+    targets = F.array(*[resolved(F.col(c), F.col("url")) for c in ("link", "jump")])
+    return found.select("url", F.explode(targets).alias("target")).where("target is not null")
 
 
 def matched(nodes: DataFrame, rules: DataFrame) -> DataFrame:
