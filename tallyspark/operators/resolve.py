@@ -236,8 +236,7 @@ def standardize_projects(df: DataFrame, key: str, raw: str, projects: DataFrame,
     names = projects.select(F.col("name").alias("_project"), norm_text(F.col("name")).alias("_p")).groupBy("_p").agg(F.min("_project").alias("_project"))
     shown = lambda rows, stage, matched=True: rows.select(key, "part_no", "part", "project", F.lit(stage).alias("stage"), (F.lit(matched) if isinstance(matched, bool) else matched).alias("matched"))
 
-    # Each stage goes on from what the one before left open; that is kept, so that plans don't multiply.
-    exact = cut(base.join(names, F.col("_n") == F.col("_p"), "left"))
+    exact = base.join(names, F.col("_n") == F.col("_p"), "left")
     whole = shown(exact.where("_p is not null").withColumns({"part_no": F.lit(0), "part": F.col("_raw"), "project": F.col("_project")}), "exact")
     known = combos.select(norm_text(F.col("name")).alias("_c"), F.col("part").alias("_part"), F.col("part_no").cast("int").alias("part_no"))
     rest = exact.where("_p is null").select(key, "_raw", "_n", "_about")
@@ -245,7 +244,7 @@ def standardize_projects(df: DataFrame, key: str, raw: str, projects: DataFrame,
     rest = rest.join(known.select("_c").distinct(), F.col("_n") == F.col("_c"), "left_anti")
 
     pieces = F.filter(F.transform(F.split("_raw", r"[+＋/／,，、;；&]"), trimmed), lambda x: x != "")
-    rest = cut(rest.withColumn("_cut", pieces))
+    rest = rest.withColumn("_cut", pieces)
     split = rest.where(F.size("_cut") > 1).select(key, "_raw", "_about", F.posexplode("_cut").alias("part_no", "part"))
     single = rest.where(F.size("_cut") == 1)
     inside = held(single, [key], "_n", lands, "_alias").groupBy(key).agg(F.array_sort(F.collect_set(F.struct("at", "name"))).alias("_lands"))
@@ -257,31 +256,32 @@ def standardize_projects(df: DataFrame, key: str, raw: str, projects: DataFrame,
     alone = spread.where(~F.coalesce(several, F.lit(False))).select(key, "_raw", "_about", F.lit(0).alias("part_no"), F.col("_raw").alias("part"))
     parts = split.unionByName(multiplied).unionByName(alone).withColumn("_n", norm_text(F.col("part")))
 
+    # Two tables are kept: the parts, and the best project of every text that a later stage may ask for, from one join.
     found = cut(parts.join(names, F.col("_n") == F.col("_p"), "left"))
     done = shown(found.where("_p is not null").withColumn("project", F.col("_project")), "part")
     open_ = found.where("_p is null").select(key, "_raw", "_about", "part_no", "part", "_n")
-    fuzzy = lambda texts, least: fuzzy_lookup(texts.select(F.col("part").alias("_text")).distinct(), projects.select(F.col("name").alias("_near")), "_text", "_near", least).where("place = 1").select("_text", "_near", "score")
-    like = cut(fuzzy(open_, 90))
-    near = open_.join(like, F.col("part") == F.col("_text"))
-    close = shown(near.withColumn("project", F.col("_near")), "similar")
-    open_ = cut(open_.join(like, F.col("part") == F.col("_text"), "left_anti"))
-
     scene = open_.withColumn("_scene", norm_text(F.concat_ws(" ", "_raw", "_about"))).select(key, "part_no", "part", "_n", "_scene")
     told = held(scene.select(key, "_scene").distinct(), [key], "_scene", lands, "_alias").select(key, F.col("name").alias("_land")).distinct()
     said = held(scene.select(key, "_scene").distinct(), [key], "_scene", works, "_alias").groupBy(key).agg(F.min(F.struct("rank", "name"))["name"].alias("_work"))
     pure_work = scene.join(works.groupBy("_alias").agg(F.min(F.struct("rank", "name"))["name"].alias("_own")), F.col("_n") == F.col("_alias")).join(told, key).select(key, "part_no", "part", F.concat("_land", "_own").alias("_made"), F.lit("service").alias("stage"))
     pure_land = scene.join(lands.groupBy("_alias").agg(F.min("name").alias("_own")), F.col("_n") == F.col("_alias")).join(said, key).select(key, "part_no", "part", F.concat("_own", "_work").alias("_made"), F.lit("country").alias("stage"))
-    built = cut(pure_work.unionByName(pure_land).withColumn("_m", norm_text(F.col("_made"))).join(names, F.col("_m") == F.col("_p"), "left"))
-    sure = built.where("_p is not null").select(key, "part_no", "part", F.col("_project").alias("project"), "stage", F.lit(True).alias("matched")).distinct()
-    guess = built.join(sure.select(key, "part_no").distinct(), [key, "part_no"], "left_anti")
-    guessed = fuzzy(guess.select(F.col("_made").alias("part")), 80)
-    unsure = guess.join(guessed, F.col("_made") == F.col("_text")).select(key, "part_no", "part", F.col("_near").alias("project"), "stage", (F.col("score") >= 90).alias("matched")).distinct()
-    placed_ = cut(sure.unionByName(unsure))
+    built = pure_work.unionByName(pure_land).withColumn("_m", norm_text(F.col("_made"))).join(names, F.col("_m") == F.col("_p"), "left")
+    texts = open_.select(F.explode(F.array("part", "_raw")).alias("_text")).union(built.where("_p is null").select("_made")).distinct()
+    best = fuzzy_lookup(texts, projects.select(F.col("name").alias("_near")), "_text", "_near", 75).where("place = 1")
+    best = cut(best.select("_text", "_near", "score"))
+    near = open_.join(best, F.col("part") == F.col("_text"), "left").withColumn("_sure", F.coalesce(F.col("score") >= 90, F.lit(False)))
+    close = shown(near.where("_sure").withColumn("project", F.col("_near")), "similar")
+    open_ = near.where("not _sure").select(key, "_raw", "part_no", "part")
+
+    # What a country and a service make: an exact project beats a similar one.
+    likely = built.join(best, F.col("_made") == F.col("_text"), "left").join(open_.select(key, "part_no"), [key, "part_no"], "left_semi")
+    offered = likely.where("_p is not null or score >= 80").withColumn("_exact", F.col("_p").isNotNull())
+    offered = offered.withColumn("_any", F.max("_exact").over(W.partitionBy(key, "part_no"))).where("_exact = _any")
+    placed_ = offered.select(key, "part_no", "part", F.when(F.col("_exact"), F.col("_project")).otherwise(F.col("_near")).alias("project"), "stage", (F.col("_exact") | (F.col("score") >= 90)).alias("matched")).distinct()
     open_ = open_.join(placed_.select(key, "part_no").distinct(), [key, "part_no"], "left_anti")
 
-    results = cut(whole.unionByName(combo).unionByName(done).unionByName(close).unionByName(placed_))
+    results = whole.unionByName(combo).unionByName(done).unionByName(close).unionByName(placed_)
     lost = open_.join(results.select(key).distinct(), key, "left_anti").select(key, F.col("_raw").alias("part")).distinct()
-    best = cut(fuzzy(lost, 75))
     last = lost.join(best, F.col("part") == F.col("_text")).select(key, F.lit(0).alias("part_no"), "part", F.col("_near").alias("project"), F.lit("whole").alias("stage"), (F.col("score") >= 85).alias("matched"))
     left = shown(open_.join(last.select(key).distinct(), key, "left_anti").withColumn("project", F.col("part")), "unmatched", False)
     return results.unionByName(last).unionByName(left)
