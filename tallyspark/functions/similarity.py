@@ -10,7 +10,7 @@ from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
-from pyspark.sql.types import IntegerType
+from pyspark.sql.types import BooleanType, IntegerType
 
 
 def letters(text: Column) -> Column:
@@ -101,3 +101,23 @@ def similarity_arrow(a: pd.Series, b: pd.Series) -> pd.Series:
 def partial_similarity_arrow(a: pd.Series, b: pd.Series) -> pd.Series:
     """B43 in Arrow batches; null if a text is null."""
     return pd.Series([None if x is None or y is None else partial_ratio(x, y) for x, y in zip(a, b)], dtype="Int32")
+
+
+@lru_cache(maxsize=65_536)
+def texts_match(a: str, b: str, least: int, part: int) -> bool:
+    if not a or not b:
+        return False
+    short, total = min(len(a), len(b)), len(a) + len(b)
+    if a in b or b in a or (200 * short >= least * total and ratio(a, b) >= least):
+        return True
+    return short >= 2 and partial_ratio(a, b) >= part
+
+
+def text_match_arrow(a: Column, b: Column, least: int = 85, part: int = 90) -> Column:
+    """B44 in Arrow batches; null if a text is null. Pairs that come again are looked up."""
+
+    @F.pandas_udf(BooleanType())
+    def match(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None or y is None else texts_match(x, y, least, part) for x, y in zip(a, b)], dtype="boolean")
+
+    return match(a, b)

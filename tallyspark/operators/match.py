@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
-from tallyspark.functions.similarity import text_match
+from tallyspark.functions.similarity import text_match, text_match_arrow
 from tallyspark.functions.text import month_window
 
 from .numbering import numbered
@@ -74,7 +74,7 @@ def agreements(least: int = 85) -> dict[str, Column]:
     projects are both there and match."""
     blank = lambda c: F.coalesce(F.trim(F.col(c)), F.lit("")) == ""
     same = F.lower(F.trim("w_agent")) == F.lower(F.trim("l_agent"))
-    match = lambda f, t: F.coalesce(text_match(F.col(f"w_{f}"), F.col(f"l_{f}"), t), F.lit(False))
+    match = lambda f, t: F.coalesce(text_match_arrow(F.col(f"w_{f}"), F.col(f"l_{f}"), t), F.lit(False))
     return {"agent": blank("w_agent") | blank("l_agent") | same, "company": match("company", least), "project": ~blank("w_project") & ~blank("l_project") & match("project", 85)}
 
 

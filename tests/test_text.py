@@ -146,3 +146,15 @@ def test_words_are_no_patterns(spark):
     assert one(spark, T.brand_values(F.col("x"), label="c++"), x="c++: Sea\nccc: No") == ["Sea"]
     assert one(spark, T.split_values(F.col("x"), "^]-"), x="a^b]c-d") == ["a", "b", "c", "d"]
     assert one(spark, T.search_variants(F.col("x"), "a.b", ("x.",)), x="xyz(axb)") == ["xyz(axb)"]
+
+
+def test_arrow_similarities_agree_with_columns(spark):
+    words = ["", "a", "ab", "kitten", "sitting", "the sitting", "Blue Sea Trading", "The Blue Sea Trading Ltd", "Bleu See Tradnig", "éß🙂", "x" * 70, "x" * 69 + "y"]
+    df = spark.createDataFrame([(a, b) for a in [*words, None] for b in [*words, None]], "a string, b string")
+    a, b = F.col("a"), F.col("b")
+    same = lambda x, y: x.eqNullSafe(y)
+    there = df.where("a is not null and b is not null")
+    assert there.where(~same(S.similarity(a, b), S.similarity_arrow(a, b))).count() == 0
+    assert there.where("a != '' and b != ''").where(~same(S.partial_similarity(a, b), S.partial_similarity_arrow(a, b))).count() == 0
+    assert there.where(~same(S.text_match(a, b), S.text_match_arrow(a, b))).count() == 0
+    assert df.where("a is null or b is null").where(S.text_match_arrow(a, b).isNotNull() | S.similarity_arrow(a, b).isNotNull()).count() == 0
