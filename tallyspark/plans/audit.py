@@ -414,6 +414,20 @@ def j20(spark, sf_dir):
     return A.bind_applicants(rows, "file", "sheet", "name", "priority", "lang")
 
 
+@plans.add("j20_applicant_chains", """WITH s AS (SELECT l_orderkey AS file, l_linenumber AS s, bool_or(l_quantity > 15) AS two FROM lineitem GROUP BY ALL),
+p AS (SELECT *, coalesce(lag(two) OVER w AND lag(s) OVER w = s - 1, false) AS goes_on FROM s WINDOW w AS (PARTITION BY file ORDER BY s)),
+g AS (SELECT *, count(*) FILTER (NOT goes_on) OVER (PARTITION BY file ORDER BY s) AS g FROM p)
+SELECT file, 'Sea ' || first(s ORDER BY NOT two, s) AS name, CASE WHEN bool_or(two) THEN 'Sea ' || (min(s) FILTER (two) + 1) END AS alias, list(s ORDER BY s) AS sheets FROM g GROUP BY file, g""")
+def j20_chains(spark, sf_dir):
+    """Line numbers as sheets: some also name the next one's applicant, which chains sheets of any number."""
+    lines = table(spark, sf_dir, "lineitem")
+    at = [F.col("l_orderkey").alias("file"), F.col("l_linenumber").alias("sheet")]
+    own = lines.select(*at, F.concat(F.lit("Sea "), "l_linenumber").alias("name"), F.lit(1).alias("priority"), F.lit("own").alias("lang"))
+    next_one = lines.where("l_quantity > 15").select(*at, F.concat(F.lit("SEA "), F.col("l_linenumber") + 1).alias("name"), F.lit(1).alias("priority"), F.lit("en").alias("lang"))
+    out = A.bind_applicants(own.union(next_one), "file", "sheet", "name", "priority", "lang")
+    return out.withColumn("alias", F.initcap("alias"))
+
+
 @plans.add("j20_bind_projects", """SELECT o_orderkey AS mail, 'f' || o_orderkey AS file, 'Sea ' || o_custkey AS name,
 CASE o_orderkey % 6 WHEN 0 THEN 'form p' WHEN 1 THEN 'group p' WHEN 2 THEN 'group p' WHEN 3 THEN 'file p' WHEN 4 THEN 'declared p' END AS project, ['form', 'group', 'group', 'file', 'declared', 'none'][o_orderkey % 6 + 1] AS source FROM orders""")
 def j20_projects(spark, sf_dir):

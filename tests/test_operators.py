@@ -443,3 +443,36 @@ def test_notes_of_a_hot_key(spark):
     out = {r["id"]: (r["status"], r["n"], r["note"]) for r in M.reconcile_notes(work, ledger, ["k"], ["id"], "at", "d").collect()}
     assert out[1] == ("review", 5000, "5000 records; the nearest is 5 days away (tied); none agrees in all fields")
     assert out[2] == ("review", 5000, "5000 records; none has a date; none agrees in all fields") and out[3] == ("missing", 0, "")
+
+
+def test_applicant_chains(spark):
+    rng = random.Random(3)
+    kind = "file string, sheet int, name string, priority int, lang string"
+    given = []
+    for n in range(40):
+        for sheet in range(rng.randrange(1, 9)):
+            given.append((f"f{n}" if n else None, sheet, f"Sea {rng.randrange(9)}", 1, "own"))
+            if rng.random() < 0.7:
+                given.append((f"f{n}" if n else None, sheet, f"sea-{rng.randrange(9)}", 1, "en"))
+    given += [("long", i, f"N {i}", 1, "own") for i in range(50)] + [("long", i, f"N {i + 1}", 1, "en") for i in range(49)]
+    given += given[:5] + [("f1", 90, " ", 1, "own"), ("f1", 91, None, 2, "en")]
+    expected = {}
+    for file, sheet, name, _, _ in set(given):
+        if (name or "").strip():
+            expected.setdefault(file, []).append((sheet, name.lower().replace(" ", "").replace("-", "")))
+    groups = set()
+    for file, pairs in expected.items():
+        sheets = {s: {k for t, k in pairs if t == s} for s, _ in pairs}
+        while sheets:
+            first = min(sheets)
+            members, keys = {first}, sheets.pop(first)
+            while near := [s for s in sheets if sheets[s] & keys]:
+                for s in near:
+                    members.add(s)
+                    keys = keys | sheets.pop(s)
+            groups.add((file, tuple(sorted(members))))
+    df = spark.createDataFrame(given, kind)
+    out = A.bind_applicants(df, "file", "sheet", "name", "priority", "lang").collect()
+    assert len(out) == len(groups) and {(r["file"], tuple(r["sheets"])) for r in out} == groups
+    assert ("long", tuple(range(50))) in groups
+    assert A.bind_applicants(df.limit(0), "file", "sheet", "name", "priority", "lang").count() == 0
