@@ -181,12 +181,12 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
 
 
 def decoded(tokens: DataFrame, path: str) -> DataFrame:
-    """doc_id and text from rows (doc_id, ids); null ids count as none."""
+    """doc_id and text from rows (doc_id, ids); null ids count as none, ids that the file doesn't know give no text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
         for batch in batches:
-            texts = pa.array([bpe.decode(ids.as_py() or []) for ids in batch["ids"]], pa.string())
+            texts = pa.array([bpe.decode([i for i in ids.as_py() or [] if i in bpe.text_of]) for ids in batch["ids"]], pa.string())
             yield pa.RecordBatch.from_arrays([batch["doc_id"], texts], ["doc_id", "text"])
 
     return tokens.select(F.col("doc_id").cast("long"), "ids").mapInArrow(run, "doc_id long, text string")

@@ -6,8 +6,11 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tallyspark.operators.graph import components
 from tallyspark.sources.shared import cut, shared_folder
 
+__all__ = ["BLANKS", "BLANK_CHARS", "components", "cut", "read", "stored", "text_id"]
+
 #: Fixed value: what separates words, as a Java and RE2 class body.
 BLANKS = r"\x20\x09-\x0D"
 #: The same characters, for str.split-like work in Python.
@@ -33,35 +36,3 @@ def stored(df: DataFrame) -> DataFrame:
 def text_id(text: Column) -> Column:
     """A text's digest for keys of rows whose doc_id repeats; null is not the empty text."""
     return F.coalesce(F.unhex(F.md5(text)), F.lit(b""))
-
-
-def state(edges: DataFrame) -> tuple[int, int]:
-    row = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head()
-    return row[0], row[1]
-
-
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """Connected components of an undirected edge table (u, v): rows (node, root), root = the least node.
-
-    Alternates large-star and small-star steps until the edges are stars. Every step is a map-side combined
-    minimum and a join on the node, so a hub costs a split join, not one task that holds its neighbours. Nodes
-    without an edge to another node have no row; nulls are dropped. Empty edges give an empty table.
-    """
-    edges = cut(edges.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    before = state(edges)
-    for _ in range(rounds):
-        if not before[0]:
-            break
-        both = edges.union(edges.select("v", "u"))
-        low = both.groupBy("u").agg(F.min("v").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u != v").distinct()
-        edges = cut(small)
-        now = state(edges)
-        if now == before:
-            break
-        before = now
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -124,8 +124,9 @@ def patterns(edges: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDE
     In each round a pattern's confidence is the mean score of its distinct instances, lowered by k / (k + 1) where
     k known instances support it; an unseen instance's score is the chance that at least one of its patterns is
     right. Known instances score 1. After `rounds` rounds the instances of the good patterns become known, and
-    this repeats until none is new; scores only grow, so no pattern is lost on the way. Both sides are sums by
-    key, so a frequent word pair needs no group of its own.
+    this repeats until none is new; scores only grow, so no pattern is lost on the way. Each repetition but the
+    last makes at least one value known for good, so there are no more of them than unseen values. Both sides are
+    sums by key, so a frequent word pair needs no group of its own.
     """
     graph = cut(edges.groupBy("pattern", "value").agg(F.max(F.col("known").cast("int")).alias("known")))
     facts = cut(graph.groupBy("value").agg(F.max("known").alias("known")))
