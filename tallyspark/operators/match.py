@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
-from tallyspark.functions.similarity import text_match, text_match_arrow
+from tallyspark.functions.similarity import text_match_arrow
 from tallyspark.functions.text import month_window
 
 from .numbering import numbered
@@ -150,11 +150,14 @@ def first_variant(work: DataFrame, ledger: DataFrame, variants: Column, name: st
 
 
 def field_agree(agent_a: Column, agent_b: Column, company_a: Column, company_b: Column, project_a: Column, project_b: Column, least: int = 85) -> Column:
-    """Agents are equal or one is blank, companies match, projects are both there and match at 85."""
+    """Agents are equal or one is blank, companies match, projects are both there and match at 85.
+
+    Texts are compared in Arrow batches; a missing company matches nothing.
+    """
     blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
     agents = blank(agent_a) | blank(agent_b) | (F.lower(F.trim(agent_a)) == F.lower(F.trim(agent_b)))
-    projects = ~blank(project_a) & ~blank(project_b) & text_match(project_a, project_b, 85)
-    return agents & text_match(company_a, company_b, least) & projects
+    match = lambda a, b, t: F.coalesce(text_match_arrow(a, b, t), F.lit(False))
+    return agents & match(company_a, company_b, least) & ~blank(project_a) & ~blank(project_b) & match(project_a, project_b, 85)
 
 
 def match_items(claims: DataFrame, registered: DataFrame, owner: str, keys: list[list[str]], order: list[str]) -> DataFrame:
