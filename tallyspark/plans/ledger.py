@@ -51,9 +51,9 @@ def aliases(spark, sf_dir):
     return rows.groupBy("alias").agg(F.array_sort(F.collect_set("o")).alias("officials"))
 
 
-@plans.add("d2_alias_match", rf"""WITH {ALIASES}, t AS (SELECT doc_id, lower(text) AS t, chr(1) || regexp_replace(lower(text), '[\s,，;；:：/|()（）_-]', chr(1), 'g') AS m FROM documents),
-n AS (SELECT *, chr(1) || regexp_replace(alias, '[\s,，;；:：/|()（）_-]', chr(1), 'g') AS name FROM i),
-h AS (SELECT doc_id, alias, officials, least(CASE WHEN position(alias IN t) BETWEEN 1 AND 8 THEN position(alias IN t) END, nullif(position(name IN m), 0)) AS pos FROM t JOIN n ON contains(t, alias)),
+@plans.add("d2_alias_match", rf"""WITH {ALIASES}, t AS (SELECT doc_id, lower(text) AS t, chr(1) || regexp_replace(lower(text), '[\s\x0B,，;；:：/|()（）_-]', chr(1), 'g') AS m FROM documents),
+n AS (SELECT *, chr(1) || regexp_replace(alias, '[\s\x0B,，;；:：/|()（）_-]', chr(1), 'g') AS name FROM i),
+h AS (SELECT doc_id, alias, officials, least(CASE WHEN position(alias IN t) BETWEEN 1 AND 8 THEN position(alias IN t) END, nullif(position(name IN m), 0)) AS pos FROM t JOIN n ON contains(t, alias) OR contains(m, name)),
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos, len(alias) DESC, encode(alias)) AS no FROM h WHERE pos IS NOT NULL)
 SELECT doc_id, alias, array_to_string(officials, '、') AS officials, pos AS "at", len(officials) > 1 AS ambiguous FROM r WHERE no = 1""")
 def d2(spark, sf_dir):
