@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, functions as F
 
 #: Fixed value: how the byte-level pre-tokenizer cuts a text.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-#: A worker keeps the encodings of this many pieces, and none of a longer piece.
-KEEP, SHORT = 1_000_000, 64
+#: A worker keeps the encodings of the first so many pieces, and none of a longer piece.
+KEEP, SHORT = 400_000, 64
 #: The key of a pair that can't be merged.
 NONE = 1 << 62
 
@@ -107,9 +107,7 @@ class Bpe:
 
     def piece(self, piece: str) -> tuple[int, ...]:
         found = self.merge(piece)
-        if len(piece) <= SHORT:
-            if len(self.kept) >= KEEP:
-                self.kept.clear()
+        if len(piece) <= SHORT and len(self.kept) < KEEP:
             self.kept[piece] = found
         return found
 

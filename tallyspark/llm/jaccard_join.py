@@ -10,7 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import components, cut, stored
+from .common import components, cut, slices, stored
 
 #: Words of a shingle, the least similarity of a link.
 WIDTH, THRESHOLD = 5, 0.8
@@ -83,7 +83,7 @@ def described(docs: DataFrame, width: int, trees: int, depth: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, (a, b) = Digests(), seeds(trees * depth)
-        for batch in batches:
+        for batch in slices(batches):
             sids, counts, sigs = [], [], []
             for text in batch["text"]:
                 found = shingles(text.as_py() or "", known, width)
@@ -247,7 +247,7 @@ def verified(docs: DataFrame, members: DataFrame, width: int, threshold: float)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Digests()
-        for batch in batches:
+        for batch in slices(batches):
             good, found = [], []
             for i, (text, sid) in enumerate(zip(batch["text"], batch["sid"])):
                 one = shingles(text.as_py(), known, width)
@@ -258,7 +258,7 @@ def verified(docs: DataFrame, members: DataFrame, width: int, threshold: float)
             yield pa.RecordBatch.from_arrays([some["sid"], some["nodes"], some["places"], pa.array(found, pa.binary())], ["sid", "nodes", "places", "words"])
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (row for batch in batches for row in batch.to_pylist())
+        rows = (row for batch in slices(batches) for row in batch.to_pylist())
         for _, group in groupby(rows, key=lambda r: r["pair"]):
             one = {row["sid"]: row for row in group}
             out = list(_compare(list(one.values()), threshold)) if len(one) > 1 else []
