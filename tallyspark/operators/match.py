@@ -9,6 +9,7 @@ from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 from tallyspark.functions.similarity import text_match_arrow
 from tallyspark.functions.text import month_window
 
+from .grouped import by_group
 from .numbering import numbered
 
 
@@ -227,7 +228,7 @@ def match_items_in_order(claims: DataFrame, registered: DataFrame, owner: str, k
     many claims as possible are matched.
 
     Adds outcome and partner, the number of the other side's item (from 0, in order) for matched rows. A claim whose first
-    or last key column is blank in all keys is pending. An owner is one group; owners with more than `most` items, which
+    or last key column is blank in all keys is pending. Owners are searched in Arrow batches of many; owners with more than `most` items, which
     no message has, are matched by match_items() and have no partner.
     """
     items = claims.select(F.lit("claim").alias("side"), "*").unionByName(registered.select(F.lit("registered").alias("side"), "*"))
@@ -237,24 +238,24 @@ def match_items_in_order(claims: DataFrame, registered: DataFrame, owner: str, k
     columns = items.columns
     schema = StructType([StructField(f.name, f.dataType) for f in items.schema]).add("outcome", StringType()).add("partner", IntegerType())
 
-    def search(table: pa.Table) -> pa.Table:
-        table = table.sort_by([(c, "ascending") for c in order])
+    def search(table: pa.Table, groups: list[range]) -> pa.Table:
         side, tags = table["side"].to_pylist(), list(zip(*(table[f"_k{i}"].to_pylist() for i in range(len(keys)))))
-        mine = [i for i, s in enumerate(side) if s == "claim" and any(x is not None for x in tags[i])]
-        theirs = [i for i, s in enumerate(side) if s == "registered"]
-        found = claimed_in_order([tags[i] for i in mine], [tags[i] for i in theirs], largest)
-        number = {i: n for which in ("claim", "registered") for n, i in enumerate(i for i, s in enumerate(side) if s == which)}
         outcome = ["extra" if s == "registered" else "pending" for s in side]
         partner: list[int | None] = [None] * len(side)
-        for i, place in zip(mine, found):
-            outcome[i] = "missing" if place is None else "matched"
-            if place is not None:
-                outcome[theirs[place]] = "matched"
-                partner[i], partner[theirs[place]] = number[theirs[place]], number[i]
+        for group in groups:
+            claimed, theirs = [i for i in group if side[i] == "claim"], [i for i in group if side[i] == "registered"]
+            mine = [i for i in claimed if any(x is not None for x in tags[i])]
+            found = claimed_in_order([tags[i] for i in mine], [tags[i] for i in theirs], largest)
+            number = {i: n for n, i in enumerate(claimed)}
+            for i, place in zip(mine, found):
+                outcome[i] = "missing" if place is None else "matched"
+                if place is not None:
+                    outcome[theirs[place]] = "matched"
+                    partner[i], partner[theirs[place]] = place, number[i]
         return table.select(columns).append_column("outcome", pa.array(outcome, pa.string())).append_column("partner", pa.array(partner, pa.int32()))
 
     small = items.join(many, owner, "left_anti").withColumns({f"_k{i}": key(k) for i, k in enumerate(keys)})
-    out = small.groupBy(owner).applyInArrow(search, schema)
+    out = by_group(small, owner, [F.asc_nulls_last(c) for c in order], search, schema)
     large = match_items(claims.join(many, owner, "left_semi"), registered.join(many, owner, "left_semi"), owner, keys, order)
     return out.unionByName(large.withColumn("partner", F.lit(None).cast("int")))
 
