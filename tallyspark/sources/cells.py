@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from tallyspark.functions.text import blank_to_null, identity_key
 
+from .shared import dealt, small
+
 SHEET = ["file", "sheet"]
 
 
@@ -16,7 +18,7 @@ def sectioned_records(cells: DataFrame, roles: DataFrame, needed: tuple[tuple[st
     combinations `needed`; it governs the rows up to the next header. Rows with a value that matches `skip` are no
     records. Where two columns of a header have one role, the left one with a value counts.
     """
-    named = cells.withColumn("_key", identity_key(F.col("value"))).join(roles.select(F.col("label").alias("_key"), "role"), "_key", "left")
+    named = cells.withColumn("_key", identity_key(F.col("value"))).join(small(roles.select(F.col("label").alias("_key"), "role")), "_key", "left")
     rows = named.groupBy(*SHEET, "row_no").agg(F.collect_set("role").alias("_roles"), F.bool_or(F.col("value").rlike(skip)).alias("_skip"))
     test = F.lit(False)
     for combination in needed:
@@ -32,8 +34,8 @@ def sectioned_records(cells: DataFrame, roles: DataFrame, needed: tuple[tuple[st
 
 def preferred_columns(headers: DataFrame, rank: DataFrame) -> DataFrame:
     """A10: one column per (sheet, role): the best by the label's rank, then the left one. rank has (label, rank)."""
-    ranked = headers.join(rank, "label", "left").withColumn("_r", F.coalesce("rank", F.lit(1_000_000)))
-    return ranked.groupBy(*SHEET, "role").agg(F.min(F.struct("_r", "col_no")).alias("_b")).select(*SHEET, "role", "_b.col_no")
+    ranked = headers.join(small(rank), "label", "left").withColumn("_r", F.coalesce("rank", F.lit(1_000_000)))
+    return dealt(ranked, *SHEET, "role").groupBy(*SHEET, "role").agg(F.min(F.struct("_r", "col_no")).alias("_b")).select(*SHEET, "role", "_b.col_no")
 
 
 def label_values(cells: DataFrame, labels: DataFrame, right: int = 6, down: int = 2) -> DataFrame:
@@ -44,7 +46,7 @@ def label_values(cells: DataFrame, labels: DataFrame, right: int = 6, down: int
     """
     text = cells.where(blank_to_null(F.col("value")).isNotNull()).select(*SHEET, "row_no", "col_no", F.trim("value").alias("value"))
     head = identity_key(F.regexp_extract("value", r"^([^:：]*)[:：]?", 1))
-    known = labels.select(F.col("label").alias("_key"), "field")
+    known = small(labels.select(F.col("label").alias("_key"), "field"))
     named = text.withColumn("_key", head).join(known, "_key", "left")
     inline = F.nullif(F.trim(F.regexp_extract("value", r"^[^:：]*[:：](.*)$", 1)), F.lit(""))
     marks = named.where("field is not null").withColumn("_inline", inline)
