@@ -8,6 +8,7 @@ from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from tallyspark.functions.similarity import text_match_arrow
 from tallyspark.functions.text import month_window
+from tallyspark.sources.shared import dealt, tasks_of
 
 from .grouped import by_group
 from .numbering import numbered
@@ -31,11 +32,13 @@ def candidate_counts(work: DataFrame, ledger: DataFrame, on: list[str], anchor:
     """Counts n_in, n_out, n_unknown for every work row, and the nearest in-window date with its distance and ties.
 
     Work rows may repeat a key, and a key and anchor: each has its row. Both sides are counted by key and day first,
-    so a key with many rows joins as many days as it has, not as many rows; no group is collected.
+    so a key with many rows joins as many days as it has, not as many rows; no group is collected. Keys are dealt to as
+    many tasks as the tables have rows for.
     """
     low, high = month_window(F.col(anchor), months)
     entries = ledger.select(*on, F.col(date).cast("date").alias("_day"), F.col(date).isNotNull().alias("_dated")).groupBy(*on, "_day", "_dated").agg(F.count("*").alias("_n"))
-    rows = work.groupBy(*on, anchor).agg(F.count("*").alias("_copies")).join(entries, on, "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
+    tasks = tasks_of(work, ledger)
+    rows = dealt(work.groupBy(*on, anchor).agg(F.count("*").alias("_copies")), *on, tasks=tasks).join(dealt(entries, *on, tasks=tasks), on, "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
     unknown = ~F.col("_dated") | F.col(anchor).isNull()
     kind = F.when(F.col("_dated").isNull(), "none").when(unknown, "unknown").when(F.coalesce(F.col("_day").between(low, high), F.lit(False)), "in").otherwise("out")
     gap = F.abs(F.datediff("_day", F.col(anchor).cast("date")))
@@ -129,13 +132,15 @@ def nearest_candidate(work: DataFrame, ledger: DataFrame, on: list[str], anchor:
     `ties`. The answer depends on key and anchor alone, so it is found once for each pair of them: the ledger's days of
     a key are counted with the first row of each, and the nearest day is a minimum, not a sort.
     """
-    first = F.min(F.struct(*[c for c in (date, *ties)], F.struct(*[c for c in ledger.columns if c not in on]).alias("_row"))).alias("_first")
+    rest = [c for c in ledger.columns if c not in (*on, date, *ties)]
+    first = F.min(F.struct(date, *dict.fromkeys(ties), *rest)).alias("_first")
     entries = ledger.where(F.col(date).isNotNull()).withColumn("_day", F.col(date).cast("date")).groupBy(*on, "_day").agg(first, F.count("*").alias("_n"))
     asked = work.where(F.col(anchor).isNotNull()).select(*on, F.col(anchor).alias("_anchor")).distinct()
-    pairs = asked.join(entries, on).withColumn("days", F.abs(F.datediff("_day", F.col("_anchor").cast("date"))))
+    tasks = tasks_of(work, ledger)
+    pairs = dealt(asked, *on, tasks=tasks).join(dealt(entries, *on, tasks=tasks), on).withColumn("days", F.abs(F.datediff("_day", F.col("_anchor").cast("date"))))
     near = pairs.groupBy(*on, "_anchor", "days").agg(F.sum("_n").alias("_n"), F.min("_first").alias("_first"))
     best = near.groupBy(*on, "_anchor").agg(F.min(F.struct("days", "_n", "_first")).alias("_b"))
-    found = best.select(*on, "_anchor", "_b._first._row.*", F.col("_b.days").alias("days"), (F.col("_b._n") > 1).alias("tie"))
+    found = best.select(*on, "_anchor", *[F.col(f"_b._first.{c}") for c in ledger.columns if c not in on], F.col("_b.days").alias("days"), (F.col("_b._n") > 1).alias("tie"))
     return work.withColumn("_anchor", F.col(anchor)).join(found, [*on, "_anchor"]).drop("_anchor")
 
 
@@ -175,8 +180,8 @@ def match_items(claims: DataFrame, registered: DataFrame, owner: str, keys: list
     items = items.withColumn("outcome", F.when((F.col("side") == "claim") & blank(keys[0][0]), "pending"))
     for key in keys:
         lonely = F.col("outcome").isNull() & ~(blank(key[0]) if len(key) == 1 else blank(key[0]) | blank(key[-1]))
-        number = F.row_number().over(W.partitionBy(owner, *key, "side", lonely).orderBy(*order))
-        items = items.withColumn("_open", lonely).withColumn("_no", number)
+        number = F.row_number().over(W.partitionBy(owner, *key, "side", "_open").orderBy(*order))
+        items = dealt(items.withColumn("_open", lonely), owner, *key).withColumn("_no", number)
         both = F.count("*").over(W.partitionBy(owner, *key, "_open", "_no")) == 2
         items = items.withColumn("outcome", F.when(F.col("_open") & both, "matched").otherwise(F.col("outcome"))).drop("_open", "_no")
     return items.withColumn("outcome", F.coalesce("outcome", F.when(F.col("side") == "claim", "missing").otherwise("extra")))
