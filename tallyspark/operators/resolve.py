@@ -133,6 +133,8 @@ def ranked_letters(*texts: DataFrame) -> list[DataFrame]:
 
     The order is one for all texts: tokens that aren't among the ORDERED most frequent ones, by name, then those by
     rising frequency. Any order of all tokens gives the same pairs; this one gives few candidates.
+    The tables should be kept ones of different texts: Spark moves filters on tokens in front of a distinct(), where they
+    list the letters of every row.
     """
     each = [df.select(F.col(df.columns[0]).alias("text")).where("text != ''").distinct().withColumn("tokens", counted_letters(F.col("text"))) for df in texts]
     counts = reduce(lambda a, b: a.unionByName(b), [df.select(F.explode("tokens").alias("token")) for df in each]).groupBy("token").count()
@@ -190,9 +192,11 @@ def window_pairs(left: DataFrame, right: DataFrame, a: str, b: str, least: int)
 def fuzzy_lookup(queries: DataFrame, candidates: DataFrame, a: str, b: str, medium: int = 80, high: int = 90) -> DataFrame:
     """(a, b, score, place, certain): candidates of similarity `medium` or more, ranked; certain if the best
     reaches `high`. Both sides are compared as norm_text; the texts as they came are returned.
+
+    The different texts of both sides are kept, so that letters are listed for each text, not for each row.
     """
-    q = queries.select(F.col(a).alias("q"), norm_text(F.col(a)).alias("a")).distinct()
-    c = candidates.select(F.col(b).alias("c"), norm_text(F.col(b)).alias("b")).distinct()
+    q = cut(queries.select(F.col(a).alias("q")).distinct()).withColumn("a", norm_text(F.col("q")))
+    c = cut(candidates.select(F.col(b).alias("c")).distinct()).withColumn("b", norm_text(F.col("c")))
     pairs = blocked_pairs(q, c, "a", "b", medium).withColumn("score", similarity_arrow("a", "b")).where(F.col("score") >= medium)
     rows = q.join(pairs, "a").join(c, "b")
     place = F.row_number().over(W.partitionBy("q").orderBy(F.col("score").desc(), "c"))
@@ -204,8 +208,8 @@ def match_model_projects(queries: DataFrame, projects: DataFrame, a: str, b: str
     """The best project of each text: the greater of whole and partial similarity, 95 at least where one holds
     the other; accepted from `least`, at most 95. Pairs come from window_pairs().
     """
-    q = queries.select(norm_text(F.col(a)).alias("a")).distinct().where("a != ''")
-    p = projects.select(norm_text(F.col(b)).alias("b")).distinct().where("b != ''")
+    q = cut(queries.select(norm_text(F.col(a)).alias("a")).distinct().where("a != ''"))
+    p = cut(projects.select(norm_text(F.col(b)).alias("b")).distinct().where("b != ''"))
     pairs = window_pairs(q, p, "a", "b", least)
     holds = F.contains("a", "b") | F.contains("b", "a")
     score = F.greatest(F.when(holds, 95).otherwise(0), similarity_arrow("a", "b"), partial_similarity_arrow("a", "b"))
