@@ -67,10 +67,14 @@ def match_signature(df: DataFrame, key: str, text: str, aliases: DataFrame, line
     return best.select(key, "_b.alias", "_b.officials")
 
 
+def first_told(evidence: list[tuple[str, Column]]) -> tuple[Column, Column]:
+    """The first evidence, in order, that isn't null, and its name; without one null and `none`."""
+    return F.coalesce(*[c for _, c in evidence]), F.coalesce(*[F.when(c.isNotNull(), F.lit(name)) for name, c in evidence], F.lit("none"))
+
+
 def resolve(evidence: list[tuple[str, Column]], conflict: Column | None = None) -> tuple[Column, Column]:
     """The first evidence, in order, that is there, and its name; a conflict makes it blank."""
-    value = F.coalesce(*[blank_to_null(c) for _, c in evidence])
-    method = F.coalesce(*[F.when(blank_to_null(c).isNotNull(), F.lit(name)) for name, c in evidence], F.lit("none"))
+    value, method = first_told([(name, blank_to_null(c)) for name, c in evidence])
     if conflict is None:
         return value, method
     bad = F.coalesce(conflict, F.lit(False))
@@ -93,7 +97,7 @@ def resolve_agents(mails: DataFrame, key: str, sender: str, subject: str, body:
     texts = F.struct(F.lower(trimmed(F.coalesce(sender, F.lit("")))).alias("_from"), F.coalesce(subject, F.lit("")).alias("_subject"), F.coalesce(body, F.lit("")).alias("_body"))
     base = mails.groupBy(key).agg(F.min(texts).alias("_m")).select(key, "_m.*")
     address = first_address(F.col("_from"))
-    base = cut(base.withColumns({"_address": address, "_domain": domain_of(address)}))
+    base = cut(base.withColumn("_address", address).withColumn("_domain", domain_of(F.col("_address"))))
     exact = lookup_exact(base.select(key, "_address"), "_address", directory).select(key, F.col("agent").alias("_exact"))
     named = match_alias(base, "_subject", [key], aliases).select(key, F.split("officials", "、").alias("_officials"))
     owner = unique_by_domain(directory, public).select(F.col("domain").alias("_domain"), F.col("agent").alias("_owner"))
@@ -106,12 +110,19 @@ def resolve_agents(mails: DataFrame, key: str, sender: str, subject: str, body:
     ranked = F.transform(F.array_sort(F.collect_list("_b")), lambda x: x["agent"])
     alike = alike.groupBy("_address").agg(ranked.alias("_near"), F.sum("n").alias("_n"), F.max(-F.col("_b.s")).alias("_score"))
     out = base.select(key, "_domain", "_address").join(exact, key, "left").join(named, key, "left").join(owner, "_domain", "left").join(inside, key, "left").join(signed, key, "left").join(alike, "_address", "left")
+    # Step by step: a column that the next step takes more than once is computed once a row.
     confirmed = F.array_contains("_officials", F.col("_owner"))
     by_subject = F.when(F.size("_officials") == 1, F.col("_officials")[0]).when(confirmed, F.col("_owner"))
     open_ = F.col("_exact").isNull() & F.col("_officials").isNotNull()
     sure = F.when((F.col("_n") == 1) & (F.col("_score") >= high), F.col("_near")[0])
-    value, method = resolve([("exact", F.col("_exact")), ("subject", by_subject), ("body", F.col("_in_body")), ("signature", F.col("_signed")), ("fuzzy", sure)], open_ & F.col("_owner").isNotNull() & ~confirmed)
-    unclear = open_ & by_subject.isNull() & F.col("_owner").isNull()
+    out = out.withColumns({"_by_subject": by_subject, "_conflict": F.coalesce(open_ & F.col("_owner").isNotNull() & ~confirmed, F.lit(False))})
+    unclear = open_ & F.col("_by_subject").isNull() & F.col("_owner").isNull()
+    evidence = {"exact": F.col("_exact"), "subject": F.col("_by_subject"), "body": F.col("_in_body"), "signature": F.col("_signed"), "fuzzy": sure}
+    out = out.withColumns({"_unclear": unclear} | {f"_as_{name}": blank_to_null(c) for name, c in evidence.items()})
+    first, name = first_told([(name, F.col(f"_as_{name}")) for name in evidence])
+    bad, unclear = F.col("_conflict"), F.col("_unclear")
+    out = out.withColumns({"_value": F.when(~bad, first), "_method": F.when(bad, "conflict").otherwise(name)})
+    value, method = F.col("_value"), F.col("_method")
     unsure = value.isNull() & (method == "none") & F.col("_near").isNotNull()
     shown = F.when(unclear | (method == "conflict"), F.col("_officials")).when(unsure, F.col("_near"))
     said = F.when(unclear, "ambiguous").when(unsure, "fuzzy_unsure").otherwise(method)
