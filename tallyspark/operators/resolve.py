@@ -248,6 +248,7 @@ def standardize_projects(df: DataFrame, key: str, raw: str, projects: DataFrame,
     works = (services if services is not None else blank).select("name", norm_text(F.col("alias")).alias("_alias"), "rank")
     about = F.coalesce(F.col(context), F.lit("")) if context else F.lit("")
     base = df.select(key, F.col(raw).alias("_raw"), norm_text(F.col(raw)).alias("_n"), about.alias("_about")).where("_n != ''")
+    projects = cut(projects.select("name").distinct())
     names = projects.select(F.col("name").alias("_project"), norm_text(F.col("name")).alias("_p")).groupBy("_p").agg(F.min("_project").alias("_project"))
     shown = lambda rows, stage, matched=True: rows.select(key, "part_no", "part", "project", F.lit(stage).alias("stage"), (F.lit(matched) if isinstance(matched, bool) else matched).alias("matched"))
 
@@ -271,7 +272,7 @@ def standardize_projects(df: DataFrame, key: str, raw: str, projects: DataFrame,
     alone = spread.where(~F.coalesce(several, F.lit(False))).select(key, "_raw", "_about", F.lit(0).alias("part_no"), F.col("_raw").alias("part"))
     parts = split.unionByName(multiplied).unionByName(alone).withColumn("_n", norm_text(F.col("part")))
 
-    # Two tables are kept: the parts, and the best project of every text that a later stage may ask for, from one join.
+    # Three tables are kept: the different projects, the parts, and the best project of every text that a later stage may ask for, from one join.
     found = cut(parts.join(names, F.col("_n") == F.col("_p"), "left"))
     done = shown(found.where("_p is not null").withColumn("project", F.col("_project")), "part")
     open_ = found.where("_p is null").select(key, "_raw", "_about", "part_no", "part", "_n")
