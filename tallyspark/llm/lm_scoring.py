@@ -4,17 +4,21 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter, defaultdict
-from collections.abc import Callable, Iterator
+import string
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
-from itertools import count
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import BLANKS, stored
+from tallyspark.sources.shared import ROWS, dealt
+
+from .common import BLANK_CHARS, BLANKS, stored
 
 #: The token behind the last word; no word holds a blank.
 END = b" "
@@ -29,15 +33,18 @@ SEGMENT = 1 << 20
 #: A filter of up to this many bytes is broadcast; beyond it the n-grams travel to the segments, with the same result.
 BROADCAST = 256 << 20
 #: Tokens with at least this part of all occurrences are broadcast with their counts: never more than HOT of them.
-HOT = 1 << 18
-#: Tokens that a task handles at a time, n-grams and distinct tokens it counts before it passes them on.
-CHUNK, GRAMS, TYPES = 1 << 19, 1 << 22, 1 << 19
-#: Bytes of a text that are cut into words at a time.
-SLICE = 1 << 20
-#: Documents that travel together where the filter is too large to be broadcast.
-BLOCK = 256
+HOT = 1 << 20
+#: Bytes of texts that a task handles at a time; n-grams and tokens that it counts before it passes them on.
+CHUNK, GRAMS, TOKENS = 1 << 20, 1 << 22, 1 << 22
+#: n-grams that are looked up at a time, so that what is made of them stays near the processor; and how many levels a
+#: task remembers, a power of two from 2**16 on.
+PROBED, RECENT = 1 << 16, 1 << 18
+#: Bytes of the texts that travel together where the filter is too large to be broadcast.
+BLOCK = 8 << 20
 
 BLANK = re.compile(f"[{BLANKS}]".encode())
+#: What stands for each byte: A to Z lower-cased, and one blank for all.
+FOLDED = bytes(ord(END) if chr(b) in BLANK_CHARS else b + 32 if chr(b) in string.ascii_uppercase else b for b in range(256))
 GOLDEN, MIX_A, MIX_B = 0x9E3779B97F4A7C15, np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 SCORED = "doc_id long, n_tokens long, score double, hot_known long, hot_base double, rest array<binary>, rest_n array<long>"
 
@@ -77,22 +84,46 @@ def spots(grams: np.ndarray, level: int, words: np.ndarray | np.uint64) -> tuple
     return scaled(x, words).astype(np.int64), bits
 
 
-def words_of(text: bytes) -> Iterator[list[bytes]]:
-    """The words of a text in lists, A to Z lower-cased; a very long text is cut into slices at blanks."""
-    at = 0
-    while at < len(text):
-        stop = BLANK.search(text, at + SLICE)
-        to = stop.start() if stop else len(text)
-        yield text[at:to].lower().split()
-        at = to
+def slices(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.Array, list[tuple[bytes, np.ndarray]]]]:
+    """Some whole texts each, of up to `size` bytes or one text: their doc_id and texts end to end with the places of
+    their ends, from 0. A longer text alone comes in several such parts, cut at blanks. Null texts are empty."""
+    for batch in batches:
+        texts = pc.fill_null(batch["text"], b"").cast(pa.large_binary())
+        ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+        row = 0
+        while row < len(texts):
+            to = max(row + 1, int(np.searchsorted(ends, ends[row] + size, "right")) - 1)
+            data, at, parts = texts.buffers()[2].slice(ends[row], ends[to] - ends[row]).to_pybytes() if ends[to] > ends[row] else b"", 0, []
+            while len(data) - at > size:
+                stop = BLANK.search(data, at + size)
+                cut = stop.start() if stop else len(data)
+                parts.append((data[at:cut], np.array([0, cut - at])))
+                at = cut
+            parts.append((data[at:], ends[row : to + 1] - ends[row] if not at else np.array([0, len(data) - at])))
+            yield batch["doc_id"].slice(row, to - row), parts
+            row = to
+
+
+def words_in(data: bytes, ends: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The words of texts that lie end to end, A to Z lower-cased, and how many each text has."""
+    folded = np.frombuffer(data.translate(FOLDED), np.uint8)
+    inside = folded != ord(END)
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    heads = ends[:-1][ends[:-1] < len(folded)]
+    first[heads] = inside[heads]
+    counts = np.diff(np.searchsorted(np.flatnonzero(first), ends))
+    letters = folded[inside]
+    starts = np.append(np.flatnonzero(first[inside]), len(letters)).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(starts) - 1, [None, pa.py_buffer(starts), pa.py_buffer(letters)]), counts
 
 
 @dataclass
 class Chunk:
     """Some whole texts as numbers: each token's place in `names`, text after text, an END behind each."""
 
-    rows: list
-    names: list[bytes]
+    rows: pa.Array
+    names: pa.Array
     ids: np.ndarray
     lengths: np.ndarray
 
@@ -104,28 +135,29 @@ class Chunk:
         """Each token's place in its text, from 0."""
         return np.arange(len(self.ids)) - np.repeat(self.starts, self.lengths)
 
+    @cached_property
+    def listed(self) -> list[bytes]:
+        return self.names.to_numpy(zero_copy_only=False).tolist()
+
+    @cached_property
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each name."""
-        return np.fromiter(map(xxhash.xxh3_64_intdigest, self.names), np.uint64, len(self.names))
+        return hashed(self.listed)
 
 
 def chunks(batches: Iterator[pa.RecordBatch], size: int = CHUNK) -> Iterator[Chunk]:
     """Chunks of batches with columns text (binary) and, as a chunk's rows, doc_id; null texts are empty."""
-    names: defaultdict[bytes, int] = defaultdict(count().__next__)
-    rows, ids, lengths, total = [], [], [], 0
-    for batch in batches:
-        for row, text in zip(batch["doc_id"], batch["text"]):
-            parts = [np.fromiter(map(names.__getitem__, words), np.int64, len(words)) for words in words_of(text.as_py() or b"")]
-            ids += [*parts, np.array([names[END]])]
-            rows.append(row.as_py())
-            lengths.append(sum(map(len, parts)) + 1)
-            total += lengths[-1]
-            if total >= size:
-                yield Chunk(rows, list(names), np.concatenate(ids), np.array(lengths))
-                names = defaultdict(count().__next__)
-                rows, ids, lengths, total = [], [], [], 0
-    if rows:
-        yield Chunk(rows, list(names), np.concatenate(ids), np.array(lengths))
+    for rows, parts in slices(batches, size):
+        found = [words_in(*part) for part in parts]
+        # The parts of a long text have its words one after the other; the END is the last name.
+        coded = pa.chunked_array([words for words, _ in found] + [pa.array([END])]).dictionary_encode().combine_chunks()
+        words = found[0][1] if len(found) == 1 else np.array([sum(counts.sum() for _, counts in found)])
+        ids = np.asarray(coded.indices, np.int64)
+        yield Chunk(rows, coded.dictionary, np.insert(ids[:-1], np.cumsum(words), ids[-1]), words + 1)
+
+
+def hashed(names: Iterable[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, names)), ">u8").astype(np.uint64)
 
 
 def longer(grams: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -135,12 +167,11 @@ def longer(grams: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def merged(grams: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each n-gram once, in rising order, with the sum of its counts."""
-    order = np.argsort(grams)
-    grams, counts = grams[order], counts[order]
+def counted(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each n-gram once, in rising order, and how often it is there."""
+    grams = np.sort(grams)
     first = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]])[: len(grams)])
-    return grams[first], np.add.reduceat(counts, first) if len(first) else counts
+    return grams[first], np.diff(first, append=len(grams)).astype(np.uint64)
 
 
 def training_text(docs: DataFrame) -> DataFrame:
@@ -151,18 +182,24 @@ def vocabulary(docs: DataFrame) -> DataFrame:
     """Rows (token, c) of all tokens of docs, ends included; counted within each task first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[bytes] = Counter()
-        out = lambda: pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["token", "c"])
-        for batch in batches:
-            for text in batch["text"]:
-                for words in words_of(text.as_py()):
-                    seen.update(words)
-                    if len(seen) >= TYPES:
-                        yield out()
-                        seen.clear()
-            seen[END] += len(batch)
-        if seen:
-            yield out()
+        kept, total, ends = [], 0, 0
+
+        def out(words: list[pa.Array]) -> pa.RecordBatch:
+            seen = pc.value_counts(pa.chunked_array(words, pa.binary()))
+            return pa.RecordBatch.from_arrays([seen.field("values"), seen.field("counts")], ["token", "c"])
+
+        for rows, parts in slices(batches, CHUNK):
+            ends += len(rows)
+            for part in parts:
+                kept.append(words_in(*part)[0])
+                total += len(kept[-1])
+                if total >= TOKENS:
+                    yield out(kept)
+                    kept, total = [], 0
+        if kept:
+            yield out(kept)
+        if ends:
+            yield pa.RecordBatch.from_arrays([pa.array([END]), pa.array([ends], pa.int64())], ["token", "c"])
 
     return training_text(docs).mapInArrow(run, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c"))
 
@@ -172,8 +209,7 @@ def gram_counts(docs: DataFrame, order: int, segments: int) -> DataFrame:
     `many` has the counts of those that the task met more than once."""
 
     def packed(parts: list[np.ndarray]) -> pa.RecordBatch:
-        grams = np.concatenate(parts)
-        grams, counts = merged(grams, np.ones(len(grams), np.uint64))
+        grams, counts = counted(np.concatenate(parts))
         at = scaled(grams, np.uint64(segments))
         once = counts == 1
         held = np.unique(at)
@@ -186,7 +222,7 @@ def gram_counts(docs: DataFrame, order: int, segments: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, total = [], 0
         for chunk in chunks(batches):
-            hashes, place = chunk.hashes()[chunk.ids], chunk.place()
+            hashes, place = chunk.hashes[chunk.ids], chunk.place()
             grams = mix(hashes)
             for n in range(1, order + 1):
                 grams = grams if n == 1 else longer(grams, hashes)
@@ -205,44 +241,70 @@ def segment(ones: list[bytes], many: list[bytes], base: float = BASE, bits: int
     """The entries and the words of one segment: an n-gram of level q has the entries (n-gram, 1) to (n-gram, q)."""
     single = np.frombuffer(b"".join(ones), np.uint64)
     pairs = [np.frombuffer(x, np.uint64).reshape(2, -1) for x in many if x]
-    grams, counts = merged(np.concatenate([single, *(p[0] for p in pairs)]), np.concatenate([np.ones(len(single), np.uint64), *(p[1] for p in pairs)]))
+    grams, counts = counted(np.concatenate([single, *(p[0] for p in pairs)]))
+    for several, times in pairs:
+        counts[np.searchsorted(grams, several)] += times - np.uint64(1)
     levels = np.searchsorted(thresholds(base), counts, "right")
     size = np.uint64(max(1, -(-int(levels.sum()) * bits // 64)))
     words = np.zeros(int(size), np.uint64)
     for level in range(1, int(levels.max(initial=0)) + 1):
-        at, marks = spots(grams[levels >= level], level, size)
-        order = np.argsort(at)
-        at, marks = at[order], marks[order]
-        first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-        words[at[first]] |= np.bitwise_or.reduceat(marks, first)
+        entered = grams[levels >= level]
+        for i in range(0, len(entered), PROBED):
+            np.bitwise_or.at(words, *spots(entered[i : i + PROBED], level, size))
     return int(levels.sum()), words.tobytes()
 
 
 @dataclass
 class Filter:
-    """Segments of the filter, those that a worker holds: words end to end, and where each segment starts and ends."""
+    """Segments of the filter, those that a worker holds: words end to end, where each segment starts and how long it is."""
 
     words: np.ndarray
     starts: np.ndarray
+    sizes: np.ndarray
 
     @classmethod
     def of(cls, words: bytes | bytearray, sizes: np.ndarray) -> Filter:
-        return cls(np.frombuffer(words, np.uint64), np.concatenate([[0], np.cumsum(sizes)]))
+        return cls(np.frombuffer(words, np.uint64), np.cumsum(sizes) - sizes, sizes.astype(np.uint64))
 
     def levels(self, grams: np.ndarray, most: np.ndarray | None = None) -> np.ndarray:
         """The level of each n-gram: probes for level 1, 2 and so on until one misses or `most` is reached."""
-        segments = scaled(grams, np.uint64(len(self.starts) - 1)).astype(np.int64)
-        start, size = self.starts[segments], (self.starts[segments + 1] - self.starts[segments]).astype(np.uint64)
+        parts = [self.some(grams[i : i + PROBED], None if most is None else most[i : i + PROBED]) for i in range(0, len(grams), PROBED)]
+        return np.concatenate([np.zeros(0, np.uint8), *parts])
+
+    def some(self, grams: np.ndarray, most: np.ndarray | None) -> np.ndarray:
+        segments = scaled(grams, np.uint64(len(self.starts))).view(np.int64)
+        start, size = self.starts.take(segments), self.sizes.take(segments)
         out = np.zeros(len(grams), np.uint8)
-        live = np.flatnonzero(size if most is None else (size > 0) & (most > 0))
+        more = live = np.flatnonzero(size if most is None else (size > 0) & (most > 0))
         level = 0
         while len(live):
             level += 1
-            at, bits = spots(grams[live], level, size[live])
-            live = live[(self.words[start[live] + at] & bits) == bits]
-            out[live] = level
-            if most is not None:
-                live = live[most[live] > level]
+            grams, start, size, most = grams.take(more), start.take(more), size.take(more), None if most is None else most.take(more)
+            at, bits = spots(grams, level, size)
+            there = (self.words.take(start + at) & bits) == bits
+            out[live.compress(there)] = level
+            more = np.flatnonzero(there if most is None else there & (most > level))
+            live = live.take(more)
+        return out
+
+
+class Recent:
+    """Levels of n-grams that a task has looked up lately: a word for each slot, which the low bits of an n-gram name, with
+    the n-gram's upper 56 bits and its level. The limit of an n-gram is the same wherever it stands, as are its parts."""
+
+    def __init__(self, filter: Filter) -> None:
+        slots = np.arange(RECENT, dtype=np.uint64)
+        self.filter, self.low = filter, np.uint64(0xFF)
+        # No n-gram of a slot has these bits.
+        self.held = ~slots & np.uint64(0xFF00)
+
+    def levels(self, n: int, grams: np.ndarray, most: np.ndarray) -> np.ndarray:
+        slots = (grams & np.uint64(RECENT - 1)).view(np.int64)
+        held = self.held.take(slots)
+        out = np.minimum((held & self.low).astype(np.uint8), most)
+        new = np.flatnonzero(((held ^ grams) > self.low) & (most > 0))
+        out[new] = found = self.filter.levels(grams.take(new), most.take(new))
+        self.held[slots.take(new)] = (grams.take(new) & ~self.low) | found
         return out
 
 
@@ -273,9 +335,9 @@ class Model:
             words[starts[r["seg"]] : starts[r["seg"]] + len(r["words"])] = r["words"]
         return words, sizes
 
-    def hot(self) -> dict[bytes, int]:
-        """The counts of the tokens that have at least one in HOT of all occurrences."""
-        return {bytes(r["token"]): r["c"] for r in self.vocab.where(F.col("c") * HOT >= self.tokens).collect()}
+    def hot(self) -> Hot:
+        """The tokens that have at least one in HOT of all occurrences."""
+        return Hot({bytes(r["token"]): r["c"] for r in self.vocab.where(F.col("c") * HOT >= self.tokens).collect()})
 
 
 def train(docs: DataFrame, order: int = ORDER, prior: float = PRIOR, base: float = BASE, bits: int = BITS) -> Model:
@@ -301,7 +363,7 @@ def train(docs: DataFrame, order: int = ORDER, prior: float = PRIOR, base: float
 
 def grams_of(chunk: Chunk, order: int) -> Iterator[np.ndarray]:
     """The hashes of the n-grams that end at each token, for 1 to `order` words."""
-    hashes = chunk.hashes()[chunk.ids]
+    hashes = chunk.hashes[chunk.ids]
     grams = mix(hashes)
     yield grams
     for _ in range(1, order):
@@ -309,8 +371,8 @@ def grams_of(chunk: Chunk, order: int) -> Iterator[np.ndarray]:
         yield grams
 
 
-def log_probabilities(chunk: Chunk, levels: Callable[[np.ndarray, np.ndarray | None], np.ndarray], tokens: int, types: int, order: int, prior: float, estimate: np.ndarray) -> np.ndarray:
-    """log10 of each token's probability.
+def log_probabilities(chunk: Chunk, names: np.ndarray, levels: Callable[[int, np.ndarray, np.ndarray], np.ndarray], tokens: int, types: int, order: int, prior: float, estimate: np.ndarray) -> np.ndarray:
+    """log10 of each token's probability; names are the levels of the chunk's names, levels(n, grams, most) gives those of longer n-grams.
 
     With one word it is (c + 1) / (N + V + 1); each longer context h takes p to (c(h w) + prior x p) / (c(h) + prior).
     Counts are those of the filter. An n-gram is no more frequent than its two parts, so probes stop at their level.
@@ -319,31 +381,43 @@ def log_probabilities(chunk: Chunk, levels: Callable[[np.ndarray, np.ndarray | N
     known = p = None
     for n, grams in enumerate(grams_of(chunk, order)):
         if not n:
-            names = levels(mix(chunk.hashes()), None)
             known = names[chunk.ids]
             p = (estimate[known] + 1) / (tokens + types + 1)
             continue
         before = np.concatenate([[0], known[:-1]]).astype(np.uint8)
         before[place < n] = 0
-        known = levels(grams, np.minimum(before, known))
+        known = levels(n, grams, np.minimum(before, known))
         context = estimate[before]
         p = np.where(before > 0, (np.minimum(estimate[known], context) + prior * p) / (context + prior), p)
     return np.log10(p)
 
 
-def scored(chunk: Chunk, logs: np.ndarray, hot: dict[bytes, int], whole: int) -> pa.RecordBatch:
-    """A row for each text: its score, the base score of its hot tokens and the other tokens with their number."""
-    of = np.fromiter((hot.get(name, 0) for name in chunk.names), np.int64, len(chunk.names))
+class Hot:
+    """The frequent tokens: each token's number, and their counts; the last is 0, of all other tokens."""
+
+    def __init__(self, counts: dict[bytes, int]) -> None:
+        self.number = {token: i for i, token in enumerate(counts)}
+        self.counts = np.array([*counts.values(), 0], np.int64)
+
+    def of(self, chunk: Chunk) -> np.ndarray:
+        """The number of each of the chunk's names."""
+        get, other = self.number.get, len(self.number)
+        return np.fromiter((get(name, other) for name in chunk.listed), np.int64, len(chunk.names))
+
+
+def scored(chunk: Chunk, logs: np.ndarray, of: np.ndarray, whole: int) -> pa.RecordBatch:
+    """A row for each text: its score, the base score of its hot tokens and the other tokens with their number; `of` has
+    the counts of the chunk's hot names."""
     counts, starts = of[chunk.ids], chunk.starts
-    base = np.where(counts > 0, np.log10((counts + 1) / whole), 0.0)
+    base = np.where(of > 0, np.log10((of + 1) / whole), 0.0)[chunk.ids]
     rare = np.flatnonzero(counts == 0)
     rows = np.repeat(np.arange(len(starts)), chunk.lengths)[rare]
     pairs, times = np.unique(rows * len(chunk.names) + chunk.ids[rare], return_counts=True)
     ends = np.searchsorted(pairs // len(chunk.names), np.arange(len(starts) + 1))
     offsets = pa.array(ends, pa.int32())
-    rest = pa.array([chunk.names[i] for i in (pairs % len(chunk.names)).tolist()], pa.binary())
+    rest = chunk.names.take(pa.array(pairs % len(chunk.names)))
     columns = {
-        "doc_id": pa.array(chunk.rows, pa.int64()), "n_tokens": pa.array(chunk.lengths, pa.int64()), "score": np.add.reduceat(logs, starts),
+        "doc_id": chunk.rows, "n_tokens": pa.array(chunk.lengths, pa.int64()), "score": np.add.reduceat(logs, starts),
         "hot_known": np.add.reduceat((counts > 0).astype(np.int64), starts), "hot_base": np.add.reduceat(base, starts),
         "rest": pa.ListArray.from_arrays(offsets, rest), "rest_n": pa.ListArray.from_arrays(offsets, pa.array(times, pa.int64())),
     }
@@ -354,25 +428,44 @@ def by_broadcast(docs: DataFrame, model: Model) -> DataFrame:
     """Score with the whole filter on every worker."""
     context, order, prior, estimate = docs.sparkSession.sparkContext, model.order, model.prior, estimates(model.base)
     tokens, types = model.tokens, model.types
-    held, hot = context.broadcast(model.gathered()), context.broadcast(model.hot())
+    held, frequent = context.broadcast(model.gathered()), context.broadcast(model.hot())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filter = Filter.of(*held.value)
+        filter, hot = Filter.of(*held.value), frequent.value
+        recent = Recent(filter)
+        # Frequent tokens have the highest levels; they are looked up once, not in each chunk.
+        known = np.append(filter.levels(mix(hashed(hot.number))), np.uint8(0))
         for chunk in chunks(batches):
-            yield scored(chunk, log_probabilities(chunk, filter.levels, tokens, types, order, prior, estimate), hot.value, tokens + types + 1)
+            number = hot.of(chunk)
+            names, rare = known[number], np.flatnonzero(number == len(hot.number))
+            names[rare] = filter.levels(mix(chunk.hashes[rare]))
+            logs = log_probabilities(chunk, names, recent.levels, tokens, types, order, prior, estimate)
+            yield scored(chunk, logs, hot.counts[number], tokens + types + 1)
 
     return training_text(docs).mapInArrow(run, SCORED)
 
 
 def by_segments(docs: DataFrame, model: Model, block: int = BLOCK) -> DataFrame:
     """Score where the filter is too large for a worker: blocks of documents send their different n-grams to the segments
-    and get the levels back."""
+    and get the levels back, in the n-grams' order. A segment answers all blocks at once."""
     context, order, prior, estimate = docs.sparkSession.sparkContext, model.order, model.prior, estimates(model.base)
-    tokens, types, segments, hot = model.tokens, model.types, model.segments, context.broadcast(model.hot())
-    blocks = stored(training_text(docs).withColumn("block", F.floor(F.monotonically_increasing_id() / block)))
+    tokens, types, segments, frequent = model.tokens, model.types, model.segments, context.broadcast(model.hot())
+    end = mix(hashed([END]))[0]
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, total = TaskContext.get().partitionId() << 32, 0
+        for batch in batches:
+            ends = total + np.cumsum(np.asarray(pc.binary_length(batch["text"]), np.int64))
+            yield batch.append_column("block", pa.array(first + ends // block, pa.int64()))
+            total = ends[-1] if len(ends) else total
+
+    def all_grams(parts: list[Chunk]) -> list[list[np.ndarray]]:
+        """For each chunk those of its names, then those of two words and more that end at each token. What reaches over a
+        text's start is put as the END, so that the order of the texts, which Spark may change, adds none."""
+        return [[np.where(chunk.place() >= n, g, end) if n else mix(chunk.hashes) for n, g in enumerate(grams_of(chunk, order))] for chunk in parts]
 
     def ask(key: tuple, table: pa.Table) -> pa.Table:
-        found = np.unique(np.concatenate([g for chunk in chunks(iter(table.to_batches())) for g in grams_of(chunk, order)]))
+        found = counted(np.concatenate(sum(all_grams(list(chunks(iter(table.to_batches())))), [])))[0]
         at = scaled(found, np.uint64(segments)).astype(np.int64)
         held = np.unique(at)
         blobs = [found[a:b].tobytes() for a, b in zip(np.searchsorted(at, held), np.searchsorted(at, held, "right"))]
@@ -380,24 +473,26 @@ def by_segments(docs: DataFrame, model: Model, block: int = BLOCK) -> DataFrame:
 
     def answer(asked: pa.Table, held: pa.Table) -> pa.Table:
         words = held["words"][0].as_py() if len(held) else b""
-        filter = Filter.of(words, np.array([len(words) // 8]))
-        found = [filter.levels(np.frombuffer(x, np.uint64)).tobytes() for x in asked["grams"].to_pylist()]
-        return asked.select(["block", "grams"]).append_column("levels", pa.array(found, pa.binary()))
+        blobs = asked["grams"].to_pylist()
+        levels = Filter.of(words, np.array([len(words) // 8])).levels(np.frombuffer(b"".join(blobs), np.uint64))
+        ends = np.cumsum([0, *(len(x) // 8 for x in blobs)]).tolist()
+        return asked.select(["block", "seg"]).append_column("levels", pa.array([levels[a:b].tobytes() for a, b in zip(ends, ends[1:])], pa.binary()))
 
     def finish(rows: pa.Table, answers: pa.Table) -> pa.Table:
-        grams, levels = (np.frombuffer(b"".join(answers[c].to_pylist()), t) for c, t in (("grams", np.uint64), ("levels", np.uint8)))
-        order_of = np.argsort(grams)
-        grams, levels = grams[order_of], levels[order_of]
-
-        def look(asked: np.ndarray, most: np.ndarray | None = None) -> np.ndarray:
-            found = levels[np.searchsorted(grams, asked).clip(max=len(grams) - 1)]
-            return found if most is None else np.minimum(found, most)
-
-        out = [scored(chunk, log_probabilities(chunk, look, tokens, types, order, prior, estimate), hot.value, tokens + types + 1) for chunk in chunks(iter(rows.to_batches()))]
+        parts, hot = list(chunks(iter(rows.to_batches()))), frequent.value
+        grams = all_grams(parts)
+        levels = np.frombuffer(b"".join(answers.sort_by("seg")["levels"].to_pylist()), np.uint8)
+        found = iter(np.split(levels[np.unique(np.concatenate(sum(grams, [])), return_inverse=True)[1]], np.cumsum([len(g) for g in sum(grams, [])])))
+        out = []
+        for chunk, own in zip(parts, grams):
+            told = [next(found) for _ in own]
+            logs = log_probabilities(chunk, told[0], lambda n, _, most: np.minimum(told[n], most), tokens, types, order, prior, estimate)
+            out.append(scored(chunk, logs, hot.counts[hot.of(chunk)], tokens + types + 1))
         return pa.Table.from_batches(out)
 
+    blocks = stored(training_text(docs).mapInArrow(numbered, "doc_id long, text binary, block long"))
     asked = blocks.groupBy("block").applyInArrow(ask, "block long, seg long, grams binary")
-    answers = asked.groupBy("seg").cogroup(model.filter.groupBy("seg")).applyInArrow(answer, "block long, grams binary, levels binary")
+    answers = asked.groupBy("seg").cogroup(model.filter.groupBy("seg")).applyInArrow(answer, "block long, seg long, levels binary")
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(finish, SCORED)
 
 
@@ -415,7 +510,10 @@ def score(docs: DataFrame, model: Model, broadcast: int = BROADCAST) -> DataFram
     rows = stored(rows.withColumn("row", F.monotonically_increasing_id()))
     whole = F.lit(float(model.tokens + model.types + 1))
     rest = rows.select("row", F.explode(F.arrays_zip("rest", "rest_n")).alias("t")).select("row", F.col("t.rest").alias("token"), F.col("t.rest_n").alias("n"))
-    found = rest.join(model.vocab.where(F.col("c") * HOT < model.tokens), "token")
+    # A task has the rare tokens in a hash table, so that their occurrences, which are many more, are not sorted.
+    tasks = max(-(-model.types // ROWS), docs.sparkSession.sparkContext.defaultParallelism)
+    rare = dealt(model.vocab.where(F.col("c") * HOT < model.tokens), "token", tasks=tasks).hint("shuffle_hash")
+    found = dealt(rest, "token", tasks=tasks).join(rare, "token")
     sums = found.groupBy("row").agg(F.sum("n").alias("known"), F.sum(F.col("n") * F.log10((F.col("c") + 1) / whole)).alias("base"))
     known: Column = F.col("hot_known") + F.coalesce("known", F.lit(0))
     both = rows.drop("rest", "rest_n").join(sums, "row", "left").withColumn("n_known", known.cast("long"))
