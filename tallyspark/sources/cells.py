@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tallyspark.functions.text import blank_to_null, identity_key
 
-from .shared import dealt, small
+from .shared import dealt, small, tasks_of
 
 SHEET = ["file", "sheet"]
 
@@ -42,25 +44,26 @@ def label_values(cells: DataFrame, labels: DataFrame, right: int = 6, down: int
     """(file, sheet, row_no, field, value) behind labels: in the cell after a colon, else the next non-blank
     cell to the right that is no label, else the first non-blank one below; one per field and value.
 
-    labels has (label, field), the label as an identity key. Distances are bounded, so the join is by place.
+    labels has (label, field), the label as an identity key. Cells travel once, to the task of their sheet, where the
+    nearest cells are found by windows over its rows and columns; a cell without a place has no neighbours.
     """
     text = cells.where(blank_to_null(F.col("value")).isNotNull()).select(*SHEET, "row_no", "col_no", F.trim("value").alias("value"))
     head = identity_key(F.regexp_extract("value", r"^([^:：]*)[:：]?", 1))
-    known = labels.select(F.col("label").alias("_key"), "field")
-    named = text.withColumn("_key", head).join(known, "_key", "left")
-    inline = F.nullif(F.trim(F.regexp_extract("value", r"^[^:：]*[:：](.*)$", 1)), F.lit(""))
-    marks = named.where("field is not null").withColumn("_inline", inline)
-    plain = named.select(*SHEET, "row_no", "col_no", "value", F.col("field").isNotNull().alias("_label"))
-    open_ = marks.where("_inline is null").select(*SHEET, "field", F.col("row_no").alias("_r"), F.col("col_no").alias("_c"))
-    same = open_.withColumn("col_no", F.explode(F.sequence(F.col("_c") + 1, F.col("_c") + right))).withColumn("row_no", F.col("_r"))
-    below = open_.withColumn("row_no", F.explode(F.sequence(F.col("_r") + 1, F.col("_r") + down))).withColumn("col_no", F.col("_c"))
-    near = same.withColumn("_d", F.col("col_no") - F.col("_c")).unionByName(below.withColumn("_d", F.lit(100) + F.col("row_no") - F.col("_r")))
-    hits = near.join(plain, [*SHEET, "row_no", "col_no"])
-    stop = F.min(F.when(F.col("_label"), F.col("_d"))).over(W.partitionBy(*SHEET, "_r", "_c", F.col("_d") >= 100))
-    hits = hits.withColumn("_stop", stop).where("not _label and (_stop is null or _d < _stop)")
-    found = hits.groupBy(*SHEET, "field", F.col("_r").alias("row_no"), "_c").agg(F.min_by("value", "_d").alias("value")).drop("_c")
-    both = marks.where("_inline is not null").select(*SHEET, "field", "row_no", F.col("_inline").alias("value")).unionByName(found)
-    return both.withColumn("_k", identity_key(F.col("value"))).groupBy(*SHEET, "field", "_k").agg(F.min(F.struct("row_no", "value")).alias("_b")).select(*SHEET, "_b.row_no", "field", "_b.value")
+    known = small(labels.select(F.col("label").alias("_key"), "field"))
+    inline = F.when(F.col("field").isNotNull(), F.nullif(F.trim(F.regexp_extract("value", r"^[^:：]*[:：](.*)$", 1)), F.lit("")))
+    named = text.withColumn("_key", head).join(known, "_key", "left").select(*SHEET, "row_no", "col_no", "value", "field", inline.alias("_inline"))
+    placed = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in (*SHEET, "row_no", "col_no")])
+
+    def nearest(line: str, order: str, reach: int) -> Column:
+        """The value of the next cell in the line, if no label is in its place; the ones behind it don't count."""
+        order_by = W.partitionBy("_at", *SHEET, line).orderBy(order).rangeBetween(1, reach)
+        first = F.min(F.struct(F.col(order), F.col("field").isNull().alias("plain"), "value")).over(order_by)
+        return F.when(placed & first["plain"], first["value"])
+
+    # Dealt by a digest: a constant file or sheet is taken out of the windows' keys, which then don't fit a deal by them.
+    found = dealt(named.withColumn("_at", F.xxhash64(*SHEET)), "_at", tasks=tasks_of(cells)).withColumns({"_right": nearest("row_no", "col_no", right), "_below": nearest("col_no", "row_no", down)})
+    both = found.where("field is not null").select("_at", *SHEET, "field", "row_no", F.coalesce("_inline", "_right", "_below").alias("value")).where("value is not null")
+    return both.withColumn("_k", identity_key(F.col("value"))).groupBy("_at", *SHEET, "field", "_k").agg(F.min(F.struct("row_no", "value")).alias("_b")).select(*SHEET, "_b.row_no", "field", "_b.value")
 
 
 def name_columns(cells: DataFrame, header_row: int) -> DataFrame:
