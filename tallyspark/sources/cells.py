@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from tallyspark.functions.text import blank_to_null, identity_key
+from tallyspark.functions.text import blank_to_null, identity_key, trimmed
 
 from .shared import dealt, small, tasks_of
 
@@ -47,11 +47,14 @@ def label_values(cells: DataFrame, labels: DataFrame, right: int = 6, down: int
     labels has (label, field), the label as an identity key. Cells travel once, to the task of their sheet, where the
     nearest cells are found by windows over its rows and columns; a cell without a place has no neighbours.
     """
-    text = cells.where(blank_to_null(F.col("value")).isNotNull()).select(*SHEET, "row_no", "col_no", F.trim("value").alias("value"))
-    head = identity_key(F.regexp_extract("value", r"^([^:：]*)[:：]?", 1))
+    text = cells.where(trimmed(F.col("value")) != "").select(*SHEET, "row_no", "col_no", F.trim("value").alias("value"))
+    # Most cells have no letters beyond ASCII, so that no wide form has to be sought in them.
+    key = lambda c: F.when(F.octet_length(c) == F.length(c), identity_key(F.col(c), wide=False)).otherwise(identity_key(F.col(c)))
     known = small(labels.select(F.col("label").alias("_key"), "field"))
-    inline = F.when(F.col("field").isNotNull(), F.nullif(F.trim(F.regexp_extract("value", r"^[^:：]*[:：](.*)$", 1)), F.lit("")))
-    named = text.withColumn("_key", head).join(known, "_key", "left").select(*SHEET, "row_no", "col_no", "value", "field", inline.alias("_inline"))
+    named = text.withColumn("_head", F.substring_index(F.replace("value", F.lit("："), F.lit(":")), ":", 1)).withColumn("_key", key("_head")).join(known, "_key", "left")
+    # A label's own text goes no further, only what stands behind its colon, blank if there is nothing.
+    inline = F.when(F.col("value").rlike("[:：]"), F.trim(F.regexp_extract("value", r"^[^:：]*[:：](.*)$", 1)))
+    named = named.select(*SHEET, "row_no", "col_no", F.when(F.col("field").isNull(), F.col("value")).otherwise(inline).alias("value"), "field")
     placed = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in (*SHEET, "row_no", "col_no")])
 
     def nearest(line: str, order: str, reach: int) -> Column:
@@ -62,8 +65,8 @@ def label_values(cells: DataFrame, labels: DataFrame, right: int = 6, down: int
 
     # Dealt by a digest: a constant file or sheet is taken out of the windows' keys, which then don't fit a deal by them.
     found = dealt(named.withColumn("_at", F.xxhash64(*SHEET)), "_at", tasks=tasks_of(cells)).withColumns({"_right": nearest("row_no", "col_no", right), "_below": nearest("col_no", "row_no", down)})
-    both = found.where("field is not null").select("_at", *SHEET, "field", "row_no", F.coalesce("_inline", "_right", "_below").alias("value")).where("value is not null")
-    return both.withColumn("_k", identity_key(F.col("value"))).groupBy("_at", *SHEET, "field", "_k").agg(F.min(F.struct("row_no", "value")).alias("_b")).select(*SHEET, "_b.row_no", "field", "_b.value")
+    both = found.where("field is not null").select("_at", *SHEET, "field", "row_no", F.coalesce(F.nullif("value", F.lit("")), "_right", "_below").alias("value")).where("value is not null")
+    return both.withColumn("_k", key("value")).groupBy("_at", *SHEET, "field", "_k").agg(F.min(F.struct("row_no", "value")).alias("_b")).select(*SHEET, "_b.row_no", "field", "_b.value")
 
 
 def name_columns(cells: DataFrame, header_row: int) -> DataFrame:
